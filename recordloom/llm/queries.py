@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, quality, secrets, sharding, warc
+from . import chat, decontamination, mixing, neardup, quality, secrets, sharding, warc
 from .common import table
 
 #: Rank file of a public byte-level vocabulary, and where its kin lie.
@@ -40,6 +40,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op5_shard, op6_chat_format, op8_quality_rules, op9_warc)
+    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc)
 }
