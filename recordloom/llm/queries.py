@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, neardup, quality, secrets, sharding, warc
+from . import chat, decontamination, extraction, mixing, neardup, quality, secrets, sharding, warc
 from .common import table
 
 #: Rank file of a public byte-level vocabulary, and where its kin lie.
@@ -25,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -54,5 +58,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc)
+    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op4_html_extract, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc)
 }
