@@ -1,13 +1,16 @@
 """Benchmark decontamination with BM25 over an inverted index of test items.
 
-Every passage of every document (windows of twice the longest item, overlapping by
-half, so any copied item lies whole in one) is a query against the items. An item is
-retrieved if its BM25 score reaches `share` of the score its own text would get. As in
-block-max WAND, upper bounds come first: the sum of a passage's term maxima, then, for
-passages that could pass, the sums of maxima over blocks of items; only items of blocks
-that could pass are scored. Bounds are never below scores, so nothing above the
-threshold is lost. A retrieved item counts if word n-grams of its question and of its
-answer are found in the document.
+Every passage of every document is a query against the items. Items are kept in classes
+of like length, and for each class a document is cut into windows of twice the longest
+item, overlapping by half, so any copied item lies whole in a window not much longer. An
+item is retrieved if its BM25 score reaches `share` of the score its own text would get.
+
+As in block-max WAND, upper bounds decide what is scored: items lie in blocks; a term
+has a maximum for each block, and the frequent terms of the index, which nearly any
+passage holds, enter with the most that they can add up to for an item of the block. A
+window is scored against a block only if its bound reaches the threshold. Bounds are
+never below scores, so nothing above the threshold is lost. A retrieved item counts if
+word n-grams of its question and of its answer are found in the document.
 
 The index is built from whole items in blocks of at most `INDEX_ITEMS`, so what is sent
 to executors is bounded; a larger benchmark takes more passes over the documents.
@@ -31,14 +34,18 @@ from pyspark.sql import functions as F
 
 from .shingles import ALNUM, chunks, shingle_hashes, word_hashes
 
-INDEX_ITEMS = 20_000
-BLOCK = 16
+INDEX_ITEMS = 5_000
+BLOCK = 8
+#: Longest parts of each class of items, in words.
+LENGTHS = (16, 24, 32, 48, 64, 96, 128)
+#: Terms of more than this share of the parts are frequent.
+FREQUENT = 0.05
 K1, B = 1.2, 0.75
 SHARE = 0.5
 OVERLAP = 0.5
 GRAM = 5
 #: Longer items are indexed in parts of so many words.
-PART = 128
+PART = LENGTHS[-1]
 
 RESULT = "doc_id long, item_id long, score double, score_share double, question_overlap double, answer_overlap double"
 
@@ -65,46 +72,104 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words, np.array([len(words)]), size)[0]) if len(words) >= size > 0 else np.empty(0, np.uint64)
 
 
+def spread(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of `keys` in a table whose key k has entries at[k]..at[k + 1], and which key each is of."""
+    n = at[keys + 1] - at[keys]
+    return np.repeat(at[keys] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(keys)), n)
+
+
+class LengthClass:
+    """Postings of the parts of one class: shares of each part's own score, and block maxima."""
+
+    def __init__(self, term: np.ndarray, part: np.ndarray, share: np.ndarray, parts: np.ndarray, stride: int, terms: int, frequent: np.ndarray):
+        self.stride, self.parts = stride, parts
+        local = np.searchsorted(parts, part)
+        order = np.lexsort((local, term))
+        self.term, self.local, self.share = term[order], local[order], share[order]
+        self.at = np.searchsorted(self.term, np.arange(terms + 1))
+        self.blocks = -(-len(parts) // BLOCK)
+        often = frequent[self.term]
+        sums = np.bincount(self.local[often], self.share[often], minlength=self.blocks * BLOCK)
+        self.base = sums.reshape(self.blocks, BLOCK).max(axis=1)
+        t, b, v = self.term[~often], self.local[~often] // BLOCK, self.share[~often]
+        head = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1])]) if len(t) else np.empty(0, np.int64)
+        self.block_of = b[head]
+        self.block_max = np.maximum.reduceat(v, head) if len(t) else v
+        self.block_at = np.searchsorted(t[head], np.arange(terms + 1))
+
+    def open(self, terms: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
+        """(text, first word, end, block) of the windows and blocks whose bound reaches `share`."""
+        begin = np.cumsum(counts) - counts
+        cells = -(-counts // self.stride)
+        first = np.cumsum(cells) - cells
+        text = np.repeat(np.arange(len(counts)), counts)
+        cell = first[text] + (np.arange(len(terms)) - begin[text]) // self.stride
+        hits = np.flatnonzero(terms >= 0)
+        where, of = spread(self.block_at, terms[hits])
+        n = int(cells.sum())
+        sums = np.bincount(cell[hits[of]] * self.blocks + self.block_of[where], self.block_max[where], minlength=n * self.blocks).reshape(n, self.blocks)
+        owner = np.repeat(np.arange(len(counts)), cells)
+        same = np.flatnonzero(owner[1:] == owner[:-1])
+        bound = sums + self.base
+        bound[same] += sums[same + 1]
+        w, block = np.nonzero(bound >= share - 1e-6)
+        lo = begin[owner[w]] + (w - first[owner[w]]) * self.stride
+        return owner[w], lo, np.minimum(lo + 2 * self.stride, begin[owner[w]] + counts[owner[w]]), block
+
+    def retrieve(self, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: np.ndarray, share: float) -> Iterator[tuple[int, int, float]]:
+        """(place in `lo`, part, score share) at or above `share`, for rows of open(); a window's terms count once."""
+        if not len(lo):
+            return
+        head = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1])])
+        window = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(lo)]))
+        allowed = np.zeros((len(head), self.blocks), bool)
+        allowed[window, block] = True
+        n = hi[head] - lo[head]
+        place = np.repeat(lo[head] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.repeat(np.arange(len(head)), n) * len(self.at) + terms[place]
+        key = np.unique(key[terms[place] >= 0])
+        where, of = spread(self.at, key % len(self.at))
+        w, local = (key // len(self.at))[of], self.local[where]
+        go = allowed[w, local // BLOCK]
+        cell, back = np.unique(w[go] * len(self.parts) + local[go], return_inverse=True)
+        score = np.bincount(back, self.share[where][go], minlength=len(cell))
+        for k in np.flatnonzero(score >= share - 1e-9):
+            yield int(head[cell[k] // len(self.parts)]), int(self.parts[cell[k] % len(self.parts)]), float(score[k])
+
+
 class Index:
-    """Postings with BM25 weights as shares of each item's own score, and their block maxima."""
+    """An inverted index of items with BM25 weights, by class of length."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids, self.parts, self.owner = [], [], []
+        self.ids, self.owner = [], []
         self.checks: list[list[tuple[int, np.ndarray]]] = []
-        longest = 1
+        parts: list[np.ndarray] = []
         for item_id, text in items:
             words = hashed(text)
             if not len(words):
                 continue
-            k = len(self.ids)
-            self.ids.append(item_id)
             self.checks.append([(min(GRAM, len(w)), grams(w, min(GRAM, len(w)))) for w in map(hashed, halves(text))])
             for a in range(0, len(words), PART):
-                self.parts.append(words[a : a + PART])
-                self.owner.append(k)
-            longest = max(longest, min(PART, len(words)))
-        self.stride = longest
-        n = len(self.parts)
-        lengths = np.array([len(p) for p in self.parts], float)
-        term = np.concatenate([np.unique(p) for p in self.parts]) if n else np.empty(0, np.uint64)
-        part = np.repeat(np.arange(n), [len(np.unique(p)) for p in self.parts]) if n else np.empty(0, int)
-        tf = np.concatenate([np.unique(p, return_counts=True)[1] for p in self.parts]) if n else np.empty(0, int)
-        self.terms, at = np.unique(term, return_inverse=True)
-        df = np.bincount(at, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1e-9)) if n else lengths
-        weight = idf[at] * tf * (K1 + 1) / (tf + norm[part]) if n else np.empty(0)
-        self.own = np.bincount(part, weight, minlength=n)
-        share = weight / self.own[part] if n else weight
-        order = np.lexsort((part, at))
-        self.post_part, self.post_share = part[order], share[order]
-        self.post_at = np.searchsorted(at[order], np.arange(len(self.terms) + 1))
-        block = self.post_part // BLOCK
-        head = np.flatnonzero(np.r_[True, (at[order][1:] != at[order][:-1]) | (block[1:] != block[:-1])]) if n else np.empty(0, int)
-        self.block_id = block[head] if n else head
-        self.block_max = np.maximum.reduceat(self.post_share, head) if n else np.empty(0)
-        self.block_at = np.searchsorted(at[order][head], np.arange(len(self.terms) + 1)) if n else np.zeros(1, int)
-        self.bound = np.maximum.reduceat(self.post_share, self.post_at[:-1]) if n else np.empty(0)
+                parts.append(words[a : a + PART])
+                self.owner.append(len(self.ids))
+            self.ids.append(item_id)
+        self.classes: list[LengthClass] = []
+        if not parts:
+            return
+        lengths = np.array([len(p) for p in parts])
+        seen = [np.unique(p, return_counts=True) for p in parts]
+        part = np.repeat(np.arange(len(parts)), [len(w) for w, _ in seen])
+        tf = np.concatenate([n for _, n in seen])
+        self.terms, term = np.unique(np.concatenate([w for w, _ in seen]), return_inverse=True)
+        df = np.bincount(term)
+        idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / lengths.mean())
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[part])
+        self.own = np.bincount(part, weight)
+        kind = np.searchsorted(LENGTHS, lengths)
+        for k in np.unique(kind):
+            mine, of_class = np.flatnonzero(kind == k), kind[part] == k
+            self.classes.append(LengthClass(term[of_class], part[of_class], (weight / self.own[part])[of_class], mine, int(lengths[mine].max()), len(self.terms), df > FREQUENT * len(parts)))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.terms & np.uint64((1 << 20) - 1)] = True
 
@@ -118,40 +183,17 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
-    def _sums(self, terms: np.ndarray, at: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = at[terms + 1] - at[terms]
-        where = np.repeat(at[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        found, back = np.unique(ids[where], return_inverse=True)
-        return found, np.bincount(back, values[where], minlength=len(found))
-
-    def retrieve(self, terms: np.ndarray, share: float) -> list[tuple[int, float]]:
-        """(part, score share) of all parts at or above `share` for a passage's distinct terms."""
-        blocks, bound = self._sums(terms, self.block_at, self.block_id, self.block_max)
-        open_ = blocks[bound >= share - 1e-9]
-        if not len(open_):
-            return []
-        n = self.post_at[terms + 1] - self.post_at[terms]
-        where = np.repeat(self.post_at[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        where = where[np.isin(self.post_part[where] // BLOCK, open_)]
-        found, back = np.unique(self.post_part[where], return_inverse=True)
-        score = np.bincount(back, self.post_share[where])
-        return [(int(p), float(s)) for p, s in zip(found, score) if s >= share - 1e-9]
-
     def search(self, words: np.ndarray, counts: np.ndarray, share: float, overlap: float) -> Iterator[tuple[int, int, float, float, float, float]]:
         """(text, item, score, share, question overlap, answer overlap) for a chunk of texts."""
+        if not self.classes or not len(words):
+            return
         terms = self.term_of(words)
-        bound = np.concatenate([[0.0], np.cumsum(np.where(terms >= 0, self.bound[terms], 0.0))])
         begin = np.cumsum(counts) - counts
-        n = np.where(counts > 0, np.maximum(1, -(-np.maximum(counts - self.stride, 1) // self.stride)), 0)
-        text = np.repeat(np.arange(len(counts)), n)
-        lo = begin[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * self.stride
-        hi = np.minimum(lo + 2 * self.stride, (begin + counts)[text])
-        best: dict[tuple[int, int], float] = {}
-        for p in np.flatnonzero(bound[hi] - bound[lo] >= share - 1e-6):
-            own = terms[lo[p] : hi[p]]
-            own = np.unique(own[own >= 0])
-            for part, s in self.retrieve(own, share):
-                key = (int(text[p]), self.owner[part])
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for c in self.classes:
+            text, lo, hi, block = c.open(terms, counts, share)
+            for a, part, s in c.retrieve(terms, lo, hi, block, share):
+                key = (int(text[a]), self.owner[part])
                 if s > best.get(key, (0.0, 0))[0]:
                     best[key] = (s, part)
         have: dict[tuple[int, int], np.ndarray] = {}
@@ -182,9 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
                 ids = b.column("doc_id").to_pylist()
                 out = []
                 for row, raw, offsets in chunks(b.column("text")):
-                    if len(ix.ids):
-                        words, counts = word_hashes(raw, offsets, ALNUM)
-                        out += [(ids[row + t], ix.ids[i], *rest) for t, i, *rest in ix.search(words, counts, share, overlap)]
+                    words, counts = word_hashes(raw, offsets, ALNUM)
+                    out += [(ids[row + t], ix.ids[i], *rest) for t, i, *rest in ix.search(words, counts, share, overlap)]
                 cols = list(zip(*out)) or [[]] * 6
                 types = [pa.int64()] * 2 + [pa.float64()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in RESULT.split(", ")])
@@ -193,3 +234,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
     best = F.max(F.struct("score_share", "score", "question_overlap", "answer_overlap")).alias("b")
     pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
     return pairs.select("doc_id", "item_id", "b.score", "b.score_share", "b.question_overlap", "b.answer_overlap")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Documents in whose text no item was found, with the columns of `docs`.
+
+    Rows are searched and kept one by one in the scan, so no document is shuffled.
+    """
+    names = docs.columns
+    hits = leaks(docs.select(F.col("doc_id"), F.col("text")), benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
