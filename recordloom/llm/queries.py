@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, extraction, mixing, neardup, quality, secrets, sharding, warc
+from . import chat, decontamination, extraction, mixing, neardup, quality, secrets, sharding, tokens, warc
 from .common import table
 
 #: Rank file of a public byte-level vocabulary, and where its kin lie.
@@ -56,7 +56,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.materialised(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op4_html_extract, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc)
+    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op4_html_extract, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc, op10_token_shards)
 }
