@@ -16,7 +16,8 @@ shingles of at least FLOOR/4 of its documents, so a count is short by FLOOR/4 at
 
 Pairs. Exact copies are one node. In a bucket every node is compared with one hub, which
 is linear. Where nodes of a bucket are not all in one class after that, those outside
-its largest class are compared with all its nodes of other classes. So any candidate
+its largest class meet a hub drawn from that class, in `HUBS` more rounds, and those
+still outside are compared with all the bucket's nodes of other classes. So any candidate
 pair is compared or joined by other links, and no pairs are made within a class. That
 join holds pairs against bitmaps of their shingles, in its condition: bits that differ
 are a lower bound of the shingles that differ, so only pairs that cannot be similar go.
@@ -43,6 +44,7 @@ SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 FLOOR, LEAST = 0.01, 0.5
+HUBS = 3
 BLOCK_SHINGLES = 2_000_000
 LIGHT, HEAVY = 32, 8  # 64-bit words of the bitmaps
 CELLS = 1 << 16  # rows of the table of random variates, by the low bits of a shingle's hash
@@ -222,7 +224,8 @@ def may_link(x: str, y: str, threshold: float) -> Column:
     """
     differ = lambda c: F.aggregate(F.zip_with(f"{x}.{c}", f"{y}.{c}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
     most = (1 - threshold) / (1 + threshold) + 1e-6
-    return F.transform(
+    alike = lambda c: F.least(f"{x}.{c}", f"{y}.{c}") >= (threshold - 1e-6) * F.greatest(f"{x}.{c}", f"{y}.{c}")
+    return (alike("n") | alike("weight")) & F.transform(
         F.array(F.struct(differ("light").alias("l"), differ("heavy").alias("h"))),
         lambda d: (d["l"] + d["h"] <= most * (F.col(f"{x}.n") + F.col(f"{y}.n"))) | (d["l"] + LEAST * d["h"] <= most * (F.col(f"{x}.weight") + F.col(f"{y}.weight"))),
     )[0]
@@ -312,18 +315,34 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
     links = materialise(linked(stars, feats, heavy, threshold), "links")
     roots = materialise(components(links), "roots")
 
-    # What the stars left apart.
+    done = stars
+    for k in range(HUBS):
+        apart = materialise(_apart(members, roots), "apart")
+        inside = apart.filter("root = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("drawn"))
+        met = apart.filter("root <> top").join(inside, "bucket").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
+        met = materialise(met.distinct().join(done, ["a", "b"], "left_anti"), "stars")
+        roots = _merged(roots, materialise(linked(met, feats, heavy, threshold), "links"))
+        done = done.union(met)
+
+    apart = materialise(_apart(members, roots).join(feats.drop("shingles"), "node"), "apart")
+    outside, others = apart.filter("root <> top").alias("x"), apart.alias("y")
+    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
+    rest = outside.join(others, differ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    return _merged(roots, materialise(linked(rest, feats, heavy, threshold), "links"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node, root and top, the bucket's largest class, for buckets of two classes or more."""
     placed = with_class(members.select("bucket", "node"), roots)
     sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    apart = materialise(placed.join(largest, "bucket"), "apart")
-    drawn = apart.join(feats.drop("shingles"), "node")
-    outside, others = drawn.filter("root <> top").alias("x"), drawn.alias("y")
-    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
-    rest = outside.join(others, differ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = materialise(linked(rest, feats, heavy, threshold), "links")
-    joins = with_class(with_class(more, roots, "a").withColumnRenamed("root", "ra"), roots, "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
+    return placed.join(largest, "bucket")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after some more links between nodes."""
+    joins = with_class(with_class(links, roots, "a").withColumnRenamed("root", "ra"), roots, "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
     merged = components(joins.distinct())
     top = with_class(roots.withColumnRenamed("root", "r1"), merged, "r1").select("node", "root")
     return materialise(top.union(merged.join(roots, "node", "left_anti")), "classes")
