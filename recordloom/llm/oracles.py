@@ -1 +1,41 @@
-SQL = {}
+"""SQL for DuckDB that gives the same rows as a query, where SQL can express it."""
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+CHAT = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(t))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
+g AS (SELECT rn, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT rn, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+c AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, gram) AS n FROM g),
+p AS (SELECT DISTINCT rn, unnest(range(i, i + 8)) AS at FROM c WHERE n > 1),
+q AS (SELECT rn, count(*) AS n FROM p GROUP BY rn),
+m AS (SELECT w.rn, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN q ON w.rn = q.rn),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.05 * n_words)::DOUBLE AS f FROM b GROUP BY source),
+s AS (SELECT sum(n) AS n, sum(f) / sum(n) AS mean, sum(f * f / n) AS ff, count(*) AS k FROM h),
+v AS (SELECT mean, greatest(0, (ff - n * mean * mean) / n - mean * (1 - mean) * k / n) AS spread FROM s),
+a AS (SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM v),
+o AS (SELECT source, (f + mean * strength) / (n + strength) <= 0.5 AS host_kept FROM h CROSS JOIN a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept FROM b JOIN o ON b.source IS NOT DISTINCT FROM o.source
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM t
+"""
+
+SQL = {"op6_chat_format": CHAT, "op8_quality_rules": QUALITY, "op9_warc": WARC}
