@@ -200,3 +200,50 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; null if either is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Marks in a file name and the type they stand for, the first that fits (fixed values).
+FILE_TYPES = [
+    (["7_12", "satbara"], "7/12 Extract (सातबारा)"),
+    (["khasra", "khatauni"], "Khasra-Khatauni (खतौनी)"),
+    (["patta"], "Patta/Chitta (பட்டா)"),
+]
+#: Colours of land classes, the first contained (fixed values).
+CLASS_COLOURS = [
+    ("agricultural", "#16a34a"), ("residential", "#2563eb"), ("commercial", "#d97706"), ("forest", "#065f46"),
+    ("wasteland", "#6b7280"), ("water", "#0284c7"), ("government", "#7c3aed"), ("default", "#b45309"),
+]
+#: Languages with a printed-text model of their own (fixed values).
+PADDLE_LANGUAGES = ["hi", "mr", "ta", "te", "kn", "ml", "gu", "bn", "pa", "en"]
+
+
+def file_type(name: Column) -> Column:
+    low = F.lower(name)
+    return first_of([(any_of(low, marks), F.lit(kind)) for marks, kind in FILE_TYPES], F.lit("Land Revenue Deed"))
+
+
+def class_colour(land_class: Column) -> Column:
+    low = F.lower(F.coalesce(land_class, F.lit("")))
+    return first_of([(F.contains(low, F.lit(k)), F.lit(c)) for k, c in CLASS_COLOURS], F.lit(dict(CLASS_COLOURS)["default"]))
+
+
+def is_mixed(distribution: Column) -> Column:
+    """Whether the second script of a distribution has 5 % or more and another language."""
+    second = F.get(distribution, F.lit(1))
+    return F.coalesce((second["char_share"] >= 0.05) & (second["code"] != F.get(distribution, F.lit(0))["code"]), F.lit(False))
+
+
+def reading_models(distribution: Column, handwriting: Column) -> Column:
+    """array<struct(engine, text_type, language, scope)>: the models to read a document with, by its languages."""
+
+    def one(engine: Column, kind: str, language: Column, scope: str) -> Column:
+        return F.struct(engine.alias("engine"), F.lit(kind).alias("text_type"), language.alias("language"), F.lit(scope).alias("scope"))
+
+    first, second = F.get(distribution, F.lit(0))["code"], F.get(distribution, F.lit(1))["code"]
+    engine = F.concat(F.when(first.isin(PADDLE_LANGUAGES), F.lit("paddle_")).otherwise(F.lit("tesseract_")), first)
+    wanted = F.array(
+        one(engine, "printed", first, "full_document"),
+        F.when(is_mixed(distribution), one(F.concat(F.lit("paddle_"), second), "printed_secondary", second, "region_crops")),
+        F.when(handwriting, one(F.lit("trocr"), "handwritten", first, "region_crops")),
+    )
+    return F.filter(wanted, lambda m: m.isNotNull())

@@ -95,3 +95,15 @@ def flag_fields(fields: DataFrame, anomalies: DataFrame) -> DataFrame:
     ranked = fields.withColumn("__w", rank).withColumn("__k", F.when(F.col("__w") < 99, F.row_number().over(Window.partitionBy("document_id").orderBy("__w", "seq"))))
     texts = anomalies.withColumn("__k", F.row_number().over(Window.partitionBy("document_id").orderBy("seq"))).select("document_id", "__k", F.col("anomaly").alias("anomaly_reason"))
     return ranked.join(texts, ["document_id", "__k"], "left").withColumn("anomaly_flag", F.col("anomaly_reason").isNotNull()).drop("__w", "__k")
+
+
+def link_results(validation: DataFrame, results: DataFrame) -> DataFrame:
+    """Validation rows with the id of the document's last result of that name."""
+    ids = results.groupBy("document_id", "field_name").agg(F.max_by("result_id", "seq").alias("field_result_id"))
+    return validation.join(ids, ["document_id", "field_name"], "left")
+
+
+def visible_to(rows: DataFrame, users: DataFrame, username: str, roles: list[str]) -> DataFrame:
+    """The rows if the user is active and has one of the roles, else none."""
+    granted = users.filter((F.col("username") == username) & F.col("is_active") & F.col("role").isin(roles)).select(F.lit(1).alias("__granted")).limit(1)
+    return rows.withColumn("__granted", F.lit(1)).join(granted, "__granted", "left_semi").drop("__granted")

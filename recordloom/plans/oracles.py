@@ -126,7 +126,13 @@ SQL = {
     "script_shares": """WITH c AS (SELECT n_nationkey, CAST(length(regexp_replace(n_name, '[^A-z]', '', 'g')) AS BIGINT) AS latin, CAST(3 * (n_nationkey % 4) AS BIGINT) AS gu FROM nation),
       u AS (SELECT n_nationkey, 'en' AS code, 'Latin' AS script, latin AS char_count FROM c UNION ALL SELECT n_nationkey, 'gu', 'Gujarati', gu FROM c WHERE gu > 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY char_count DESC, script = 'Latin') - 1 AS rank FROM u) SELECT n_nationkey, rank, code, script, rank = 0 AS is_primary, char_count FROM r""",
-    "key_values": """SELECT c_custkey AS document_id, unnest(['Owner Name', '2) Village', 'Area', 'Ref'][1:1]) AS field_name, c_name AS field_value, 0.88::DOUBLE AS confidence, 'person' AS data_type, 'OWNER_NAME' AS canonical_key FROM customer
+    "reading_models": """WITH n AS (SELECT n_nationkey AS k, n_nationkey % 3 = 0 AS o, n_nationkey % 2 = 0 AS l, n_nationkey % 5 = 0 AS h FROM nation)
+      SELECT k AS n_nationkey, o AS mixed, CASE WHEN o THEN 'tesseract_or' WHEN l THEN 'paddle_en' ELSE 'paddle_gu' END || CASE WHEN o THEN CASE WHEN l THEN ',paddle_en' ELSE ',paddle_gu' END ELSE '' END || CASE WHEN h THEN ',trocr' ELSE '' END AS engines FROM n""",
+    "file_types": """SELECT p_partkey, ['7/12 Extract (सातबारा)', 'Khasra-Khatauni (खतौनी)', 'Patta/Chitta (பட்டா)', 'Land Revenue Deed'][CAST(p_partkey % 4 + 1 AS INT)] AS file_type,
+      ['#16a34a', '#065f46', '#b45309', '#b45309'][CAST(p_partkey % 4 + 1 AS INT)] AS colour FROM part""",
+    "linked_results": """SELECT o_orderkey AS document_id, 'A' AS field_name, r.id AS field_result_id FROM orders LEFT JOIN
+      (SELECT l_orderkey, arg_max(l_partkey, l_partkey * 10 + l_linenumber) AS id FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) r ON l_orderkey = o_orderkey""",
+    "key_values": """SELECT c_custkey AS document_id, 'Owner Name' AS field_name, c_name AS field_value, 0.88::DOUBLE AS confidence, 'person' AS data_type, 'OWNER_NAME' AS canonical_key FROM customer
       UNION ALL SELECT c_custkey, 'Village', c_mktsegment, 0.88, 'address', 'VILLAGE' FROM customer
       UNION ALL SELECT c_custkey, 'Area', (c_custkey % 90) || '.5 hectare', 0.88, 'area', 'AREA' FROM customer
       UNION ALL SELECT c_custkey, 'Ref', CAST(c_nationkey AS VARCHAR), 0.88, 'integer', NULL FROM customer""",

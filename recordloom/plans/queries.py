@@ -217,6 +217,31 @@ def script_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("n_nationkey", long("rank").alias("rank"), "s.code", "s.script", "s.is_primary", "s.char_count")
 
 
+@query
+def reading_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.when(k % 3 == 0, F.lit("ଜମି ଖାତା ଜମି ଖାତା")).otherwise(F.lit("")), F.when(k % 2 == 0, F.col("n_name")).otherwise(F.lit("ગામ"))).alias("t"))
+    shares = n.withColumn("s", text.script_distribution(F.col("t")))
+    models = text.reading_models(F.col("s"), k % 5 == 0)
+    return shares.select("n_nationkey", text.is_mixed(F.col("s")).alias("mixed"), F.array_join(models["engine"], ",").alias("engines"))
+
+
+@query
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    name = F.concat(F.when(k == 0, "SATBARA_").when(k == 1, "my_Khatauni_").when(k == 2, "PATTA").otherwise("deed"), F.col("p_name"))
+    land = F.when(k == 0, "Agricultural (dry)").when(k == 1, F.lit("Reserved Forest")).when(k == 2, F.lit(None).cast("string")).otherwise("other")
+    return table(spark, sf_dir, "part").select("p_partkey", text.file_type(name).alias("file_type"), text.class_colour(land).alias("colour"))
+
+
+@query
+def linked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    results = li.select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("field_name"), F.col("l_partkey").alias("result_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit("A").alias("field_name"))
+    return verification.link_results(orders, results)
+
+
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("document_id"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,3 +122,26 @@ class TableRegistry(Registry):
 REGISTRIES: dict[str, type[Registry]] = {"table": TableRegistry}
 
 
+
+
+def write_objects(objects: DataFrame, folder: str) -> DataFrame:
+    """Write (key, content) rows as files below a folder that executors share; key and bytes of each.
+
+    A file is written under a name of its own and renamed, so a task may run again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pa.fs.FileSystem.from_uri(folder)
+        for b in batches:
+            sizes = []
+            for key, content in zip(b.column("key").to_pylist(), b.column("content").to_pylist()):
+                target = f"{path}/{key}"
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as f:
+                    f.write(content)
+                fs.move(part, target)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64())], names=["key", "bytes"])
+
+    return objects.select("key", "content").mapInArrow(write, "key string, bytes long")

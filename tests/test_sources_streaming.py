@@ -58,3 +58,9 @@ def test_stage_cache(spark):
     old = extraction.key_values(docs.filter("document_id = 'a'")).withColumn("input_hash", F.sha2(F.to_json(F.struct(F.lit("Owner: Ram").alias("text"))), 256)).withColumn("field_value", F.lit("cached"))
     got = streaming.stage_cached(docs, old, extraction.key_values, ["text"]).collect()
     assert {(r["document_id"], r["field_value"]) for r in got} == {("a", "cached"), ("b", "5")}
+
+
+def test_write_objects(spark, tmp_path):
+    df = spark.createDataFrame([("a/x.bin", b"12"), ("y.bin", b"")], "key string, content binary")
+    assert {tuple(r) for r in tables.write_objects(df, f"file://{tmp_path}/store").collect()} == {("a/x.bin", 2), ("y.bin", 0)}
+    assert (tmp_path / "store/a/x.bin").read_bytes() == b"12" and sorted(p.name for p in (tmp_path / "store").rglob("*")) == ["a", "x.bin", "y.bin"]
