@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents in whose text no item was found, with the columns of `docs`.
 
-    Rows are searched and kept one by one in the scan, so no document is shuffled.
+    Only ids of hits are shuffled while searching; those few rows are then left out.
     """
     names = docs.columns
     hits = leaks(docs.select(F.col("doc_id"), F.col("text")), benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct()
