@@ -203,5 +203,34 @@ SQL = {
     "change_intervals": """WITH d AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1000000 AS s FROM events)
       SELECT user_id, count(s) AS n, CAST(sum(CAST(round(s, 0) AS BIGINT)) AS BIGINT) AS seconds FROM d GROUP BY 1""",
     "unit_areas": "SELECT p_partkey, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 4046.86 WHEN 1 THEN 10000.0 WHEN 2 THEN 0.0929 END, 4)::DOUBLE AS square_metres FROM part",
+    "low_blocks": "SELECT conv_id AS document_id, turn AS ord, substr(text, 1, 12) AS text, (turn % 4 / 4)::DOUBLE AS confidence FROM conversations WHERE turn % 4 / 4 < 0.65 AND length(trim(substr(text, 1, 12))) >= 2",
+    "block_types": "SELECT p_partkey, ['unknown', 'title', 'table', 'field', 'form', 'text'][CAST(p_partkey % 6 + 1 AS INT)] AS block_type FROM part",
+    "field_problems": "SELECT c_custkey, ['area is not positive', NULL, 'date is in the future', NULL, 'amount is negative', 'empty', NULL][CAST(c_custkey % 7 + 1 AS INT)] AS problem FROM customer",
+    "script_votes": """WITH c AS (SELECT user_id AS document_id, event_type AS script, count(*) AS n FROM events GROUP BY 1, 2)
+      SELECT document_id, arg_max(script, (n, script)) AS script, round(least(max(n) / sum(n) * 0.85 + 0.15, 0.97), 6)::DOUBLE AS confidence FROM c GROUP BY 1""",
+    "map_centre": "SELECT round(avg(CASE WHEN s_suppkey % 4 <> 0 THEN 10.0 + s_suppkey % 8 END), 6)::DOUBLE AS lat, round(avg(CASE WHEN s_suppkey % 5 <> 0 THEN 70.0 + s_suppkey % 3 END), 6)::DOUBLE AS lng FROM supplier",
+    "snapshot_sizes": "SELECT n_nationkey AS version, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS ocr_corrections, 1::BIGINT AS label_mappings, 0::BIGINT AS confidence_adjustments FROM nation",
+    "share_totals": "SELECT l_orderkey, round(sum(l_quantity), 6)::DOUBLE AS total FROM lineitem GROUP BY 1 HAVING abs(sum(l_quantity) - 100) > 0.01",
+    "block_fields": """SELECT s_suppkey AS document_id, 'Owner' AS field_name, s_name AS field_value, 0.95::DOUBLE AS confidence, 'person' AS data_type, 'OWNER_NAME' AS canonical_key FROM supplier
+      UNION ALL SELECT s_suppkey, 'Khata No', CAST(s_suppkey AS VARCHAR), 0.7, 'identifier', 'KHATA_NUMBER' FROM supplier""",
+    "record_maps": """WITH f AS (SELECT l_orderkey AS d, l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE 'raw' END AS k, l_partkey AS v FROM lineitem),
+      e AS (SELECT d, seq, v, unnest(list_distinct([k, lower(k)])) AS k FROM f), l AS (SELECT d, k, arg_max(v, seq) AS v FROM e GROUP BY 1, 2)
+      SELECT d AS document_id, string_agg(k || '=' || v, ',' ORDER BY k) AS record FROM l GROUP BY 1""",
+    "owner_counts": "SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS owners FROM nation",
+    "word_boxes": "WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part) SELECT p_partkey, i - 1 AS word_index, ws[i] AS word FROM (SELECT p_partkey, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)",
+    "ocr_lines": "SELECT p_partkey AS document_id, p_name AS text, 0.5::DOUBLE AS confidence, 'b0' AS bbox FROM part UNION ALL SELECT p_partkey, p_brand, NULL, NULL FROM part",
+    "learned_fields": CORRECTIONS
+    + """SELECT s.seq AS document_id, s.field_name, coalesce(cm.corrected_value, ' ' || s.original_value) AS field_value, lm.learned_key AS canonical_key,
+      round(greatest(0.0, least(1.0, 0.8 + coalesce(pen.penalty, 0))), 6)::DOUBLE AS confidence FROM s LEFT JOIN cm ON s.field_name = cm.field_name AND s.original_value = cm.original_value
+      LEFT JOIN lm ON s.field_name = lm.field_name LEFT JOIN pen ON s.field_name = pen.field_name""",
+    "sample_candidates": CORRECTIONS + "SELECT seq AS document_id, field_name FROM s WHERE seq % 3 = 0 AND ocr_confidence >= 0.7 AND seq % 7 <> 0 AND seq % 2 <> 0",
+    "replaced_documents": """WITH n AS (SELECT l_orderkey AS document_id, -l_quantity AS value FROM lineitem WHERE l_orderkey % 5 = 0 AND l_quantity > 25)
+      SELECT l_orderkey AS document_id, l_quantity AS value FROM lineitem WHERE l_orderkey NOT IN (SELECT document_id FROM n) UNION ALL SELECT * FROM n""",
+    "status_changes": "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 4 = 0 THEN 'COMPLETED' ELSE o_orderstatus END AS status FROM orders",
+    "audit_rows": "SELECT 'someone' AS username, 'DELETE' AS action, 'supplier' AS resource_type, CAST(s_suppkey AS VARCHAR) AS resource_id FROM supplier WHERE s_acctbal < 0",
+    "next_version": "SELECT max(event_id) + 1 AS version FROM events",
+    "key_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7",
+    "badges": """SELECT CASE WHEN l_discount * 10 >= 0.8 THEN 'HIGH' WHEN l_discount * 10 >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS badge,
+      CASE WHEN l_discount * 10 >= 0.85 THEN 'HIGH' WHEN l_discount * 10 >= 0.6 THEN 'MEDIUM' WHEN l_discount * 10 >= 0.3 THEN 'LOW' ELSE 'UNCERTAIN' END AS category, count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY 1, 2",
 }

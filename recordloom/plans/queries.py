@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from ..operators import analytics, anomaly, changes, duplicates, extraction, learning, ordering, rules, scoring, spatial, verification
+from ..sources.tables import by_key
 from ..streaming import documents as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,6 +525,142 @@ def unit_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(numbers.square_metres(F.col("p_size").cast("double"), unit), 4).alias("square_metres"))
 
 
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    block = F.struct(F.col("turn").alias("ord"), F.substring("text", 1, 12).alias("text"), (F.col("turn") % 4 / 4).alias("confidence"), F.concat(F.lit("paddle_"), F.col("role")).alias("engine"))
+    return c.groupBy(F.col("conv_id").alias("document_id")).agg(F.sort_array(F.collect_list(block)).alias("blocks")).withColumn("page", F.lit(1))
+
+
+@query
+def low_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.low_blocks(ocr_pages(spark, sf_dir), 0.65).select("document_id", long("ord").alias("ord"), "text", "confidence")
+
+
+@query
+def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    said = text.first_of([(k == i, t) for i, t in enumerate([F.lit(""), F.upper(F.concat(F.lit("deed of "), "p_name")), F.concat("p_name", F.lit(" | x")), F.concat(F.lit("Owner: "), "p_name"), F.concat(F.lit("Foo: "), "p_name")])], F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.block_type(said, F.lit(0.9)).alias("block_type"))
+
+
+@query
+def field_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 7
+    names, vals = ["area", "area", "deed date", "deed date", "stamp duty", "note", "note"], ["0", "5", "01-01-2030", "01-01-2020", "-5", " ", "x"]
+    pick = lambda options: text.first_of([(k == i, F.lit(v)) for i, v in enumerate(options)], F.lit(None).cast("string"))
+    problem = rules.field_problem(pick(names), pick(vals), F.lit("string"), F.lit(AS_OF).cast("date"))
+    return table(spark, sf_dir, "customer").select("c_custkey", problem.alias("problem"))
+
+
+@query
+def script_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("script"))
+    return scoring.majority(votes).withColumn("confidence", six("confidence"))
+
+
+@query
+def map_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.when(k % 4 != 0, 10.0 + k % 8).otherwise(0.0).alias("lat"), F.when(k % 5 != 0, 70.0 + k % 3).alias("lng"))
+    c = analytics.centroid(s, "lat", "lng")
+    return c.select(six("lat").alias("lat"), six("lng").alias("lng"))
+
+
+@query
+def snapshot_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    two = F.when(k % 2 == 0, F.lit('{"a":"1","b":"2"}')).otherwise(F.lit("{}"))
+    n = table(spark, sf_dir, "nation").select(k.alias("version"), F.concat(F.lit('{"ocr_corrections":'), two, F.lit(',"label_mappings":{"x":"y"}}')).alias("patterns"))
+    out = learning.snapshot_sizes(n)
+    return out.select("version", *[long(c).alias(c) for c in out.columns[1:]])
+
+
+@query
+def share_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.share_totals(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity").withColumn("total", six("total"))
+
+
+@query
+def block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = lambda t, c: F.struct(t.alias("text"), F.lit(c).alias("confidence"), F.lit(None).cast("array<double>").alias("bbox"))
+    blocks = F.array(block(F.concat(F.lit("Owner: "), F.col("s_name")), 0.99), block(F.lit("no pair"), 0.5), block(F.lit("owner: again"), 0.5), block(F.concat(F.lit("Khata No = "), F.col("s_suppkey").cast("string")), 0.7))
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"), F.lit(1).alias("page"), blocks.alias("blocks"))
+    return extraction.block_fields(pages).select("document_id", "field_name", "field_value", "confidence", "data_type", "canonical_key")
+
+
+@query
+def record_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    fields = li.select(F.col("l_orderkey").alias("document_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit("raw").alias("field_name"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("canonical_key"), F.col("l_partkey").cast("string").alias("field_value"))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("record")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return extraction.record_map(fields).select("document_id", pairs.alias("record"))
+
+
+@query
+def owner_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.concat(F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(" & B and C;")).otherwise(F.lit(", Anders")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", long(extraction.owner_count(names)).alias("owners"))
+
+
+@query
+def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.word_boxes(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))).select("p_partkey", long("word_index").alias("word_index"), "word")
+
+
+@query
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.array("p_name", F.lit(" "), "p_brand").alias("texts"), F.array(F.lit(0.5), F.lit(0.6)).alias("scores"), F.array(F.lit("b0")).alias("boxes"))
+    return extraction.ocr_lines(r)
+
+
+@query
+def learned_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corrections(spark, sf_dir)
+    fields = s.select("document_id", "field_name", F.concat(F.lit(" "), "original_value").alias("field_value"), F.lit(None).cast("string").alias("canonical_key"), F.lit(0.8).alias("confidence"))
+    out = learning.apply_learned(fields, learning.correction_map(s), learning.label_map(s), learning.correction_rates(s))
+    return out.select("document_id", "field_name", "field_value", "canonical_key", six("confidence").alias("confidence"))
+
+
+@query
+def sample_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = corrections(spark, sf_dir)
+    doc = F.col("document_id")
+    fields = s.select("document_id", "field_name", F.when(doc % 3 == 0, "COMPLETED").otherwise("FAILED").alias("document_status"), F.col("ocr_confidence").alias("confidence"), F.when(doc % 7 == 0, "invalid").alias("validation_status"))
+    return learning.new_samples(fields, s.filter(doc % 2 == 0)).select("document_id", "field_name")
+
+
+@query
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_quantity").alias("value"))
+    return changes.replace_documents(li, li.filter("document_id % 5 = 0 and value > 25").withColumn("value", -F.col("value")))
+
+
+@query
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("status"))
+    return changes.set_status(o, o.filter("document_id % 4 = 0").select("document_id", F.lit("COMPLETED").alias("status")))
+
+
+@query
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.audit("someone", "DELETE", table(spark, sf_dir, "supplier").filter("s_acctbal < 0"), "supplier", "s_suppkey")
+
+
+@query
+def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.next_version(table(spark, sf_dir, "events").select(F.col("event_id").alias("version")))
+
+
+@query
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_key(table(spark, sf_dir, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey")
+
+
+@query
+def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(numbers.badge(F.col("l_discount") * 10).alias("badge"), numbers.confidence_category(F.col("l_discount") * 10).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a streaming query over the whole events table, run until it has read all."""
