@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from recordloom.llm import chat, mixing, quality, queries, sharding
+from recordloom.llm import chat, mixing, quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
