@@ -45,9 +45,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 FLOOR, LEAST = 0.01, 0.5
 HUBS = 3
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 LIGHT, HEAVY = 32, 8  # 64-bit words of the bitmaps
-CELLS = 1 << 16  # rows of the table of random variates, by the low bits of a shingle's hash
+CELLS = 1 << 15  # rows of the table of random variates, by the low bits of a shingle's hash
 ID = U(0xFFFFFFFF)
 
 _variates: dict[int, tuple[np.ndarray, ...]] = {}
