@@ -26,15 +26,14 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, scratch
+from .common import remove, scratch, tidy_shuffles
 from .secrets import encoder
 from .sharding import Feistel
 
@@ -83,18 +82,6 @@ def tokenised(docs: DataFrame, vocabulary: str, length: int, end: int, buckets:
     return rows.mapInArrow(batches, "__bucket int, __key long, doc_id long, parts long, ids binary")
 
 
-@contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark removes an execution's shuffle files when the execution ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def write_shards(
     docs: DataFrame,
     folder: str,

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, tidy_shuffles
 
 CRLF = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -257,7 +257,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 1000) -
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     names = f"{folder}/names"
-    write_monolithic(decided(pages, least), f"{folder}/raw").write.parquet(names)
+    with tidy_shuffles(spark):  # payloads were shuffled; that is over once they are in archives
+        write_monolithic(decided(pages, least), f"{folder}/raw").write.parquet(names)
     archives = spark.read.schema("archive string").parquet(names)
     n = max(1, archives.count())
     index_at = f"{folder}/index"
