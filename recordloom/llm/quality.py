@@ -24,6 +24,8 @@ WINDOW = 8
 #: Rules besides the base ones, for host rates only: symbols to words, repeated lines to words.
 SYMBOL_RATIO, LINE_RATIO = 0.5, 0.05
 HOST_LIMIT = 0.5
+#: Rejected hosts up to this number are broadcast; more are joined with hosts split in so many parts.
+BROADCAST_HOSTS, SALTS = 100_000, 64
 
 
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
@@ -132,9 +134,19 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     """The documents that pass the base rules on hosts that pass, with their columns.
 
     Hosts are judged from narrow counts; then documents are filtered where they are
-    read, rather than joined with their counts by an id that need not be unique.
+    read, rather than joined with their counts by an id that need not be unique. A host
+    with a third of all rows never meets in one task.
     """
-    verdicts = host_verdicts(materialise(measure(docs, host), "quality"), limit)
-    bad = verdicts.filter(~F.col("host_kept")).select(F.col("__host").alias("__bad"))
+    measured = materialise(measure(docs, host), "quality")
+    bad = materialise(host_verdicts(measured, limit).filter(~F.col("host_kept")).select(F.col("__host").alias("__bad")), "hosts")
     good = docs.filter(passes(text_or_empty()))
-    return good.join(bad, F.col(host).eqNullSafe(F.col("__bad")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    n = bad.count()
+    if n == 0:
+        return good
+    same = F.col(host).eqNullSafe(F.col("__bad"))
+    if n <= BROADCAST_HOSTS:
+        return good.join(F.broadcast(bad), same, "left_anti").select(*out)
+    salted = good.withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(SALTS)).cast("int"))
+    every = bad.select("__bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    return salted.join(every, same & (F.col("__salt") == F.col("__s")), "left_anti").select(*out)

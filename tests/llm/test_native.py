@@ -160,8 +160,13 @@ def test_quality(spark, odd_docs, odd_rows, no_docs, sf_dir):
     assert quality.judge(no_docs).count() == 0 and quality.keep_good(no_docs).count() == 0
 
 
-def test_bad_host_loses_its_documents(spark):
+def test_bad_host_loses_its_documents(spark, monkeypatch):
     good = " ".join(f"w{i}" for i in range(40))
     rows = [(i, "short" if i % 10 else good, "bad") for i in range(400)] + [(1000 + i, good if i % 10 else "short", f"h{i % 4}") for i in range(400)]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(r["kept"] == (r["doc_id"] >= 1000 and not r["base_failed"]) for r in got)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["doc_id"] for r in got if r["kept"]}
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == want
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", 0)
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == want
