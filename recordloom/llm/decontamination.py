@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neardup import node
 from .shingles import ALNUM, chunks, shingle_hashes, word_hashes
 
 INDEX_ITEMS = 5_000
@@ -48,6 +49,7 @@ GRAM = 5
 PART = LENGTHS[-1]
 
 RESULT = "doc_id long, item_id long, score double, score_share double, question_overlap double, answer_overlap double"
+HITS = RESULT + ", node binary"
 
 
 def halves(text: str) -> tuple[str, str]:
@@ -209,10 +211,17 @@ class Index:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
     """(doc_id, item_id) with scores and overlaps, one row for each distinct pair."""
+    best = F.max(F.struct("score_share", "score", "question_overlap", "answer_overlap")).alias("b")
+    pairs = hits(docs, benchmark, share, overlap, most).groupBy("doc_id", "item_id").agg(best)
+    return pairs.select("doc_id", "item_id", "b.score", "b.score_share", "b.question_overlap", "b.answer_overlap")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: float = OVERLAP, most: int = INDEX_ITEMS) -> DataFrame:
+    """A row for each document row and item found in it, with the text's digest."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     blocks = max(1, -(-items.count() // most))
-    texts = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), node(F.col("text")).alias("node"))
     found = []
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
@@ -221,26 +230,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
         def search(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
             for b in it:
-                ids = b.column("doc_id").to_pylist()
+                ids, nodes = b.column("doc_id").to_pylist(), b.column("node")
                 out = []
                 for row, raw, offsets in chunks(b.column("text")):
                     words, counts = word_hashes(raw, offsets, ALNUM)
-                    out += [(ids[row + t], ix.ids[i], *rest) for t, i, *rest in ix.search(words, counts, share, overlap)]
-                cols = list(zip(*out)) or [[]] * 6
-                types = [pa.int64()] * 2 + [pa.float64()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in RESULT.split(", ")])
+                    out += [(ids[row + t], ix.ids[i], *rest, nodes[row + t].as_py()) for t, i, *rest in ix.search(words, counts, share, overlap)]
+                cols = list(zip(*out)) or [[]] * 7
+                types = [pa.int64()] * 2 + [pa.float64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in HITS.split(", ")])
 
-        found.append(texts.mapInArrow(search, RESULT))
-    best = F.max(F.struct("score_share", "score", "question_overlap", "answer_overlap")).alias("b")
-    pairs = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
-    return pairs.select("doc_id", "item_id", "b.score", "b.score_share", "b.question_overlap", "b.answer_overlap")
+        found.append(texts.mapInArrow(search, HITS))
+    return reduce(DataFrame.unionByName, found)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents in whose text no item was found, with the columns of `docs`.
 
-    Only ids of hits are shuffled while searching; those few rows are then left out.
+    Only ids and digests of hits are shuffled while searching; those few rows are then left
+    out. An id need not be unique or there at all, so a row goes only with its own text.
     """
     names = docs.columns
-    hits = leaks(docs.select(F.col("doc_id"), F.col("text")), benchmark, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    found = hits(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("__hit"), F.col("node").alias("__node")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")) & (node(F.col("text")) == F.col("__node"))
+    return docs.join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in names])
