@@ -172,6 +172,14 @@ def mix(
     )
 
 
+def placed(docs: DataFrame, **options) -> DataFrame:
+    """A row for each copy of each document, range-sorted by training position; documents never taken come last, with a null position."""
+    mixed = mix(docs, **options)
+    rest = [c for c in mixed.columns if c != "positions"]
+    copies = mixed.select(*rest, F.posexplode_outer("positions").alias("copy", "position"))
+    return copies.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size", "copy")
+
+
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: whole documents, each as often as taken, range-sorted by position.
 
