@@ -13,7 +13,8 @@ never below scores, so nothing above the threshold is lost. A retrieved item cou
 word n-grams of its question and of its answer are found in the document.
 
 The index is built from whole items in blocks of at most `INDEX_ITEMS`, so what is sent
-to executors is bounded; a larger benchmark takes more passes over the documents.
+to executors is bounded; a larger benchmark takes more passes over the documents. Term
+frequencies, mean length and window lengths are those of all items in every block.
 
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts
 and items without words match nothing; repeated rows of documents or items give a row
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .neardup import node
 from .shingles import ALNUM, chunks, shingle_hashes, word_hashes
 
@@ -139,10 +141,43 @@ class LengthClass:
             yield int(head[cell[k] // len(self.parts)]), int(self.parts[cell[k] % len(self.parts)]), float(score[k])
 
 
+def cut(words: np.ndarray) -> list[np.ndarray]:
+    return [words[a : a + PART] for a in range(0, len(words), PART)]
+
+
+class Statistics:
+    """What BM25 takes from all parts of a benchmark: their number, mean length, longest of each class, and parts of each term."""
+
+    def __init__(self, parts: int, mean: float, longest: dict[int, int], terms: np.ndarray, df: np.ndarray):
+        self.parts, self.mean, self.longest, self.terms, self.df = parts, mean, longest, terms, df
+
+
+def term_counts(items: DataFrame) -> DataFrame:
+    """term, n: the parts of `items` that have each term."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            terms = [np.unique(p) for t in b.column("text").to_pylist() for p in cut(hashed(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms or [np.empty(0, np.uint64)]).view(np.int64))], names=["term"])
+
+    return items.select("text").mapInArrow(count, "term long").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def part_lengths(items: DataFrame) -> list[tuple[int, int]]:
+    """(length, parts of it): at most `PART` rows."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n = [len(p) for t in b.column("text").to_pylist() for p in cut(hashed(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["length"])
+
+    return [tuple(r) for r in items.select("text").mapInArrow(count, "length long").groupBy("length").count().collect()]
+
+
 class Index:
-    """An inverted index of items with BM25 weights, by class of length."""
+    """An inverted index of items with BM25 weights, by class of length; `of` are the statistics if `items` are a block of more."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], of: Statistics | None = None):
         self.ids, self.owner = [], []
         self.checks: list[list[tuple[int, np.ndarray]]] = []
         parts: list[np.ndarray] = []
@@ -151,8 +186,8 @@ class Index:
             if not len(words):
                 continue
             self.checks.append([(min(GRAM, len(w)), grams(w, min(GRAM, len(w)))) for w in map(hashed, halves(text))])
-            for a in range(0, len(words), PART):
-                parts.append(words[a : a + PART])
+            for p in cut(words):
+                parts.append(p)
                 self.owner.append(len(self.ids))
             self.ids.append(item_id)
         self.classes: list[LengthClass] = []
@@ -163,15 +198,17 @@ class Index:
         part = np.repeat(np.arange(len(parts)), [len(w) for w, _ in seen])
         tf = np.concatenate([n for _, n in seen])
         self.terms, term = np.unique(np.concatenate([w for w, _ in seen]), return_inverse=True)
-        df = np.bincount(term)
-        idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
+        kind = np.searchsorted(LENGTHS, lengths)
+        if of is None:
+            of = Statistics(len(parts), lengths.mean(), {k: int(lengths[kind == k].max()) for k in np.unique(kind)}, self.terms, np.bincount(term))
+        df = of.df[np.searchsorted(of.terms, self.terms)]
+        idf = np.log1p((of.parts - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / of.mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[part])
         self.own = np.bincount(part, weight)
-        kind = np.searchsorted(LENGTHS, lengths)
         for k in np.unique(kind):
             mine, of_class = np.flatnonzero(kind == k), kind[part] == k
-            self.classes.append(LengthClass(term[of_class], part[of_class], (weight / self.own[part])[of_class], mine, int(lengths[mine].max()), len(self.terms), df > FREQUENT * len(parts)))
+            self.classes.append(LengthClass(term[of_class], part[of_class], (weight / self.own[part])[of_class], mine, of.longest[k], len(self.terms), df > FREQUENT * of.parts))
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.terms & np.uint64((1 << 20) - 1)] = True
 
@@ -223,9 +260,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: f
     blocks = max(1, -(-items.count() // most))
     texts = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), node(F.col("text")).alias("node"))
     found = []
+    if blocks > 1:
+        lengths = part_lengths(items)
+        n = sum(m for _, m in lengths)
+        longest: dict[int, int] = {}
+        for length, _ in sorted(lengths):
+            longest[int(np.searchsorted(LENGTHS, length))] = length
+        frequencies = materialise(term_counts(items), "terms")
     for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows.toLocalIterator()), key=str)))
+        rows, of = items, None
+        if blocks > 1:
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+            mine = frequencies.join(term_counts(rows).select("term"), "term").toPandas()  # terms of the block's items: bounded as they are
+            terms, df = mine["term"].to_numpy(np.int64).view(np.uint64), mine["n"].to_numpy(np.int64)
+            order = np.argsort(terms)
+            of = Statistics(n, sum(a * m for a, m in lengths) / max(1, n), longest, terms[order], df[order])
+        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows.toLocalIterator()), key=str), of))
 
         def search(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
