@@ -5,7 +5,8 @@ frequency. Consistent samples of it (0-bit form: the shingle, without its level)
 banded; texts that share a band are candidates, and a link is a candidate pair whose
 weighted Jaccard similarity, computed from whole texts, reaches the threshold. Texts
 whose plain shingle sets reach it are linked as well, so that frequent shingles, which
-weigh less, cannot hide a copy. Classes are the connected components of links.
+weigh less, and repeated ones, which weigh more, cannot hide a copy: plain samples of the
+distinct shingles are banded into the same buckets. Classes are the connected components of links.
 
 Weights. The frequency of a shingle is its share of all documents. At or below `FLOOR`
 all shingles weigh 1; above it the weight falls with the logarithm, to `LEAST` at the
@@ -159,7 +160,7 @@ def heavy_shingles(docs: DataFrame, size: int = SIZE, floor: float = FLOOR, leas
 
 
 def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int) -> DataFrame:
-    """node, bands: a row for each document with words."""
+    """node, bands: a row for each document with words, and one of plain samples where weights are not all 1."""
     table = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +169,15 @@ def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int) -> Data
             for row, raw, offsets in chunks(b.column("text")):
                 s, w, n = weighted(*shingle_hashes(*word_hashes(raw, offsets), size), *table.value)
                 got = band_hashes(s, w, n, bands, rows) if len(s) else np.zeros((0, bands), np.uint64)
-                at = pa.array(np.flatnonzero(n > 0) + row)
+                at = np.flatnonzero(n > 0)
+                doc = np.repeat(np.arange(len(n)), n)
+                uneven = np.bincount(doc[w != 1.0], minlength=len(n)) > 0
+                if uneven.any():  # for the others plain samples are the same ones
+                    s = s[uneven[doc]]
+                    got = np.concatenate([got, band_hashes(s, np.ones(len(s)), n[uneven], bands, rows)])
+                    at = np.r_[at, np.flatnonzero(uneven)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, bands, dtype=np.int32)), pa.array(got.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([nodes.take(at), lists], names=["node", "bands"])
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(at + row)), lists], names=["node", "bands"])
 
     rows_in = docs.select(node(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     return rows_in.mapInArrow(sample, "node binary, bands array<long>")
