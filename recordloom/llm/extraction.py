@@ -1,34 +1,49 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 A page is a stream of tokens: tags with their place in the tree of block elements, and
-text with its place. Over the pages of a host every token has an occurrence vector, its
-count on each page. Tokens with the same vector come from the same part of the host's
-template, so they form an equivalence class; a class is valid if its vector covers
-enough of the host's pages. Classes of tokens that occur once on every page are the
-template's skeleton, those of repeated tokens nest in it, and what is left between the
-skeleton's tokens are slots. A text token of a valid class is the template's own words.
+text with its place. Over the different pages of a host every token has an occurrence
+vector, its count on each page. Tokens with one vector form an equivalence class. A class
+is valid if it is large and frequent: `MIN_SIZE` tokens or more, a tag among them, on
+`MIN_PAGES` different pages or more and at least `SUPPORT` of the host's, so each page type
+of a host has classes of its own.
+
+Valid classes nest into the page's template. On a page the tokens of a class must come in
+the class's order, once or as often as its vector says, instance after instance; that of
+the largest support is the root, and each further class stands in the gaps that those
+before it left. What is between two neighbouring tokens is a slot, and all text of the
+page lies in one. Slots are then ranked, never the page read past them:
+
+* a slot is out if it stands in an element for menus, headers, footers, sidebars, notices,
+  adverts, forms or comments; if most of its text are links; or if it holds nothing but
+  words of the template (text tokens of a class that is on `CONSTANT` of the pages that have
+  the element they stand in);
+* if there are slots in <article>, <main> or the like, these are the article's, with their
+  links and repeated words, but for teasers, which are small linked articles beside a
+  large one; else all slots that are not out are.
+
+A page that would keep hardly any text for the template's words keeps those: they are one
+story at many addresses.
+A page without a valid class (a host of few pages, a rare type) has its own tags that occur
+once for a skeleton.
 
 Occurrence vectors are compared by an order-free hash (the exclusive or of a hash for
-each page and count), so they are aggregated with map-side combining and a hot host is
-one row per token and task, never a list of its pages.
-
-From the slots, those of the article are kept: inside <article>, <main> or the like
-where a page has them; else all slots that neither stand in an element for menus,
-headers, footers, sidebars, notices, adverts, forms or comments, nor consist of links,
-nor hold the template's own words.
+each page and count) over different page contents: copies of a page count once. They are
+combined before shuffles, and a class holds the tokens of one page at most, so no group
+grows with a host. Templates have at most (tokens of a page) / `SUPPORT` tokens a host.
 
 Text: character references decoded, white space (as Unicode has it) inside a block to
 one space, trimmed, blocks in page order joined by two line feeds. Defined cases: null
-or empty html has no text; pages without a host are a host of their own; a host with
-fewer than `MIN_PAGES` pages has no template; repeated rows keep a row each; an empty
-table gives an empty result; other columns are ignored.
+or empty html has no text; very long pages are read whole, one at a time; pages without a
+host are a host of their own; repeated rows keep a row each; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_entities
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,12 +51,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove_table
 
-MIN_PAGES = 3
-SUPPORT = 0.6
-#: Largest table of template tokens, in rows, that is broadcast; a larger one is joined by host.
-BROADCAST_ROWS = 1_000_000
+MIN_PAGES, MIN_SIZE = 3, 3
+SUPPORT = 0.02
+#: Text on this share of the pages that have its element, and on so many pages, is the template's own.
+CONSTANT, CONSTANT_PAGES = 0.8, 5
+#: A page whose own text would be a smaller share than this of all that is not out otherwise keeps it all: a story at many addresses.
+LEAST_OWN = 0.1
+#: An <article> with links is a teaser if it has less than this share of the largest one's text.
+TEASER = 0.25
+#: Templates of up to so many tokens (24 bytes each) are sent to executors whole; larger ones are joined by salted host.
+BROADCAST_TOKENS, SALTS = 1_000_000, 64
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,6 +83,11 @@ ASIDE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form forms search searchform "
     "social share sharing related recommended recommendations comment comments commentlist disqus respond replies reply widget widgets pagination pager skiplink".split()
 )
+#: Words that say how an element looks or what it holds, not what it is: "sidebar-left" is a sidebar, "alert-study" no alert.
+FORM_NAMES = frozenset(
+    "area bar block body bottom box col column container content default end footer frame group header holder inner item items label left line link links "
+    "list main module outer panel primary right row secondary section site slot small start text title top unit widget wrap wrapper".split()
+)
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -73,10 +99,10 @@ def host_of(url: Column) -> Column:
 
 
 class Element:
-    __slots__ = ("tag", "path", "aside", "main", "heading_ok")
+    __slots__ = ("tag", "path", "aside", "main", "article", "heading_ok")
 
-    def __init__(self, tag: str, path: str, aside: bool, main: int, heading_ok: bool):
-        self.tag, self.path, self.aside, self.main, self.heading_ok = tag, path, aside, main, heading_ok
+    def __init__(self, tag: str, path: str, aside: bool, main: int, article: int, heading_ok: bool):
+        self.tag, self.path, self.aside, self.main, self.article, self.heading_ok = tag, path, aside, main, article, heading_ok
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -95,33 +121,51 @@ def is_aside(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if tag == "article":  # of an article only whole names count: "has-sidebar" says nothing of it
         return not ASIDE_NAMES.isdisjoint(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
-    names = re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-    return any(n in ASIDE_NAMES for n in names)
+    return any(named_aside(n) for n in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
+
+
+def named_aside(name: str) -> bool:
+    """Whether a class or id names an aside: as a whole, by its last part, or by a part beside words of form only."""
+    if name in ASIDE_NAMES:
+        return True
+    parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in ASIDE_NAMES
+    return parts[-1] in ASIDE_NAMES or any(x in ASIDE_NAMES for x in parts) and all(x in ASIDE_NAMES or x in FORM_NAMES for x in parts)
 
 
 class Block:
-    """Text of one block with what its place says about it."""
+    """Text of one block, its number, how many tags stand before it, and what its place says about it."""
+
+    __slots__ = ("text", "path", "number", "at", "aside", "main", "article", "linked")
 
-    __slots__ = ("text", "path", "slot", "aside", "main", "linked")
+    def __init__(self, text: str, path: str, number: int, at: int, aside: bool, main: int, article: int, linked: int):
+        self.text, self.path, self.number, self.at, self.aside, self.main, self.article, self.linked = text, path, number, at, aside, main, article, linked
 
-    def __init__(self, text: str, path: str, slot: str, aside: bool, main: int, linked: int):
-        self.text, self.path, self.slot, self.aside, self.main, self.linked = text, path, slot, aside, main, linked
+
+def past(page: str, tag: str, at: int) -> int:
+    """Where the inline element `tag`, opened before `at`, ends; `at` if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return at
 
 
 def parse(page: str) -> tuple[list[str], list[Block]]:
-    """(structure tokens in order, blocks in order) of a page; broken markup is taken as it comes."""
-    root = Element("", "", False, 0, False)
+    """(tags with their places in order, blocks in order) of a page; broken markup is taken as it comes."""
+    root = Element("", "", False, 0, 0, False)
     stack, tags, blocks = [root], [], []
     parts: list[str] = []
-    linked, in_link, at, slot = 0, 0, 0, ""
-    raw_until = ""
+    linked, in_link, at, articles = 0, 0, 0, 0
 
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
             top = stack[-1]
-            blocks.append(Block(text, top.path, slot, top.aside, top.main, linked))
+            blocks.append(Block(text, top.path, len(blocks), len(tags), top.aside, top.main, top.article, linked))
         parts.clear()
         linked = 0
 
@@ -147,7 +191,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         token = m[0]
         if token[1] in "!?":
             if token.startswith("<![CDATA["):
-                data(token[9:-3])
+                data(token[9:].removesuffix("]]>"))
             continue
         end = token[1] == "/"
         tag = re.match(r"[^\s/>]+", token[2:] if end else token[1:])[0].lower()
@@ -159,7 +203,6 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 if tag == "p" and not any(e.tag == "p" for e in stack):
                     continue
                 tags.append(f"{stack[-1].path}/{tag}")
-                slot = tags[-1]
                 close(tag)
             continue
         attrs = attributes(token)
@@ -173,8 +216,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             in_link += 1
         if tag not in BLOCKS:
             if tag not in VOID and is_aside(tag, attrs) and not token.endswith("/>"):
-                finish = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = finish.end() if finish else at
+                at = past(page, tag, at)
             continue
         flush()
         if stack[-1].tag == "p":
@@ -190,17 +232,20 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())[:3])
         path = f"{top.path}>{name}"
         tags.append(path)
-        slot = path
         if tag in VOID:
             continue
         within = 2 if tag == "article" or "articlebody" in attrs.get("itemprop", "").lower() else 1 if tag == "main" or attrs.get("role", "").lower() == "main" else 0
         main = max(top.main, within)
         aside = is_aside(tag, attrs)
         heading_ok = top.main > 0 and (tag == "header" or "header" in attrs.get("class", "").lower())  # an article's own header: its headings are text
+        article = top.article
+        if within == 2 and not article:
+            articles += 1
+            article = articles
         if tag in HEADINGS and top.heading_ok:
-            stack.append(Element(tag, path, False, main, False))
+            stack.append(Element(tag, path, False, main, article, False))
         else:
-            stack.append(Element(tag, path, aside or top.aside, main, heading_ok or top.heading_ok and not aside))
+            stack.append(Element(tag, path, aside or top.aside, main, article, heading_ok or top.heading_ok and not aside))
     data(page[at:])
     flush()
     return tags, blocks
@@ -210,84 +255,174 @@ def digest(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def page_tokens(page: str) -> Counter:
-    """Counts of a page's tokens: structure, and text with its place."""
+def tag_token(tag: str) -> int:
+    return digest("tag", tag)
+
+
+def text_token(b: Block) -> int:
+    return digest("text", b.path, b.text)
+
+
+def page_tokens(page: str) -> dict[int, tuple[int, int, bool]]:
+    """token -> (count, place of the first, whether it is text) of a page."""
     tags, blocks = parse(page)
-    counts = Counter(digest("tag", t) for t in tags)
-    counts.update(digest("text", b.path, b.text) for b in blocks)
-    return counts
+    out: dict[int, tuple[int, int, bool]] = {}
+    for k, t in enumerate(map(tag_token, tags)):
+        n, first, _ = out.get(t, (0, k, False))
+        out[t] = (n + 1, first, False)
+    for b in blocks:
+        t = text_token(b)
+        n, first, _ = out.get(t, (0, b.at, True))
+        out[t] = (n + 1, first, True)
+    return out
 
 
-VECTORS = "host string, token long, n long, vector long"
+TOKENS = "host long, content long, token long, text boolean, n int, first int"
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """host, token, vector, once, pages: the tokens of valid classes of every host.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, min_size: int = MIN_SIZE) -> DataFrame:
+    """host, vector, pages, once, tokens (place, token, text; in order): the valid classes of every host.
 
-    `pages` has host, page (a number for each row) and html. Tokens of one host with one
-    vector are a class. At most (tokens of a mean page) / support stay for each host.
+    `pages` has host and content (numbers that stand for them) and html. `once` says
+    whether all tokens of the class occur once on each of its pages.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out: tuple[list, ...] = ([], [], [], [])
-            for host, page, text in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html"))):
-                for token, n in page_tokens(text).items():
-                    for column, v in zip(out, (host, token, n, digest(str(page), str(n)))):
-                        column.append(v)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["host", "token", "n", "vector"])
-
-    seen = pages.select("host", "page", "html").mapInArrow(count, VECTORS)
-    vectors = seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), F.bit_xor("vector").alias("vector"))
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("__all")).filter(F.col("__all") >= min_pages)
-    valid = vectors.filter(F.col("pages") >= 2).join(hosts, "host").filter(F.col("pages") >= support * F.col("__all"))
-    return valid.select("host", "token", "vector", (F.col("most") == 1).alias("once"), "pages")
-
-
-def main_blocks(page: str, template: frozenset[int], skeleton: frozenset[int]) -> list[str]:
-    """The texts of the article's slots."""
-    _, blocks = parse(page)
-    open_ = [b for b in blocks if not b.aside]
-    inmost = max((b.main for b in open_), default=0)  # of <article> in <main> the article
-    if inmost:
-        return [b.text for b in open_ if b.main == inmost]
-    slots: dict[int, list[Block]] = {}
-    last = 0
-    for b in open_:
-        if digest("text", b.path, b.text) in template:
-            continue
-        here = digest("tag", b.slot)
-        last = here if here in skeleton else last
-        slots.setdefault(last, []).append(b)
-    keep = []
-    for found in slots.values():
-        chars = sum(len(b.text) for b in found)
-        if 2 * sum(b.linked for b in found) <= chars:
-            keep += found
-    kept = set(map(id, keep))
-    return [b.text for b in open_ if id(b) in kept]
-
-
-RESULT = "page_id long, url string, text string, n_chars long"
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for key, text in {(h, c): t for h, c, t in zip(*(b.column(x).to_pylist() for x in ("host", "content", "html")))}.items():
+                found = page_tokens(text)
+                out[0].extend([key[0]] * len(found))
+                out[1].extend([key[1]] * len(found))
+                out[2].extend(found)
+                for column, values in zip((out[4], out[5], out[3]), zip(*found.values())):
+                    column.extend(values)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[x.split()[0] for x in TOKENS.split(", ")])
+
+    narrow = pages.select("host", "content")
+    sizes = narrow.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= min_pages)
+    seen = pages.select("host", "content", "html").mapInArrow(count, TOKENS)
+    each = seen.groupBy("host", "token", "content").agg(F.max("n").alias("n"), F.max("first").alias("first"), F.max("text").alias("text"))
+    vector = F.bit_xor(F.xxhash64("content", "n")).alias("vector")
+    vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), vector, F.max("n").alias("most"), F.avg("first").alias("place"), F.max("text").alias("text"))
+    frequent = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= support * F.col("all"))
+    tokens = F.sort_array(F.collect_list(F.struct("place", "token", "text"))).alias("tokens")  # of one page at most
+    classes = frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), (F.max("most") == 1).alias("once"), tokens)
+    return classes.filter((F.size("tokens") >= min_size) & F.exists("tokens", lambda t: ~t["text"]))
+
+
+class Template:
+    """The valid classes of a host: for each the pages that it is on, its tags in order and its texts."""
+
+    def __init__(self, classes: list[tuple[int, list[int], list[int]]]):
+        self.classes = sorted(classes, key=lambda c: (-c[0], c[1]))  # the same however they come
+        self.of = {t: k for k, (_, tags, _) in enumerate(self.classes) for t in tags}
+        self.texts = {t: k for k, (_, _, texts) in enumerate(self.classes) for t in texts}
+
+    @classmethod
+    def read(cls, rows) -> Template:
+        return cls([(r["pages"], [t["token"] for t in r["tokens"] if not t["text"]], [t["token"] for t in r["tokens"] if t["text"]]) for r in rows])
+
+    def nested(self, tags: list[int]) -> tuple[list[int], list[int]]:
+        """(places of the template's tags on a page, level of each)."""
+        found: dict[int, list[int]] = defaultdict(list)
+        for at, t in enumerate(tags):
+            if t in self.of:
+                found[self.of[t]].append(at)
+        places: list[int] = []
+        levels: list[int] = []
+        for k in sorted(found):  # largest support first
+            own, at = self.classes[k][1], found[k]
+            if len(at) % len(own) or any(tags[x] != own[i % len(own)] for i, x in enumerate(at)):
+                continue  # not in the class's order: the page is of another make
+            above = [max(levels[i - 1] if i else -1, levels[i] if i < len(levels) else -1) for i in (bisect_right(places, x) for x in at)]
+            both = sorted([*zip(places, levels), *((x, n + 1) for x, n in zip(at, above))])
+            places, levels = [x for x, _ in both], [n for _, n in both]
+        return places, levels
+
+
+NOTHING = Template([])
+
+
+def slots(page: str, template: Template = NOTHING) -> tuple[list[tuple[list[Block], bool]], int]:
+    """Slots of a page in order, each with its blocks and whether it is kept, and the number of the template's levels."""
+    tags, blocks = parse(page)
+    tokens = [tag_token(t) for t in tags]
+    places, levels = template.nested(tokens)
+    if not places:  # no template: the page's own tags that occur once
+        times = defaultdict(int)
+        for t in tokens:
+            times[t] += 1
+        places = [k for k, t in enumerate(tokens) if times[t] == 1]
+    cut: dict[tuple[int, bool, int, int], list[Block]] = {}
+    for b in blocks:  # a slot's text is parted where an aside or an article begins inside of it
+        cut.setdefault((bisect_right(places, b.at - 1), b.aside, b.main, b.article), []).append(b)
+
+    def constant(b: Block) -> bool:
+        said, place = template.texts.get(text_token(b)), template.of.get(tag_token(b.path))
+        return said is not None and place is not None and template.classes[said][0] >= max(CONSTANT_PAGES, CONSTANT * template.classes[place][0])
+
+    chars = lambda s: sum(len(b.text) for b in s)
+    listed = lambda s: 2 * sum(b.linked for b in s) > chars(s)
+    open_ = {key: s for key, s in cut.items() if not key[1]}
+    main = {key: s for key, s in open_.items() if key[2]}
+    if main:
+        size: dict[int, int] = defaultdict(int)
+        links: dict[int, int] = defaultdict(int)
+        for key, s in main.items():
+            size[key[3]] += chars(s)
+            links[key[3]] += sum(b.linked for b in s)
+        largest = max((n for a, n in size.items() if a), default=0)
+        teasers = {a for a, n in size.items() if a and n < TEASER * largest and links[a]}
+        kept = {key for key, s in main.items() if key[3] not in teasers and (key[3] or not listed(s))}
+    else:
+        data = {key for key, s in open_.items() if not listed(s)}
+        own = {key for key in data if not all(map(constant, open_[key]))}
+        kept = own if sum(chars(open_[key]) for key in own) >= LEAST_OWN * sum(chars(open_[key]) for key in data) > 0 else data
+    return [(s, key in kept) for key, s in cut.items()], 1 + max(levels, default=-1)
+
+
+def main_blocks(page: str, template: Template = NOTHING) -> tuple[list[str], int, int]:
+    """(texts of the article's blocks in page order, blocks left out with their slots, levels of the template)."""
+    found, levels = slots(page, template)
+    kept = sorted((b.number, b.text) for s, keep in found if keep for b in s)
+    return [t for _, t in kept], sum(len(s) for s, keep in found if not keep), levels
+
+
+RESULT = "page_id long, url string, text string, n_chars long, n_dropped_blocks long, template_levels int"
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """One row for each page with its main text."""
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    tokens = templates(rows.withColumn("page", F.xxhash64("page_id", "url", "html")), min_pages, support)
-    each = tokens.groupBy("host").agg(F.collect_list(F.struct("token", "once")).alias("tokens"))  # bounded by SUPPORT
-    each = materialise(each, "templates")
+    """One row for each page with its main text, the blocks that were left out and the levels of its template."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64(html).alias("content"))
+    each = materialise(templates(rows, min_pages, support), "templates")
     size = each.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    joined = rows.join(F.broadcast(each) if size <= BROADCAST_ROWS else each, "host", "left").select("page_id", "url", "html", "tokens")
+    if size <= BROADCAST_TOKENS:
+        by_host: dict[int, list] = defaultdict(list)
+        for r in each.collect():  # BROADCAST_TOKENS at most
+            by_host[r["host"]].append(r)
+        sent = pages.sparkSession.sparkContext.broadcast({h: Template.read(found) for h, found in by_host.items()})
+        remove_table(each)
+        joined = rows.select("page_id", "url", "html", "host")
+    else:
+        sent = None
+        salted = each.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes")).select("host", "classes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = rows.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "classes")
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Template] = {} if sent is None else sent.value
         for b in it:
-            texts = []
-            for page, tokens in zip(b.column("html").to_pylist(), b.column("tokens").to_pylist()):
-                template = frozenset(t["token"] for t in tokens or ())
-                skeleton = frozenset(t["token"] for t in tokens or () if t["once"])
-                texts.append("\n\n".join(main_blocks(page, template, skeleton)))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            columns: tuple[list, ...] = ([], [], [], [])
+            for i, (host, page) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
+                if sent is None and host not in held:
+                    held = {host: Template.read(b.column("classes")[i].as_py() or ())}
+                found, left, levels = main_blocks(page, held.get(host, NOTHING))
+                text = "\n\n".join(found)
+                for column, v in zip(columns, (text, len(text), left, levels)):
+                    column.append(v)
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *(pa.array(c, t) for c, t in zip(columns, types))], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return joined.mapInArrow(read, RESULT)

@@ -1,6 +1,7 @@
-"""Operator 4 against hand-made pages and the synthetic ones."""
+"""Operator 4 against hand-made pages, a deduction by brute force and the synthetic pages."""
 
 import html
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,11 +9,9 @@ import pytest
 
 from recordloom.llm import extraction
 
-NONE = frozenset()
-
 
 def text_of(page):
-    return extraction.main_blocks(page, NONE, NONE)
+    return extraction.main_blocks(page)[0]
 
 
 @pytest.mark.parametrize(
@@ -23,7 +22,11 @@ def text_of(page):
         ("<nav>menu</nav><article><h1>T&amp;t</h1><p>one<br>two <b>th</b>ree<p>four</article><footer>f</footer>", ["T&t", "one two three", "four"]),
         ("<article><p>a</p><aside>x</aside><div class='ad'>y</div><div id=comments><p>c</p></div><p>b &lt;i&gt;</article>", ["a", "b <i>"]),
         ("<article><header><h1>Title</h1><span>by me</span></header><p>x</p><footer>f</footer><form>q<input></form></article>", ["Title", "x"]),
-        ("<main><p>more</p><article class='post has-sidebar'><p>a</p><article class='comment'>c</article></article></main>", ["a"]),
+        ("<main><p>more</p><article class='post has-sidebar'><p>a</p><article class='comment'>c</article></article></main>", ["more", "a"]),
+        ("<main><h1>T</h1><article><p>one two three four five</p></article><article><h2><a href=x>T</a></h2></article></main>", ["T", "one two three four five"]),
+        ("<div class='alert-study'>kept</div><div class='sidebar-left'>no</div><div class='site-footer'>no</div>", ["kept"]),
+        ("<p>a<span class=ad><span>x</span>tail</span>b", ["ab"]),
+        ("<p>a<![CDATA[bcd", ["abcd"]),
         ("<main><p>a<script>var t='</p>';</script>b</p><style>p{}</style></main><p>out</p>", ["ab"]),
         ("<body class='has-sidebar'><div class='sidebar'>s</div><div><p>kept</p><p hidden>no</p></div></body>", ["kept"]),
         ("<article><p>never closed <i>x<!-- c --> y &am", ["never closed x y &am"]),
@@ -36,33 +39,105 @@ def test_pages(page, want):
     assert text_of(page) == want
 
 
-def test_template_words_are_dropped(spark):
-    page = lambda k, body: f"<html><body><div><p>Welcome to the site</p></div><div><p>{body}</p></div><div><p>All rights reserved</p></div></body></html>"
-    rows = [(k, f"http://H.example:80/{k}", page(k, f"own text {k}")) for k in range(8)]
-    rows += [(100, "http://other.example/", page(0, "single")), (101, None, None), (102, "", ""), (7, "http://h.example/7", page(7, "own text 7"))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS tokens", "3 AS text").repartition(3)
-    got = Counter((r["page_id"], r["text"]) for r in extraction.extract(df).collect())
-    want = Counter((k, f"own text {k}") for k in range(8)) + Counter({(7, "own text 7"): 1, (101, ""): 1, (102, ""): 1})
-    want[(100, "Welcome to the site\n\nsingle\n\nAll rights reserved")] += 1
-    assert got == want
+SCHEMA = "page_id long, url string, html string"
+SOUP = "<html><body><div class=a><p>Welcome to the site</p></div><div class=b><h1>title {0}</h1><p>own text {0}</p>{1}</div><div class=c><p>All rights reserved</p></div></body></html>"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS host", "2 AS tokens", "3 AS text", "4 AS content").repartition(3)
+
+
+def texts(df):
+    return Counter((r["page_id"], r["text"]) for r in extraction.extract(df).collect())
+
+
+def test_template_words_are_dropped(spark, monkeypatch):
+    """Pages without semantic tags or telling class names."""
+    rows = [(k, f"http://H.example:80/{k}", SOUP.format(k, "<p>more</p>" * (k % 3))) for k in range(8)]
+    rows += [(100, "http://other.example/", SOUP.format("single", "")), (101, None, None), (102, "", ""), (7, "http://h.example/7", rows[7][2])]
+    df = frame(spark, rows)
+    want = Counter((k, "\n\n".join([f"title {k}", f"own text {k}", *["more"] * (k % 3)])) for k in [*range(8), 7]) + Counter({(101, ""): 1, (102, ""): 1})
+    want[100, "Welcome to the site\n\ntitle single\n\nown text single\n\nAll rights reserved"] += 1
+    assert texts(df) == want
+    got = {r["page_id"]: r for r in extraction.extract(df).collect()}
+    assert got[3]["n_dropped_blocks"] == 2 and got[3]["template_levels"] > 0 and got[100]["template_levels"] == 0
     assert extraction.extract(df.limit(0)).count() == 0
+    monkeypatch.setattr(extraction, "BROADCAST_TOKENS", 0)
+    assert texts(df) == want
+
+
+def test_one_story_at_several_urls_is_kept(spark):
+    same = [(k, f"http://s.example/{k}", SOUP.format("same", "")) for k in range(9)]  # one page content
+    long = SOUP.format("same", "<p>" + "a story of many words " * 20 + "</p>")
+    near = [(20 + k, f"http://t.example/{k}", long.replace("Welcome", f"Welcome {k}")) for k in range(9)]
+    mixed = [(40 + k, f"http://u.example/{k}", SOUP.format(k if k > 3 else "same", "").replace("Welcome", f"ad {k}")) for k in range(20)]
+    got = dict(texts(frame(spark, same + near + mixed)))
+    assert all("own text" in t for _, t in got)
+    assert {t for k, t in got if 40 <= k < 44} == {f"ad {k} to the site\n\ntitle same\n\nown text same" for k in range(4)}
+
+
+def test_a_host_with_two_templates(spark):
+    other = "<html><body><section class=x><p>Shop of things</p></section><section class=y><h2>item {0}</h2><p>price {0}</p></section><section class=z><p>Pay by card</p></section></body></html>"
+    rows = [(k, f"http://h.example/{k}", (SOUP.format(k, "") if k % 3 else other.format(k))) for k in range(30)]
+    got = texts(frame(spark, rows))
+    assert got == Counter((k, f"title {k}\n\nown text {k}" if k % 3 else f"item {k}\n\nprice {k}") for k in range(30))
+    levels = {r["template_levels"] for r in extraction.extract(frame(spark, rows)).collect()}
+    assert max(levels) >= 2  # the page types' own classes stand in a gap of the one that all pages share
+
+
+def deduced(rows):
+    """Templates by brute force: vectors as dictionaries, classes as sets of tokens with equal ones."""
+    pages = defaultdict(dict)
+    for _, url, page in rows:
+        host = (re.match(extraction.HOST, url or "") or [None, ""])[1].lower()
+        pages[host][page or ""] = extraction.page_tokens(page or "")
+    out = {}
+    for host, found in pages.items():
+        vectors, places = defaultdict(dict), defaultdict(list)
+        for content, tokens in found.items():
+            for t, (n, first, text) in tokens.items():
+                vectors[t, text][content] = n
+                places[t].append(first)
+        classes = defaultdict(list)
+        for (t, text), v in vectors.items():
+            if len(found) >= extraction.MIN_PAGES and len(v) >= max(extraction.MIN_PAGES, extraction.SUPPORT * len(found)):
+                classes[frozenset(v.items())].append((sum(places[t]) / len(places[t]), t, text))
+        valid = [(len(v), sorted(ts)) for v, ts in classes.items() if len(ts) >= extraction.MIN_SIZE and not all(x[2] for x in ts)]
+        out[host] = extraction.Template([(n, [t for _, t, text in ts if not text], [t for _, t, text in ts if text]) for n, ts in valid])
+    return out
+
+
+def test_brute_force_deduction_gives_the_same(spark, sf_dir):
+    rng = random.Random(4)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    parts = ["<div class=m><p>menu</p><p>about</p></div>", "<div class=n><h3>news {0}</h3><p>p {1}</p></div>", "<div class=q><p>q {0}</p><ul><li>x</li><li>{1}</li></ul></div>", "<div class=f><p>imprint</p></div>"]
+    for k in range(60):
+        body = "".join(p.format(rng.randrange(9), rng.randrange(99)) for p in parts if rng.random() < 0.8)
+        rows.append((1000 + k, f"http://{'abc'[k % 3]}.example/{k}", f"<html><body>{body}</body></html>"))
+    rows += rows[:5] + [(2000, None, None)]
+    brute = deduced(rows)
+    want = Counter()
+    for page_id, url, page in rows:
+        host = (re.match(extraction.HOST, url or "") or [None, ""])[1].lower()
+        blocks, left, levels = extraction.main_blocks(page or "", brute[host])
+        want[page_id, url, "\n\n".join(blocks), left, levels] += 1
+    got = extraction.extract(frame(spark, rows)).collect()
+    assert Counter((r["page_id"], r["url"], r["text"], r["n_dropped_blocks"], r["template_levels"]) for r in got) == want
+    assert any(r["template_levels"] >= 2 for r in got)
 
 
 def test_classes_have_equal_occurrence_vectors(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rows = pages.withColumn("host", extraction.host_of(pages.url)).withColumn("page", pages.page_id).select("host", "page", "html")
-    vectors, sizes = defaultdict(dict), Counter()
+    rows = pages.selectExpr("xxhash64(regexp_extract(url, '//([^/:]+)', 1)) AS host", "xxhash64(html) AS content", "html")
+    vectors = defaultdict(dict)
     for r in rows.collect():
-        sizes[r["host"]] += 1
-        for token, n in extraction.page_tokens(r["html"]).items():
-            vectors[r["host"], token][r["page"]] = n
+        for token, (n, _, _) in extraction.page_tokens(r["html"]).items():
+            vectors[r["host"], token][r["content"]] = n
     got = extraction.templates(rows).collect()
-    want = {k for k, v in vectors.items() if sizes[k[0]] >= 3 and len(v) >= 2 and len(v) >= 0.6 * sizes[k[0]]}
-    assert got and {(r["host"], r["token"]) for r in got} == want
-    classes = defaultdict(set)
+    assert got
     for r in got:
-        classes[r["host"], r["vector"]].add(tuple(sorted(vectors[r["host"], r["token"]].items())))
-    assert all(len(v) == 1 for v in classes.values())
+        assert len({tuple(sorted(vectors[r["host"], t["token"]].items())) for t in r["tokens"]}) == 1
+        assert r["pages"] == len(vectors[r["host"], r["tokens"][0]["token"]])
 
 
 def test_synthetic_pages(spark, sf_dir):
@@ -73,3 +148,4 @@ def test_synthetic_pages(spark, sf_dir):
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         text = "\n\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text)
+    assert any(r["template_levels"] for r in got.values()) and all(r["n_dropped_blocks"] for r in got.values())
