@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) is a local one made.
+    Only where the session names none and has no executors on other machines (tests, a
+    laptop) is a local one made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.partition("[")[0] not in ("local", "local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -44,6 +48,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def put_in_place(fs, tmp: str, path: str) -> None:
+    """Rename a finished file of pyarrow's file system `fs`; what an earlier attempt of the task left there goes, as it holds the same."""
+    try:
+        fs.move(tmp, path)
+    except OSError:
+        fs.delete_file(path)
+        fs.move(tmp, path)
+
+
+def remove_table(df: DataFrame) -> None:
+    """Delete the files that `df` is read from, once nothing else reads them."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives executors."""
     path = scratch(df.sparkSession, what)
@@ -63,6 +82,47 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of a row as one value, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def beside(names: list[str], added: list[str]) -> list[str]:
+    """Names for the columns `names` next to `added` ones: those that clash, in any case, get "docs_" before them."""
+    out, taken = [], {a.lower() for a in added}
+    for n in names:
+        kept = n
+        while kept.lower() in taken or kept != n and kept.lower() in {x.lower() for x in names}:
+            kept = f"docs_{kept}"
+        taken.add(kept.lower())
+        out.append(kept)
+    return out
+
+
+#: Rows that share a bucket of hashes, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 16, 512
+
+
+def bucket_count(rows: int) -> int:
+    """Buckets for a table of so many rows: in proportion, so that no task grows with the table."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def row_key(*parts: Column) -> Column:
+    """32 hexadecimal digits that stand for the parts; SQL elsewhere computes the same."""
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary"))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """Bucket of a row_key; buckets in order hold keys in order."""
+    return F.shiftrightunsigned(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets, 32).cast("int")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once and use it in `body`, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -17,7 +17,7 @@ to executors is bounded; a larger benchmark takes more passes over the documents
 frequencies, mean length and window lengths are those of all items in every block.
 
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts
-and items without words match nothing; repeated rows of documents or items give a row
+and items without words match nothing; very long texts are searched whole, as one chunk; repeated rows of documents or items give a row
 each per distinct (doc_id, item_id); equal items are all retrieved; other columns are
 ignored; empty tables give empty results.
 """
@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, packed
 from .neardup import node
 from .shingles import ALNUM, chunks, shingle_hashes, word_hashes
 
 INDEX_ITEMS = 5_000
 BLOCK = 8
+#: Hits (32 bytes each) up to this number are broadcast to be taken out; more are joined.
+BROADCAST_HITS = 500_000
 #: Longest parts of each class of items, in words.
 LENGTHS = (16, 24, 32, 48, 64, 96, 128)
 #: Terms of more than this share of the parts are frequent.
@@ -294,12 +296,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap: f
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents in whose text no item was found, with the columns of `docs`.
+    """Documents in whose text no item was found, with the columns of `docs`, whatever their names.
 
-    Only ids and digests of hits are shuffled while searching; those few rows are then left
-    out. An id need not be unique or there at all, so a row goes only with its own text.
+    Only ids and digests of hits are kept while searching; those few rows are then left
+    out: up to `BROADCAST_HITS` are broadcast, so documents are not shuffled. An id need
+    not be unique or there at all, so a row goes only with its own text.
     """
-    names = docs.columns
-    found = hits(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("__hit"), F.col("node").alias("__node")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")) & (node(F.col("text")) == F.col("__node"))
-    return docs.join(found, same, "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    found = hits(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("hit"), F.col("node").alias("hit_node")).distinct()
+    found = materialise(found, "hits")
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), node(F.col("text")).alias("node"))
+    same = F.col("id").eqNullSafe(F.col("hit")) & (F.col("node") == F.col("hit_node"))
+    few = found.count() <= BROADCAST_HITS
+    return rows.join(F.broadcast(found) if few else found, same, "left_anti").select("row.*")

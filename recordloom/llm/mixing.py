@@ -7,9 +7,10 @@ reshared. A source's cumulative token demand is its target times the normalised
 integral of its schedule, so the training position of a document is found by
 inverting that integral at the document's place in the source.
 
-Defined cases: a null text has size 0; null sources form one source, ordered
-last; equal rows are interchangeable and each is mixed on its own; an empty table
-gives an empty result; other columns are ignored (or carried, with `carry`).
+Defined cases: a null text has size 0; very long texts count whole; null sources form one
+source, ordered last; rows equal in doc_id and text are interchangeable and each is mixed
+on its own; an empty table gives an empty result; other columns are ignored, or with
+`carry` come along in one value, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, word_count
+from .common import bucket_count, bucket_of, let, packed, row_key, text_or_empty, word_count
 
 #: Weights by rank of the source in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -110,8 +111,8 @@ def mix(
     share: float = 1.5,
     max_repeat: float = 2.0,
     cut: bool = True,
-    carry: Sequence[str] = (),
-    buckets: int = 512,
+    carry: bool = False,
+    buckets: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """One row for each document: sizes, its source's target, what is taken, where.
@@ -120,20 +121,23 @@ def mix(
     as the target fills the source whole; what is left goes to the first ones.
     With `cut` the last copy stops at the target's word; else it is taken whole if
     its middle lies below the target. `positions` has a training time in 0..1 for
-    each copy.
+    each copy. With `carry` the whole row comes along as `row`.
 
-    The order is by hash bucket, then hash, so running sums need only the total of
-    each (source, bucket): a source of any size is dealt over all its buckets.
+    The order is by key. Keys in order fall into `buckets`, as many as the rows ask for,
+    so running sums need only the total of each (source, bucket), and a source of any
+    size is dealt over all its buckets.
     """
-    key = F.xxhash64(F.col("doc_id"), F.crc32(text_or_empty().cast("binary")), F.lit(seed))
+    buckets = buckets or bucket_count(docs.count())
+    text = text_or_empty()
+    key = row_key(F.col("doc_id"), F.lit(seed), F.md5(text.cast("binary")))
+    own = [F.col("doc_id"), *([packed(docs).alias("row")] if carry else [])]
     sized = docs.select(
-        *[F.col(c) for c in dict.fromkeys(["doc_id", *carry])],
+        *own,
         F.coalesce(F.col("source"), F.lit("")).alias("__src"),
         F.col("source").isNull().alias("__null"),
-        word_count(text_or_empty()).alias("size"),
+        word_count(text).alias("size"),
         key.alias("__h"),
-        F.pmod(key, F.lit(buckets)).cast("int").alias("__bucket"),
-    )
+    ).withColumn("__bucket", bucket_of(F.col("__h"), buckets))
     source = ["__src", "__null"]
     totals = sized.groupBy(*source, "__bucket").agg(F.sum("size").alias("__total"))
     along = Window.partitionBy(*source).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,7 +166,7 @@ def mix(
         by_kind = F.transform(at, lambda u: invert(u, knots))
         inverted = F.when(F.col("__kind") == k, by_kind) if inverted is None else inverted.when(F.col("__kind") == k, by_kind)
     return copies.select(
-        *dict.fromkeys(["doc_id", *carry]),
+        *(["doc_id", "row"] if carry else ["doc_id"]),
         "size",
         F.col("source_size"),
         F.col("target").cast("double").alias("target"),
@@ -173,11 +177,12 @@ def mix(
 
 
 def placed(docs: DataFrame, **options) -> DataFrame:
-    """A row for each copy of each document, range-sorted by training position; documents never taken come last, with a null position."""
+    """One row for each document, range-sorted by the first of its training positions; those never taken come last.
+
+    `positions` has a position for each copy.
+    """
     mixed = mix(docs, **options)
-    rest = [c for c in mixed.columns if c != "positions"]
-    copies = mixed.select(*rest, F.posexplode_outer("positions").alias("copy", "position"))
-    return copies.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size", "copy")
+    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id", "size")
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
@@ -185,7 +190,6 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
 
     Returns the columns of `docs` and nothing else.
     """
-    inner = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    mixed = mix(inner, cut=False, carry=["__row"], **options)
-    copies = mixed.select("__row", F.explode("positions").alias("__at"))
-    return copies.orderBy("__at", "__row.doc_id").select("__row.*")
+    mixed = mix(docs, cut=False, carry=True, **options)
+    copies = mixed.select("row", F.explode("positions").alias("at"))
+    return copies.orderBy("at", "row.doc_id").select("row.*")

@@ -3,30 +3,34 @@
 A text is the weighted set of its five-word shingles: count times inverse document
 frequency. Consistent samples of it (0-bit form: the shingle, without its level) are
 banded; texts that share a band are candidates, and a link is a candidate pair whose
-weighted Jaccard similarity, computed from whole texts, reaches the threshold. Texts
-whose plain shingle sets reach it are linked as well, so that frequent shingles, which
-weigh less, and repeated ones, which weigh more, cannot hide a copy: plain samples of the
-distinct shingles are banded into the same buckets. Classes are the connected components of links.
-
-Weights. The frequency of a shingle is its share of all documents. At or below `FLOOR`
-all shingles weigh 1; above it the weight falls with the logarithm, to `LEAST` at the
-lowest. Only shingles above the floor need a number, and there are at most (shingles
-of a mean document) / FLOOR of those, however many documents there are: a bounded
-broadcast. They are found by lossy counting: a block of documents reports the
-shingles of at least FLOOR/4 of its documents, so a count is short by FLOOR/4 at most.
+weighted Jaccard similarity, computed from whole texts, reaches the threshold. With
+`plain`, texts whose plain shingle sets reach it are linked as well, so that frequent
+shingles, which weigh less, and repeated ones, which weigh more, cannot hide a copy: plain
+samples of the distinct shingles are banded into the same buckets. Classes are the
+connected components of links.
+
+Weights. The frequency of a shingle is its share of all documents. Inverse frequency has a
+ceiling: at or below `FLOOR` all shingles weigh 1; above it the weight falls with the
+logarithm, to `LEAST` at the lowest. Only shingles above the floor need a number, and there
+are at most (shingles of a mean document) / FLOOR of those, however many documents there
+are: a bounded broadcast. Lossy counting names them: a block of documents reports the
+shingles of at least FLOOR/4 of its documents, so none above the floor is missed. Those
+named are then counted exactly, so weights do not depend on how rows are dealt.
 
 Pairs. Exact copies are one node. In a bucket every node is compared with one hub, which
 is linear. Where nodes of a bucket are not all in one class after that, those outside
-its largest class meet a hub drawn from that class, in `HUBS` more rounds, and those
-still outside are compared with all the bucket's nodes of other classes. So any candidate
-pair is compared or joined by other links, and no pairs are made within a class. That
-join holds pairs against bitmaps of their shingles, in its condition: bits that differ
-are a lower bound of the shingles that differ, so only pairs that cannot be similar go.
+its largest class meet a hub drawn from that class, in `HUBS` more rounds. What is still
+apart is settled exactly, without comparing all that share a bucket: the texts of such
+buckets are joined on the rarest of their shingles. Two sets of similarity t or more share
+one of the shingles that remain if, from the most frequent on, shingles of less than t of
+the set's weight are left out, so no pair is lost; texts that merely share a passage, of
+any number, differ in their rare shingles and do not meet. Pairs within a class are left out.
 
 Defined cases: null and empty texts are copies of one another; texts without words are
-linked by equality only, texts of one to four words are one shingle; class_id is the
-smallest doc_id of the class (null if it has none); repeated rows keep a row each; an
-empty table gives an empty result; other columns are ignored.
+linked by equality only, texts of one to four words are one shingle; very long texts are
+sampled and compared whole; class_id is the smallest doc_id of the class (null if it has
+none); repeated rows keep a row each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,20 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import column, materialise, packed, remove_table
 from .shingles import U, chunks, mix64, shingle_hashes, word_hashes
 
 SIZE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 FLOOR, LEAST = 0.01, 0.5
-HUBS = 3
+HUBS = 2
+PLAIN = True
 BLOCK_SHINGLES = 1_000_000
-LIGHT, HEAVY = 32, 8  # 64-bit words of the bitmaps
-CELLS = 1 << 15  # rows of the table of random variates, by the low bits of a shingle's hash
+CELLS = 1 << 13  # rows of the table of random variates, by the low bits of a shingle's hash
 ID = U(0xFFFFFFFF)
 
 _variates: dict[int, tuple[np.ndarray, ...]] = {}
@@ -151,16 +155,33 @@ def heavy_shingles(docs: DataFrame, size: int = SIZE, floor: float = FLOOR, leas
 
     total = docs.count()
     counted = _texts(docs).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") >= (floor - slack) * total).filter(F.col("n") > 1).toPandas()  # bounded: see above
-    keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    share = rows["n"].to_numpy(float) / max(1, total)
-    weight = np.clip(np.log(1 / np.minimum(share, 1.0)) / np.log(1 / floor), least, 1.0)
-    order = np.argsort(keys)
-    return keys[order], weight[order]
-
-
-def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int) -> DataFrame:
-    """node, bands: a row for each document with words, and one of plain samples where weights are not all 1."""
+    named = counted.filter(F.col("n") >= (floor - slack) * total).filter(F.col("n") > 1).select("shingle").toPandas()  # bounded: see above
+    keys = np.sort(named["shingle"].to_numpy(np.int64).view(np.uint64))
+    if not len(keys):
+        return keys, np.empty(0)
+    table = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def recount(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(table.value), np.int64)
+        for b in it:
+            for _, raw, offsets in chunks(b.column("text")):
+                s, m = shingle_hashes(*word_hashes(raw, offsets), size)
+                at = np.minimum(np.searchsorted(table.value, s), len(table.value) - 1)
+                hit = np.flatnonzero(table.value[at] == s)
+                doc = np.repeat(np.arange(len(m)), m)[hit]
+                n += np.bincount(np.unique(doc * len(n) + at[hit]) % len(n), minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["nth", "n"])
+
+    rows = _texts(docs).mapInArrow(recount, "nth long, n long").groupBy("nth").agg(F.sum("n").alias("n")).toPandas()
+    share = np.zeros(len(keys))
+    share[rows["nth"].to_numpy(np.int64)] = rows["n"].to_numpy(float) / max(1, total)
+    often = share >= floor
+    weight = np.clip(np.log(1 / np.minimum(share[often], 1.0)) / np.log(1 / floor), least, 1.0)
+    return keys[often], weight
+
+
+def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int, plain: bool) -> DataFrame:
+    """node, bands: a row for each document with words, and with `plain` one of plain samples where weights are not all 1."""
     table = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +193,7 @@ def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int) -> Data
                 at = np.flatnonzero(n > 0)
                 doc = np.repeat(np.arange(len(n)), n)
                 uneven = np.bincount(doc[w != 1.0], minlength=len(n)) > 0
-                if uneven.any():  # for the others plain samples are the same ones
+                if plain and uneven.any():  # for the others plain samples are the same ones
                     s = s[uneven[doc]]
                     got = np.concatenate([got, band_hashes(s, np.ones(len(s)), n[uneven], bands, rows)])
                     at = np.r_[at, np.flatnonzero(uneven)]
@@ -183,39 +204,26 @@ def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int) -> Data
     return rows_in.mapInArrow(sample, "node binary, bands array<long>")
 
 
-def bitmap(shingles: np.ndarray, doc: np.ndarray, docs: int, words: int) -> np.ndarray:
-    """(docs, words) 64-bit words with the bits of each text's shingles set."""
-    bits = np.zeros((docs, words * 64), np.uint8)
-    bits[doc, ((shingles >> U(20)) % U(words * 64)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
-
-
-def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.ascontiguousarray(values).reshape(-1).view(np.int64)))
-
-
-FEATURES = "node binary, shingles array<long>, light array<long>, heavy array<long>, n long, weight double"
+FEATURES = "node binary, shingles array<long>, weights array<float>, n long, weight double"
 
 
 def features(texts: DataFrame, heavy, size: int) -> DataFrame:
-    """node; shingles in order of hash, as often as they occur; bitmaps of the light and the heavy ones; sizes."""
+    """node; its distinct shingles in order of hash and their weights; their number and sum."""
     table = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             nodes = b.column("node")
             for row, raw, offsets in chunks(b.column("text")):
-                s, n = shingle_hashes(*word_hashes(raw, offsets), size)
-                one, w, k = weighted(s, n, *table.value)
-                doc = np.repeat(np.arange(len(k)), k)
-                light = ~np.isin(one, table.value[0])
-                s = s[np.lexsort((s, np.repeat(np.arange(len(n)), n)))]
+                s, w, n = weighted(*shingle_hashes(*word_hashes(raw, offsets), size), *table.value)
+                at = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+                w = w.astype(np.float32)
+                doc = np.repeat(np.arange(len(n)), n)
                 columns = [
                     nodes.slice(row, len(n)),
-                    list_array(s, np.r_[0, np.cumsum(n)]),
-                    list_array(bitmap(one[light], doc[light], len(n), LIGHT), np.arange(len(n) + 1) * LIGHT),
-                    list_array(bitmap(one[~light], doc[~light], len(n), HEAVY), np.arange(len(n) + 1) * HEAVY),
-                    pa.array(k.astype(np.int64)),
+                    pa.ListArray.from_arrays(at, pa.array(s.view(np.int64))),
+                    pa.ListArray.from_arrays(at, pa.array(w)),
+                    pa.array(n.astype(np.int64)),
                     pa.array(np.bincount(doc, w, minlength=len(n)).astype(np.float64)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FEATURES.split(", ")])
@@ -223,55 +231,51 @@ def features(texts: DataFrame, heavy, size: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(batches, FEATURES)
 
 
-def may_link(x: str, y: str, threshold: float) -> Column:
-    """False only where the bitmaps of two rows prove both similarities too low.
-
-    J >= t bounds the weight that differs by (1 - t) / (1 + t) of both weights; each bit
-    that differs is a shingle that does, of weight 1 at least, or LEAST if heavy.
-    """
-    differ = lambda c: F.aggregate(F.zip_with(f"{x}.{c}", f"{y}.{c}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    most = (1 - threshold) / (1 + threshold) + 1e-6
-    alike = lambda c: F.least(f"{x}.{c}", f"{y}.{c}") >= (threshold - 1e-6) * F.greatest(f"{x}.{c}", f"{y}.{c}")
-    return (alike("n") | alike("weight")) & F.transform(
-        F.array(F.struct(differ("light").alias("l"), differ("heavy").alias("h"))),
-        lambda d: (d["l"] + d["h"] <= most * (F.col(f"{x}.n") + F.col(f"{y}.n"))) | (d["l"] + LEAST * d["h"] <= most * (F.col(f"{x}.weight") + F.col(f"{y}.weight"))),
-    )[0]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> float:
-    """The larger of weighted and plain Jaccard similarity of two sorted multisets."""
-    x, m = np.unique(a, return_counts=True)
-    y, n = np.unique(b, return_counts=True)
+def similarity(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, plain: bool) -> float:
+    """Weighted Jaccard similarity of two weighted sets; with `plain` the plain one if that is larger."""
     both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    low = float(np.minimum(wx[i], wy[j]).sum(dtype=np.float64))
+    high = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - low
+    weighed = low / high if high else 0.0
+    return max(weighed, len(both) / max(1, len(x) + len(y) - len(both))) if plain else weighed
 
-    def idf(s: np.ndarray) -> np.ndarray:
-        if not len(heavy):
-            return np.ones(len(s))
-        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-        return np.where(heavy[at] == s, weight[at], 1.0)
-
-    low = float((np.minimum(m[i], n[j]) * idf(both)).sum())
-    high = float((m * idf(x)).sum() + (n * idf(y)).sum()) - low
-    return max(low / high if high else 0.0, len(both) / max(1, len(x) + len(y) - len(both)))
 
-
-def linked(pairs: DataFrame, feats: DataFrame, heavy, threshold: float) -> DataFrame:
+def linked(pairs: DataFrame, feats: DataFrame, threshold: float, plain: bool) -> DataFrame:
     """The pairs (a, b) that are similar enough."""
-    table = pairs.sparkSession.sparkContext.broadcast(heavy)
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sides = []
-            for c in ("fa", "fb"):
+            lists = {}
+            for c in ("sa", "wa", "sb", "wb"):
                 col = batch.column(c)
-                sides.append((col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()))
-            (x, i), (y, j) = sides
-            keep = [k for k in range(batch.num_rows) if similarity(x[i[k] : i[k + 1]], y[j[k] : j[k + 1]], *table.value) >= threshold - 1e-9]
+                lists[c] = col.values.to_numpy(), col.offsets.to_numpy()
+            part = lambda c, k: lists[c][0][lists[c][1][k] : lists[c][1][k + 1]]
+            keep = [k for k in range(batch.num_rows) if similarity(part("sa", k), part("sb", k), part("wa", k), part("wb", k), plain) >= threshold - 1e-6]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    fa = feats.select(F.col("node").alias("a"), F.col("shingles").alias("fa"))
-    fb = feats.select(F.col("node").alias("b"), F.col("shingles").alias("fb"))
-    return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a binary, b binary")
+    side = lambda x: feats.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(verify, "a binary, b binary")
+
+
+def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of `apart` (node, root) in different classes that share one of their rarest shingles.
+
+    Of each text those shingles are left that begin, in order of falling frequency, what
+    weighs `threshold` of it or more, by number or by weight. Frequencies are those among
+    the texts given.
+    """
+    each = feats.join(apart, "node").select("node", "root", "n", "weight", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
+    each = each.select("node", "root", "n", "weight", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    ranked = each.join(shared, "shingle", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    falling = Window.partitionBy("node").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)  # of one text
+    least = F.lit(threshold - 1e-4)
+    rare = (F.sum("w").over(falling) >= least * F.col("weight")) | (F.count(F.lit(1)).over(falling) >= least * F.col("n"))
+    prefix = ranked.select("shingle", "node", "root", "n", "weight", "texts", rare.alias("rare")).filter("rare and texts > 1")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    alike = lambda c: F.least(f"x.{c}", f"y.{c}") >= least * F.greatest(f"x.{c}", f"y.{c}")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (alike("n") | alike("weight"))
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,8 +297,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         low = lowest(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "links")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before, edges = edges, materialise(small.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "links")
+        remove_table(before)
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = materialise(found, "roots")
+    remove_table(edges)
+    return out
 
 
 def with_class(nodes: DataFrame, roots: DataFrame, name: str = "node") -> DataFrame:
@@ -302,41 +310,37 @@ def with_class(nodes: DataFrame, roots: DataFrame, name: str = "node") -> DataFr
     return nodes.join(renamed, name, "left").withColumn("root", F.coalesce("__root", name)).drop("__root")
 
 
-def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, plain: bool = PLAIN) -> DataFrame:
     """node, root: the class of every text that is linked to a different one."""
     heavy = heavy_shingles(docs, size)
-    sampled = signatures(docs, heavy, size, bands, rows)
+    sampled = signatures(docs, heavy, size, bands, rows, plain)
     keys = sampled.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")).distinct()
     keys = materialise(keys, "bands")
     hubs = keys.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").drop("other")
     members = materialise(keys.join(hubs, "bucket"), "members")  # of buckets with two texts or more
+    remove_table(keys)
 
     wanted = members.select("node").distinct()
-    first = docs.select("doc_id", node(F.col("text")).alias("node")).groupBy("node").agg(F.min("doc_id").alias("__first"))
-    chosen = wanted.join(first, "node").select(F.col("node").alias("__node"), "__first")
+    first = docs.select("doc_id", node(F.col("text")).alias("node")).groupBy("node").agg(F.min("doc_id").alias("first"))
+    chosen = wanted.join(first, "node").select(F.col("node").alias("wanted"), "first")
     full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), node(F.col("text")).alias("node"))
-    texts = full.join(chosen, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__first"))).select("node", "text")
+    texts = full.join(chosen, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
     feats = materialise(features(texts, heavy, size).dropDuplicates(["node"]), "features")
 
-    stars = materialise(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = materialise(linked(stars, feats, heavy, threshold), "links")
-    roots = materialise(components(links), "roots")
-
-    done = stars
+    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    roots = _merged(None, linked(stars, feats, threshold, plain))
     for k in range(HUBS):
         apart = materialise(_apart(members, roots), "apart")
         inside = apart.filter("root = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("drawn"))
         met = apart.filter("root <> top").join(inside, "bucket").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
-        met = materialise(met.distinct().join(done, ["a", "b"], "left_anti"), "stars")
-        roots = _merged(roots, materialise(linked(met, feats, heavy, threshold), "links"))
-        done = done.union(met)
+        roots = _merged(roots, linked(met.distinct(), feats, threshold, plain))
+        remove_table(apart)
 
-    apart = materialise(_apart(members, roots).join(feats.drop("shingles"), "node"), "apart")
-    outside, others = apart.filter("root <> top").alias("x"), apart.alias("y")
-    differ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
-    rest = outside.join(others, differ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = materialise(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    return _merged(roots, materialise(linked(rest, feats, heavy, threshold), "links"))
+    apart = materialise(_apart(members, roots).select("node", "root").distinct(), "apart")
+    roots = _merged(roots, linked(rare_pairs(apart, feats, threshold), feats, threshold, plain))
+    for table in (apart, feats, members):
+        remove_table(table)
+    return roots
 
 
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -347,12 +351,20 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(largest, "bucket")
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """The classes after some more links between nodes."""
+    links = materialise(links, "links")
+    if roots is None:
+        out = components(links)
+        remove_table(links)
+        return out
     joins = with_class(with_class(links, roots, "a").withColumnRenamed("root", "ra"), roots, "b").select(F.col("ra").alias("a"), F.col("root").alias("b"))
     merged = components(joins.distinct())
     top = with_class(roots.withColumnRenamed("root", "r1"), merged, "r1").select("node", "root")
-    return materialise(top.union(merged.join(roots, "node", "left_anti")), "classes")
+    out = materialise(top.union(merged.join(roots, "node", "left_anti")), "classes")
+    for table in (links, roots, merged):
+        remove_table(table)
+    return out
 
 
 def group(docs: DataFrame, **options) -> DataFrame:
@@ -364,14 +376,15 @@ def group(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest doc_id of each class, with the columns of `docs`.
+    """The document with the smallest doc_id (null last) of each class, with the columns of `docs`, whatever their names.
 
-    Of rows equal in doc_id and text one stays.
+    Of rows equal in doc_id and text one stays, the first by the hash of its columns.
     """
     roots = classes(docs, **options)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    narrow = with_class(docs.select("doc_id", node(F.col("text")).alias("node")), roots)
-    best = narrow.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.node").alias("__node"), F.col("b.doc_id").alias("__id"))
-    rows = docs.select("doc_id", node(F.col("text")).alias("__n"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    kept = rows.join(best, (F.col("__n") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return kept.dropDuplicates(["__n"]).select("__row.*")
+    hashed = F.xxhash64(*[column(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(F.col("doc_id").alias("id"), node(F.col("text")).alias("node"), hashed.alias("nth"), packed(docs).alias("row"))
+    narrow = with_class(rows.select("id", "node", "nth"), roots)
+    best = narrow.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "nth")).alias("b"))
+    best = best.select(F.col("b.node").alias("kept"), F.col("b.id").alias("kept_id"), F.col("b.nth").alias("kept_nth"))
+    same = (F.col("node") == F.col("kept")) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("nth") == F.col("kept_nth"))
+    return rows.join(best, same).dropDuplicates(["node"]).select("row.*")

@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the same rows as a query, where SQL can express it."""
 
+from .sharding import Feistel
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 CHAT = """
@@ -8,7 +10,8 @@ WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS BIGINT) AS formatted_chars
+  CAST(sum(24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|'))) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples
 FROM r GROUP BY conv_id
 """
 
@@ -38,4 +41,45 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100
   CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM t
 """
 
-SQL = {"op6_chat_format": CHAT, "op8_quality_rules": QUALITY, "op9_warc": WARC}
+#: Weights and schedules as in mixing.WEIGHTS and mixing.SCHEDULES: late, level, early.
+MIX = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS lone, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':17:', md5(coalesce(text, '')))) AS h FROM documents),
+s AS (SELECT src, lone, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
+k AS (SELECT *, (row_number() OVER (ORDER BY lone, src) - 1) % 3 AS kind FROM s),
+w AS (SELECT *, CASE kind WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM k),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (f) AS nth FROM w WINDOW f AS (ORDER BY cap / w, lone, src)),
+o AS (SELECT level FROM l WHERE cap > w * level ORDER BY nth LIMIT 1),
+t AS (SELECT src, lone, source_size, kind, least(cap, coalesce(w * (SELECT level FROM o), cap)) AS target FROM l),
+p AS (SELECT d.*, t.source_size, kind, target, CAST(round(target) AS BIGINT) AS budget, CAST(floor(CASE WHEN t.source_size = 0 THEN 0 ELSE round(target) / t.source_size END) AS BIGINT) AS passes,
+    CAST(coalesce(sum(size) OVER (PARTITION BY src, lone ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN t USING (src, lone)),
+r AS (SELECT *, greatest(0, least(size, budget - passes * source_size - start)) AS rest FROM p),
+c AS (SELECT *, CAST((CASE WHEN size > 0 THEN passes ELSE 0 END) + CAST(rest > 0 AS INT) AS INT) AS copies FROM r),
+x AS (SELECT *, list_transform(range(copies), lambda i: least(greatest((source_size * i + start + size / 2.0::DOUBLE) / budget, 0), 1)) AS u FROM c)
+SELECT doc_id, size, source_size, target, CAST(size * passes + rest AS BIGINT) AS taken, copies,
+  array_to_string(list_transform(u, lambda v: printf('%.9f', CASE kind WHEN 0 THEN 2 * v / (0.5 + sqrt(0.25 + 2 * v)) WHEN 1 THEN v
+    ELSE CASE WHEN v < 0.625 THEN 2 * v / (1.5 + sqrt(2.25 - 2 * v)) ELSE 0.5 + 2 * (v - 0.625) / (1.0 + sqrt(1.0 - 2 * (v - 0.625))) END END)), ',') AS positions
+FROM x
+"""
+
+#: Rounds of sharding.Feistel under the key of sharding.shard, and the check sum of bytes by its table of 256 remainders.
+SHARD = f"""
+WITH RECURSIVE z AS (SELECT 18446744073709551616::UHUGEINT AS m, {[int(k) for k in Feistel(2, 2024).keys]}::UHUGEINT[] AS keys, count(*)::UHUGEINT AS n,
+    (CAST(floor(log2(greatest(count(*) - 1, 1))) AS INT) + 2) // 2 AS bits0, bits0::UHUGEINT AS half FROM documents),
+bits AS (SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) x(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, md5(concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', md5(coalesce(text, '')))) AS h FROM documents),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(raw), '..'), lambda p: CAST('0x' || p AS UBIGINT)) AS bytes FROM d),
+r AS (SELECT doc_id, octet_length(raw) + 1 AS size, row_number() OVER (ORDER BY h) - 1 AS row_number,
+    xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS text_crc32 FROM b CROSS JOIN crc),
+g AS (SELECT row_number, 0 AS step, row_number::UHUGEINT >> half AS l, row_number::UHUGEINT & ((1::UHUGEINT << half) - 1) AS r FROM r CROSS JOIN z
+  UNION ALL SELECT row_number, step + 1, r, xor(l, f & ((1::UHUGEINT << half) - 1)) FROM (
+    SELECT row_number, step, l, r, half, (r + keys[step % 6 + 1]) % m AS x0, (xor(x0, x0 >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % m AS x1,
+      (xor(x1, x1 >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % m AS x2, xor(x2, x2 >> 31::UHUGEINT) AS f FROM g CROSS JOIN z WHERE step = 0 OR step % 6 <> 0 OR ((l << half) | r) >= n)),
+p AS (SELECT row_number, CAST((l << half) | r AS BIGINT) AS place FROM g CROSS JOIN z WHERE step > 0 AND step % 6 = 0 AND ((l << half) | r) < n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place % 8 AS INT) AS shard, place // 8 AS slot, CAST(NULL AS INT) AS grown_shard, row_number
+FROM r JOIN p USING (row_number)
+"""
+
+SQL = {"op1_mix_sources": MIX, "op5_shard": SHARD, "op6_chat_format": CHAT, "op8_quality_rules": QUALITY, "op9_warc": WARC}

@@ -4,19 +4,17 @@ Every document is measured and held against rules. Failures are summed for each
 host; the rates are shrunk towards a beta prior fitted to all hosts by the method of
 moments, and a host whose shrunk rate is above `host_limit` loses its documents too.
 
-Defined cases: a null text has no words and fails `short`; null hosts form one host;
-repeated rows count each; an empty table gives an empty result; other columns are
-ignored (or carried, with `carry`).
+Defined cases: a null text has no words and fails the base rules; very long texts are
+measured whole; null hosts form one host; repeated rows count each; an empty table gives
+an empty result; other columns are ignored, or kept in one value, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, materialise, text_or_empty, words
+from .common import SPACES, let, materialise, packed, text_or_empty, words
 
 #: Symbols counted as noise.
 SYMBOLS = r"[#*$%&|<>]"
@@ -58,12 +56,13 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
     return let(w, lambda a: F.when(F.size(a) >= window, F.when(some_hash_repeats(a), covered(a)).otherwise(0)).otherwise(0)).cast("long")
 
 
-def measure(docs: DataFrame, host: str = "source", carry: Sequence[str] = ()) -> DataFrame:
-    """Counts of every whole text: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measure(docs: DataFrame, host: str = "source", carry: bool = False) -> DataFrame:
+    """Counts of every whole text: doc_id, __host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; with `carry`, its row."""
     text = text_or_empty()
-    base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", *carry])], F.col(host).alias("__host"), text.alias("__text"), words(text).alias("__words"))
+    own = [packed(docs).alias("row")] if carry else []
+    base = docs.select("doc_id", *own, F.col(host).alias("__host"), text.alias("__text"), words(text).alias("__words"))
     return base.select(
-        *dict.fromkeys(["doc_id", *carry]),
+        *(["doc_id", "row"] if carry else ["doc_id"]),
         "__host",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -83,7 +82,7 @@ def any_failed() -> Column:
     return base_failed() | noisy | lines
 
 
-def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT, failed: Column | None = None) -> DataFrame:
     """__host, docs, failures, shrunk rate and verdict.
 
     The prior's mean m is the mean rate over documents; its strength follows from the
@@ -91,7 +90,7 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     a + b = m (1 - m) / v - 1, held to 1..1e6. Rates equal on all hosts give the
     strongest prior. Only that one row of sums reaches the driver.
     """
-    hosts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), F.sum(any_failed().cast("long")).alias("failures"))
+    hosts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("docs"), F.sum((any_failed() if failed is None else failed).cast("long")).alias("failures"))
     n, f = F.col("docs").cast("double"), F.col("failures").cast("double")
     s = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.count(F.lit(1)).alias("k")).first()
     total, k = s["n"] or 0.0, s["k"]
@@ -125,28 +124,25 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
     )
 
 
-def passes(text: Column) -> Column:
-    """Whether a text passes the base rules, as one expression that splits it once."""
-    return let(words(text), lambda w: (F.size(w) >= 20) & (100 * repeated_words(w) <= 30 * F.size(w)))
-
-
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass the base rules on hosts that pass, with their columns.
 
-    Hosts are judged from narrow counts; then documents are filtered where they are
-    read, rather than joined with their counts by an id that need not be unique. A host
-    with a third of all rows never meets in one task.
+    Each text is measured once: rows are kept in the shared folder with their verdicts,
+    those that fail the base rules without their columns. Hosts are judged from the
+    verdicts, and rejected hosts, which are few, are taken out; a host with a third of all
+    rows never meets in one task. Other columns may have any names.
     """
-    measured = materialise(measure(docs, host), "quality")
-    bad = materialise(host_verdicts(measured, limit).filter(~F.col("host_kept")).select(F.col("__host").alias("__bad")), "hosts")
-    good = docs.filter(passes(text_or_empty()))
-    out = [F.col(f"`{c}`") for c in docs.columns]
+    counts = measure(docs, host, carry=True)
+    marked = materialise(counts.select("__host", any_failed().alias("failed"), F.when(~base_failed(), F.col("row")).alias("row")), "quality")
+    verdicts = host_verdicts(marked, limit, F.col("failed"))
+    bad = materialise(verdicts.filter(~F.col("host_kept")).select(F.col("__host").alias("bad")), "hosts")
+    good = marked.filter(F.col("row").isNotNull())
     n = bad.count()
     if n == 0:
-        return good
-    same = F.col(host).eqNullSafe(F.col("__bad"))
+        return good.select("row.*")
+    same = F.col("__host").eqNullSafe(F.col("bad"))
     if n <= BROADCAST_HOSTS:
-        return good.join(F.broadcast(bad), same, "left_anti").select(*out)
-    salted = good.withColumn("__salt", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(SALTS)).cast("int"))
-    every = bad.select("__bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
-    return salted.join(every, same & (F.col("__salt") == F.col("__s")), "left_anti").select(*out)
+        return good.join(F.broadcast(bad), same, "left_anti").select("row.*")
+    salted = good.withColumn("salt", F.pmod(F.xxhash64("row.doc_id", F.octet_length("row.text")), F.lit(SALTS)).cast("int"))
+    every = bad.select("bad", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    return salted.join(every, same & (F.col("salt") == F.col("s")), "left_anti").select("row.*")

@@ -13,7 +13,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.placed(table(spark, sf_dir, "documents"))
+    written = F.array_join(F.transform("positions", lambda p: F.format_string("%.9f", p)), ",")  # a training position for each copy
+    return mixing.placed(table(spark, sf_dir, "documents")).withColumn("positions", written)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_turns(rows))
+    return chat.read_back(chat.examples(chat.format_turns(rows)))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

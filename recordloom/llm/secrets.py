@@ -6,8 +6,9 @@ taking out what is random by nature but public: digests of the usual lengths, UU
 and plain identifiers (numbers, words, addresses, paths).
 
 Spans are code points, end exclusive, written kind:start:end. A null text counts as
-empty and has no spans; every row is scanned on its own, so ties and repeated rows
-keep their own results; other columns are ignored.
+empty and has no spans; a very long text is scanned whole; every row is scanned on its
+own, so ties and repeated rows keep their own results; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
@@ -40,17 +42,25 @@ MAX_RATIO = 2.1
 _encoders: dict[str, object] = {}
 
 
-def encoder(vocabulary: str):
-    """The tiktoken encoding of a rank file, kept by each Python worker."""
+def encoder(vocabulary: str, ranks: bytes | None = None):
+    """The tiktoken encoding of a rank file (or of its bytes, as sent to executors), kept by each Python worker."""
     if vocabulary not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if ranks is None:
+            with open(vocabulary, "rb") as f:
+                ranks = f.read()
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encoders[vocabulary] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return _encoders[vocabulary]
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The rank file's bytes, about a megabyte, so that executors need no such file."""
+    with open(vocabulary, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def known(run: str) -> bool:
     """Digests and identifiers: random or long by nature, not secret."""
     bare = run.rstrip("=")
@@ -105,13 +115,15 @@ RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def scan(docs: DataFrame, vocabulary: str, max_ratio: float = MAX_RATIO) -> DataFrame:
     """One row for each document with its counts and spans; a narrow map, nothing is shuffled."""
+    ranks = shipped(docs.sparkSession, vocabulary)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary, ranks.value)
         for b in it:
             rows = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")}
             for text in b.column("text").to_pylist():
                 base = base_spans(text)
-                more = random_spans(text, base, encoder(vocabulary), max_ratio)
+                more = random_spans(text, base, enc, max_ratio)
                 for k, n in enumerate(("n_assign", "n_access", "n_hex")):
                     rows[n].append(sum(s[1] == k for s in base))
                 rows["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import beside, bucket_count, bucket_of, packed, row_key, text_or_empty
 
 ROUNDS = 6
 
@@ -75,42 +75,47 @@ def permuted(row: Column, n: int, key: int) -> Column:
     return forward(row)
 
 
-def numbered(df: DataFrame, by: Sequence[str], name: str, buckets: int = 1024) -> DataFrame:
-    """Gapless global row numbers from 0 that depend on the rows alone.
+def numbered(df: DataFrame, by: Sequence[Column], name: str, buckets: int | None = None) -> DataFrame:
+    """The rows as one column, `row`, and gapless global row numbers from 0 that depend on the rows alone.
 
-    Rows are ordered by hash bucket and, in it, by `by`; a bucket starts where the
-    counts of those before it end. Only the counts, a row for each bucket, meet in
-    one task. `by` should tell rows apart: rows equal in it share a bucket, which is
-    streamed through a sort, and are interchangeable.
+    Rows are ordered by a key of `by`; keys in order fall into buckets, and a bucket starts
+    where the counts of those before it end. Only the counts, a row for each bucket, meet
+    in one task, and there are as many buckets as the rows ask for. `by` should tell rows
+    apart: rows equal in it share a bucket, which is streamed through a sort, and are
+    interchangeable.
     """
-    key = F.xxhash64(*by)
-    dealt = df.withColumn("__key", key).withColumn("__bucket", F.pmod("__key", F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("__bucket", F.coalesce(before, F.lit(0)).alias("__start"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", *by))
-    bounded = F.broadcast(starts)  # `buckets` rows at most
-    return dealt.join(bounded, "__bucket").withColumn(name, F.col("__start") + within - 1).drop("__key", "__bucket", "__start")
+    buckets = buckets or bucket_count(df.count())
+    dealt = df.select(packed(df).alias("row"), row_key(*by).alias("key")).withColumn("bucket", bucket_of(F.col("key"), buckets))
+    counts = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+    bounded = F.broadcast(starts)  # one row of 12 bytes for `BUCKET_ROWS` rows
+    return dealt.join(bounded, "bucket").select("row", (F.col("start") + within - 1).alias(name))
 
 
-def shard(docs: DataFrame, shards: int = 8, key: int = 2024, carry: Sequence[str] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, key: int = 2024, carry: bool = False) -> DataFrame:
     """Shard and slot of every row under the law `rows`.
 
-    Returns doc_id, size (UTF-8 bytes and 1), text_crc32, shard, slot, row_number and
-    the columns in `carry`. A null text counts as empty; a null doc_id is a value like
-    any other; equal rows get different slots; an empty table gives an empty result.
+    Returns doc_id, size (UTF-8 bytes and 1), text_crc32, shard, slot, row_number and, with
+    `carry`, the other columns of `docs`; those of a name that is taken get "docs_" before
+    it. A null text counts as empty and a very long one whole; a null doc_id is a value
+    like any other; equal rows get different slots; an empty table gives an empty result.
     """
     binary = text_or_empty().cast("binary")
-    names = dict.fromkeys(["doc_id", *carry])
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], (F.octet_length(binary) + 1).cast("long").alias("size"), F.crc32(binary).alias("text_crc32"))
+    own = [F.octet_length(binary).cast("long").alias("bytes"), F.crc32(binary).alias("crc"), F.md5(binary).alias("digest")]
+    rows = docs.select(F.col("doc_id").alias("id"), *own, *([packed(docs).alias("doc")] if carry else []))
     n = docs.count()
-    placed = numbered(rows, ["doc_id", "text_crc32", "size"], "row_number").withColumn("__at", permuted(F.col("row_number"), n, key))
+    placed = numbered(rows, [F.col("id"), F.col("digest")], "row_number").withColumn("at", permuted(F.col("row_number"), n, key))
+    added = ["doc_id", "size", "text_crc32", "shard", "slot", "row_number"]
+    others = [c for c in docs.columns if c != "doc_id"] if carry else []
     return placed.select(
-        *names,
-        "size",
-        "text_crc32",
-        (F.col("__at") % shards).cast("int").alias("shard"),
-        F.expr(f"__at div {int(shards)}").alias("slot"),
+        F.col("row.id").alias("doc_id"),
+        *[F.col("row.doc")[c].alias(n) for c, n in zip(others, beside(others, added))],
+        (F.col("row.bytes") + 1).alias("size"),
+        F.col("row.crc").alias("text_crc32"),
+        (F.col("at") % shards).cast("int").alias("shard"),
+        F.expr(f"at div {int(shards)}").alias("slot"),
         "row_number",
     )
 

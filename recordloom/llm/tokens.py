@@ -16,8 +16,8 @@ shuffle of its own, whose files go when its execution ends: disk holds the table
 shards and one wave. A file is written under a name of its own and renamed by the task
 that filled it, so a task that is lost and run again leaves whole shards only.
 
-Defined cases: a null or empty text is one sequence that holds the end mark; repeated
-rows have sequences each; an empty table writes no shards; other columns are ignored.
+Defined cases: a null or empty text is one sequence that holds the end mark; a very long
+text has as many sequences as it needs; repeated rows have sequences each; an empty table writes no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +33,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, scratch, tidy_shuffles
-from .secrets import encoder
+from .common import bucket_count, bucket_of, put_in_place, remove, row_key, scratch, text_or_empty, tidy_shuffles
+from .secrets import encoder, shipped
 from .sharding import Feistel
 
 LENGTH = 512
 KEY = 31
-BUCKETS = 1024
-SHARD_BYTES = 32 << 20
+#: Least size of a shard; they grow with the data, so that there are `MOST_SHARDS` at most.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 16_384
 WAVES = 4
 NO_ID = -(1 << 63)
 END = 50256  # free in the vocabularies of 50,256 ranks
@@ -55,11 +55,11 @@ def record_type(length: int, ids: int) -> np.dtype:
 
 
 def tokenised(docs: DataFrame, vocabulary: str, length: int, end: int, buckets: int) -> DataFrame:
-    """__bucket, __key, doc_id, parts, ids (bytes without padding) for each document."""
-    kind = dtype_of(end + 1)
+    """bucket, key, doc_id, parts, ids (bytes without padding) for each document."""
+    kind, ranks = dtype_of(end + 1), shipped(docs.sparkSession, vocabulary)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, ranks.value)
         for b in it:
             texts, at = b.column("text"), 0
             while at < len(texts):  # a few documents at a time, so batches of long ones stay small
@@ -72,14 +72,15 @@ def tokenised(docs: DataFrame, vocabulary: str, length: int, end: int, buckets:
                     size += len(out[-1])
                     n += 1
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("__bucket").slice(at, n), b.column("__key").slice(at, n), b.column("doc_id").slice(at, n), pa.array(parts, pa.int64()), pa.array(out, pa.binary())],
-                    names=["__bucket", "__key", "doc_id", "parts", "ids"],
+                    [b.column("bucket").slice(at, n), b.column("key").slice(at, n), b.column("doc_id").slice(at, n), pa.array(parts, pa.int64()), pa.array(out, pa.binary())],
+                    names=["bucket", "key", "doc_id", "parts", "ids"],
                 )
                 at += n
 
-    key = F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("__bucket"), key.alias("__key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(batches, "__bucket int, __key long, doc_id long, parts long, ids binary")
+    text = text_or_empty()
+    rows = docs.select(row_key(F.col("doc_id"), F.md5(text.cast("binary"))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select(bucket_of(F.col("key"), buckets).alias("bucket"), "key", "doc_id", "text")
+    return rows.mapInArrow(batches, "bucket int, key string, doc_id long, parts long, ids binary")
 
 
 def write_shards(
@@ -90,25 +91,26 @@ def write_shards(
     end: int = END,
     key: int = KEY,
     shard_bytes: int = SHARD_BYTES,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     waves: int = WAVES,
 ) -> DataFrame:
     """Write the shards and their manifest; one row for each shard: shard, path, sequences, first_slot, bytes, sha256."""
     spark = docs.sparkSession
-    along = Window.partitionBy("__bucket").orderBy("__key", "doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets or bucket_count(docs.count())
+    along = Window.partitionBy("bucket").orderBy("key", "doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = tokenised(docs, vocabulary, length, end, buckets).withColumn("inner", F.coalesce(F.sum("parts").over(along), F.lit(0)))
     held = scratch(spark, "tokens")
     with tidy_shuffles(spark):
-        placed.drop("__key").write.option("compression", "zstd").parquet(held)
+        placed.drop("key").write.option("compression", "zstd").parquet(held)
     table = spark.read.parquet(held)
-    totals = table.groupBy("__bucket").agg(F.sum("parts").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = totals.select("__bucket", F.coalesce(before, F.lit(0)).alias("__start"), "__n").collect()  # BUCKETS rows at most
-    total = sum(r["__n"] for r in starts)
-    start_of = {r["__bucket"]: r["__start"] for r in starts}
+    totals = table.groupBy("bucket").agg(F.sum("parts").alias("n"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("start"), "n").collect()  # one row for BUCKET_ROWS documents
+    total = sum(r["n"] for r in starts)
+    start_of = spark.sparkContext.broadcast({r["bucket"]: r["start"] for r in starts})
     rtype = record_type(length, end + 1)
     stride = rtype.itemsize
-    per_shard = max(1, min(shard_bytes // stride, total or 1))
+    per_shard = max(1, min(shard_bytes // stride, total or 1), -(-total // MOST_SHARDS))
     shards = -(-total // per_shard)
 
     def cutter(low: int, high: int):
@@ -124,7 +126,7 @@ def write_shards(
 
             for b in it:
                 parts = b.column("parts").to_numpy()
-                first = np.array([start_of[k] for k in b.column("__bucket").to_pylist()], np.int64) + b.column("inner").to_numpy()
+                first = np.array([start_of.value[k] for k in b.column("bucket").to_pylist()], np.int64) + b.column("inner").to_numpy()
                 ids = b.column("doc_id").fill_null(NO_ID).to_numpy()
                 row = np.repeat(np.arange(len(parts)), parts)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -159,7 +161,7 @@ def write_shards(
         def close():
             out.close()
             name = f"shard-{shard:06d}.bin"
-            fs.move(tmp, f"{path}/{name}")
+            put_in_place(fs, tmp, f"{path}/{name}")
             for c, v in zip(done, (shard, name, n, shard * per_shard, n * stride, sha.hexdigest())):
                 done[c].append(v)
 
@@ -188,14 +190,15 @@ def write_shards(
     with tidy_shuffles(spark):
         for first in range(0, max(1, shards), some):
             cut = cutter(first * per_shard, (first + some) * per_shard)
-            records = table.select("__bucket", "inner", "doc_id", "parts", "ids").mapInArrow(cut, "shard long, slot long, record binary")
+            records = table.select("bucket", "inner", "doc_id", "parts", "ids").mapInArrow(cut, "shard long, slot long, record binary")
             own = (F.col("shard") - first).cast("int")  # ranges of slots are known, so none need be sampled
             dealt = records.repartitionById(some, own).sortWithinPartitions("slot")
             dealt.mapInArrow(write, schema).write.mode("append").parquet(manifest_at)
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/format.json", compression=None) as f:
+    with fs.open_output_stream(f"{path}/format.part", compression=None) as f:
         f.write(json.dumps({"sequences": total, "per_shard": per_shard, "stride": stride, "length": length, "key": key, "end": end}).encode())
+    put_in_place(fs, f"{path}/format.part", f"{path}/format.json")
     remove(spark, held)
     return spark.read.schema(schema).parquet(manifest_at)
 

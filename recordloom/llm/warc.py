@@ -10,7 +10,9 @@ pyarrow's file systems, so a URI of file, hdfs, s3 or gs will do. A task writes
 name of its own and renames at the end: a task that is lost and run again leaves whole
 files only, and the index names the files that count.
 
-Defined cases: a null html is an empty payload; equal payloads of `least` bytes or more
+Each archive opens with a warcinfo record; a revisit names its response by record id.
+
+Defined cases: a null html is an empty payload; a very long one is a record like others; equal payloads of `least` bytes or more
 are stored once, in the record with the largest page_id (null last; of equal ids all are
 stored), the rest are revisits; repeated rows each have a record; no rows, no archives.
 """
@@ -28,11 +30,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, tidy_shuffles
+from .common import materialise, put_in_place, scratch, tidy_shuffles
 
 CRLF = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
+#: Digests that occur twice or more, up to this number (48 bytes each), are broadcast, so payloads are not shuffled; more are joined.
+BROADCAST_DIGESTS = 500_000
 GZIP = 31  # zlib's window bits for a gzip wrapper
 
 INDEX = "archive string, offset long, length long, page_id long, record_type string, digest string"
@@ -56,24 +61,38 @@ def page_of(uri: str) -> int | None:
     return None if last == "null" else int(last)
 
 
+def record_id(page_id: int | None, digest: str, kind: str) -> str:
+    """A record's id follows from what it holds, so a revisit can name its response before that is written; equal rows share theirs."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_uri(page_id)} {digest} {kind}')}>"
+
+
+def assembled(head: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [*head, ("Content-Length", str(len(block)))]
+    return b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in head) + CRLF + block + CRLF + CRLF
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that opens an archive."""
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return assembled(head, b"software: recordloom\r\nformat: WARC File Format 1.1\r\n")
+
+
 def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     """One WARC 1.1 record. A revisit has the HTTP head only; its length header keeps the payload's."""
     http = HTTP % len(payload)
     block = http if kind == "revisit" else http + payload
-    stamp = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_uri(page_id)} {digest} {kind}")
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{stamp}>"),
-        ("WARC-Date", "2024-01-01T00:00:00Z"),
+        ("WARC-Record-ID", record_id(page_id, digest, kind)),
+        ("WARC-Date", DATE),
         ("WARC-Target-URI", "".join(c for c in url or "" if c not in "\r\n")),
         ("WARC-Page-ID", page_uri(page_id)),
         ("WARC-Payload-Digest", base32(digest)),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", page_uri(refers_to))]
-    head.append(("Content-Length", str(len(block))))
-    return b"WARC/1.1" + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in head) + CRLF + block + CRLF + CRLF
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest, "response")), ("WARC-Refers-To-Page-ID", page_uri(refers_to))]
+    return assembled(head, block)
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -138,20 +157,20 @@ def opened(uri: str):
 def decided(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, payload, payload_digest, record_type and refers_to for every page.
 
-    The largest page_id of each digest is found with map-side combining over narrow
-    rows, and only digests that occur twice come back; adaptive execution splits a hot
-    digest's side of the join.
+    The largest page_id of each digest is found with map-side combining over narrow rows,
+    and only digests that occur twice come back.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
     large = F.octet_length("payload") >= least
-    holders = rows.filter(large).groupBy("payload_digest").agg(F.max("page_id").alias("__holder"), F.count(F.lit(1)).alias("__n"))
-    holders = holders.filter("__n > 1").select(F.col("payload_digest").alias("__digest"), "__holder")
-    joined = rows.join(holders, large & (F.col("payload_digest") == F.col("__digest")), "left")
-    again = F.col("__holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__holder"))
+    holders = rows.filter(large).groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+    holders = materialise(holders.filter("n > 1").select(F.col("payload_digest").alias("digest"), "holder"), "holders")
+    few = holders.count() <= BROADCAST_DIGESTS
+    joined = rows.join(F.broadcast(holders) if few else holders, large & (F.col("payload_digest") == F.col("digest")), "left")
+    again = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return joined.select(
         "page_id", "url", "payload", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__holder")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("holder")).alias("refers_to"),
     )
 
 
@@ -166,7 +185,7 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 1, file_bytes:
         def close():
             out.write(z.flush())
             out.close()
-            fs.move(f"{path}/{name}.part", f"{path}/{name}")
+            put_in_place(fs, f"{path}/{name}.part", f"{path}/{name}")
             names.append(name)
 
         for b in it:
@@ -174,6 +193,7 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 1, file_bytes:
                 if out is None:
                     name, n = f"{uuid.uuid4().hex}.warc.gz", 0
                     out, z = fs.open_output_stream(f"{path}/{name}.part", compression=None), zlib.compressobj(level, zlib.DEFLATED, GZIP)
+                    out.write(z.compress(warcinfo(name)))
                 data = record(page_id, url, payload, digest, kind, ref)
                 out.write(z.compress(data))
                 n += len(data)
@@ -190,28 +210,32 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 1, file_bytes:
 def normalise(archives: DataFrame, source: str, target: str, level: int = 6, drop_source: bool = False) -> DataFrame:
     """Rewrite archives with a gzip member for each record; the rows of their sidecar indexes.
 
-    A sidecar NAME.idx.parquet stands beside each archive with the same rows.
+    A sidecar NAME.idx.parquet stands beside each archive with the same rows. Every attempt
+    of a task writes under names of its own, so one that is run again meets no file of an
+    earlier one; the rows returned name the files that count.
     """
+    import pyarrow.parquet as pq
 
     def rewrite(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, src), (to_fs, dst) = opened(source), opened(target)
         to_fs.create_dir(dst, recursive=True)
         for b in it:
             for name in b.column("archive").to_pylist():
-                tmp, at, index = f"{dst}/{name}.{uuid.uuid4().hex}.part", 0, []
-                with fs.open_input_stream(f"{src}/{name}", compression=None) as f, to_fs.open_output_stream(tmp, compression=None) as out:
+                own = f"{name.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}.warc.gz"
+                at, index = 0, []
+                with fs.open_input_stream(f"{src}/{name}", compression=None) as f, to_fs.open_output_stream(f"{dst}/{own}.part", compression=None) as out:
                     for head, data in records(inflate(f)):
                         packed = member(data, level)
                         out.write(packed)
-                        index.append((name, at, len(packed), page_of(head["WARC-Page-ID"]), head["WARC-Type"], hex_of(head["WARC-Payload-Digest"])))
+                        page, digest = head.get("WARC-Page-ID"), head.get("WARC-Payload-Digest")  # a warcinfo has neither
+                        index.append((own, at, len(packed), page and page_of(page), head["WARC-Type"], digest and hex_of(digest)))
                         at += len(packed)
-                to_fs.move(tmp, f"{dst}/{name}")
                 types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = [pa.array([r[k] for r in index], t) for k, t in enumerate(types)]
                 batch = pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in INDEX.split(", ")])
-                import pyarrow.parquet as pq
-
-                pq.write_table(pa.Table.from_batches([batch]), f"{dst}/{name}.idx.parquet", filesystem=to_fs)
+                pq.write_table(pa.Table.from_batches([batch]), f"{dst}/{own}.idx.part", filesystem=to_fs)
+                put_in_place(to_fs, f"{dst}/{own}.idx.part", f"{dst}/{own}.idx.parquet")
+                put_in_place(to_fs, f"{dst}/{own}.part", f"{dst}/{own}")
                 if drop_source:
                     fs.delete_file(f"{src}/{name}")
                 yield batch
@@ -220,7 +244,7 @@ def normalise(archives: DataFrame, source: str, target: str, level: int = 6, dro
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
-    """Every record named by the index, parsed from its own member and checked against its digest."""
+    """Every page's record named by the index, parsed from its own member and checked against its digest."""
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = opened(folder)
@@ -241,7 +265,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 kind, digest = head["WARC-Type"], hex_of(head["WARC-Payload-Digest"])
                 if kind == "response" and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
                     raise ValueError(f"{archive} at {offset}: the payload does not match its digest")
-                ref = page_of(head["WARC-Refers-To"]) if kind == "revisit" else None
+                ref = page_of(head["WARC-Refers-To-Page-ID"]) if kind == "revisit" else None
+                if kind == "revisit" and head["WARC-Refers-To"] != record_id(ref, digest, "response"):
+                    raise ValueError(f"{archive} at {offset}: it refers to another record than its page's")
                 for k, v in zip(out, (page_of(head["WARC-Page-ID"]), size, digest, kind, ref, head["WARC-Target-URI"], offset, archive)):
                     out[k].append(v)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
@@ -249,7 +275,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         if f:
             f.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(parse, READ)
+    return index.filter("record_type <> 'warcinfo'").select("archive", "offset", "length").mapInArrow(parse, READ)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 1000) -> DataFrame:

@@ -44,17 +44,19 @@ def check_mix(docs, got):
 
 
 def test_mix(spark, odd_docs, odd_rows, no_docs):
-    got = [(r, r["source"]) for r in mixing.mix(odd_docs, carry=["source"]).collect()]
+    got = [(r, r["row"]["source"]) for r in mixing.mix(odd_docs, carry=True).collect()]
     check_mix([(r[0], r[3], r[1]) for r in odd_rows], got)
-    again = [(r, r["source"]) for r in mixing.mix(odd_docs.repartition(7), carry=["source"]).collect()]
+    again = [(r, r["row"]["source"]) for r in mixing.mix(odd_docs.repartition(7), carry=True).collect()]
     key = lambda x: str(sorted(x[0].asDict().items(), key=str))
     assert sorted(map(key, got)) == sorted(map(key, again))
+    more = mixing.mix(odd_docs, carry=True, buckets=3).collect()
+    assert sorted(map(str, more)) == sorted(str(r) for r, _ in got)  # buckets only deal the work out
     assert mixing.mix(no_docs).count() == 0
 
 
 def test_mix_real(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = [(r, r["source"]) for r in mixing.mix(docs, carry=["source"]).collect()]
+    got = [(r, r["row"]["source"]) for r in mixing.mix(docs, carry=True).collect()]
     check_mix([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], got)
 
 
@@ -98,6 +100,9 @@ def test_shard(odd_docs, odd_rows, no_docs):
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_rows)
     assert want == Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got)
     assert Counter(map(str, got)) == Counter(map(str, sharding.shard(odd_docs.repartition(5), 8).collect()))
+    rows = odd_docs.select("doc_id", "text", "size")
+    few, many = (sharding.numbered(rows, [rows.doc_id, rows.text], "n", buckets=k).collect() for k in (2, 900))
+    assert Counter(map(str, few)) == Counter(map(str, many)) and sorted(r["n"] for r in few) == list(range(len(odd_rows)))
     assert sharding.shard(no_docs).count() == 0
 
 
@@ -107,30 +112,38 @@ def test_chat(spark):
         (1, 0, "system", bad), (1, 2, "assistant", bad), (1, 1, "user", None), (1, 3, None, "x"), (1, None, "user\nassistant", "&nl;\n"),
         (2, 0, "user", "é" * 9), (None, 1, "assistant", ""), (None, 1, "assistant", "tie"), (None, 1, "assistant", "tie"), (3, 0, "assistant", "<" * 5 + "|" * 5),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segment", "2 AS position")
-    turns = chat.format_turns(df)
-    got = {r["conv_id"]: r for r in chat.read_back(turns).collect()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segment", "2 AS position", "3 AS chunk", "4 AS key")
     convs = defaultdict(list)
     for c, t, role, text in rows:
         convs[c].append((t is not None, t or 0, role or "", text or ""))
-    assert set(got) == set(convs)
-    for c, ts in convs.items():
-        ts.sort()
-        loss = "".join(x[3] for x in ts if x[2] == "assistant")
-        r = got[c]
-        assert r["n_turns"] == len(ts) and r["loss_chars"] == len(loss)
-        assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in ts).encode()).hexdigest()
-        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
-        whole = "".join(x["segment"] for x in sorted(turns.filter(turns.conv_id.eqNullSafe(c)).collect(), key=lambda x: x["position"]))
-        assert r["formatted_chars"] == len(whole)
-        examples = [x for x in chat.render(turns).collect() if x["conv_id"] == c]
-        targets = [x[3] for x in ts if x[2] == "assistant"]
-        assert len(examples) == len(targets)
-        for x in examples:
-            assert whole.startswith(x["text"])
-            part = x["text"][x["loss_start"] : x["loss_end"]]
-            assert part.replace("&lt;|", "<|").replace("&amp;", "&") == targets[x["example"]]
-    assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+    for chunk in (2, 4096):
+        turns = chat.format_turns(df, chunk)
+        found = chat.examples(turns)
+        got = {r["conv_id"]: r for r in chat.read_back(found).collect()}
+        assert set(got) == set(convs)
+        for c, ts in convs.items():
+            ts.sort()
+            loss = "".join(x[3] for x in ts if x[2] == "assistant")
+            r = got[c]
+            assert r["n_turns"] == len(ts) and r["loss_chars"] == len(loss)
+            assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in ts).encode()).hexdigest()
+            assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+            whole = "".join(x["segment"] for x in sorted(turns.filter(turns.conv_id.eqNullSafe(c)).collect(), key=lambda x: x["position"]))
+            assert r["formatted_chars"] == len(whole)
+            own = [x for x in found.collect() if x["conv_id"] == c]
+            assert "".join(x["text"] for x in sorted(own, key=lambda x: x["start"])) == whole
+            replies = [x for x in own if x["loss_end"] is not None]
+            targets = [x[3] for x in ts if x[2] == "assistant"]
+            assert sorted(x["example"] for x in replies) == list(range(len(targets))) and r["n_examples"] == len(targets)
+            assert all(x["end"] == x["loss_end"] + len(chat.END) and whole[x["context_end"] :].startswith(chat.START + "assistant\n") for x in replies)
+            written = [x for x in chat.render(found).collect() if x["conv_id"] == c]
+            assert len(written) == len(targets)
+            for x in written:  # each assistant turn with all turns before it
+                own_turns = [k for k, t in enumerate(ts) if t[2] == "assistant"][x["example"]]
+                assert x["text"].count(chat.START) == own_turns + 1 and whole.startswith(x["text"])
+                part = x["text"][x["loss_start"] : x["loss_end"]]
+                assert part.replace("&lt;|", "<|").replace("&amp;", "&") == targets[x["example"]]
+    assert chat.read_back(chat.examples(chat.format_turns(df.limit(0)))).count() == 0
 
 
 def counts(text):

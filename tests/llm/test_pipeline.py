@@ -4,8 +4,10 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from recordloom.llm import neardup, quality
+from recordloom.llm import neardup, quality, sharding
 
 from .test_native import counts, fill
 
@@ -59,3 +61,26 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+CLASHES = ["size", "shard", "slot", "row_number", "text_crc32", "__start", "__bucket", "__key", "__hit", "__node", "__bad", "__salt", "__src", "row", "host", "key", "id", "Failed", "a.b", "docs_size"]
+
+
+def test_odd_documents_and_clashing_names(spark, sf_dir, odd_docs):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, names that the stages use themselves."""
+    wide = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in CLASHES])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf_dir)
+        rows, had = out.collect(), wide.collect()
+        if name != "sharding":
+            assert out.columns == wide.columns
+            assert set(map(str, rows)) <= set(map(str, had))
+        else:
+            kept = ["doc_id", *(("docs_" if c in ("shard", "slot", "row_number", "text_crc32") else "docs_docs_" if c == "size" else "") + c for c in wide.columns[1:])]
+            assert out.columns == [*kept, "size", "text_crc32", "shard", "slot", "row_number"]
+            assert Counter(tuple(r)[: len(kept)] for r in rows) == Counter(map(tuple, had))
+
+
+def test_a_column_is_lost_nowhere_when_names_differ_in_case(spark, odd_docs):
+    out = sharding.shard(odd_docs.select("doc_id", "text", F.lit(1).alias("SIZE")), carry=True)
+    assert out.columns == ["doc_id", "text", "docs_SIZE", "size", "text_crc32", "shard", "slot", "row_number"]

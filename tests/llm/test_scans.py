@@ -119,7 +119,7 @@ def test_leaks(spark, sf_dir, odd_docs, no_docs):
     assert decontamination.leaks(no_docs, bench).count() == 0 and decontamination.leaks(odd_docs, bench.limit(0)).count() == 0
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     big = "<p>" + "é" * 700
     pages = [(k, f"http://h/{k}", big + str(k % 3)) for k in range(12)] + [(50, None, None), (51, "u\r\nx", "small"), (52, "u", "small"), (None, "n", big + "0"), (None, "n", "z" * 2000), (60, "d", "d" * 1000), (60, "d", "d" * 1000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS payload", "2 AS record_type").repartition(3)
@@ -136,6 +136,17 @@ def test_warc(spark, tmp_path):
     assert want == Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got)
     assert warc.round_trip(df.limit(0)).count() == 0
     assert len(list(tmp_path.glob("members/*.idx.parquet"))) == len(list(tmp_path.glob("members/*.warc.gz"))) == len(list(tmp_path.glob("raw/*.warc.gz")))
+    ids, refers = set(), set()
+    for path in tmp_path.glob("members/*.warc.gz"):
+        with path.open("rb") as f:
+            heads = [h for h, _ in warc.records(warc.inflate(f))]
+        assert [h["WARC-Type"] for h in heads].count("warcinfo") == 1 == (heads[0]["WARC-Type"] == "warcinfo")
+        ids |= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+        refers |= {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    assert refers and refers <= ids
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    again = warc.round_trip(df, f"file://{tmp_path}/joined").collect()
+    assert want == Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in again)
 
 
 @pytest.mark.parametrize("block,most", [(1, 16 << 20), (7, 3), (1 << 20, 1), (100, 1 << 20)])

@@ -35,7 +35,7 @@ def test_round_trip(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert read == want
     for a, k in ((0, 7), (n - 3, 9), (n // 2, 40)):
         assert (reader.read(a, k) == records[a : a + k]).all()
-    again = tokens.materialised(odd_docs.repartition(5), VOCABULARY, f"file://{tmp_path}/b", length=64, shard_bytes=64 * 200, buckets=7)
+    again = tokens.materialised(odd_docs.repartition(5), VOCABULARY, f"file://{tmp_path}/b", length=64, shard_bytes=64 * 200, buckets=900)
     assert again.count() == n and (tokens.Reader(f"file://{tmp_path}/b").read(0, n) == records).all()
     assert tokens.materialised(no_docs, VOCABULARY, f"file://{tmp_path}/c").count() == 0
 
