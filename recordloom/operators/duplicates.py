@@ -27,39 +27,69 @@ def key_values(fields: DataFrame, keys: list[str] = V.DUPLICATE_KEYS) -> DataFra
     return known.groupBy("document_id", "canonical_key").agg(F.max_by(key_form(F.col("field_value")), "seq").alias("value"))
 
 
+def groups(values: DataFrame, keys: list[str], id_: str = "document_id") -> DataFrame:
+    """document_id, group_id, the keys: documents that agree on every key (nulls too) share a group, named by its lowest id.
+
+    The lowest id comes from an aggregate that is combined before its shuffle, and is
+    joined back by a hash of the keys with the keys themselves as the condition.
+    """
+    hashed = values.select(id_, F.xxhash64(*keys).alias("hash"), *keys)
+    lowest = hashed.groupBy("hash", *keys).agg(F.min(id_).alias("group_id"))
+    same = F.col("v.hash") == F.col("g.hash")
+    for c in keys:
+        same &= F.col(f"v.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return hashed.alias("v").join(lowest.alias("g"), same).select(F.col(f"v.{id_}").alias("document_id"), "group_id", *[F.col(f"v.{c}").alias(c) for c in keys])
+
+
 def k_of_n_pairs(values: DataFrame, keys: list[str], k: int, id_: str = "document_id") -> DataFrame:
-    """a, b, matched_keys of documents that agree on k keys or more; both directions.
+    """a, b, matched_keys of groups that agree on k keys or more, named by their lowest ids; both directions.
 
-    `values` is wide, a column for each key. Documents meet only where k keys agree at
-    once: each has a block for every k-subset of its keys, so a frequent value by itself
-    brings nobody together. In a block those whose values agree on all keys are one
-    group, kept as one row; pairs are made between groups, then by their members.
+    `values` is wide, a column for each key. Groups meet only where k keys agree at once:
+    each has a block for every k-subset of its keys, so a frequent value by itself brings
+    nobody together. Members of a group, however many, are one row.
     """
-    wide = values.select(id_, F.xxhash64(*keys).alias("__sig"), *keys)
-    groups = wide.groupBy(*keys).agg(F.min(id_).alias("__g"))
+    each = values.groupBy(*keys).agg(F.min(id_).alias("g"))
     blocks = F.array(*[
-        F.when(F.concat(*[F.col(c) for c in part]).isNotNull(), F.struct(F.lit("\x1f".join(part)).alias("subset"), F.to_json(F.array(*part)).alias("v")))
+        F.when(F.concat(*[F.col(c) for c in part]).isNotNull(), F.struct(F.lit("\x1f".join(part)).alias("subset"), F.xxhash64(*part).alias("hash")))
         for part in combinations(keys, k)
     ])
-    dealt = groups.select("__g", *keys, F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("__b"))
-    left = dealt.select("__b", F.col("__g").alias("ga"), *[F.col(c).alias(f"a_{c}") for c in keys])
-    right = dealt.select("__b", F.col("__g").alias("gb"), *[F.col(c).alias(f"b_{c}") for c in keys])
-    same = [F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), c) for c in keys]
-    # A pair is made in the first of the subsets on which it agrees, so once.
-    matched = F.filter(F.array(*same), lambda x: x.isNotNull())
-    first = F.array_join(F.slice(matched, 1, k), "\x1f") == F.col("__b.subset")
-    pairs = left.join(right, "__b").filter(first).select("ga", "gb", matched.alias("matched_keys"))
-    member = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    named = wide.join(groups.select("__g", *[F.col(c).alias(f"__{c}") for c in keys]), member).select(id_, "__g")
-    a, b = named.select(F.col(id_).alias("a"), F.col("__g").alias("ga")), named.select(F.col(id_).alias("b"), F.col("__g").alias("gb"))
-    return pairs.join(a, "ga").join(b, "gb").filter("a <> b").select("a", "b", "matched_keys")
+    dealt = each.select("g", *keys, F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("block"))
+    left = dealt.select("block", F.col("g").alias("a"), *[F.col(c).alias(f"a_{c}") for c in keys])
+    right = dealt.select("block", F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in keys])
+    # A pair is made in the first of the subsets on which it truly agrees, so once, whatever hashes say.
+    matched = F.filter(F.array(*[F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), c) for c in keys]), lambda x: x.isNotNull())
+    first = F.array_join(F.slice(matched, 1, k), "\x1f") == F.col("block.subset")
+    return left.join(right, "block").filter(first & (F.col("a") != F.col("b"))).select("a", "b", matched.alias("matched_keys"))
 
 
 def content_duplicates(values: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, least: int = 3, id_: str = "document_id") -> DataFrame:
-    """document_id, duplicate_id, matched, similarity (matches over the document's own keys: not symmetric)."""
-    own = values.select(F.col(id_).alias("a"), sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in keys), F.lit(0)).alias("n"))
-    pairs = k_of_n_pairs(values, keys, least, id_).join(own, "a")
-    return pairs.select(F.col("a").alias("document_id"), F.col("b").alias("duplicate_id"), F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
+    """document_id, duplicate_id, kind, matched, matched_keys, similarity (matches over the document's own keys: not symmetric).
+
+    Of kind `group`: pairs between groups of documents that agree on all keys, each named
+    by its lowest id. Of kind `member`: each other document of a group with that lowest id.
+    Two documents are duplicates if they are of one group with `least` keys or more, or of
+    two groups that are a pair; copies are not expanded into pairs. `expanded` does that.
+    """
+    own = lambda c: sum((F.when(F.col(k).isNotNull(), 1).otherwise(0) for k in keys), F.lit(0)).alias(c)
+    members = groups(values, keys, id_).select("document_id", F.col("group_id").alias("duplicate_id"), own("n"), F.filter(F.array(*[F.when(F.col(c).isNotNull(), c) for c in keys]), lambda x: x.isNotNull()).alias("matched_keys"))
+    inside = members.filter((F.col("document_id") != F.col("duplicate_id")) & (F.col("n") >= least)).withColumn("kind", F.lit("member"))
+    between = k_of_n_pairs(values, keys, least, id_).join(values.select(F.col(id_).alias("a"), own("n")), "a")
+    between = between.select(F.col("a").alias("document_id"), F.col("b").alias("duplicate_id"), "n", "matched_keys", F.lit("group").alias("kind"))
+    both = between.unionByName(inside)
+    return both.select("document_id", "duplicate_id", "kind", F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
+
+
+def expanded(links: DataFrame, members: DataFrame, document_ids: DataFrame) -> DataFrame:
+    """document_id, duplicate_id of all duplicates of the documents asked for: a few documents' list, not the table's.
+
+    `links` are rows of content_duplicates, `members` of groups.
+    """
+    asked = members.join(document_ids.select("document_id").distinct(), "document_id").select("document_id", "group_id")
+    pairs = links.filter("kind = 'group'").select(F.col("document_id").alias("group_id"), F.col("duplicate_id").alias("other"))
+    inside = links.filter("kind = 'member'").select(F.col("duplicate_id").alias("group_id")).distinct().select("group_id", F.col("group_id").alias("other"))
+    other = members.select(F.col("document_id").alias("duplicate_id"), F.col("group_id").alias("other"))
+    found = asked.join(pairs.unionByName(inside), "group_id").join(other, "other")
+    return found.filter("document_id <> duplicate_id").select("document_id", "duplicate_id")
 
 
 def report(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -14,23 +14,28 @@ VERIFIABLE = [*IDENTIFIERS, "mutation_number", "owner_name", "father_name", "vil
 def lookup(extracted: DataFrame, reference: DataFrame, identifiers: list[str] = IDENTIFIERS, extra: list[str] = ()) -> DataFrame:
     """document_id, ref_id: the reference row that agrees on every identifier given; of several the lowest id.
 
-    Documents are split by which identifiers they have, so each part is an equi-join on
-    just those; none given, no match.
+    A document meets reference rows by the first identifier that it has, in one join for
+    all documents; the others are conditions. None given, no match.
     """
     keys = [*identifiers, *extra]
     wide = extracted.select("document_id", *[F.nullif(strip(F.col(c)), F.lit("")).alias(c) for c in keys])
-    shape = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in keys])
-    shapes = [r[0] for r in wide.select(shape.alias("s")).distinct().collect()]  # 2^keys at most
-    found = None
-    for s in shapes:
-        on = [c for c, bit in zip(keys, s) if bit == "1"]
-        if not on:
-            continue
-        part = wide.filter(shape == s).select("document_id", *on).join(reference.select("ref_id", *on), on).select("document_id", "ref_id")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = wide.filter(F.lit(False)).select("document_id", F.lit(None).cast(reference.schema["ref_id"].dataType).alias("ref_id"))
-    return found.groupBy("document_id").agg(F.min("ref_id").alias("ref_id"))
+    first = F.get(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("key"), F.col(c).alias("value"))) for i, c in enumerate(keys)]), lambda x: x.isNotNull()), F.lit(0))
+    asked = wide.withColumn("first", first).filter(F.col("first").isNotNull()).alias("d")
+    values = F.array(*[F.struct(F.lit(i).alias("key"), F.col(c).cast("string").alias("value")) for i, c in enumerate(keys)])
+    known = reference.select("ref_id", *keys, F.explode(F.filter(values, lambda x: x["value"].isNotNull())).alias("first")).alias("r")
+    agree = F.col("d.first") == F.col("r.first")
+    for c in keys:
+        agree &= F.col(f"d.{c}").isNull() | (F.col(f"d.{c}") == F.col(f"r.{c}"))
+    return asked.join(known, agree).groupBy(F.col("d.document_id").alias("document_id")).agg(F.min("r.ref_id").alias("ref_id"))
+
+
+def parcel_of(extracted: DataFrame, parcels: DataFrame, identifiers: list[str] = IDENTIFIERS, extra: list[str] = ()) -> DataFrame:
+    """document_id, ref_id, matched (the identifiers given), ring: a document's parcel, among those that have a geometry."""
+    drawn = parcels.filter(F.size("ring") >= 3)
+    keys = [*identifiers, *extra]
+    given = F.filter(F.array(*[F.when(F.nullif(strip(F.col(c)), F.lit("")).isNotNull(), c) for c in keys]), lambda x: x.isNotNull())
+    found = lookup(extracted, drawn, identifiers, extra).join(extracted.select("document_id", given.alias("matched")), "document_id")
+    return found.join(drawn.select("ref_id", "ring"), "ref_id").select("document_id", "ref_id", "matched", "ring")
 
 
 def registry_match(extracted: DataFrame, registry: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,15 +1,21 @@
 """SQL for DuckDB that gives the same rows as each query, on the same tables."""
 
+from .queries import language_cases
+
 PAIRS = """
-WITH v AS (SELECT p_partkey AS id, lower(trim(p_brand)) AS p_brand, lower(trim(p_type)) AS p_type, CAST(p_size AS VARCHAR) AS p_size, lower(trim(p_name)) AS p_name FROM part),
-m AS (SELECT a.id AS document_id, b.id AS duplicate_id, CAST(a.p_brand = b.p_brand AS INT) AS k1, CAST(a.p_type = b.p_type AS INT) AS k2, CAST(a.p_size = b.p_size AS INT) AS k3, CAST(a.p_name = b.p_name AS INT) AS k4
-  FROM v a JOIN v b ON a.id <> b.id AND CAST(a.p_brand = b.p_brand AS INT) + CAST(a.p_type = b.p_type AS INT) + CAST(a.p_size = b.p_size AS INT) + CAST(a.p_name = b.p_name AS INT) >= 3)
+WITH v AS (SELECT *, min(id) OVER (PARTITION BY p_brand, p_type, p_size, p_name) AS g FROM
+  (SELECT p_partkey AS id, lower(trim(p_brand)) AS p_brand, lower(trim(p_type)) AS p_type, CAST(p_size AS VARCHAR) AS p_size, lower(trim(p_name)) AS p_name FROM part)),
+m AS (SELECT a.id AS document_id, b.id AS duplicate_id, CASE WHEN a.g = b.g THEN 'member' ELSE 'group' END AS kind,
+    CAST(a.p_brand = b.p_brand AS INT) AS k1, CAST(a.p_type = b.p_type AS INT) AS k2, CAST(a.p_size = b.p_size AS INT) AS k3, CAST(a.p_name = b.p_name AS INT) AS k4
+  FROM v a JOIN v b ON a.id <> b.id AND b.id = b.g AND (a.id = a.g OR a.g = b.g)
+    AND CAST(a.p_brand = b.p_brand AS INT) + CAST(a.p_type = b.p_type AS INT) + CAST(a.p_size = b.p_size AS INT) + CAST(a.p_name = b.p_name AS INT) >= 3)
 """
 
 EXTRACTED = """
 WITH x AS (SELECT c_custkey AS document_id, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS survey_number, CASE WHEN c_custkey % 3 = 0 THEN 'K' || (c_custkey % 100) END AS khata_number,
     CASE WHEN c_custkey % 11 = 0 THEN 'nobody' ELSE upper(replace(c_name, '#', ' - ')) END AS owner_name, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment END AS village FROM customer),
-r AS (SELECT c_custkey AS ref_id, CAST(c_custkey AS VARCHAR) AS survey_number, 'K' || (c_custkey % 100) AS khata_number, c_name AS owner_name, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS village FROM customer WHERE c_custkey % 4 <> 1),
+r AS (SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 4 = 1 THEN 'X' ELSE '' END || c_custkey AS survey_number, CASE WHEN c_custkey % 4 = 1 THEN 'X' ELSE 'K' END || (c_custkey % 100) AS khata_number, c_name AS owner_name,
+    CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS village FROM customer),
 l AS (SELECT x.document_id, min(r.ref_id) AS ref_id FROM x JOIN r ON (x.survey_number IS NULL OR x.survey_number = r.survey_number) AND (x.khata_number IS NULL OR x.khata_number = r.khata_number)
   AND (x.survey_number IS NOT NULL OR x.khata_number IS NOT NULL) GROUP BY 1)
 """
@@ -35,6 +41,7 @@ n AS (SELECT *, TRY_CAST(nullif(regexp_extract(area, '([0-9]+(?:\\.[0-9]+)?)', 1
 """
 FAILURES = """list_filter([
   CASE WHEN a IS NULL THEN 'RULE_AREA_SANITY=HIGH' WHEN a <= 0 THEN 'RULE_AREA_SANITY=CRITICAL' WHEN a > 50000 THEN 'RULE_AREA_SANITY=MEDIUM' END,
+  CASE WHEN record_id % 11 = 4 AND abs(a - 3.5) > a * 0.05 + 0.01 THEN 'RULE_AREA_SUM=HIGH' END,
   CASE WHEN registration_date = '05-03-2030' THEN 'RULE_DATE_SANITY=HIGH' END,
   CASE WHEN lower(trim(owner_name)) = lower(trim(co_owner_name)) THEN 'RULE_OWNER_DUPLICATE=HIGH' END,
   CASE WHEN survey_number = '12#4' THEN 'RULE_SURVEY_FORMAT=MEDIUM' END,
@@ -74,11 +81,18 @@ def _count(pattern: str, column: str = "t") -> str:
     return f"CAST(length({column}) - length(regexp_replace({column}, '{pattern}', '', 'g')) AS BIGINT)"
 
 
+_CASES = ", ".join(f"({i}, '{kind}', {confidence}, {'NULL' if value is None else repr(value)})" for i, (_, kind, _, confidence, value) in enumerate(language_cases()))
+LANGUAGES = f"""
+WITH c(i, kind, confidence, value) AS (VALUES {_CASES})
+SELECT c_custkey AS document_id, kind AS entity_type, coalesce(value, CAST(c_custkey AS VARCHAR)) AS value, CAST(confidence AS DOUBLE) AS confidence FROM customer JOIN c ON c_custkey % {len(language_cases())} = i
+"""
+
 SQL = {
     "content_duplicates": PAIRS
-    + """SELECT document_id, duplicate_id, CAST(k1 + k2 + k3 + k4 AS BIGINT) AS matched,
+    + """SELECT document_id, duplicate_id, kind, CAST(k1 + k2 + k3 + k4 AS BIGINT) AS matched,
       array_to_string(list_filter([CASE WHEN k1 = 1 THEN 'p_brand' END, CASE WHEN k2 = 1 THEN 'p_type' END, CASE WHEN k3 = 1 THEN 'p_size' END, CASE WHEN k4 = 1 THEN 'p_name' END], lambda x: x IS NOT NULL), ',') AS matched_keys,
       round((k1 + k2 + k3 + k4) / 4, 6) AS similarity FROM m""",
+    "duplicate_groups": PAIRS + "SELECT id AS document_id, g AS group_id FROM v",
     "file_duplicates": """WITH h AS (SELECT doc_id AS document_id, sha256(text) AS file_hash FROM documents)
       SELECT document_id, file_hash, min(document_id) OVER (PARTITION BY file_hash) AS duplicate_of, count(*) OVER (PARTITION BY file_hash) AS copies FROM h QUALIFY count(*) OVER (PARTITION BY file_hash) > 1""",
     "duplicate_report": PAIRS
@@ -108,8 +122,8 @@ SQL = {
         bool_or(ref_id IS NOT NULL) AS has FROM s GROUP BY 1)
       SELECT document_id, match, mismatch, not_found, not_verifiable, CASE WHEN NOT has THEN 'NOT_FOUND' WHEN mismatch > 0 THEN 'MISMATCH_DETECTED' WHEN match > 0 AND not_found = 0 THEN 'VERIFIED' WHEN match > 0 THEN 'PARTIALLY_VERIFIED'
         WHEN not_found > 0 THEN 'UNVERIFIED' ELSE 'NOT_VERIFIABLE' END AS overall FROM n""",
-    "registry_lookup": """WITH r AS (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0),
-      l AS (SELECT a.s_suppkey AS document_id, (a.s_suppkey % 2 = 0)::INT + 1 AS n, min(r.s_suppkey) AS ref_id FROM supplier a LEFT JOIN r ON a.s_nationkey = r.s_nationkey AND (a.s_suppkey % 2 <> 0 OR a.s_name = r.s_name) GROUP BY 1, 2)
+    "registry_lookup": """WITH r AS (SELECT s_suppkey, f || s_name AS s_name, f || s_nationkey AS district FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN 'former ' ELSE '' END AS f FROM supplier)),
+      l AS (SELECT a.s_suppkey AS document_id, (a.s_suppkey % 2 = 0)::INT + 1 AS n, min(r.s_suppkey) AS ref_id FROM supplier a LEFT JOIN r ON CAST(a.s_nationkey AS VARCHAR) = r.district AND (a.s_suppkey % 2 <> 0 OR a.s_name = r.s_name) GROUP BY 1, 2)
       SELECT document_id, ref_id, CASE WHEN ref_id IS NULL THEN 0.0 ELSE round(least(1.0, n / 3), 2) END::DOUBLE AS match_score, CASE WHEN ref_id IS NULL THEN 'NOT_FOUND' ELSE 'MATCHED' END AS status FROM l""",
     "page_text": BLOCKS
     + """ SELECT document_id, page, sha256(coalesce(string_agg(text, chr(10) ORDER BY block) FILTER (trim(text) <> ''), '')) AS text, round(coalesce(avg(confidence) FILTER (confidence > 0), 0), 6)::DOUBLE AS avg_confidence,
@@ -140,7 +154,8 @@ SQL = {
       UNION ALL SELECT c_custkey, 'KHATA_NUMBER', CAST(c_nationkey AS VARCHAR), 0.88 FROM customer UNION ALL SELECT c_custkey, 'AREA', '2.5', 0.85 FROM customer""",
     "table_fields": "SELECT p_partkey AS document_id, 'Brand' AS field_name, p_brand AS field_value, 0.80::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'Item Type', p_type, 0.80 FROM part",
     "layout_stats": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s]')) AS ls FROM documents)
-      SELECT doc_id, CAST(len(ls) AS BIGINT) AS lines, CAST(len(list_filter(ls, lambda x: len(regexp_split_to_array(x, '[\\t|]+')) >= 3)) AS BIGINT) AS table_rows FROM l""",
+      SELECT doc_id, CAST(len(ls) AS BIGINT) AS lines, CAST(len(list_filter(ls, lambda x: len(regexp_split_to_array(x, '[\\t|]+')) >= 3)) AS BIGINT) AS table_rows,
+        CAST(len(list_filter(ls, lambda x: upper(x) = x AND lower(x) <> x AND length(trim(x, ' \t\r')) BETWEEN 6 AND 79)) AS BIGINT) AS headings FROM l""",
     "digits_and_terms": """WITH t AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS even, translate(CAST(s_suppkey AS VARCHAR), '0123456789', '०१२३४५६७८९') AS d, CASE WHEN s_suppkey % 2 = 0 THEN ' हेक्टर' ELSE ' ગામ' END AS w FROM supplier), u AS (SELECT *, d || w AS t FROM t)
       SELECT s_suppkey, s_suppkey || w AS digits, CASE WHEN s_suppkey % 5 <> 0 THEN CASE WHEN even THEN 'Hectares' ELSE 'Village' END END AS term, d || CASE WHEN even THEN ' Hectares' ELSE ' Village' END AS inline,
         CASE WHEN length(t) <= 8 THEN repeat('*', CAST(len(t) AS INT)) ELSE substr(t, 1, 4) || '****' || right(t, 4) END AS masked FROM (SELECT *, d || w AS t FROM t)""",
@@ -198,12 +213,12 @@ SQL = {
       c AS (SELECT *, CAST(least(1000, x0) AS INT) AS a, CAST(least(1000, y0) AS INT) AS b, CAST(least(1000, x1) AS INT) AS d FROM b)
       SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN least(a, d) || ',' || least(b, 1000) || ',' || greatest(a, d) || ',' || 1000 END AS bbox FROM c""",
     "json_values": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events",
-    "embedding_cosine": """SELECT a.vec_id AS a, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5)::DOUBLE AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "name_similarity": """SELECT a.n_nationkey AS k, round(1 - levenshtein(lower(a.n_name), lower(b.n_name)) / greatest(length(a.n_name), length(b.n_name)), 6)::DOUBLE AS similarity FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1""",
+    "embedding_cosine": """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5)::DOUBLE AS cosine FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0""",
+    "name_similarity": """SELECT r_regionkey, n_nationkey, round(1 - levenshtein(lower(r_name), lower(n_name)) / greatest(length(r_name), length(n_name)), 6)::DOUBLE AS similarity FROM region CROSS JOIN nation""",
     "change_intervals": """WITH d AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1000000 AS s FROM events)
       SELECT user_id, count(s) AS n, CAST(sum(CAST(round(s, 0) AS BIGINT)) AS BIGINT) AS seconds FROM d GROUP BY 1""",
     "unit_areas": "SELECT p_partkey, round(p_size * CASE p_partkey % 4 WHEN 0 THEN 4046.86 WHEN 1 THEN 10000.0 WHEN 2 THEN 0.0929 END, 4)::DOUBLE AS square_metres FROM part",
-    "low_blocks": "SELECT conv_id AS document_id, turn AS ord, substr(text, 1, 12) AS text, (turn % 4 / 4)::DOUBLE AS confidence FROM conversations WHERE turn % 4 / 4 < 0.65 AND length(trim(substr(text, 1, 12))) >= 2",
+    "low_blocks": "SELECT conv_id AS document_id, turn AS ord, sha256(text) AS text, (turn % 4 / 4)::DOUBLE AS confidence FROM conversations WHERE turn % 4 / 4 < 0.65 AND length(trim(text)) >= 2",
     "block_types": "SELECT p_partkey, ['unknown', 'title', 'table', 'field', 'form', 'text'][CAST(p_partkey % 6 + 1 AS INT)] AS block_type FROM part",
     "field_problems": "SELECT c_custkey, ['area is not positive', NULL, 'date is in the future', NULL, 'amount is negative', 'empty', NULL][CAST(c_custkey % 7 + 1 AS INT)] AS problem FROM customer",
     "script_votes": """WITH c AS (SELECT user_id AS document_id, event_type AS script, count(*) AS n FROM events GROUP BY 1, 2)
@@ -233,4 +248,38 @@ SQL = {
     "badges": """SELECT CASE WHEN l_discount * 10 >= 0.8 THEN 'HIGH' WHEN l_discount * 10 >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS badge,
       CASE WHEN l_discount * 10 >= 0.85 THEN 'HIGH' WHEN l_discount * 10 >= 0.6 THEN 'MEDIUM' WHEN l_discount * 10 >= 0.3 THEN 'LOW' ELSE 'UNCERTAIN' END AS category, count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY 1, 2",
+    "low_blocks_of_engine": "SELECT conv_id AS document_id, turn AS ord, 'paddle_user' AS engine FROM conversations WHERE role = 'user' AND turn % 4 / 4 < 0.5 AND length(trim(text)) >= 2",
+    "stream_deduplicated": "SELECT event_id, event_type, value FROM events",
+    "replayed_batches": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'new ' ELSE '' END || c_name AS field_value, (c_custkey % 3 = 0)::BIGINT AS batch_id FROM customer",
+    "reused_stages": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'fresh' END AS made FROM customer",
+    "learning_trigger": "SELECT count(*) AS rows, 0::BIGINT AS batch_id FROM events HAVING count(*) FILTER (event_id % 2 = 1) >= 10",
+    "brand_facet": "SELECT p_partkey, p_brand FROM part WHERE lower(p_brand) = 'brand#11'",
+    "visible_rows": """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)
+      SELECT r_regionkey, r_name, n_name AS username FROM region CROSS JOIN n WHERE i < 4 AND n_nationkey % 2 = 0 AND (n_regionkey <= 1 OR i % 2 = 1)""",
+    "shown_dates": "SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS shown FROM orders",
+    "area_mismatches": """WITH p AS (SELECT p_partkey AS id, p_size * 2.0 AS declared, 2.0 * (p_size % 7 + 1) * (p_size % 5 + 1) AS measured FROM part)
+      SELECT id, measured::DOUBLE AS measured FROM p WHERE abs(measured - declared) > 0.05 * declared""",
+    "text_and_table_fields": """SELECT p_partkey AS document_id, 'Brand' AS field_name, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'x' END AS field_value, 0.88::DOUBLE AS confidence FROM part
+      UNION ALL SELECT p_partkey, 'Item Type', p_type, 0.80 FROM part""",
+    "correction_samples": """SELECT c_custkey % 50 AS document_id, c_custkey AS id, 'owner' AS field_name, 'OWNER_NAME' AS canonical_key, c_name AS original_value, 'new ' || c_name AS corrected_value, 'value_correction' AS correction_type
+      FROM customer WHERE c_custkey % 3 = 0""",
+    "manual_rows": "SELECT c_custkey AS id, c_name AS field_value, CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, 'manual' AS extraction_method, 'valid' AS validation_status FROM customer",
+    "deployments": """SELECT n_nationkey::BIGINT AS version, n_regionkey::BIGINT AS training_samples_count, n_nationkey = 23 AS deployed, 0.1::DOUBLE AS improvement_delta FROM nation
+      UNION ALL SELECT max(n_nationkey) + 1, 9, true, 0.15 FROM nation UNION ALL SELECT max(n_nationkey) + 2, 9, false, -0.25 FROM nation""",
+    "ordered_orders": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 50",
+    "latest_snapshots": "SELECT n_nationkey AS version, n_nationkey < 20 AS deployed FROM nation WHERE n_nationkey = (SELECT max(n_nationkey) FROM nation) OR n_nationkey = 19",
+    "parcel_of_documents": """WITH d AS (SELECT p_partkey AS id, p_partkey % 3 <> 0 AS s, p_partkey % 2 = 0 AS k FROM part),
+      m AS (SELECT d.id, d.s, d.k, min(r.p_partkey) AS ref_id FROM d JOIN part r ON r.p_partkey % 4 <> 0 AND (d.s OR d.k) AND (NOT d.s OR d.id = r.p_partkey) AND (NOT d.k OR d.id % 50 = r.p_partkey % 50) GROUP BY ALL)
+      SELECT id AS document_id, ref_id, CASE WHEN s AND k THEN 'survey_number,khata_number' WHEN s THEN 'survey_number' ELSE 'khata_number' END AS matched, (ref_id * 37 % 1000)::DOUBLE AS x FROM m""",
+    "language_entities": LANGUAGES,
+    "devanagari_and_two_line_fields": """SELECT c_custkey AS document_id, 'गाव' AS field_name, c_mktsegment AS field_value, 0.88::DOUBLE AS confidence, 'VILLAGE' AS canonical_key FROM customer
+      UNION ALL SELECT c_custkey, 'मूळ' || chr(10) || 'गाव', c_mktsegment, 0.85, NULL FROM customer UNION ALL SELECT c_custkey, 'मूळ', 'गाव: ' || c_mktsegment, 0.78, NULL FROM customer UNION ALL SELECT c_custkey, 'Owner Name', c_name, 0.78, 'OWNER_NAME' FROM customer""",
+    "page_fields": """SELECT s_suppkey AS document_id, 1::BIGINT AS page_number, 'Owner' AS field_name, s_name AS field_value, s_suppkey || '.0,0.0,9.0,9.0' AS box FROM supplier
+      UNION ALL SELECT s_suppkey, 2, 'Village', s_name, s_suppkey || '.0,0.0,9.0,9.0' FROM supplier""",
+    "exported_csv": """SELECT CAST(s_suppkey AS VARCHAR) AS document_id, 'a "b", ' || s_name AS filename, 'COMPLETED' AS status, CASE WHEN s_suppkey % 2 = 0 THEN 'hi' ELSE 'auto' END AS language,
+      CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '0' END AS file_size, '2024' AS created_at FROM supplier""",
+    "exported_features": "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 91 % 1000 + p_size % 5 + 1 END::DOUBLE AS y FROM part",
+    "feature_file": "SELECT p_partkey AS id, (p_partkey * 37 % 1000)::DOUBLE AS x FROM part ORDER BY 1 LIMIT 20",
+    "stored_objects": "SELECT n_nationkey, strlen(n_name) AS length, sha256(n_name) AS file_hash FROM nation",
+    "ground_truth": "SELECT CAST(n_nationkey AS VARCHAR) AS id, 'VILLAGE' AS field_name, n_name AS field_value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'AREA', CAST(n_regionkey AS VARCHAR) FROM nation",
 }

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions import dates, numbers, text
 from ..operators import analytics, anomaly, changes, duplicates, extraction, learning, ordering, rules, scoring, spatial, verification
+from ..sources import tables
 from ..sources.tables import by_key
 from ..streaming import documents as streaming
 
@@ -48,7 +50,12 @@ def part_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = duplicates.content_duplicates(part_values(spark, sf_dir), PART_KEYS, 3)
-    return pairs.select("document_id", "duplicate_id", long("matched").alias("matched"), F.array_join("matched_keys", ",").alias("matched_keys"), six("similarity").alias("similarity"))
+    return pairs.select("document_id", "duplicate_id", "kind", long("matched").alias("matched"), F.array_join("matched_keys", ",").alias("matched_keys"), six("similarity").alias("similarity"))
+
+
+@query
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.groups(part_values(spark, sf_dir), PART_KEYS).select("document_id", "group_id")
 
 
 @query
@@ -136,8 +143,9 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(k % 4 != 1).select(
-        k.alias("ref_id"), k.cast("string").alias("survey_number"), F.concat(F.lit("K"), (k % 100).cast("string")).alias("khata_number"), F.col("c_name").alias("owner_name"),
+    other = k % 4 == 1  # known under other numbers
+    return table(spark, sf_dir, "customer").select(
+        k.alias("ref_id"), F.concat(F.when(other, "X").otherwise(""), k.cast("string")).alias("survey_number"), F.concat(F.when(other, "X").otherwise("K"), (k % 100).cast("string")).alias("khata_number"), F.col("c_name").alias("owner_name"),
         F.when(k % 6 != 0, F.col("c_mktsegment")).alias("village"),
     )
 
@@ -169,7 +177,8 @@ def verification_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     asked = s.select(F.col("s_suppkey").alias("document_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("plot_number"), F.col("s_nationkey").cast("string").alias("district"))
-    known = s.filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("ref_id"), F.col("s_name").alias("plot_number"), F.col("s_nationkey").cast("string").alias("district"))
+    moved = F.when(F.col("s_suppkey") % 3 == 0, "former ").otherwise("")
+    known = s.select(F.col("s_suppkey").alias("ref_id"), F.concat(moved, "s_name").alias("plot_number"), F.concat(moved, F.col("s_nationkey").cast("string")).alias("district"))
     return verification.registry_match(asked, known, ["plot_number", "district"])
 
 
@@ -276,7 +285,7 @@ def table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.layout_stats(F.col("text")).alias("s")).select("doc_id", "s.lines", "s.table_rows")
+    return table(spark, sf_dir, "documents").select("doc_id", text.layout_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query
@@ -309,6 +318,8 @@ def land_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     states = ["MH", "uttar pradesh", "MP", "TN", "Telangana", "KA", "WB", "ZZ"]
     pick = lambda m, r, v: F.when(k % m == r, v)
+    plot = lambda a: F.struct(F.lit(a).alias("area"))
+    plots = F.when(k % 11 == 4, F.array(plot("1"), plot("2.5"))).when(k % 11 == 5, F.array(plot("x")))
     return table(spark, sf_dir, "customer").select(
         k.alias("record_id"),
         text.first_of([(k % 8 == i, F.lit(s)) for i, s in enumerate(states)], F.lit(None).cast("string")).alias("state"),
@@ -323,6 +334,7 @@ def land_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.lit("05-03-2030")).otherwise(F.lit("5 Mar 2020")).alias("registration_date"),
         pick(16, 5, F.lit("200000001")).alias("market_value"),
         (k % 13).cast("string").alias("mutation_count"),
+        plots.alias("plots"),
     )
 
 
@@ -500,16 +512,17 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all."""
     e = table(spark, sf_dir, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select((F.col("vec_id") - 1).alias("a"), F.col("embedding").alias("y"))
-    return a.join(b, "a").select("a", F.round(text.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    return asked.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))).select("a", "b", F.round(text.cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
 @query
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("x")), n.select((F.col("n_nationkey") - 1).alias("k"), F.col("n_name").alias("y"))
-    return a.join(b, "k").select("k", six(text.name_similarity(F.col("x"), F.col("y"))).alias("similarity"))
+    """Names of regions against those of all nations."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    return r.join(n).select("r_regionkey", "n_nationkey", six(text.name_similarity(F.col("r_name"), F.col("n_name"))).alias("similarity"))
 
 
 @query
@@ -527,13 +540,19 @@ def unit_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    block = F.struct(F.col("turn").alias("ord"), F.substring("text", 1, 12).alias("text"), (F.col("turn") % 4 / 4).alias("confidence"), F.concat(F.lit("paddle_"), F.col("role")).alias("engine"))
+    block = F.struct(F.col("turn").alias("ord"), F.col("text"), (F.col("turn") % 4 / 4).alias("confidence"), F.concat(F.lit("paddle_"), F.col("role")).alias("engine"))
     return c.groupBy(F.col("conv_id").alias("document_id")).agg(F.sort_array(F.collect_list(block)).alias("blocks")).withColumn("page", F.lit(1))
 
 
 @query
 def low_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.low_blocks(ocr_pages(spark, sf_dir), 0.65).select("document_id", long("ord").alias("ord"), "text", "confidence")
+    return scoring.low_blocks(ocr_pages(spark, sf_dir), 0.65).select("document_id", long("ord").alias("ord"), F.sha2("text", 256).alias("text"), "confidence")
+
+
+@query
+def low_blocks_of_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.low_blocks(ocr_pages(spark, sf_dir), 0.5, "paddle_user|tesseract", whole=True)
+    return found.select("document_id", long("ord").alias("ord"), "engine")
 
 
 @query
@@ -661,15 +680,231 @@ def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(numbers.badge(F.col("l_discount") * 10).alias("badge"), numbers.confidence_category(F.col("l_discount") * 10).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
 @query
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a streaming query over the whole events table, run until it has read all."""
-    from uuid import uuid4
-
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid4().hex}"
-    query = streaming.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = tables.scratch(spark, "windows")
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    streaming.windowed_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", tables.scratch(spark, "windows-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are delivered twice, once each."""
+    out = tables.scratch(spark, "events")
+    events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    once = streaming.deduplicated(events.unionByName(events))
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.scratch(spark, "events-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "event_type", "value")
+
+
+@query
+def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that comes again changes nothing, and a later one takes the place of its documents."""
+    out, docs = tables.scratch(spark, "fields"), record_texts(spark, sf_dir)
+    write = streaming.upsert(out, streaming.extract_stage)
+    newer = docs.withColumn("text", F.replace("text", F.lit("Owner Name: "), F.lit("Owner Name: new "))).filter("document_id % 3 = 0")
+    for batch, number in ((docs, 0), (docs, 0), (newer, 1), (newer, 1)):
+        write(batch, number)
+    return streaming.current(spark, out).filter("canonical_key = 'OWNER_NAME'").select("document_id", "field_value", "batch_id")
+
+
+@query
+def reused_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a stage kept where document and input are the same, computed anew elsewhere."""
+    docs = record_texts(spark, sf_dir)
+    digest = F.sha2(F.to_json(F.struct("text")), 256).alias("input_hash")
+    old = docs.withColumn("text", F.when(F.col("document_id") % 2 == 0, F.col("text")).otherwise("older"))
+    cache = old.select("document_id", F.lit("kept").alias("made"), digest)
+    out = streaming.stage_cached(docs, cache, lambda df: df.select("document_id", F.lit("fresh").alias("made")), ["text"])
+    return out.select("document_id", "made")
+
+
+@query
+def learning_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that found enough unused corrections."""
+    out, samples = tables.scratch(spark, "due"), corrections(spark, sf_dir)
+    unused = [samples, samples.filter("used_in_training")]
+    for number, rows in enumerate(unused):
+        act = lambda batch, k: batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(k).cast("long")).write.mode("append").parquet(out)
+        streaming.corrections_due(rows, 10, act)(rows, number)
+    return spark.read.parquet(out)
+
+
+@query
+def brand_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.facet(table(spark, sf_dir, "part"), "p_brand", "Brand#11").select("p_partkey", "p_brand")
+
+
+@query
+def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "nation").select(F.col("n_name").alias("username"), (F.col("n_nationkey") % 2 == 0).alias("is_active"), F.when(F.col("n_regionkey") > 1, "officer").otherwise("admin").alias("role"))
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(4).collect()]
+    seen = [verification.visible_to(rows, users, n, ["admin", "officer"][: 1 + i % 2]).withColumn("username", F.lit(n)) for i, n in enumerate(names)]
+    out = seen[0]
+    for more in seen[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def shown_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.display(F.col("o_orderdate")).alias("shown"))
+
+
+@query
+def area_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parcels(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    return spatial.area_mismatch(p, F.col("p_size") * 2.0, 2.0).select("id", "measured")
+
+
+@query
+def text_and_table_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("Brand: "), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit("x")), F.lit("\n| Brand | Item Type |\n|---|---|\n| "), F.col("p_brand"), F.lit(" | "), F.col("p_type"), F.lit(" |"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), t.alias("text"))
+    return extraction.with_table_fields(extraction.key_values(docs), extraction.table_fields(docs))
+
+
+def changed_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("c_custkey")
+    fields = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 50).alias("document_id"), F.lit("owner").alias("field_name"), F.lit("OWNER_NAME").alias("canonical_key"), F.col("c_name").alias("field_value"))
+    new = fields.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("new "), F.col("field_value"))).otherwise(F.col("field_value")).alias("field_value"))
+    return fields, new
+
+
+@query
+def correction_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.before_images(*changed_fields(spark, sf_dir))
+
+
+@query
+def manual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = changed_fields(spark, sf_dir)[0].select("id", "field_value", F.when(F.col("id") % 2 == 0, 0.5).alias("confidence"))
+    return changes.manual_fields(fields)
+
+
+@query
+def deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions after one that is better and one that is worse than the last."""
+    n = table(spark, sf_dir, "nation")
+    old = n.select(long("n_nationkey").alias("version"), long("n_regionkey").alias("training_samples_count"), F.lit("{}").alias("patterns"), F.lit(0.5).alias("accuracy_before"), F.lit(0.6).alias("accuracy_after"), F.lit(0.1).alias("improvement_delta"), (F.col("n_nationkey") >= 23).alias("deployed"))
+    out = learning.deploy(learning.deploy(old, 0.6, 0.75, 9, "{}"), 0.75, 0.5, 9, "{}")
+    return out.select("version", "training_samples_count", "deployed", six("improvement_delta").alias("improvement_delta"))
+
+
+@query
+def ordered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list's first page with the rank of each row: latest first, of equals the lowest key."""
+    top = ordering.top_k(table(spark, sf_dir, "orders"), 50, F.desc("o_orderdate"), F.col("o_orderkey"))
+    ranks = F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey"))  # of the page's rows
+    return top.select("o_orderkey", long(ranks).alias("rank"))
+
+
+@query
+def latest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("version"), (F.col("n_nationkey") < 20).alias("deployed"))
+    return ordering.latest_version(n).unionByName(ordering.latest_version(n, deployed_only=True))
+
+
+@query
+def parcel_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    known = parcels(spark, sf_dir).select(F.col("id").alias("ref_id"), F.col("id").cast("string").alias("survey_number"), F.concat(F.lit("K"), (F.col("id") % 50).cast("string")).alias("khata_number"), F.when(F.col("id") % 4 != 0, F.col("ring")).alias("ring"))
+    asked = table(spark, sf_dir, "part").select(k.alias("document_id"), F.when(k % 3 != 0, k.cast("string")).alias("survey_number"), F.when(k % 2 == 0, F.concat(F.lit(" K"), (k % 50).cast("string"))).alias("khata_number"))
+    out = verification.parcel_of(asked, known, ["survey_number", "khata_number"])
+    return out.select("document_id", "ref_id", F.array_join("matched", ",").alias("matched"), F.get("ring", F.lit(0))["x"].alias("x"))
+
+
+def language_cases() -> list[tuple[str, str, str, float, str | None]]:
+    """(language, kind, label, confidence, value or None for the record's number): the first label of each pattern of each language."""
+    blocks = {"hi": 0x900, "mr": 0x900, "bn": 0x980, "pa": 0xA00, "gu": 0xA80, "or": 0xB00, "ta": 0xB80, "te": 0xC00, "kn": 0xC80, "ml": 0xD00}
+    out = []
+    for language, block in blocks.items():
+        for kind, confidence, words, *_ in V.ENTITY_PATTERNS[language]:
+            if kind is not None:
+                value = {"AREA": "2.5", "DATE": "05-03-2020"}.get(kind, None if kind.endswith("NUMBER") else chr(block + 0x15) * 3)
+                out.append((language, kind, words.split("|")[0].replace(r"\s*", " ").replace(r"\.?", "").replace("\\", ""), confidence, value))
+    return out
+
+
+@query
+def language_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = language_cases()
+    k = F.col("c_custkey")
+    pick = lambda v: F.get(F.array(*v), (k % len(cases)).cast("int"))
+    value = pick([k.cast("string") if c[4] is None else F.lit(c[4]) for c in cases])
+    docs = table(spark, sf_dir, "customer").select(k.alias("document_id"), pick([F.lit(c[0]) for c in cases]).alias("language"), F.concat(pick([F.lit(c[2]) for c in cases]), F.lit(": "), value, F.lit(",")).alias("text"))
+    return extraction.entities(docs)
+
+
+@query
+def devanagari_and_two_line_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("मूळ\nगाव: "), F.col("c_mktsegment"), F.lit("\nOwner Name\n"), F.col("c_name"), F.lit("\n"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), t.alias("text"))
+    return extraction.key_values(docs).select("document_id", "field_name", "field_value", "confidence", "canonical_key")
+
+
+@query
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of several pages, each with its page and box."""
+    box = F.array(F.col("s_suppkey").cast("double"), F.lit(0.0), F.lit(9.0), F.lit(9.0))
+    block = lambda t: F.struct(t.alias("text"), F.lit(0.9).alias("confidence"), box.alias("bbox"))
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), "s_name", "s_suppkey")
+    label = F.when(F.col("page") == 1, "Owner").otherwise("Village")
+    pages = pages.select("document_id", "page", F.array(block(F.concat(label, F.lit(": "), F.col("s_name"))), block(F.concat(F.lit("Owner: "), F.col("page").cast("string")))).alias("blocks"))
+    return extraction.block_fields(pages).select("document_id", long("page_number").alias("page_number"), "field_name", "field_value", F.array_join("bounding_box", ",").alias("box"))
+
+
+@query
+def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export holds, read back."""
+    out, k = tables.scratch(spark, "csv"), F.col("s_suppkey")
+    docs = table(spark, sf_dir, "supplier").select(k.alias("document_id"), F.concat(F.lit('a "b", '), "s_name").alias("original_filename"), F.lit("COMPLETED").alias("status"), F.when(k % 2 == 0, "hi").alias("detected_language"), F.when(k % 3 == 0, k).alias("file_size"), F.lit("2024").alias("created_at"))
+    tables.write_csv(docs, out)
+    return spark.read.csv(out, header=True, quote='"', escape='"')
+
+
+@query
+def exported_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels as features of a file, read back as rows."""
+    out = tables.scratch(spark, "features")
+    rows = parcels(spark, sf_dir).select("id", F.when(F.col("id") % 5 != 0, F.col("ring")).alias("ring"))
+    tables.write_features(rows, out, ["id"])
+    back = spark.read.schema("geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<id long>").json(out)
+    return back.select("properties.id", F.get(F.get(F.get("geometry.coordinates", F.lit(0)), F.lit(2)), F.lit(1)).alias("y"))
+
+
+@query
+def feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of the first parcels, written and read as one file."""
+    out = tables.scratch(spark, "collection")
+    tables.feature_collection(parcels(spark, sf_dir), ["id"], "id", 20).write.text(out)
+    back = tables.read_geojson(spark, out)
+    return back.select(F.col("properties")["id"].cast("long").alias("id"), F.get("ring", F.lit(0))["x"].alias("x"))
+
+
+@query
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written to the shared folder and read back with their digests."""
+    out = tables.scratch(spark, "objects")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".bin")).alias("key"), F.col("n_name").cast("binary").alias("content"))
+    tables.write_objects(rows, tables.uri(out)).write.format("noop").mode("overwrite").save()
+    back = tables.read_objects(spark, out, "*.bin")
+    return back.select(F.regexp_extract("path", r"n/(\d+)\.bin$", 1).cast("int").alias("n_nationkey"), "length", "file_hash")
+
+
+@query
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tables.scratch(spark, "truth")
+    entities = F.struct(F.col("n_name").alias("VILLAGE"), F.col("n_regionkey").alias("AREA"))
+    records = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").cast("string").alias("id"), entities.alias("entities")).alias("r"))
+    records.agg(F.to_json(F.collect_list("r")).alias("value")).write.text(out)  # one file, as the format is
+    return tables.entity_rows(tables.read_ground_truth(spark, out))

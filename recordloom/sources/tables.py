@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -78,23 +79,42 @@ EXPORT = ["document_id", "filename", "status", "language", "file_size", "created
 
 
 def write_csv(docs: DataFrame, path: str) -> None:
-    """Six columns, quotes doubled; language defaults to auto, size to 0."""
+    """A folder of CSV parts, each with a header; six columns, quotes doubled; language defaults to auto, size to 0."""
     rows = docs.select("document_id", F.col("original_filename").alias("filename"), "status", F.coalesce("detected_language", F.lit("auto")).alias("language"), F.coalesce("file_size", F.lit(0)).alias("file_size"), "created_at")
     rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def uri(path: str) -> str:
+    """A path of Hadoop's as the URI that pyarrow's file systems take."""
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
+
 def seed(spark: SparkSession, path: str, rows: DataFrame) -> bool:
     """Write rows only where the table is missing or empty."""
-    try:
-        if spark.read.parquet(path).limit(1).count():
-            return False
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
+    if exists(spark, path) and spark.read.schema(rows.schema).parquet(path).limit(1).count():
+        return False
     rows.write.mode("overwrite").parquet(path)
     return True
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), removed when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{what}-{uuid.uuid4().hex}")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return hadoop.toString()
+
+
 class Registry(ABC):
     """A land registry that can be looked up."""
 
@@ -140,7 +160,11 @@ def write_objects(objects: DataFrame, folder: str) -> DataFrame:
                 part = f"{target}.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part, compression=None) as f:
                     f.write(content)
-                fs.move(part, target)
+                try:
+                    fs.move(part, target)
+                except OSError:  # left by an earlier attempt
+                    fs.delete_file(target)
+                    fs.move(part, target)
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64())], names=["key", "bytes"])
 

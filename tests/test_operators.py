@@ -77,14 +77,21 @@ def test_k_of_n_is_that_of_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(i, *[None if rng.random() < 0.2 else str(rng.integers(0, 3)) for _ in range(5)]) for i in range(60)] + [(100 + i, "1", "1", "1", "1", "1") for i in range(4)]
     df = spark.createDataFrame(rows, "document_id long, k1 string, k2 string, k3 string, k4 string, k5 string")
-    got = {(r["document_id"], r["duplicate_id"]): (r["matched"], r["similarity"]) for r in duplicates.content_duplicates(df, ["k1", "k2", "k3", "k4", "k5"], 3).collect()}
+    keys = ["k1", "k2", "k3", "k4", "k5"]
+    links, members = duplicates.content_duplicates(df, keys, 3), duplicates.groups(df, keys)
+    group = {r["document_id"]: r["group_id"] for r in members.collect()}
+    got = {(r["document_id"], r["duplicate_id"]): (r["kind"], r["matched"], r["similarity"]) for r in links.collect()}
     want = {}
     for a in rows:
         for b in rows:
             n = sum(x is not None and x == y for x, y in zip(a[1:], b[1:]))
             if a[0] != b[0] and n >= 3:
                 want[a[0], b[0]] = (n, n / sum(x is not None for x in a[1:]))
-    assert got == want
+    for (a, b), found in got.items():  # pairs of lowest ids and members, each as in the comparison of all pairs
+        assert found[1:] == want[a, b] and found[0] == ("group" if group[a] == a and group[a] != group[b] else "member")
+    for a, b in want:  # and nothing is lost
+        assert (group[a], group[b]) in got if group[a] != group[b] else all((x, group[x]) in got for x in (a, b) if x != group[x])
+    assert {tuple(r) for r in duplicates.expanded(links, members, df).collect()} == set(want)
 
 
 def test_lookup_and_flags(spark):
