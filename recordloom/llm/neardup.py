@@ -52,6 +52,7 @@ FLOOR, LEAST = 0.01, 0.5
 HUBS = 2
 PLAIN = True
 BLOCK_SHINGLES = 1_000_000
+LIGHT, HEAVY = 12, 4  # 64-bit words of the bitmaps
 CELLS = 1 << 13  # rows of the table of random variates, by the low bits of a shingle's hash
 ID = U(0xFFFFFFFF)
 
@@ -204,11 +205,18 @@ def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int, plain:
     return rows_in.mapInArrow(sample, "node binary, bands array<long>")
 
 
-FEATURES = "node binary, shingles array<long>, weights array<float>, n long, weight double"
+def bitmap(shingles: np.ndarray, doc: np.ndarray, docs: int, words: int) -> np.ndarray:
+    """(docs, words) 64-bit words with the bits of each text's shingles set."""
+    bits = np.zeros((docs, words * 64), np.uint8)
+    bits[doc, ((shingles >> U(20)) % U(words * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+FEATURES = "node binary, shingles array<long>, weights array<float>, n long, weight double, bits array<long>"
 
 
 def features(texts: DataFrame, heavy, size: int) -> DataFrame:
-    """node; its distinct shingles in order of hash and their weights; their number and sum."""
+    """node; its distinct shingles in order of hash and their weights; their number and sum; bitmaps of the light and the heavy ones."""
     table = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +227,15 @@ def features(texts: DataFrame, heavy, size: int) -> DataFrame:
                 at = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
                 w = w.astype(np.float32)
                 doc = np.repeat(np.arange(len(n)), n)
+                light = ~np.isin(s, table.value[0])
+                bits = np.hstack([bitmap(s[light], doc[light], len(n), LIGHT), bitmap(s[~light], doc[~light], len(n), HEAVY)])
                 columns = [
                     nodes.slice(row, len(n)),
                     pa.ListArray.from_arrays(at, pa.array(s.view(np.int64))),
                     pa.ListArray.from_arrays(at, pa.array(w)),
                     pa.array(n.astype(np.int64)),
                     pa.array(np.bincount(doc, w, minlength=len(n)).astype(np.float64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (LIGHT + HEAVY)), pa.array(bits.reshape(-1).view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FEATURES.split(", ")])
 
@@ -257,8 +268,22 @@ def linked(pairs: DataFrame, feats: DataFrame, threshold: float, plain: bool) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(verify, "a binary, b binary")
 
 
+def may_link(x: str, y: str, threshold: float) -> Column:
+    """False only where numbers, weights or bitmaps of two rows prove both similarities too low.
+
+    J >= t bounds the weight that differs by (1 - t) / (1 + t) of both weights; each bit
+    that differs is a shingle that does, of weight 1 at least, or LEAST if heavy.
+    """
+    low, most = threshold - 1e-4, (1 - threshold) / (1 + threshold) + 1e-4
+    alike = lambda c: F.least(f"{x}.{c}", f"{y}.{c}") >= low * F.greatest(f"{x}.{c}", f"{y}.{c}")
+    differ = [F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(LIGHT + HEAVY)]
+    light, heavy = sum(differ[1:LIGHT], differ[0]), sum(differ[LIGHT + 1 :], differ[LIGHT])
+    both = lambda c: most * (F.col(f"{x}.{c}") + F.col(f"{y}.{c}"))
+    return (alike("n") & (light + heavy <= both("n"))) | (alike("weight") & (light + LEAST * heavy <= both("weight")))
+
+
 def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of `apart` (node, root) in different classes that share one of their rarest shingles.
+    """a, b: pairs of `apart` (node, root) in different classes that share one of their rarest shingles and may be similar.
 
     Of each text those shingles are left that begin, in order of falling frequency, what
     weighs `threshold` of it or more, by number or by weight. Frequencies are those among
@@ -269,13 +294,12 @@ def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFram
     shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     ranked = each.join(shared, "shingle", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
     falling = Window.partitionBy("node").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)  # of one text
-    least = F.lit(threshold - 1e-4)
-    rare = (F.sum("w").over(falling) >= least * F.col("weight")) | (F.count(F.lit(1)).over(falling) >= least * F.col("n"))
-    prefix = ranked.select("shingle", "node", "root", "n", "weight", "texts", rare.alias("rare")).filter("rare and texts > 1")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    alike = lambda c: F.least(f"x.{c}", f"y.{c}") >= least * F.greatest(f"x.{c}", f"y.{c}")
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & (alike("n") | alike("weight"))
-    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    low = F.lit(threshold - 1e-4)
+    rare = (F.sum("w").over(falling) >= low * F.col("weight")) | (F.count(F.lit(1)).over(falling) >= low * F.col("n"))
+    prefix = ranked.withColumn("rare", rare).filter("rare and texts > 1").select("shingle", "node", "root", "n", "weight")
+    prefix = prefix.join(feats.select("node", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(LIGHT + HEAVY)]), "node")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
+    return prefix.alias("x").join(prefix.alias("y"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
