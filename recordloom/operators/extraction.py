@@ -128,12 +128,10 @@ def entities(docs: DataFrame) -> DataFrame:
 
     def found(language: str, offset: int) -> list[Column]:
         out = []
-        for k, (kind, confidence, words, value, after) in enumerate(V.ENTITY_PATTERNS.get(language, [])):
+        for k, (kind, confidence, pattern) in enumerate(V.ENTITY_PATTERNS.get(language, [])):
             if kind is None:
                 continue
-            gap = r"\s*[:\/\s\-]*" if language == "mr" and value == V._DEV_ID and kind != "MUTATION_NUMBER" else r"\s*[:\-]?\s*"
-            lead = f"(?:{words}){gap}" if words else ""
-            hit = strip(F.regexp_extract(text, f"(?iudU){lead}({value}){after}", 1))
+            hit = strip(F.regexp_extract(text, f"(?iudU){pattern}", 1))
             out.append(F.struct(F.lit(offset + k).alias("ord"), F.lit(kind).alias("entity_type"), hit.alias("value"), F.lit(confidence).alias("confidence")))
         return out
 

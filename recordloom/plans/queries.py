@@ -6,6 +6,7 @@ columns; every query reads its tables whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -828,10 +829,10 @@ def language_cases() -> list[tuple[str, str, str, float, str | None]]:
     blocks = {"hi": 0x900, "mr": 0x900, "bn": 0x980, "pa": 0xA00, "gu": 0xA80, "or": 0xB00, "ta": 0xB80, "te": 0xC00, "kn": 0xC80, "ml": 0xD00}
     out = []
     for language, block in blocks.items():
-        for kind, confidence, words, *_ in V.ENTITY_PATTERNS[language]:
+        for kind, confidence, pattern in V.ENTITY_PATTERNS[language]:
             if kind is not None:
                 value = {"AREA": "2.5", "DATE": "05-03-2020"}.get(kind, None if kind.endswith("NUMBER") else chr(block + 0x15) * 3)
-                out.append((language, kind, words.split("|")[0].replace(r"\s*", " ").replace(r"\.?", "").replace("\\", ""), confidence, value))
+                out.append((language, kind, re.match(r"\(\?:([^|)]*)", pattern)[1].replace(r"\s*", " ").replace(r"\.?", "").replace("\\", ""), confidence, value))
     return out
 
 

@@ -131,112 +131,106 @@ STATES = {
 }
 PADDY_WORDS = ["nanja", "punja", "wet", "dry", "நஞ்சை", "புஞ்சை", "agricultural"]
 
-# --- entity patterns (fixed values): type, confidence, introducing words, value ---
-_NAME = r"[A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59}"
-_PLACE = r"[A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{2,28}"
-_PLACE30 = r"[A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30}"
-_DEV_NO = r"[0-9०-९A-Za-z\/\-\.]+"
-_DEV_ID = r"[0-9०-९A-Za-z][0-9०-९A-Za-z\/\-\.]*"
-_END = r"(?=\s{2,}|[\n,.]|\s+(?:%s)|$)"
+# --- entity patterns (fixed values): type, confidence, pattern ---
 ENTITY_PATTERNS = {
     "en": [
-        ("SURVEY_NUMBER", 0.90, r"survey\s*no\.?|survey\s*number|s\.?\s*no\.?", r"[A-Z0-9/\-\.]+", ""),
-        ("KHASRA_NUMBER", 0.88, r"khasra\s*no\.?|khasra\s*number|khasrauni|khasra", r"[0-9/\-\.]+", ""),
-        ("KHATA_NUMBER", 0.88, r"khata\s*no\.?|khata\s*number|khatauni|khata", r"[0-9/\-\.]+", ""),
-        ("PLOT_NUMBER", 0.85, r"plot\s*no\.?|plot\s*number|p\.?\s*no\.?", r"[A-Z0-9/\-\.]+", ""),
-        ("VILLAGE", 0.80, r"village|gram|gaon|gramin", _PLACE, _END % "Tehsil|District|State|Taluka|Area|Owner|Reg|Doc|Pin"),
-        ("TEHSIL", 0.80, r"tehsil|taluka|taluk|t\.?\s*q\.?", _PLACE, _END % "District|State|Area|Owner|Reg|Doc|Pin|Village"),
-        ("DISTRICT", 0.80, r"district|dist\.?|zilla", _PLACE, _END % "State|Area|Owner|Reg|Doc|Pin|Village|Taluka"),
-        ("AREA", 0.85, "", r"[0-9]+(?:\.[0-9]+)?", r"\s*(?:hectare|hectares|ha\.?|acre|acres|ac\.?|sq\.?\s*m\.?|square\s*met(?:re|er)s?)"),
-        ("REGISTRATION_NUMBER", 0.85, r"registration\s*no\.?|reg\.?\s*no\.?|deed\s*no\.?|document\s*no\.?", r"[A-Z0-9/\-\.]+", ""),
-        ("MUTATION_NUMBER", 0.82, r"mutation\s*no\.?|dakhil\s*kharij|dakhil\s*khari", r"[0-9/\-\.]+", ""),
-        ("DATE", 0.90, r"registration\s*date|date\s*of\s*registration|deed\s*date|executed\s*on|date\s*of\s*execution", r"\d{1,2}[\-/\.]\d{1,2}[\-/\.]\d{2,4}|\d{1,2}\s+\w+\s+\d{4}", ""),
-        ("OWNER_NAME", 0.75, r"owner(?:'s)?\s*name|malik\s*ka\s*naam|bhumiswami|vendee|purchaser", _NAME, r"(?=s/o|w/o|d/o|[\n,.]|\s{2,}|$)"),
-        ("FATHER_NAME", 0.72, r"father['’']?\s*(?:name|s\s+name)|father\s*name|s/o|s\.?\s*o\.?|father|pitaji|pitamah", _NAME, ""),
-        ("MOTHER_NAME", 0.72, r"mother['’']?\s*(?:name|s\s+name)|mother\s*name|w/o|w\.?\s*o\.?|mother|mataji|mata", _NAME, ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:survey\s*no\.?|survey\s*number|s\.?\s*no\.?)\s*[:\-]?\s*([A-Z0-9/\-\.]+)"),
+        ("KHASRA_NUMBER", 0.88, r"(?:khasra\s*no\.?|khasra\s*number|khasrauni|khasra)\s*[:\-]?\s*([0-9/\-\.]+)"),
+        ("KHATA_NUMBER", 0.88, r"(?:khata\s*no\.?|khata\s*number|khatauni|khata)\s*[:\-]?\s*([0-9/\-\.]+)"),
+        ("PLOT_NUMBER", 0.85, r"(?:plot\s*no\.?|plot\s*number|p\.?\s*no\.?)\s*[:\-]?\s*([A-Z0-9/\-\.]+)"),
+        ("VILLAGE", 0.80, r"(?:village|gram|gaon|gramin)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{2,28})(?=\s{2,}|[\n,.]|\s+(?:Tehsil|District|State|Taluka|Area|Owner|Reg|Doc|Pin)|$)"),
+        ("TEHSIL", 0.80, r"(?:tehsil|taluka|taluk|t\.?\s*q\.?)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{2,28})(?=\s{2,}|[\n,.]|\s+(?:District|State|Area|Owner|Reg|Doc|Pin|Village)|$)"),
+        ("DISTRICT", 0.80, r"(?:district|dist\.?|zilla)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{2,28})(?=\s{2,}|[\n,.]|\s+(?:State|Area|Owner|Reg|Doc|Pin|Village|Taluka)|$)"),
+        ("AREA", 0.85, r"([0-9]+(?:\.[0-9]+)?)\s*(?:hectare|hectares|ha\.?|acre|acres|ac\.?|sq\.?\s*m\.?|square\s*met(?:re|er)s?)"),
+        ("REGISTRATION_NUMBER", 0.85, r"(?:registration\s*no\.?|reg\.?\s*no\.?|deed\s*no\.?|document\s*no\.?)\s*[:\-]?\s*([A-Z0-9/\-\.]+)"),
+        ("MUTATION_NUMBER", 0.82, r"(?:mutation\s*no\.?|dakhil\s*kharij|dakhil\s*khari)\s*[:\-]?\s*([0-9/\-\.]+)"),
+        ("DATE", 0.90, r"(?:registration\s*date|date\s*of\s*registration|deed\s*date|executed\s*on|date\s*of\s*execution)\s*[:\-]?\s*(\d{1,2}[\-/\.]\d{1,2}[\-/\.]\d{2,4}|\d{1,2}\s+\w+\s+\d{4})"),
+        ("OWNER_NAME", 0.75, r"(?:owner(?:'s)?\s*name|malik\s*ka\s*naam|bhumiswami|vendee|purchaser)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})(?=s/o|w/o|d/o|[\n,.]|\s{2,}|$)"),
+        ("FATHER_NAME", 0.72, r"(?:father['’']?\s*(?:name|s\s+name)|father\s*name|s/o|s\.?\s*o\.?|father|pitaji|pitamah)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})"),
+        ("MOTHER_NAME", 0.72, r"(?:mother['’']?\s*(?:name|s\s+name)|mother\s*name|w/o|w\.?\s*o\.?|mother|mataji|mata)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})"),
     ],
     "hi": [
-        ("SURVEY_NUMBER", 0.90, r"सर्वे\s*नं\.?|सर्वे\s*नंबर|सर्वे|खसरा\s*नं\.?|खसरा\s*संख्या|खसरा", _DEV_NO, ""),
-        ("KHATA_NUMBER", 0.88, r"खाता\s*संख्या|खाता\s*नं\.?|खाता|खतौनी", _DEV_NO, ""),
-        ("VILLAGE", 0.82, r"गाँव|ग्राम|गांव|मौजे", _PLACE30, ""),
-        ("TEHSIL", 0.82, r"तहसील|तालुका", _PLACE30, ""),
-        ("DISTRICT", 0.82, r"जिला|जिल्हा", _PLACE30, ""),
-        ("OWNER_NAME", 0.78, r"मालिक\s*का\s*नाम|खातेदार\s*का\s*नाम|भूमिस्वामी|मालिक|खातेदार|नाव", _NAME, ""),
-        ("AREA", 0.85, r"क्षेत्रफल|क्षेत्र", r"[0-9०-९\.\s]+(?:\s*(?:हेक्टेयर|हेक्टयर|एकड़|वर्ग\s*मीटर))?", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:सर्वे\s*नं\.?|सर्वे\s*नंबर|सर्वे|खसरा\s*नं\.?|खसरा\s*संख्या|खसरा)\s*[:\-]?\s*([0-9०-९A-Za-z\/\-\.]+)"),
+        ("KHATA_NUMBER", 0.88, r"(?:खाता\s*संख्या|खाता\s*नं\.?|खाता|खतौनी)\s*[:\-]?\s*([0-9०-९A-Za-z\/\-\.]+)"),
+        ("VILLAGE", 0.82, r"(?:गाँव|ग्राम|गांव|मौजे)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})"),
+        ("TEHSIL", 0.82, r"(?:तहसील|तालुका)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})"),
+        ("DISTRICT", 0.82, r"(?:जिला|जिल्हा)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})"),
+        ("OWNER_NAME", 0.78, r"(?:मालिक\s*का\s*नाम|खातेदार\s*का\s*नाम|भूमिस्वामी|मालिक|खातेदार|नाव)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})"),
+        ("AREA", 0.85, r"(?:क्षेत्रफल|क्षेत्र)\s*[:\-]?\s*([0-9०-९\.\s]+(?:\s*(?:हेक्टेयर|हेक्टयर|एकड़|वर्ग\s*मीटर))?)"),
     ],
     "ta": [
-        ("SURVEY_NUMBER", 0.90, r"பட்டா\s*எண்|பட்டா|புல\s*எண்|சர்வே\s*எண்", r"[0-9A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"உரிமையாளர்\s*பெயர்|பெயர்|பட்டாதாரர்", r"[஀-௿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"கிராமம்|ஊர்", r"[஀-௿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"வட்டம்|தாலுகா", r"[஀-௿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"மாவட்டம்", r"[஀-௿\s]{2,30}", ""),
-        ("AREA", 0.85, r"பரப்பளவு|விஸ்தீரணம்", r"[0-9\.\s]+(?:\s*(?:ஹெக்டேர்|ஏக்கர்|சதுர\s*மீட்டர்))?", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:பட்டா\s*எண்|பட்டா|புல\s*எண்|சர்வே\s*எண்)\s*[:\-]?\s*([0-9A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:உரிமையாளர்\s*பெயர்|பெயர்|பட்டாதாரர்)\s*[:\-]?\s*([஀-௿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:கிராமம்|ஊர்)\s*[:\-]?\s*([஀-௿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:வட்டம்|தாலுகா)\s*[:\-]?\s*([஀-௿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:மாவட்டம்)\s*[:\-]?\s*([஀-௿\s]{2,30})"),
+        ("AREA", 0.85, r"(?:பரப்பளவு|விஸ்தீரணம்)\s*[:\-]?\s*([0-9\.\s]+(?:\s*(?:ஹெக்டேர்|ஏக்கர்|சதுர\s*மீட்டர்))?)"),
     ],
     "te": [
-        ("SURVEY_NUMBER", 0.90, r"సర్వే\s*నంబర్|సర్వే\s*నం\.?|ఖాతా\s*సంఖ్య|ఖాతా", r"[0-9A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"పట్టాదారు\s*పేరు|భూమిహక్కుదారు|పేరు", r"[ఀ-౿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"గ్రామం", r"[ఀ-౿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"మండలం", r"[ఀ-౿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"జిల్లా", r"[ఀ-౿\s]{2,30}", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:సర్వే\s*నంబర్|సర్వే\s*నం\.?|ఖాతా\s*సంఖ్య|ఖాతా)\s*[:\-]?\s*([0-9A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:పట్టాదారు\s*పేరు|భూమిహక్కుదారు|పేరు)\s*[:\-]?\s*([ఀ-౿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:గ్రామం)\s*[:\-]?\s*([ఀ-౿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:మండలం)\s*[:\-]?\s*([ఀ-౿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:జిల్లా)\s*[:\-]?\s*([ఀ-౿\s]{2,30})"),
     ],
     "kn": [
-        ("SURVEY_NUMBER", 0.90, r"ಸರ್ವೇ\s*ನಂಬರ್|ಖಾತಾ\s*ಸಂಖ್ಯೆ|ಹಿಸ್ಸಾ\s*ನಂಬರ್", r"[0-9A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"ಮಾಲೀಕರ\s*ಹೆಸರು|ಖಾತೆದಾರರ\s*ಹೆಸರು|ಹೆಸರು", r"[ಀ-೿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"ಗ್ರಾಮ", r"[ಀ-೿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"ತಾಲೂಕು", r"[ಀ-೿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"ಜಿಲ್ಲೆ", r"[ಀ-೿\s]{2,30}", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:ಸರ್ವೇ\s*ನಂಬರ್|ಖಾತಾ\s*ಸಂಖ್ಯೆ|ಹಿಸ್ಸಾ\s*ನಂಬರ್)\s*[:\-]?\s*([0-9A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:ಮಾಲೀಕರ\s*ಹೆಸರು|ಖಾತೆದಾರರ\s*ಹೆಸರು|ಹೆಸರು)\s*[:\-]?\s*([ಀ-೿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:ಗ್ರಾಮ)\s*[:\-]?\s*([ಀ-೿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:ತಾಲೂಕು)\s*[:\-]?\s*([ಀ-೿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:ಜಿಲ್ಲೆ)\s*[:\-]?\s*([ಀ-೿\s]{2,30})"),
     ],
     "gu": [
-        ("SURVEY_NUMBER", 0.90, r"સર્વે\s*નંબર|ખાતા\s*નંબર|બ્લોક\s*નંબર", r"[0-9૦-૯A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"ખાતેદારનું\s*નામ|જમીન\s*માલિક|નામ", r"[઀-૿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"ગામ", r"[઀-૿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"તાલુકો", r"[઀-૿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"જિલ્લો", r"[઀-૿\s]{2,30}", ""),
-        ("AREA", 0.85, r"ક્ષેત્રફળ|વિસ્તાર", r"[0-9૦-૯\.\s]+(?:\s*(?:હેક્ટર|હે|વીઘા|ચો\.મી\.))?", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:સર્વે\s*નંબર|ખાતા\s*નંબર|બ્લોક\s*નંબર)\s*[:\-]?\s*([0-9૦-૯A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:ખાતેદારનું\s*નામ|જમીન\s*માલિક|નામ)\s*[:\-]?\s*([઀-૿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:ગામ)\s*[:\-]?\s*([઀-૿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:તાલુકો)\s*[:\-]?\s*([઀-૿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:જિલ્લો)\s*[:\-]?\s*([઀-૿\s]{2,30})"),
+        ("AREA", 0.85, r"(?:ક્ષેત્રફળ|વિસ્તાર)\s*[:\-]?\s*([0-9૦-૯\.\s]+(?:\s*(?:હેક્ટર|હે|વીઘા|ચો\.મી\.))?)"),
     ],
     "bn": [
-        ("SURVEY_NUMBER", 0.90, r"খতিয়ান\s*নং|খতিয়ান|দাগ\s*নং|দাগ", r"[0-9০-৯A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"মালিকের\s*নাম|রায়তের\s*নাম|নাম", r"[ঀ-৿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"মৌজা|গ্রাম", r"[ঀ-৿\s]{2,30}", ""),
-        (None, 0.82, r"থানা|মহকুমা", r"[ঀ-৿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"জেলা", r"[ঀ-৿\s]{2,30}", ""),
-        ("AREA", 0.85, r"জমির\s*পরিমাণ|কালি", r"[0-9০-৯\.\s]+(?:\s*(?:একর|শতক|হেক্টর|বিঘা))?", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:খতিয়ান\s*নং|খতিয়ান|দাগ\s*নং|দাগ)\s*[:\-]?\s*([0-9০-৯A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:মালিকের\s*নাম|রায়তের\s*নাম|নাম)\s*[:\-]?\s*([ঀ-৿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:মৌজা|গ্রাম)\s*[:\-]?\s*([ঀ-৿\s]{2,30})"),
+        (None, 0.82, r"(?:থানা|মহকুমা)\s*[:\-]?\s*([ঀ-৿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:জেলা)\s*[:\-]?\s*([ঀ-৿\s]{2,30})"),
+        ("AREA", 0.85, r"(?:জমির\s*পরিমাণ|কালি)\s*[:\-]?\s*([0-9০-৯\.\s]+(?:\s*(?:একর|শতক|হেক্টর|বিঘা))?)"),
     ],
     "pa": [
-        ("KHASRA_NUMBER", 0.90, r"ਖਸਰਾ\s*ਨੰਬਰ|ਖੇਵਟ\s*ਨੰਬਰ|ਖਤੌਨੀ", r"[0-9੦-੯A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"ਮਾਲਕ\s*ਦਾ\s*ਨਾਂ|ਨਾਮ", r"[਀-੿\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"ਪਿੰਡ", r"[਀-੿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"ਤਹਿਸੀਲ", r"[਀-੿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"ਜ਼ਿਲ੍ਹਾ", r"[਀-੿\s]{2,30}", ""),
-        ("AREA", 0.85, r"ਰਕਬਾ", r"[0-9੦-੯\.\s]+(?:\s*(?:ਕਨਾਲ|ਮਰਲੇ|ਏਕੜ|ਹੈਕਟੇਅਰ))?", ""),
+        ("KHASRA_NUMBER", 0.90, r"(?:ਖਸਰਾ\s*ਨੰਬਰ|ਖੇਵਟ\s*ਨੰਬਰ|ਖਤੌਨੀ)\s*[:\-]?\s*([0-9੦-੯A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:ਮਾਲਕ\s*ਦਾ\s*ਨਾਂ|ਨਾਮ)\s*[:\-]?\s*([਀-੿\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:ਪਿੰਡ)\s*[:\-]?\s*([਀-੿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:ਤਹਿਸੀਲ)\s*[:\-]?\s*([਀-੿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:ਜ਼ਿਲ੍ਹਾ)\s*[:\-]?\s*([਀-੿\s]{2,30})"),
+        ("AREA", 0.85, r"(?:ਰਕਬਾ)\s*[:\-]?\s*([0-9੦-੯\.\s]+(?:\s*(?:ਕਨਾਲ|ਮਰਲੇ|ਏਕੜ|ਹੈਕਟੇਅਰ))?)"),
     ],
     "ml": [
-        ("SURVEY_NUMBER", 0.90, r"സർവേ\s*നമ്പർ|സർവേ\s*നം\.?", r"[0-9A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"ഉടമസ്ഥന്റെ\s*പേര്|ഉടമസ്ഥൻ|പേര്", r"[ഀ-ൿ\s\.]{2,50}", ""),
-        ("VILLAGE", 0.82, r"വില്ലേജ്", r"[ഀ-ൿ\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"താലൂക്ക്", r"[ഀ-ൿ\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"ജില്ല", r"[ഀ-ൿ\s]{2,30}", ""),
-        ("AREA", 0.85, r"വിസ്തീർണം|വിസ്തൃതി", r"[0-9\.\s]+(?:\s*(?:ഹെക്ടർ|ഏക്കർ|സെന്റ്))?", ""),
+        ("SURVEY_NUMBER", 0.90, r"(?:സർവേ\s*നമ്പർ|സർവേ\s*നം\.?)\s*[:\-]?\s*([0-9A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:ഉടമസ്ഥന്റെ\s*പേര്|ഉടമസ്ഥൻ|പേര്)\s*[:\-]?\s*([ഀ-ൿ\s\.]{2,50})"),
+        ("VILLAGE", 0.82, r"(?:വില്ലേജ്)\s*[:\-]?\s*([ഀ-ൿ\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:താലൂക്ക്)\s*[:\-]?\s*([ഀ-ൿ\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:ജില്ല)\s*[:\-]?\s*([ഀ-ൿ\s]{2,30})"),
+        ("AREA", 0.85, r"(?:വിസ്തീർണം|വിസ്തൃതി)\s*[:\-]?\s*([0-9\.\s]+(?:\s*(?:ഹെക്ടർ|ഏക്കർ|സെന്റ്))?)"),
     ],
     "or": [
-        ("KHATA_NUMBER", 0.90, r"ଖାତା\s*ନଂ|ଖାତା\s*ନମ୍ବର|ଜମି\s*ଖାତା", r"[0-9୦-୯A-Za-z\/\-\.]+", ""),
-        ("PLOT_NUMBER", 0.90, r"ପ୍ଲଟ\s*ନଂ|ପ୍ଲଟ\s*ନମ୍ବର", r"[0-9୦-୯A-Za-z\/\-\.]+", ""),
-        ("OWNER_NAME", 0.80, r"ମାଲିକଙ୍କ\s*ନାମ|ଜମି\s*ମାଲିକ|ରୟତ\s*ନାମ|ନାମ", r"[଀-୿\s\.]{2,50}", ""),
-        (None, 0.82, r"ମୌଜା", r"[଀-୿\s]{2,30}", ""),
-        ("TEHSIL", 0.82, r"ତହସିଲ", r"[଀-୿\s]{2,30}", ""),
-        ("DISTRICT", 0.82, r"ଜିଲ୍ଲା", r"[଀-୿\s]{2,30}", ""),
+        ("KHATA_NUMBER", 0.90, r"(?:ଖାତା\s*ନଂ|ଖାତା\s*ନମ୍ବର|ଜମି\s*ଖାତା)\s*[:\-]?\s*([0-9୦-୯A-Za-z\/\-\.]+)"),
+        ("PLOT_NUMBER", 0.90, r"(?:ପ୍ଲଟ\s*ନଂ|ପ୍ଲଟ\s*ନମ୍ବର)\s*[:\-]?\s*([0-9୦-୯A-Za-z\/\-\.]+)"),
+        ("OWNER_NAME", 0.80, r"(?:ମାଲିକଙ୍କ\s*ନାମ|ଜମି\s*ମାଲିକ|ରୟତ\s*ନାମ|ନାମ)\s*[:\-]?\s*([଀-୿\s\.]{2,50})"),
+        (None, 0.82, r"(?:ମୌଜା)\s*[:\-]?\s*([଀-୿\s]{2,30})"),
+        ("TEHSIL", 0.82, r"(?:ତହସିଲ)\s*[:\-]?\s*([଀-୿\s]{2,30})"),
+        ("DISTRICT", 0.82, r"(?:ଜିଲ୍ଲା)\s*[:\-]?\s*([଀-୿\s]{2,30})"),
     ],
     "mr": [
-        ("SURVEY_NUMBER", 0.92, r"सर्व्हे\s*नं\.?|सर्वे\s*नं\.?|सर्वे\s*नंबर|सर्वे|गट\s*क्रमांक|गट\s*नं\.?|गट\s*क्र\.?|भूमापन\s*क्रमांक|भू\.?\s*क्र\.?", _DEV_ID, ""),
-        ("KHATA_NUMBER", 0.90, r"खाते\s*क्रमांक|खाते\s*नं\.?|खाते\s*क्र\.?|खाता\s*नं\.?|खाते", _DEV_ID, ""),
-        ("VILLAGE", 0.85, r"गाव|मौजे|ग्राम", _PLACE30, r"(?=\s+तालुका|\s+जिल्हा|[\n,.]|$)"),
-        ("TEHSIL", 0.85, r"तालुका|त\.?\s*q\.?", _PLACE30, r"(?=\s+जिल्हा|[\n,.]|$)"),
-        ("DISTRICT", 0.85, r"जिल्हा|जिला", _PLACE30, r"(?=[\n,.]|$)"),
-        ("OWNER_NAME", 0.80, r"खातेदाराचे\s*नाव\s*व\s*पत्ता|भोगवटदाराचे\s*नाव|खातेदाराचे\s*नाव|मालकाचे\s*नाव|भोगवटदार|मातब्बर|खातेदार", _NAME, ""),
-        ("FATHER_NAME", 0.75, r"वडिलांचे\s*नाव|पतीचे\s*नाव|पिता/पतीचे\s*नाव|पि\.\s*नाव|स/ओ", _NAME, ""),
-        ("AREA", 0.85, r"क्षेत्रफल|क्षेत्र|आकारणी", r"[0-9०-९]+(?:\.[0-9०-९]+)*(?:\s*(?:हेक्टर|हे|आर|चौ\.मी\.|एकड|रुपये))?", ""),
-        (None, 0.75, r"जिरायत|बागायत|तुकडी|शेती|कृषि|बिनशेती|अकृषि", r"[A-Za-zऀ-ॿ]{2,20}", ""),
-        ("MUTATION_NUMBER", 0.85, r"फेरफार\s*क्रमांक|फेरफार\s*नं\.?|फेरफार", _DEV_ID, ""),
-        ("DATE", 0.88, r"दिनांक|तारीख", r"[0-9०-९]{1,2}[\-/\.][0-9०-९]{1,2}[\-/\.][0-9०-९]{2,4}", ""),
+        ("SURVEY_NUMBER", 0.92, r"(?:सर्व्हे\s*नं\.?|सर्वे\s*नं\.?|सर्वे\s*नंबर|सर्वे|गट\s*क्रमांक|गट\s*नं\.?|गट\s*क्र\.?|भूमापन\s*क्रमांक|भू\.?\s*क्र\.?)\s*[:\/\s\-]*([0-9०-९A-Za-z][0-9०-९A-Za-z\/\-\.]*)"),
+        ("KHATA_NUMBER", 0.90, r"(?:खाते\s*क्रमांक|खाते\s*नं\.?|खाते\s*क्र\.?|खाता\s*नं\.?|खाते)\s*[:\/\s\-]*([0-9०-९A-Za-z][0-9०-९A-Za-z\/\-\.]*)"),
+        ("VILLAGE", 0.85, r"(?:गाव|मौजे|ग्राम)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})(?=\s+तालुका|\s+जिल्हा|[\n,.]|$)"),
+        ("TEHSIL", 0.85, r"(?:तालुका|त\.?\s*q\.?)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})(?=\s+जिल्हा|[\n,.]|$)"),
+        ("DISTRICT", 0.85, r"(?:जिल्हा|जिला)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s]{1,30})(?=[\n,.]|$)"),
+        ("OWNER_NAME", 0.80, r"(?:खातेदाराचे\s*नाव\s*व\s*पत्ता|भोगवटदाराचे\s*नाव|खातेदाराचे\s*नाव|मालकाचे\s*नाव|भोगवटदार|मातब्बर|खातेदार)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})"),
+        ("FATHER_NAME", 0.75, r"(?:वडिलांचे\s*नाव|पतीचे\s*नाव|पिता/पतीचे\s*नाव|पि\.\s*नाव|स/ओ)\s*[:\-]?\s*([A-Za-zऀ-ॿ][A-Za-zऀ-ॿ\s\.]{2,59})"),
+        ("AREA", 0.85, r"(?:क्षेत्रफल|क्षेत्र|आकारणी)\s*[:\-]?\s*([0-9०-९]+(?:\.[0-9०-९]+)*(?:\s*(?:हेक्टर|हे|आर|चौ\.मी\.|एकड|रुपये))?)"),
+        (None, 0.75, r"(?:जिरायत|बागायत|तुकडी|शेती|कृषि|बिनशेती|अकृषि)\s*[:\-]?\s*([A-Za-zऀ-ॿ]{2,20})"),
+        ("MUTATION_NUMBER", 0.85, r"(?:फेरफार\s*क्रमांक|फेरफार\s*नं\.?|फेरफार)\s*[:\-]?\s*([0-9०-९A-Za-z][0-9०-९A-Za-z\/\-\.]*)"),
+        ("DATE", 0.88, r"(?:दिनांक|तारीख)\s*[:\-]?\s*([0-9०-९]{1,2}[\-/\.][0-9०-९]{1,2}[\-/\.][0-9०-९]{2,4})"),
     ],
 }
