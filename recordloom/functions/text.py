@@ -171,13 +171,6 @@ def layout_stats(c: Column) -> Column:
     return F.struct(F.size(lines).cast("long").alias("lines"), count(lambda x: F.size(F.split(x, r"[\t|]+")) >= 3).alias("table_rows"), count(upper).alias("headings"))
 
 
-#: Words before a colon that make a block a field (fixed values).
-FIELD_WORDS = [
-    "survey", "khasra", "khata", "plot", "village", "tehsil", "district", "owner", "father", "mother", "area", "registration",
-    "mutation", "date", "सर्वे", "खसरा", "खाता", "गाव", "तालुका", "जिल्हा", "मालिक", "क्षेत्र",
-]
-
-
 def block_type(text: Column, confidence: Column) -> Column:
     """unknown, title, table, field, form, signature or text; the first that fits."""
     t = strip(F.coalesce(text, F.lit("")))
@@ -185,7 +178,7 @@ def block_type(text: Column, confidence: Column) -> Column:
     upper = (F.upper(t) == t) & (F.lower(t) != t)
     return (
         F.when(t == "", "unknown").when(upper & F.length(t).between(6, 79), "title").when(t.rlike(r"[\t|]"), "table")
-        .when(F.contains(t, F.lit(":")), F.when(any_of(key, FIELD_WORDS), "field").otherwise("form"))
+        .when(F.contains(t, F.lit(":")), F.when(any_of(key, V.FIELD_WORDS), "field").otherwise("form"))
         .when((F.length(t) <= 3) & (confidence > 0.5), "signature").otherwise("text")
     )
 
@@ -202,29 +195,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Marks in a file name and the type they stand for, the first that fits (fixed values).
-FILE_TYPES = [
-    (["7_12", "satbara"], "7/12 Extract (सातबारा)"),
-    (["khasra", "khatauni"], "Khasra-Khatauni (खतौनी)"),
-    (["patta"], "Patta/Chitta (பட்டா)"),
-]
-#: Colours of land classes, the first contained (fixed values).
-CLASS_COLOURS = [
-    ("agricultural", "#16a34a"), ("residential", "#2563eb"), ("commercial", "#d97706"), ("forest", "#065f46"),
-    ("wasteland", "#6b7280"), ("water", "#0284c7"), ("government", "#7c3aed"), ("default", "#b45309"),
-]
-#: Languages with a printed-text model of their own (fixed values).
-PADDLE_LANGUAGES = ["hi", "mr", "ta", "te", "kn", "ml", "gu", "bn", "pa", "en"]
-
-
 def file_type(name: Column) -> Column:
     low = F.lower(name)
-    return first_of([(any_of(low, marks), F.lit(kind)) for marks, kind in FILE_TYPES], F.lit("Land Revenue Deed"))
+    return first_of([(any_of(low, marks), F.lit(kind)) for marks, kind in V.FILE_TYPES], F.lit("Land Revenue Deed"))
 
 
 def class_colour(land_class: Column) -> Column:
     low = F.lower(F.coalesce(land_class, F.lit("")))
-    return first_of([(F.contains(low, F.lit(k)), F.lit(c)) for k, c in CLASS_COLOURS], F.lit(dict(CLASS_COLOURS)["default"]))
+    return first_of([(F.contains(low, F.lit(k)), F.lit(c)) for k, c in V.CLASS_COLOURS], F.lit(dict(V.CLASS_COLOURS)["default"]))
 
 
 def is_mixed(distribution: Column) -> Column:
@@ -240,7 +218,7 @@ def reading_models(distribution: Column, handwriting: Column) -> Column:
         return F.struct(engine.alias("engine"), F.lit(kind).alias("text_type"), language.alias("language"), F.lit(scope).alias("scope"))
 
     first, second = F.get(distribution, F.lit(0))["code"], F.get(distribution, F.lit(1))["code"]
-    engine = F.concat(F.when(first.isin(PADDLE_LANGUAGES), F.lit("paddle_")).otherwise(F.lit("tesseract_")), first)
+    engine = F.concat(F.when(first.isin(V.PADDLE_LANGUAGES), F.lit("paddle_")).otherwise(F.lit("tesseract_")), first)
     wanted = F.array(
         one(engine, "printed", first, "full_document"),
         F.when(is_mixed(distribution), one(F.concat(F.lit("paddle_"), second), "printed_secondary", second, "region_crops")),

@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions.dates import is_suspicious
 from ..functions.numbers import anomaly_level, anomaly_score, lenient_number
 from ..functions.text import strip
 from .extraction import owner_count
 
-FEATURES = ["area", "number_of_owners", "mutation_frequency", "numeric_field_consistency", "unusual_area_values", "unusual_record_patterns"]
+FEATURES = V.ANOMALY_FEATURES
 
 
 def _number(df: DataFrame, *names: str) -> Column:
@@ -62,20 +63,25 @@ def features(df: DataFrame) -> DataFrame:
     })
 
 
-def training_rows(n: int = 500, contamination: float = 0.05, seed: int = 42) -> np.ndarray:
-    """Made-up normal and anomalous feature rows."""
+def training_rows(n: int = V.TRAINING_ROWS, contamination: float = V.CONTAMINATION, seed: int = V.TRAINING_SEED) -> np.ndarray:
+    """Made-up normal and anomalous feature rows.
+
+    Their distributions are the original's; another generator of random numbers draws
+    them, so rows, trees and scores are near its own and not equal to them.
+    """
     rng = np.random.default_rng(seed)
     bad = max(1, int(n * contamination))
     good = n - bad
+    few, odd = V.NORMAL_ROWS, V.ODD_ROWS
     normal = np.column_stack([
-        np.log1p(rng.uniform(0.1, 20, good)), rng.choice([1, 2, 3, 4], good, p=[0.5, 0.3, 0.15, 0.05]), rng.poisson(0.8, good),
-        rng.uniform(0.9, 1, good), np.zeros(good), rng.uniform(0, 0.1, good),
+        np.log1p(rng.uniform(*few["area"], good)), rng.choice(few["owners"], good, p=few["owner_shares"]), rng.poisson(few["mutations"], good),
+        rng.uniform(*few["consistency"], good), np.zeros(good), rng.uniform(*few["patterns"], good),
     ])
-    odd = np.column_stack([
-        rng.choice([0, -1, np.log1p(15000)], bad), rng.choice([0, 50, 120], bad), rng.uniform(15, 50, bad),
-        rng.uniform(0, 0.3, bad), rng.choice([0.8, 1.0], bad), rng.uniform(0.6, 1, bad),
+    odd_rows = np.column_stack([
+        rng.choice([*odd["log_area"], np.log1p(odd["large_area"])], bad), rng.choice(odd["owners"], bad), rng.uniform(*odd["mutations"], bad),
+        rng.uniform(*odd["consistency"], bad), rng.choice(odd["area_values"], bad), rng.uniform(*odd["patterns"], bad),
     ])
-    return np.vstack([normal, odd]).astype(float)
+    return np.vstack([normal, odd_rows]).astype(float)
 
 
 def _depth(m: np.ndarray | float) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocabulary as V
 from ..functions.text import compare_form, strip
 
 IDENTIFIERS = ["survey_number", "khasra_number", "khata_number", "plot_number", "registration_number"]
@@ -86,17 +87,13 @@ def first_unseen(fields: DataFrame, legacy: DataFrame) -> DataFrame:
     return fields.unionByName(one.join(fields.select("document_id", "canonical_key").distinct(), ["document_id", "canonical_key"], "left_anti"))
 
 
-#: Words that tie an anomaly to a field, in order (fixed values).
-ANOMALY_WORDS = ["area", "date", "market_value", "owner"]
-
-
 def flag_fields(fields: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Each anomaly of a document marks the first unmarked field whose name has one of the words, in order.
 
     Greedy by nature. The k-th anomaly takes the k-th field in the order (word, seq) as
     the texts of anomalies are not looked at, so ranks say the same as the loop.
     """
-    rank = F.least(*[F.when(F.contains(F.lower("field_name"), F.lit(w)), F.lit(i)) for i, w in enumerate(ANOMALY_WORDS)], F.lit(99))
+    rank = F.least(*[F.when(F.contains(F.lower("field_name"), F.lit(w)), F.lit(i)) for i, w in enumerate(V.ANOMALY_WORDS)], F.lit(99))
     ranked = fields.withColumn("__w", rank).withColumn("__k", F.when(F.col("__w") < 99, F.row_number().over(Window.partitionBy("document_id").orderBy("__w", "seq"))))
     texts = anomalies.withColumn("__k", F.row_number().over(Window.partitionBy("document_id").orderBy("seq"))).select("document_id", "__k", F.col("anomaly").alias("anomaly_reason"))
     return ranked.join(texts, ["document_id", "__k"], "left").withColumn("anomaly_flag", F.col("anomaly_reason").isNotNull()).drop("__w", "__k")

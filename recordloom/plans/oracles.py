@@ -1,5 +1,6 @@
 """SQL for DuckDB that gives the same rows as each query, on the same tables."""
 
+from ..operators import anomaly
 from .queries import language_cases
 
 PAIRS = """
@@ -81,6 +82,23 @@ def _count(pattern: str, column: str = "t") -> str:
     return f"CAST(length({column}) - length(regexp_replace({column}, '{pattern}', '', 'g')) AS BIGINT)"
 
 
+_FOREST = anomaly.fit(anomaly.training_rows())
+_TREES = ", ".join(f"({k}, {t.feature.tolist()}, {t.value.tolist()}::DOUBLE[], {t.left.tolist()}, {t.rest.tolist()}::DOUBLE[])" for k, t in enumerate(_FOREST.trees))
+#: The forest's nodes as lists, walked tree by tree.
+SCORES = (
+    RECORDS.replace("WITH k AS", "WITH RECURSIVE k AS", 1)
+    + f""", m AS (SELECT *, TRY_CAST(nullif(regexp_replace(area, '[^0-9.\\-]', '', 'g'), '') AS DOUBLE) AS h FROM r),
+x AS (SELECT record_id, [CASE WHEN h IS NULL THEN 0 ELSE ln(1 + h) END, 1.0, mutations, 1 - CASE WHEN h <= 0 THEN 0.5 ELSE 0 END,
+  CASE WHEN h IS NULL THEN 0.3 WHEN h <= 0 THEN 1.0 WHEN h > 1000 THEN 0.9 ELSE 0 END,
+  least(1.0, CASE WHEN lower(trim(owner_name)) = lower(trim(co_owner_name)) THEN 0.4 ELSE 0 END + CASE WHEN mutations > 10 THEN 0.4 ELSE 0 END)]::DOUBLE[] AS f FROM m),
+t(tree, feature, split, below, rest) AS (VALUES {_TREES}),
+w AS (SELECT record_id, f, tree, 0 AS at_node, 0 AS depth FROM x CROSS JOIN t
+  UNION ALL SELECT record_id, f, w.tree, below[at_node + 1] + (f[feature[at_node + 1] + 1] >= split[at_node + 1])::INT, depth + 1 FROM w JOIN t ON w.tree = t.tree WHERE below[at_node + 1] > 0),
+p AS (SELECT record_id, avg(depth + rest[at_node + 1]) AS mean FROM w JOIN t ON w.tree = t.tree WHERE below[at_node + 1] = 0 GROUP BY 1),
+s AS (SELECT record_id, greatest(0.0, least(1.0, 0.5 - 1.25 * (-pow(2, -mean / {float(anomaly._depth(_FOREST.size))!r}::DOUBLE) - ({_FOREST.offset!r})::DOUBLE)))::DOUBLE AS score FROM p)
+SELECT record_id, round(score, 6)::DOUBLE AS anomaly_score, CASE WHEN score < 0.4 THEN 'LOW' WHEN score < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS anomaly_level, score >= 0.5 AS anomaly_flag FROM s
+"""
+)
 _CASES = ", ".join(f"({i}, '{kind}', {confidence}, {'NULL' if value is None else repr(value)})" for i, (_, kind, _, confidence, value) in enumerate(language_cases()))
 LANGUAGES = f"""
 WITH c(i, kind, confidence, value) AS (VALUES {_CASES})
@@ -168,6 +186,7 @@ SQL = {
       SELECT record_id, round(CASE WHEN h IS NULL THEN 0 ELSE ln(1 + h) END, 6)::DOUBLE AS area, 1.0::DOUBLE AS number_of_owners, mutations::DOUBLE AS mutation_frequency, round(1 - CASE WHEN h <= 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE AS numeric_field_consistency,
         round(CASE WHEN h IS NULL THEN 0.3 WHEN h <= 0 THEN 1.0 WHEN h > 1000 THEN 0.9 ELSE 0 END, 6)::DOUBLE AS unusual_area_values,
         round(least(1.0, CASE WHEN lower(trim(owner_name)) = lower(trim(co_owner_name)) THEN 0.4 ELSE 0 END + CASE WHEN mutations > 10 THEN 0.4 ELSE 0 END), 6)::DOUBLE AS unusual_record_patterns FROM m""",
+    "anomaly_scores": SCORES,
     "document_anomalies": RECORDS
     + f""", f AS (SELECT *, {FAILURES} AS x FROM n), y AS (SELECT record_id, list_filter([
         CASE WHEN area = '0' THEN 'area is not positive' END, CASE WHEN registration_date = '05-03-2030' THEN 'registration date is in the future' END,

@@ -354,7 +354,7 @@ def anomaly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.score(land_records(spark, sf_dir)).select("record_id", "anomaly_score", "anomaly_level", "anomaly_flag")
+    return anomaly.score(land_records(spark, sf_dir)).select("record_id", six("anomaly_score").alias("anomaly_score"), "anomaly_level", "anomaly_flag")
 
 
 @query

@@ -131,6 +131,34 @@ STATES = {
 }
 PADDY_WORDS = ["nanja", "punja", "wet", "dry", "நஞ்சை", "புஞ்சை", "agricultural"]
 
+# --- fields, files, land classes and models (fixed values) ---
+#: Words before a colon that make a block a field (fixed values).
+FIELD_WORDS = [
+    "survey", "khasra", "khata", "plot", "village", "tehsil", "district", "owner", "father", "mother", "area", "registration",
+    "mutation", "date", "सर्वे", "खसरा", "खाता", "गाव", "तालुका", "जिल्हा", "मालिक", "क्षेत्र",
+]
+#: Marks in a file name and the type they stand for, the first that fits (fixed values).
+FILE_TYPES = [
+    (["7_12", "satbara"], "7/12 Extract (सातबारा)"),
+    (["khasra", "khatauni"], "Khasra-Khatauni (खतौनी)"),
+    (["patta"], "Patta/Chitta (பட்டா)"),
+]
+#: Colours of land classes, the first contained (fixed values).
+CLASS_COLOURS = [
+    ("agricultural", "#16a34a"), ("residential", "#2563eb"), ("commercial", "#d97706"), ("forest", "#065f46"),
+    ("wasteland", "#6b7280"), ("water", "#0284c7"), ("government", "#7c3aed"), ("default", "#b45309"),
+]
+#: Languages with a printed-text model of their own (fixed values).
+PADDLE_LANGUAGES = ["hi", "mr", "ta", "te", "kn", "ml", "gu", "bn", "pa", "en"]
+#: Words that tie an anomaly to a field, in order (fixed values).
+ANOMALY_WORDS = ["area", "date", "market_value", "owner"]
+
+# --- anomaly model (fixed values): features in order, and the distributions of the rows that it learns from ---
+ANOMALY_FEATURES = ["area", "number_of_owners", "mutation_frequency", "numeric_field_consistency", "unusual_area_values", "unusual_record_patterns"]
+TRAINING_ROWS, CONTAMINATION, TRAINING_SEED = 500, 0.05, 42
+NORMAL_ROWS = {"area": (0.1, 20), "owners": [1, 2, 3, 4], "owner_shares": [0.5, 0.3, 0.15, 0.05], "mutations": 0.8, "consistency": (0.9, 1), "patterns": (0, 0.1)}
+ODD_ROWS = {"log_area": [0, -1], "large_area": 15000, "owners": [0, 50, 120], "mutations": (15, 50), "consistency": (0, 0.3), "area_values": [0.8, 1.0], "patterns": (0.6, 1)}
+
 # --- entity patterns (fixed values): type, confidence, pattern ---
 ENTITY_PATTERNS = {
     "en": [
