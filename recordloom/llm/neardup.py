@@ -353,16 +353,21 @@ def classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, ban
 
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     roots = _merged(None, linked(stars, feats, threshold, plain))
-    for k in range(HUBS):
+    for k in range(HUBS + 1):
         apart = materialise(_apart(members, roots), "apart")
-        inside = apart.filter("root = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("drawn"))
-        met = apart.filter("root <> top").join(inside, "bucket").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
-        roots = _merged(roots, linked(met.distinct(), feats, threshold, plain))
+        settled = not apart.head(1)
+        if k < HUBS and not settled:
+            inside = apart.filter("root = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("drawn"))
+            met = apart.filter("root <> top").join(inside, "bucket").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
+            roots = _merged(roots, linked(met.distinct(), feats, threshold, plain))
+        elif not settled:
+            texts_apart = materialise(apart.select("node", "root").distinct(), "apart")
+            roots = _merged(roots, linked(rare_pairs(texts_apart, feats, threshold), feats, threshold, plain))
+            remove_table(texts_apart)
         remove_table(apart)
-
-    apart = materialise(_apart(members, roots).select("node", "root").distinct(), "apart")
-    roots = _merged(roots, linked(rare_pairs(apart, feats, threshold), feats, threshold, plain))
-    for table in (apart, feats, members):
+        if settled:
+            break
+    for table in (feats, members):
         remove_table(table)
     return roots
 
