@@ -82,7 +82,7 @@ def interiors_meet(a: np.ndarray, b: np.ndarray) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def rings_overlap(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([p is not None and interiors_meet(np.column_stack([p, q]).astype(float), np.column_stack([r, s]).astype(float)) for p, q, r, s in zip(ax, ay, bx, by)], dtype=bool)
+    return pd.Series([interiors_meet(np.column_stack([p, q]).astype(float), np.column_stack([r, s]).astype(float)) for p, q, r, s in zip(ax, ay, bx, by)], dtype=bool)
 
 
 def grid_pairs(parcels: DataFrame, cell: float, id_: str = "id") -> DataFrame:
@@ -104,18 +104,19 @@ def grid_pairs(parcels: DataFrame, cell: float, id_: str = "id") -> DataFrame:
 def overlaps(parcels: DataFrame, cell: float, id_: str = "id", ring: str = "ring") -> DataFrame:
     """a, b of parcels whose interiors meet; null rings are left out.
 
-    A ring as large as its box is that box; two of those meet where their boxes do, which
-    the join has settled. Only other pairs have their rings sent to Python.
+    Boxes meet first, without rings. A ring as large as its box is that box; two of those
+    meet where their boxes do. Only for other pairs are rings joined and sent to Python.
     """
     box = polygon_bbox(F.col(ring))
     sized = parcels.filter(F.size(ring) >= 3).select(id_, ring, *[F.get(box, F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     boxed = (area > 0) & (ring_area(F.col(ring)) >= area * (1 - 1e-12))
-    pairs = grid_pairs(sized.select(id_, "x0", "y0", "x1", "y1", boxed.alias("boxed"), F.col(ring).alias("whole")), cell, id_)
-    both = F.col("a_boxed") & F.col("b_boxed")
-    part = lambda s, c: F.when(~both, F.transform(f"{s}_whole", lambda p: p[c].cast("double")))
-    hit = both | F.coalesce(rings_overlap(part("a", "x"), part("a", "y"), part("b", "x"), part("b", "y")), F.lit(False))
-    return pairs.filter(hit).select(F.col(f"a_{id_}").alias("a"), F.col(f"b_{id_}").alias("b"))
+    pairs = grid_pairs(sized.select(id_, "x0", "y0", "x1", "y1", boxed.alias("boxed")), cell, id_)
+    both, ids = F.col("a_boxed") & F.col("b_boxed"), [F.col(f"{s}_{id_}").alias(s) for s in "ab"]
+    part = lambda c: F.transform(ring, lambda p: p[c].cast("double"))
+    side = lambda s: sized.select(F.col(id_).alias(s), part("x").alias(f"{s}x"), part("y").alias(f"{s}y"))
+    others = pairs.filter(~both).select(*ids).join(side("a"), "a").join(side("b"), "b").filter(rings_overlap("ax", "ay", "bx", "by"))
+    return pairs.filter(both).select(*ids).unionByName(others.select("a", "b"))
 
 
 def area_mismatch(parcels: DataFrame, declared: Column, square_metres_per_unit: float, tolerance: float = 0.05) -> DataFrame:
