@@ -53,6 +53,7 @@ HUBS = 2
 PLAIN = True
 BLOCK_SHINGLES = 1_000_000
 LIGHT, HEAVY = 12, 4  # 64-bit words of the bitmaps
+HEAD = 16  # rarest shingles by which a pair's meetings are made one
 CELLS = 1 << 13  # rows of the table of random variates, by the low bits of a shingle's hash
 ID = U(0xFFFFFFFF)
 
@@ -296,10 +297,16 @@ def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFram
     falling = Window.partitionBy("node").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)  # of one text
     low = F.lit(threshold - 1e-4)
     rare = (F.sum("w").over(falling) >= low * F.col("weight")) | (F.count(F.lit(1)).over(falling) >= low * F.col("n"))
-    prefix = ranked.withColumn("rare", rare).filter("rare and texts > 1").select("shingle", "node", "root", "n", "weight")
-    prefix = prefix.join(feats.select("node", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(LIGHT + HEAVY)]), "node")
+    prefix = materialise(ranked.withColumn("rare", rare).filter("rare and texts > 1").select("shingle", "node", "root", "n", "weight", "texts"), "prefix")
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("texts", "shingle")))["shingle"], 1, HEAD)  # from a part of one text
+    heads = prefix.groupBy("node").agg(rarest.alias("head"))
+    bits = feats.select("node", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(LIGHT + HEAVY)])
+    dealt = prefix.drop("texts").join(heads, "node").join(bits, "node")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
-    return prefix.alias("x").join(prefix.alias("y"), meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # A pair with common shingles among its rarest meets at the least of those only; one without, wherever it can.
+    common = F.array_intersect("x.head", "y.head")
+    once = (F.size(common) == 0) | (F.col("x.shingle") == F.array_min(common))
+    return dealt.alias("x").join(dealt.alias("y"), meet & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
