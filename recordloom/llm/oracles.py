@@ -82,4 +82,35 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_
 FROM r JOIN p USING (row_number)
 """
 
-SQL = {"op1_mix_sources": MIX, "op5_shard": SHARD, "op6_chat_format": CHAT, "op8_quality_rules": QUALITY, "op9_warc": WARC}
+#: Links of documents by shared shingles, then all that can be reached by links.
+JOIN = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+g AS (SELECT rn, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS gs FROM d),
+e AS (SELECT rn, unnest(gs) AS gram FROM g), n AS (SELECT rn, doc_id, CAST(len(gs) AS BIGINT) AS n FROM g),
+o AS (SELECT a.rn AS x, b.rn AS y, count(*) AS shared FROM e a JOIN e b ON a.gram = b.gram AND a.rn < b.rn GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON x = a.rn JOIN n b ON y = b.rn WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+t AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rn AS x, rn AS y FROM n UNION SELECT r.x, t.y FROM r JOIN t ON r.y = t.x)
+SELECT a.doc_id, any_value(a.n) AS n_shingles, min(b.doc_id) AS component_id FROM r JOIN n a ON r.x = a.rn JOIN n b ON r.y = b.rn GROUP BY r.x, a.doc_id
+"""
+
+#: Stretches of i at which words i and i + q are equal are runs of period q; of one stretch of words the least q is its period.
+RUNS = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) x(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, CAST(len(ws) AS BIGINT) AS n,
+    CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS UBIGINT)), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT) AS h FROM documents CROSS JOIN crc),
+p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS q FROM d),
+w AS (SELECT rn, doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % q ELSE i END]) END AS ws FROM p),
+e AS (SELECT rn, unnest(ws) AS word, unnest(range(n)) AS i FROM w),
+m AS (SELECT x.rn, y.i - x.i AS q, x.i FROM e x JOIN e y ON x.rn = y.rn AND x.word = y.word AND x.i < y.i),
+s AS (SELECT rn, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rn, q ORDER BY i) AS island FROM m) GROUP BY rn, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+r AS (SELECT rn, start, length, min(q) AS period FROM s GROUP BY ALL),
+c AS (SELECT rn, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), [-length, start, period]) AS best, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY 1),
+k AS (SELECT DISTINCT rn, unnest(range(start + period, start + length)) AS i FROM r),
+t AS (SELECT e.rn, sha256(string_agg(word, ' ' ORDER BY e.i)) AS h FROM e ANTI JOIN k ON e.rn = k.rn AND e.i = k.i GROUP BY 1)
+SELECT doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(t.h, sha256('')) AS collapsed_sha256 FROM w LEFT JOIN c USING (rn) LEFT JOIN t USING (rn)
+"""
+
+SQL = {"op1_mix_sources": MIX, "op5_shard": SHARD, "op6_chat_format": CHAT, "op8_quality_rules": QUALITY, "op9_warc": WARC, "op12_ngram_join": JOIN, "op13_periodic_runs": RUNS}

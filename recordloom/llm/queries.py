@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, extraction, mixing, neardup, quality, secrets, sharding, tokens, warc
+from . import chat, decontamination, extraction, jaccard, mixing, neardup, quality, runs, secrets, sharding, tokens, warc, whitening
 from .common import table
 
 #: Rank file of a public byte-level vocabulary, and where its kin lie.
@@ -60,7 +60,25 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.materialised(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    place = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c")
+    rows = each.select("vec_id", "n", "deviation", "deviation_exact", "identity_error", place)
+    return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error", "deviation_exact")
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.scan(table(spark, sf_dir, "documents"), least=12, planted=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_secret_scan, op3_decontaminate, op4_html_extract, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc, op10_token_shards)
+    for f in (
+        op1_mix_sources, op2_secret_scan, op3_decontaminate, op4_html_extract, op5_shard, op6_chat_format, op7_minhash_dedup, op8_quality_rules, op9_warc, op10_token_shards,
+        op11_whiten, op12_ngram_join, op13_periodic_runs,
+    )
 }
