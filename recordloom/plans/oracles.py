@@ -82,6 +82,39 @@ def _count(pattern: str, column: str = "t") -> str:
     return f"CAST(length({column}) - length(regexp_replace({column}, '{pattern}', '', 'g')) AS BIGINT)"
 
 
+#: Convex parts of each shape; interiors of two meet unless the corners of both lie apart along the normal of some edge.
+SHAPES = """
+WITH k AS (SELECT p_partkey AS id, p_partkey % 50 < 2 AS same, p_partkey % 3 = 0 AS small, p_partkey AS k, p_size AS s FROM part),
+v AS (SELECT id, k, same, CASE WHEN same THEN 300 WHEN small THEN 1000 + k * 13 % 100 ELSE k * 7919 % 1500 END AS x, CASE WHEN same THEN 700 WHEN small THEN 1000 + k * 31 % 100 ELSE k * 10007 % 1500 END AS y,
+    CASE WHEN same THEN 11 WHEN small THEN k % 2 + 1 ELSE s END AS w, CASE WHEN same THEN 7 WHEN small THEN 2 ELSE s * 7 % 40 + 1 END AS h FROM k),
+p AS (SELECT id, CASE WHEN k = 1 THEN [[[-10, -10], [4000, -10], [-10, 4000]]] WHEN k % 4 = 1 AND NOT same THEN [[[x, y], [x + w, y], [x, y + h]]]
+    WHEN k % 4 = 2 AND NOT same THEN [[[x, y], [x + 2 * w, y], [x + 2 * w, y + h], [x, y + h]], [[x, y], [x + w, y], [x + w, y + 2 * h], [x, y + 2 * h]]]
+    ELSE [[[x, y], [x + w, y], [x + w, y + h], [x, y + h]]] END AS parts FROM v),
+g AS (SELECT id, min(id) OVER (PARTITION BY parts) AS first, parts FROM p),
+c AS (SELECT id, unnest(parts) AS pts FROM g WHERE id = first),
+e AS (SELECT id, pts, list_transform(range(1, len(pts) + 1), lambda i: [pts[i % len(pts) + 1][2] - pts[i][2], pts[i][1] - pts[i % len(pts) + 1][1]]) AS normals,
+    list_min(list_transform(pts, lambda q: q[1])) AS x0, list_max(list_transform(pts, lambda q: q[1])) AS x1, list_min(list_transform(pts, lambda q: q[2])) AS y0, list_max(list_transform(pts, lambda q: q[2])) AS y1 FROM c),
+m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1
+  WHERE len(list_filter(list_concat(a.normals, b.normals), lambda n: list_max(list_transform(a.pts, lambda q: q[1] * n[1] + q[2] * n[2])) <= list_min(list_transform(b.pts, lambda q: q[1] * n[1] + q[2] * n[2]))
+    OR list_max(list_transform(b.pts, lambda q: q[1] * n[1] + q[2] * n[2])) <= list_min(list_transform(a.pts, lambda q: q[1] * n[1] + q[2] * n[2])))) = 0)
+SELECT a, b, 'pair' AS kind FROM m UNION ALL SELECT first, id, 'member' FROM g WHERE id <> first
+"""
+
+#: Edges one by one: a ray's crossings, the two ends, and the foot on the edge's great circle if it lies between them.
+NEAR = """
+WITH c AS (SELECT c_custkey AS id, 73.0::DOUBLE + c_custkey % 37 / 500 AS x, 19.0::DOUBLE + c_custkey % 100 / 1000 AS y, (c_custkey % 7 + 1)::DOUBLE / 400 AS w FROM customer),
+r AS (SELECT id, CASE WHEN id % 2 = 0 THEN [[x, y], [x + w, y], [x + w / 2, y + w]] ELSE [[x, y], [x + w, y], [x + w, y + w], [x + w / 2, y + w / 4], [x, y + w]] END AS ring FROM c),
+e AS (SELECT id, ring[i] AS p, ring[i % len(ring) + 1] AS q FROM (SELECT id, ring, unnest(range(1, len(ring) + 1)) AS i FROM r)),
+h AS (SELECT [cos(radians(19.05)) * cos(radians(73.03)), cos(radians(19.05)) * sin(radians(73.03)), sin(radians(19.05))] AS o),
+u AS (SELECT id, p, q, o, [cos(radians(p[2])) * cos(radians(p[1])), cos(radians(p[2])) * sin(radians(p[1])), sin(radians(p[2]))] AS a, [cos(radians(q[2])) * cos(radians(q[1])), cos(radians(q[2])) * sin(radians(q[1])), sin(radians(q[2]))] AS b FROM e CROSS JOIN h),
+d AS (SELECT *, [a[1] - o[1], a[2] - o[2], a[3] - o[3]] AS f, [b[1] - o[1], b[2] - o[2], b[3] - o[3]] AS g FROM u),
+n AS (SELECT *, array_cross_product(a::DOUBLE[3], [g[1] - f[1], g[2] - f[2], g[3] - f[3]]::DOUBLE[3]) AS n FROM d),
+m AS (SELECT id, (p[2] > 19.05) <> (q[2] > 19.05) AND 73.03 < p[1] + (q[1] - p[1]) * (19.05 - p[2]) / nullif(q[2] - p[2], 0) AS hit, 2 * asin(sqrt(list_dot_product(f, f)) / 2) AS corner,
+    CASE WHEN list_dot_product(array_cross_product(n, a::DOUBLE[3])::DOUBLE[], f) <= 0 AND list_dot_product(array_cross_product(b::DOUBLE[3], n)::DOUBLE[], g) <= 0 THEN asin(abs(list_dot_product(n::DOUBLE[], f)) / sqrt(list_dot_product(n::DOUBLE[], n::DOUBLE[]))) END AS foot FROM n),
+s AS (SELECT id, CASE WHEN count(*) FILTER (hit) % 2 = 1 THEN 0 ELSE least(min(corner), min(foot)) * 6371000.0 END AS metres FROM m GROUP BY 1)
+SELECT id, round(metres, 3)::DOUBLE AS distance_m FROM s WHERE metres <= 2000
+"""
+
 _FOREST = anomaly.fit(anomaly.training_rows())
 _TREES = ", ".join(f"({k}, {t.feature.tolist()}, {t.value.tolist()}::DOUBLE[], {t.left.tolist()}, {t.rest.tolist()}::DOUBLE[])" for k, t in enumerate(_FOREST.trees))
 #: The forest's nodes as lists, walked tree by tree.
@@ -201,6 +234,8 @@ SQL = {
       SELECT id, round(m, 3)::DOUBLE AS distance_m FROM d WHERE m <= 3000""",
     "parcel_overlaps": """WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size % 7 + 1 AS w, p_size % 5 + 1 AS h FROM part)
       SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""",
+    "shape_overlaps": SHAPES,
+    "parcels_near_point": NEAR,
     "parcel_areas": """WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size % 7 + 1 AS w, p_size % 5 + 1 AS h FROM part)
       SELECT id, (w * h)::DOUBLE AS area, x || ',' || y || ',' || (x + w) || ',' || (y + h) AS bbox FROM p""",
     "learning_rates": CORRECTIONS + "SELECT field_name, total, corrected, round(accuracy, 6)::DOUBLE AS accuracy, round(penalty, 6)::DOUBLE AS penalty FROM pen",

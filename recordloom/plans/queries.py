@@ -389,7 +389,7 @@ def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     p = table(spark, sf_dir, "customer").select(k.alias("id"), (F.lit(19.0) + k % 100 / 1000).alias("lat"), (F.lit(73.0) + k % 37 / 500).alias("lng"))
-    return spatial.near(p, 19.05, 73.03, 3000.0).select("id", F.round("distance_m", 3).alias("distance_m"))
+    return spatial.near(p, 19.05, 73.03, 3000.0, fallback=True).select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +402,44 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parcel_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.overlaps(parcels(spark, sf_dir), cell=16.0)
+    return spatial.overlaps(parcels(spark, sf_dir))
+
+
+def drawn(*corners) -> Column:
+    return F.array(*[F.struct(F.lit(x).cast("double").alias("x") if not isinstance(x, Column) else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y") if not isinstance(y, Column) else y.cast("double").alias("y")) for x, y in corners])
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes, triangles and L-shapes on whole numbers: a third in one small place, some of one ring, one over the whole map."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    small = k % 3 == 0
+    x = F.when(k % 50 < 2, 300).when(small, 1000 + k * 13 % 100).otherwise(k * 7919 % 1500)
+    y = F.when(k % 50 < 2, 700).when(small, 1000 + k * 31 % 100).otherwise(k * 10007 % 1500)
+    w = F.when(k % 50 < 2, 11).when(small, k % 2 + 1).otherwise(s)
+    h = F.when(k % 50 < 2, 7).when(small, 2).otherwise(s * 7 % 40 + 1)
+    box = drawn((x, y), (x + w, y), (x + w, y + h), (x, y + h))
+    triangle = drawn((x, y), (x + w, y), (x, y + h), (x, y))
+    bent = drawn((x, y), (x + 2 * w, y), (x + 2 * w, y + h), (x + w, y + h), (x + w, y + 2 * h), (x, y + 2 * h))
+    whole = drawn((-10, -10), (4000, -10), (-10, 4000))
+    ring = F.when(k == 1, whole).when((k % 4 == 1) & (k % 50 >= 2), triangle).when((k % 4 == 2) & (k % 50 >= 2), bent).otherwise(box)
+    return table(spark, sf_dir, "part").select(k.alias("id"), ring.alias("ring"))
+
+
+@query
+def shape_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of three shapes that overlap, touch or hold one another; parcels of one ring as its members."""
+    return spatial.overlap_classes(shapes(spark, sf_dir))
+
+
+@query
+def parcels_near_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metres from a point to the nearest edge of each ring within reach, 0 inside."""
+    k = F.col("c_custkey")
+    x, y = F.lit(73.0) + k % 37 / 500, F.lit(19.0) + k % 100 / 1000
+    w = (k % 7 + 1) / 400
+    ring = F.when(k % 2 == 0, drawn((x, y), (x + w, y), (x + w / 2, y + w))).otherwise(drawn((x, y), (x + w, y), (x + w, y + w), (x + w / 2, y + w / 4), (x, y + w)))
+    p = table(spark, sf_dir, "customer").select(k.alias("id"), ring.alias("ring"))
+    return spatial.near(p, 19.05, 73.03, 2000.0).select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query

@@ -112,16 +112,17 @@ SQUARE = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
     (np.array([(-1, 1), (5, 1), (5, 2), (-1, 2)], float), True), (np.array([(0, 4), (4, 4), (2, 6)], float), False), (np.array([(2, 2), (6, 2), (6, 3)], float), True),
 ])
 def test_polygons(other, meets):
-    assert spatial.interiors_meet(SQUARE, other) is meets and spatial.interiors_meet(other, SQUARE) is meets
+    a, b = [[r[:, 0] for r in (SQUARE, other)], [r[:, 1] for r in (SQUARE, other)]], [[r[:, 0] for r in (other, SQUARE)], [r[:, 1] for r in (other, SQUARE)]]
+    assert spatial.interiors_meet(*a, *b).tolist() == [meets, meets]
 
 
 def test_overlaps_and_near(spark):
     ring = lambda p: [(float(x), float(y)) for x, y in p]
     df = spark.createDataFrame([(1, ring(SQUARE)), (2, ring(SQUARE + 3)), (3, ring(SQUARE + [4, 0])), (4, None), (5, ring(SQUARE * 40 - 50))], "id long, ring array<struct<x:double,y:double>>")
-    assert {tuple(r) for r in spatial.overlaps(df, 3.0).collect()} == {(1, 2), (2, 3), (1, 5), (2, 5), (3, 5)}
+    assert {tuple(r) for r in spatial.overlaps(df).collect()} == {(1, 2), (2, 3), (1, 5), (2, 5), (3, 5)}
     pts = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.01, 20.0), (3, 0.0, 20.0), (4, None, None), (5, 10.0, 179.99)], "id long, lat double, lng double")
-    assert {r["id"] for r in spatial.near(pts, 10.0, 20.0, 2000).collect()} == {1, 2}
-    assert {r["id"] for r in spatial.near(pts, 10.0, -179.99, 5000).collect()} == {5}
+    assert {r["id"] for r in spatial.near(pts, 10.0, 20.0, 2000, fallback=True).collect()} == {1, 2}
+    assert {r["id"] for r in spatial.near(pts, 10.0, -179.99, 5000, fallback=True).collect()} == {5}
 
 
 def test_forest(spark):
