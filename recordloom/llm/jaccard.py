@@ -22,6 +22,10 @@ set drawn from it, in `HUBS` more rounds. Then those still outside meet all sets
 bucket, block by block: exact for what is left, without a row for a pair; a unit yields a spanning forest of
 the components that it links. Buckets with the same sets count once.
 
+Before whole sets are read, pairs are held against a product of one bit: columns fall to
+2,048 cells, and a cell whose parity differs holds an n-gram that only one of both sets
+has. More such cells than the sizes allow, and the pair is out; rows without a pair left go.
+
 Equal sets are one row of the matrix: copies cost nothing. N-grams are 64-bit hashes. Sets
 are told apart by 64 bits, checked by 64 others: should two sets ever meet in the first, all
 is done again under another seed.
@@ -50,6 +54,7 @@ SIZE, PERCENT = 3, 90
 HUBS = 2
 UNIT, UNIT_SETS = 1 << 20, 1024  # n-grams and sets on either side of a unit, about
 COLUMNS = 4096  # columns multiplied at once
+WORDS = 32  # 64-bit words of a set's parities
 SPAN = 3  # a class spans sizes of a ratio of (100 / percent) ** SPAN
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -115,6 +120,19 @@ def names(grams: np.ndarray, n: np.ndarray, percent: int, seed: int) -> tuple[np
     return np.concatenate(out), np.concatenate(of)
 
 
+def parities(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(sets, WORDS) 64-bit words: for each of their bits whether the set has an odd number of the n-grams that fall to it."""
+    bits = WORDS * 64
+    cell = ((grams >> U(17)) % U(bits)).astype(np.int64)
+    ends, out = np.r_[0, np.cumsum(n)], []
+    for k in range(0, len(n), 1024):
+        part = n[k : k + 1024]
+        doc = np.repeat(np.arange(len(part)), part)
+        times = np.bincount(doc * bits + cell[ends[k] : ends[k + len(part)]], minlength=len(part) * bits)
+        out.append(np.packbits((times & 1).astype(np.uint8).reshape(len(part), bits), axis=1).view(np.uint64))
+    return np.concatenate(out) if out else np.empty((0, WORDS), np.uint64)
+
+
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -147,16 +165,18 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def rows_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """node, n, grams of the sets chosen (node, id and d of a document that has it)."""
+    """node, n, grams, parity of the sets chosen (node, id and d of a document that has it)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for row, raw, offsets in chunks(b.column("text")):
                 grams, n = sets(raw, offsets, size)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(row, len(n)), pa.array(n.astype(np.int64)), lists(grams, n)], names=["node", "n", "grams"])
+                seen = parities(grams, n)
+                columns = [b.column("node").slice(row, len(n)), pa.array(n.astype(np.int64)), lists(grams, n), lists(seen.reshape(-1), np.full(len(n), WORDS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "grams", "parity"])
 
     one = texts_of(docs).join(chosen, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    return one.mapInArrow(batches, "node long, n long, grams array<long>").dropDuplicates(["node"])
+    return one.mapInArrow(batches, "node long, n long, grams array<long>, parity array<long>").dropDuplicates(["node"])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -213,44 +233,91 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[keep]
 
 
-def product(units: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components, from rows (unit, side, node, root, grams), a spanning forest for each unit."""
-
-    def links(rows: list[tuple]) -> np.ndarray:
-        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
-        if not sides[0] or not sides[1]:
-            return np.empty((0, 2), np.int64)
-        i, j = np.nonzero(overlaps([r[2] for r in sides[0]], [r[2] for r in sides[1]], percent))
-        roots = [np.array([r[1] for r in s], np.int64) for s in sides]
-        pairs = np.column_stack([roots[0][i], roots[1][j]])
-        return forest(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+def by_unit(units: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """What `work` makes of the rows of each unit, a list of tuples: arrays to yield, in the schema's order."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, unit, out = [], None, []
+        held, unit, out, waiting = [], None, [], 0
 
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal out
-            if out and (last or len(out) >= 1000):
-                both = np.concatenate(out)
-                out = []
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        def done() -> list[pa.RecordBatch]:
+            nonlocal out, waiting
+            found = [np.concatenate(c) for c in zip(*out)]
+            out, waiting = [], 0
+            return [pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)] if found and len(found[0]) else []
 
         for b in it:
-            grams = b.column("grams")
-            values, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
-            for k, (u, side, root) in enumerate(zip(*(b.column(c).to_pylist() for c in ("unit", "side", "root")))):
+            parts = []
+            for c in columns:
+                column = b.column(c)
+                if pa.types.is_list(column.type):
+                    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                    parts.append([values[x:y].copy() for x, y in zip(ends[:-1], ends[1:])])
+                else:
+                    parts.append(column.to_pylist())
+            for u, row in zip(b.column("unit").to_pylist(), zip(*parts)):
                 if u != unit:
                     if held:
-                        out.append(links(held))
+                        out.append(work(unit, held))
+                        waiting += len(out[-1][0])
+                        if waiting > 10_000:
+                            yield from done()
                     held, unit = [], u
-                    yield from flush(False)
-                held.append((side, root, values[ends[k] : ends[k + 1]].copy()))
+                held.append(row)
         if held:
-            out.append(links(held))
-        yield from flush(True)
+            out.append(work(unit, held))
+        yield from done()
 
-    dealt = units.select("unit", "side", "root", "grams").repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(batches, "a long, b long")
+    return units.select("unit", *columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(batches, schema)
+
+
+def sides(rows: list[tuple]) -> list[list[tuple]]:
+    """The rows of either side, whose number comes first."""
+    return [[r for r in rows if r[0] == k] for k in (0, 1)]
+
+
+def product(units: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components, from rows (unit, side, root, grams), a spanning forest for each unit."""
+
+    def links(_, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        one, two = sides(rows)
+        if not one or not two:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i, j = np.nonzero(overlaps([r[2] for r in one], [r[2] for r in two], percent))
+        pairs = np.column_stack([np.array([r[1] for r in one], np.int64)[i], np.array([r[1] for r in two], np.int64)[j]])
+        found = forest(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        return found[:, 0], found[:, 1]
+
+    return by_unit(units, ["side", "root", "grams"], links, "a long, b long")
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False only where sizes or parities prove that two sets are not linked: every bit that differs is an n-gram of one of them."""
+    differ = sum(F.bit_count(F.get(f"{x}.parity", F.lit(k)).bitwiseXOR(F.get(f"{y}.parity", F.lit(k)))) for k in range(WORDS))
+    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (differ * (100 + percent) <= (m + n) * (100 - percent))
+
+
+def survivors(units: DataFrame, percent: int) -> DataFrame:
+    """unit, side, node, root of those rows of units that some row of the other side, of another component, may be linked to."""
+
+    def alive(unit: int, rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        both = sides(rows)
+        n, root = [[np.array([r[k] for r in s], np.int64) for s in both] for k in (3, 2)]
+        live = np.zeros((len(both[0]), len(both[1])), bool)
+        if live.size:
+            a, b = (np.array([r[4] for r in s]).view(np.uint64) for s in both)
+            differ = np.zeros(live.shape, np.int32)
+            for k in range(WORDS):
+                differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+            x, y = n[0][:, None], n[1][None, :]
+            live = (root[0][:, None] != root[1][None, :]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & ((100 + percent) * differ <= (100 - percent) * (x + y))
+        kept = [live.any(axis=1 - k) for k in (0, 1)]
+        nodes = [np.array([r[1] for r in s], np.int64)[k] for s, k in zip(both, kept)]
+        side = np.repeat(np.arange(2, dtype=np.int32), [len(x) for x in nodes])
+        return np.full(len(side), unit, np.int64), side, np.concatenate(nodes), np.concatenate([r[k] for r, k in zip(root, kept)])
+
+    return by_unit(units, ["side", "node", "root", "n", "parity"], alive, "unit long, side int, node long, root long")
 
 
 def per_unit(which: Column) -> Column:
@@ -259,9 +326,11 @@ def per_unit(which: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(grams / F.lit(UNIT)), F.ceil(rows / F.lit(UNIT_SETS))).cast("long")
 
 
-def stars(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Units of one hub and up to a unit's worth of its sets, from pairs (hub, node)."""
-    sized = pairs.join(rows.select("node", "n"), "node")
+def stars(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Units of one hub and up to a unit's worth of its sets, from pairs (hub, node) that may be linked."""
+    seen = rows.select("node", "n", "parity")
+    both = pairs.alias("p").join(seen.alias("x"), F.col("p.hub") == F.col("x.node")).join(seen.alias("y"), F.col("p.node") == F.col("y.node"))
+    sized = materialise(both.filter(may_link("x", "y", percent)).select("p.hub", "p.node", "y.n"), "pairs")
     counts = sized.groupBy("hub").agg(per_unit(F.lit(True)).alias("units"))
     placed = sized.join(counts, "hub").withColumn("unit", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "units")))
     heads = placed.select("unit", F.lit(0).alias("side"), F.col("hub").alias("node")).distinct()
@@ -269,18 +338,23 @@ def stars(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.join(rows.select("node", "grams"), "node").withColumn("root", F.col("node"))
 
 
-def squares(apart: DataFrame, rows: DataFrame) -> DataFrame:
-    """Units of blocks of what is outside of a bucket's largest component against blocks of the whole bucket."""
+def squares(apart: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Units of blocks of what is outside of a bucket's largest component against blocks of the whole bucket.
+
+    Parities, a few words a set, are compared first: whole sets come only where they leave a pair in doubt.
+    """
     same = apart.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"), F.count(F.lit(1)).alias("k"))
     once = same.groupBy("h", "g", "k").agg(F.min("bucket").alias("bucket")).select("bucket")
-    sized = apart.join(once, "bucket").join(rows.select("node", "n"), "node")
+    sized = apart.join(once, "bucket").join(rows.select("node", "n", "parity"), "node")
     counts = sized.groupBy("bucket").agg(per_unit(F.col("root") != F.col("top")).alias("across"), per_unit(F.lit(True)).alias("down"))
     placed = sized.join(counts, "bucket").withColumn("h", F.xxhash64("node"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = placed.filter("root <> top").select("bucket", F.pmod("h", "across").alias("i"), every("down").alias("j"), F.lit(0).alias("side"), "node", "root")
-    b = placed.select("bucket", every("across").alias("i"), F.pmod("h", "down").alias("j"), F.lit(1).alias("side"), "node", "root")
-    units = a.unionByName(b).select(F.xxhash64("bucket", "i", "j").alias("unit"), "side", "node", "root")
-    return units.join(rows.select("node", "grams"), "node")
+    row = ["node", "root", "n", "parity"]
+    a = placed.filter("root <> top").select("bucket", F.pmod("h", "across").alias("i"), every("down").alias("j"), F.lit(0).alias("side"), *row)
+    b = placed.select("bucket", every("across").alias("i"), F.pmod("h", "down").alias("j"), F.lit(1).alias("side"), *row)
+    units = a.unionByName(b).select(F.xxhash64("bucket", "i", "j").alias("unit"), "side", *row)
+    left = materialise(survivors(units, percent), "units")
+    return left.join(rows.select("node", "grams"), "node")
 
 
 def narrow_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -306,16 +380,16 @@ def components(docs: DataFrame, table: DataFrame, size: int = SIZE, percent: int
     rows = materialise(rows_of(docs, chosen, size), "rows")
 
     pairs = members.filter("node <> hub").select("hub", "node").distinct()
-    roots = _merged(None, product(stars(pairs, rows), percent))
+    roots = _merged(None, product(stars(pairs, rows, percent), percent))
     for k in range(HUBS + 1):
         apart = materialise(_apart(members, roots), "apart")
         settled = not apart.head(1)
         if not settled and k < HUBS:
             inside = apart.filter("root = top").groupBy("bucket").agg(F.max_by("node", F.xxhash64("node", F.lit(k))).alias("hub"))
             met = apart.filter("root <> top").join(inside, "bucket").select("hub", "node").distinct()
-            roots = _merged(roots, product(stars(met, rows), percent))
+            roots = _merged(roots, product(stars(met, rows, percent), percent))
         elif not settled:
-            roots = _merged(roots, product(squares(apart, rows), percent))
+            roots = _merged(roots, product(squares(apart, rows, percent), percent))
         remove_table(apart)
         if settled:
             break
