@@ -225,3 +225,47 @@ def reading_models(distribution: Column, handwriting: Column) -> Column:
         F.when(handwriting, one(F.lit("trocr"), "handwritten", first, "region_crops")),
     )
     return F.filter(wanted, lambda m: m.isNotNull())
+
+
+#: First code points of the blocks that share one layout, from Devanagari to Malayalam.
+ABUGIDAS = range(0x0900, 0x0D80, 0x80)
+
+
+def transliterate(c: Column, compat: bool = True) -> Column:
+    """Latin spelling of text in one of nine scripts, digits first; other text keeps its letters, a null gives ''.
+
+    The first letter of a script says which is read. Its block is moved to that of
+    Devanagari, all nine having one layout. A consonant without a vowel sign or virama
+    gets its own vowel; then letters are spelled. With `compat` runs of capitals keep the first only.
+    """
+    base = 0x0900
+    at = lambda *places: "".join(chr(base + p) for p in places)
+    block = range(1, 0x80)
+    text = normalize_digits(c, compat)
+    first = F.regexp_extract(F.coalesce(c, F.lit("")), "[\\x{0900}-\\x{0D7F}]", 0)
+    own = reduce(Column.__or__, [first.between(chr(z), chr(z + 0x7F)) & text.rlike(f"[\\x{{{z:04X}}}-\\x{{{z + 0x7F:04X}}}]") for z in ABUGIDAS])
+    # Letters of other blocks stay: in a text of another script than Devanagari those of Devanagari are set aside.
+    aside = "".join(chr(0xF0000 + p) for p in block)
+    devanagari = "".join(chr(base + p) for p in block)
+    kept = text
+    for zero in ABUGIDAS:
+        if zero != base:
+            own_block = "".join(chr(zero + p) for p in block)
+            kept = F.when(first.between(chr(zero), chr(zero + 0x7F)), F.translate(F.translate(text, devanagari, aside), own_block, devanagari)).otherwise(kept)
+    dotted = kept
+    for plain, dot in V.DOTTED.items():
+        dotted = F.replace(dotted, F.lit(at(plain, V.DOT_BELOW)), F.lit(at(dot)))
+    consonants, signs = at(*V.CONSONANTS), at(*V.VOWEL_SIGNS)
+    spoken = F.regexp_replace(dotted, f"([{consonants}])(?![{signs}{at(V.VIRAMA, V.DOT_BELOW)}])", "$1a")
+    spelled = {**V.VOWELS, **V.VOWEL_SIGNS, **V.CONSONANTS, **V.MARKS, V.DOT_BELOW: "", V.VIRAMA: ""}
+    single = {p: s for p, s in spelled.items() if len(s) == 1}
+    gone = [p for p, s in spelled.items() if not s]
+    latin = F.translate(spoken, at(*single, *gone), "".join(single.values()))
+    for place, s in spelled.items():
+        if len(s) > 1:
+            latin = F.replace(latin, F.lit(at(place)), F.lit(s))
+    latin = F.translate(latin, aside, devanagari)
+    if compat:
+        pieces = F.regexp_extract_all(latin, F.lit("(?s)([A-Z]{2,}|[A-Z]?[^A-Z]+|[A-Z])"), F.lit(1))
+        latin = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[A-Z]{2,}$"), F.concat(F.left(p, F.lit(1)), F.lower(F.substring(p, 2, 1 << 20)))).otherwise(p)), "")
+    return F.when(own, strip(latin)).otherwise(text)

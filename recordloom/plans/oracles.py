@@ -115,6 +115,11 @@ s AS (SELECT id, CASE WHEN count(*) FILTER (hit) % 2 = 1 THEN 0 ELSE least(min(c
 SELECT id, round(metres, 3)::DOUBLE AS distance_m FROM s WHERE metres <= 2000
 """
 
+NEAREST = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS similarity FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM s QUALIFY rank <= 10)
+"""
+
 _FOREST = anomaly.fit(anomaly.training_rows())
 _TREES = ", ".join(f"({k}, {t.feature.tolist()}, {t.value.tolist()}::DOUBLE[], {t.left.tolist()}, {t.rest.tolist()}::DOUBLE[])" for k, t in enumerate(_FOREST.trees))
 #: The forest's nodes as lists, walked tree by tree.
@@ -234,6 +239,10 @@ SQL = {
       SELECT id, round(m, 3)::DOUBLE AS distance_m FROM d WHERE m <= 3000""",
     "parcel_overlaps": """WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size % 7 + 1 AS w, p_size % 5 + 1 AS h FROM part)
       SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h""",
+    "transliterations": """SELECT s_suppkey, ['khasarA saMkhyA 12', 'jamAbaMdI', 'maujA jami', 'piMda zamIna', 'gAma tAluko', 'jami khAtA', 'kirAmam', 'grAmaM', 'grAma', 'grAmaM', 'Survey 10', 'pAtila ગામ'][CAST(s_suppkey % 12 + 1 AS INT)] || ' ' || s_name AS latin FROM supplier""",
+    "names_within_two": """SELECT a.c_custkey AS a, b.c_custkey AS b, CAST(levenshtein(a.c_name, b.c_name) AS INT) AS distance FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey WHERE levenshtein(a.c_name, b.c_name) <= 2""",
+    "vector_search_exact": NEAREST + "SELECT query, rank, neighbour, round(similarity, 5)::DOUBLE AS similarity FROM t",
+    "vector_search": NEAREST + "SELECT count(DISTINCT query) AS queries, count(*) AS neighbours, true AS found FROM t",
     "shape_overlaps": SHAPES,
     "parcels_near_point": NEAR,
     "parcel_areas": """WITH p AS (SELECT p_partkey AS id, p_partkey * 37 % 1000 AS x, p_partkey * 91 % 1000 AS y, p_size % 7 + 1 AS w, p_size % 5 + 1 AS h FROM part)

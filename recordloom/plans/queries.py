@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import dates, numbers, text
-from ..operators import analytics, anomaly, changes, duplicates, extraction, learning, ordering, rules, scoring, spatial, verification
+from ..operators import analytics, anomaly, changes, duplicates, extraction, learning, ordering, rules, scoring, similarity, spatial, verification
 from ..sources import tables
 from ..sources.tables import by_key
 from ..streaming import documents as streaming
@@ -298,6 +298,18 @@ def digits_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", text.normalize_digits(F.col("t")).alias("digits"), text.translate_term(F.col("t"), kind).alias("term"), text.translate_inline(F.col("t")).alias("inline"), text.mask_secret(F.col("t")).alias("masked"))
 
 
+#: A word for each of nine scripts, with digits in some.
+WORDS = ["खसरा संख्या १२", "जमाबंदी", "মৌজা জমি", "ਪਿੰਡ ਜ਼ਮੀਨ", "ગામ તાલુકો", "ଜମି ଖାତା", "கிராமம்", "గ్రామం", "ಗ್ರಾಮ", "ഗ്രാമം", "Survey १०", "पाटील ગામ"]
+
+
+@query
+def transliterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latin spelling of words in nine scripts beside names."""
+    k = F.col("s_suppkey")
+    said = F.concat(F.get(F.array(*[F.lit(w) for w in WORDS]), (k % len(WORDS)).cast("int")), F.lit(" "), F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.transliterate(said).alias("latin"))
+
+
 @query
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -563,6 +575,35 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(n).select("r_regionkey", "n_nationkey", six(text.name_similarity(F.col("r_name"), F.col("n_name"))).alias("similarity"))
 
 
+@query
+def names_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names two edits apart or less."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return similarity.names_within(c, "name", 2)
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return e.filter("id % 100 = 0"), e
+
+
+@query
+def vector_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all."""
+    found = similarity.neighbours(*asked_vectors(spark, sf_dir), k=10, exact=True)
+    return found.select("query", long("rank").alias("rank"), "neighbour", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an inverted file, and whether nine tenths of the exact answer are found."""
+    asked, rows = asked_vectors(spark, sf_dir)
+    found = similarity.neighbours(asked, rows, k=10).select("query", "neighbour", F.lit(1).alias("hit"))
+    exact = similarity.neighbours(asked, rows, k=10, exact=True).select("query", "neighbour")
+    both = exact.join(found, ["query", "neighbour"], "left")
+    return both.agg(F.count_distinct("query").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.sum("hit") >= 0.9 * F.count(F.lit(1))).alias("found"))
+
+
 @query
 def change_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ordering.change_intervals(table(spark, sf_dir, "events"), "user_id", "ts")

@@ -262,3 +262,21 @@ ENTITY_PATTERNS = {
         ("DATE", 0.88, r"(?:दिनांक|तारीख)\s*[:\-]?\s*([0-9०-९]{1,2}[\-/\.][0-9०-९]{1,2}[\-/\.][0-9०-९]{2,4})"),
     ],
 }
+
+
+# The Latin spelling (ITRANS) of the letters that the nine blocks from
+# Devanagari to Malayalam have at the same places.
+
+#: Independent vowels, by their place in a block, and the signs that stand for them after a consonant.
+VOWELS = {0x05: "a", 0x06: "A", 0x07: "i", 0x08: "I", 0x09: "u", 0x0A: "U", 0x0B: "RRi", 0x0C: "LLi", 0x0D: "e", 0x0E: "e", 0x0F: "e", 0x10: "ai", 0x11: "o", 0x12: "o", 0x13: "o", 0x14: "au", 0x60: "RRI", 0x61: "LLI"}
+VOWEL_SIGNS = {0x3E: "A", 0x3F: "i", 0x40: "I", 0x41: "u", 0x42: "U", 0x43: "RRi", 0x44: "RRI", 0x45: "e", 0x46: "e", 0x47: "e", 0x48: "ai", 0x49: "o", 0x4A: "o", 0x4B: "o", 0x4C: "au", 0x57: "au", 0x62: "LLi", 0x63: "LLI"}
+CONSONANTS = {
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "~N", 0x1A: "ch", 0x1B: "Ch", 0x1C: "j", 0x1D: "jh", 0x1E: "~n",
+    0x1F: "T", 0x20: "Th", 0x21: "D", 0x22: "Dh", 0x23: "N", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n", 0x29: "n",
+    0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x31: "R", 0x32: "l", 0x33: "L", 0x34: "zh", 0x35: "v", 0x36: "sh", 0x37: "Sh", 0x38: "s", 0x39: "h",
+    0x58: "q", 0x59: "K", 0x5A: "G", 0x5B: "z", 0x5C: ".D", 0x5D: ".Dh", 0x5E: "f", 0x5F: "Y",
+}
+#: Consonants with a dot below, by the place of the one without.
+DOTTED = {0x15: 0x58, 0x16: 0x59, 0x17: 0x5A, 0x1C: 0x5B, 0x21: 0x5C, 0x22: 0x5D, 0x2B: 0x5E, 0x2F: 0x5F}
+MARKS = {0x01: ".N", 0x02: "M", 0x03: "H", 0x3D: ".a", 0x50: "OM", 0x64: "|", 0x65: "||", 0x70: "M"}
+DOT_BELOW, VIRAMA = 0x3C, 0x4D

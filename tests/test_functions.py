@@ -83,3 +83,17 @@ def test_distance_and_area(spark):
     assert one.select(numbers.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))).first()[0] == pytest.approx(111194.93, abs=0.1)
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0))])
     assert one.select(numbers.ring_area(ring)).first()[0] == 12.0
+
+
+@pytest.mark.parametrize("said,latin", [
+    ("खसरा संख्या १२३", "khasarA saMkhyA 123"), ("संतोष कुमार", "saMtoSha kumAra"), ("पाटील", "pAtila"), ("Survey No 245", "Survey No 245"), ("", ""), (None, ""),
+    ("गाँव", "gA.Nva"), ("दुःख", "duHkha"), ("ऋषि", "RriShi"), ("ज्ञान", "j~nAna"), ("औरत", "aurata"), ("ज़मीन", "zamIna"), ("ज़मीन", "zamIna"), ("बड़ा", "ba.Da"), ("क्षेत्र", "kShetra"), ("  राम ", "rAma"),
+    ("জমি খতিয়ান", "jami khatiYana"), ("ਜ਼ਿਲ੍ਹਾ", "zilhA"), ("ગુજરાત", "gujarAta"), ("ଓଡ଼ିଆ", "o.DiA"), ("தமிழ்", "tamizh"), ("తెలుగు", "telugu"), ("ಕನ್ನಡ", "kannaDa"), ("മലയാളം", "malayAlaM"),
+    ("राम ગામ", "rAma ગામ"), ("ગામ राम", "gAma राम"),
+])
+def test_transliteration(spark, said, latin):
+    assert values(spark, text.transliterate(F.col("c")), [said]) == [latin]
+
+
+def test_transliteration_keeps_runs_of_capitals_without_compat(spark):
+    assert values(spark, text.transliterate(F.col("c"), compat=False), ["पाटील", "ऋषि", "A B राम"]) == ["pATIla", "RRiShi", "A B rAma"]
