@@ -21,13 +21,17 @@ def classify(text: Column) -> Column:
     """struct(document_type, score): the type with the highest share of its patterns found; the first of equals."""
     low = F.lower(F.coalesce(text, F.lit("")))
     scores = []
-    for name, patterns in V.DOCUMENT_TYPES:
+    for i, (name, patterns) in enumerate(V.DOCUMENT_TYPES):
         hits = sum((F.when(low.rlike(f"(?d){p}"), 1).otherwise(0) for p in patterns), F.lit(0))
-        scores.append((name, F.when(hits > 0, F.least(0.5 + hits / len(patterns) * 0.5, F.lit(0.99))).otherwise(0.0)))
-    top = F.greatest(*[s for _, s in scores])
-    known = (F.length(strip(low)) >= 10) & (top > 0)
-    name = first_of([(s == top, F.lit(n)) for n, s in scores], F.lit("Unknown"))
-    return F.struct(F.when(known, name).otherwise("Unknown").alias("document_type"), F.when(known, top).otherwise(0.0).alias("score"))
+        scores.append(F.struct(hits.alias("hits"), F.lit(len(patterns)).alias("all"), F.lit(-i).alias("ord"), F.lit(name).alias("name")))
+    score = lambda s: F.when(s["hits"] > 0, F.least(0.5 + s["hits"] / s["all"] * 0.5, F.lit(0.99))).otherwise(0.0)
+    ranked = F.transform(F.array(*scores), lambda s: F.struct(score(s).alias("score"), s["ord"], s["name"]))  # each pattern is tried once
+
+    def best(top: Column) -> Column:
+        known = (F.length(strip(low)) >= 10) & (top["score"] > 0)
+        return F.struct(F.when(known, top["name"]).otherwise("Unknown").alias("document_type"), F.when(known, top["score"]).otherwise(0.0).alias("score"))
+
+    return F.transform(F.array(F.array_max(ranked)), best)[0]
 
 
 def canonical_key(label: Column) -> Column:

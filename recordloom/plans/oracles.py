@@ -313,9 +313,10 @@ SQL = {
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY 1, 2",
     "low_blocks_of_engine": "SELECT conv_id AS document_id, turn AS ord, 'paddle_user' AS engine FROM conversations WHERE role = 'user' AND turn % 4 / 4 < 0.5 AND length(trim(text)) >= 2",
     "stream_deduplicated": "SELECT event_id, event_type, value FROM events",
-    "replayed_batches": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'new ' ELSE '' END || c_name AS field_value, (c_custkey % 3 = 0)::BIGINT AS batch_id FROM customer",
+    "replayed_batches": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'new ' ELSE '' END || c_name AS field_value, (c_custkey % 3 = 0)::BIGINT AS batch_id FROM customer WHERE c_custkey % 5 <> 0",
+    "staged_documents": "SELECT c_custkey AS document_id, 'extraction' AS stage, (c_custkey % 2 = 0)::BIGINT AS batch_id, true AS ended FROM customer",
     "reused_stages": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'fresh' END AS made FROM customer",
-    "learning_trigger": "SELECT count(*) AS rows, 0::BIGINT AS batch_id FROM events HAVING count(*) FILTER (event_id % 2 = 1) >= 10",
+    "learning_trigger": """WITH c AS (SELECT 'f' || (user_id % 50) AS key, count(*) // 10 AS k FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT key, unnest(range(1, k + 1)) AS nth, 10::BIGINT AS samples FROM c""",
     "brand_facet": "SELECT p_partkey, p_brand FROM part WHERE lower(p_brand) = 'brand#11'",
     "visible_rows": """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)
       SELECT r_regionkey, r_name, n_name AS username FROM region CROSS JOIN n WHERE i < 4 AND n_nationkey % 2 = 0 AND (n_regionkey <= 1 OR i % 2 = 1)""",

@@ -766,12 +766,12 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by a streaming query over the whole events table, run until it has read all."""
+    """Hourly counts by a streaming query over the whole events table, run until it has read all; of a window the last count stays."""
     out = tables.scratch(spark, "windows")
     events = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    streaming.windowed_counts(events).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", tables.scratch(spark, "windows-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    streaming.run(streaming.windowed_counts(events), out, tables.scratch(spark, "windows-state"), lambda batch: batch, once=True, key=["window", "event_type"], mode="update").awaitTermination()
+    found = streaming.current(spark, out, ["window", "event_type"])
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query
@@ -784,17 +784,58 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "event_type", "value")
 
 
+def uncommitted(spark: SparkSession, checkpoint: str, batch_id: int) -> None:
+    """Leave a stream's checkpoint as a crash does after a batch was written and before it was noted."""
+    for name in (f"{batch_id}", f".{batch_id}.crc"):
+        tables.remove(spark, f"{checkpoint}/commits/{name}")
+
+
 @query
 def replayed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch that comes again changes nothing, and a later one takes the place of its documents."""
-    out, docs = tables.scratch(spark, "fields"), record_texts(spark, sf_dir)
-    write = streaming.upsert(out, streaming.extract_stage)
-    newer = docs.withColumn("text", F.replace("text", F.lit("Owner Name: "), F.lit("Owner Name: new "))).filter("document_id % 3 = 0")
-    for batch, number in ((docs, 0), (docs, 0), (newer, 1), (newer, 1)):
-        write(batch, number)
+    """Uploads through a stream that is started three times, once after a crash.
+
+    The second upload has some documents anew, some of them twice (the later version
+    counts), and some without any text, whose fields go. Its batch is written twice.
+    """
+    uploads, out, state = (tables.scratch(spark, n) for n in ("uploads", "fields", "fields-state"))
+    docs = record_texts(spark, sf_dir).withColumn("version", F.lit(1))
+    again = docs.withColumn("text", F.replace("text", F.lit("Owner Name: "), F.lit("Owner Name: new "))).withColumn("version", F.lit(3)).filter("document_id % 3 = 0")
+    stale = docs.withColumn("text", F.lit("Owner Name: stale")).withColumn("version", F.lit(2)).filter("document_id % 6 = 0")
+    emptied = docs.withColumns({"text": F.lit(""), "version": F.lit(4)}).filter("document_id % 5 = 0")
+    schema = docs.schema
+    for rows in (docs, again.unionByName(stale).unionByName(emptied), None):
+        if rows is not None:
+            rows.write.mode("append").parquet(uploads)
+        else:
+            uncommitted(spark, state, 1)
+        streaming.run(streaming.read_uploads(spark, uploads, schema, 1 << 30), out, state, streaming.extract_stage, once=True, order="version").awaitTermination()
     return streaming.current(spark, out).filter("canonical_key = 'OWNER_NAME'").select("document_id", "field_value", "batch_id")
 
 
+@query
+def staged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stages as chained streams over two uploads: the stage and batch of each document."""
+    uploads, base, seen = (tables.scratch(spark, n) for n in ("uploads", "stages", "progress"))
+    docs = record_texts(spark, sf_dir)
+    stages = [
+        ("reading", lambda b: b.withColumn("text", text.normalize_digits(F.col("text")))),
+        ("classification", lambda b: b.withColumn("kind", extraction.classify(F.col("text"))["document_type"])),
+        ("extraction", lambda b: extraction.key_values(b)),
+    ]
+    prefix = base.rpartition("/")[2] + "-"
+    listener = streaming.ProgressTable(spark, seen, [n for n, _ in stages], prefix)
+    spark.streams.addListener(listener)
+    try:
+        for part in (docs.filter("document_id % 4 <> 0"), docs.filter("document_id % 2 = 0")):
+            part.write.mode("append").parquet(uploads)
+            streaming.run_stages(spark, streaming.read_uploads(spark, uploads, docs.schema, 1 << 30), base, stages, prefix=prefix)
+        tables.wait_for(lambda: tables.exists(spark, seen) and listener.read().filter("batch_id = 1 and name = 'extraction'").head(1))
+    finally:
+        spark.streams.removeListener(listener)
+    status = streaming.stage_status(spark, base, [n for n, _ in stages], listener.read())
+    return status.select("document_id", "stage", "batch_id", F.col("at").isNotNull().alias("ended"))
+
+
 @query
 def reused_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a stage kept where document and input are the same, computed anew elsewhere."""
@@ -808,13 +849,14 @@ def reused_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def learning_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches that found enough unused corrections."""
-    out, samples = tables.scratch(spark, "due"), corrections(spark, sf_dir)
-    unused = [samples, samples.filter("used_in_training")]
-    for number, rows in enumerate(unused):
-        act = lambda batch, k: batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(k).cast("long")).write.mode("append").parquet(out)
-        streaming.corrections_due(rows, 10, act)(rows, number)
-    return spark.read.parquet(out)
+    """A trigger for every ten unused corrections of a field, counted by a stream that is stopped and started in between."""
+    uploads, out, state = (tables.scratch(spark, n) for n in ("samples", "due", "due-state"))
+    samples = corrections(spark, sf_dir).filter("not used_in_training").select("field_name", "seq")
+    for part in (samples.filter("seq % 7 < 3"), samples.filter("seq % 7 >= 3")):
+        part.write.mode("append").parquet(uploads)
+        due = streaming.corrections_due(streaming.read_uploads(spark, uploads, samples.schema, 1 << 30), "field_name", 10)
+        due.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, nth long, samples long").parquet(out)
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -89,6 +90,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def wait_for(there, seconds: float = 60.0) -> None:
+    """Until `there()` holds, or so many seconds have gone."""
+    end = time.monotonic() + seconds
+    while not there() and time.monotonic() < end:
+        time.sleep(0.1)
+
+
 def uri(path: str) -> str:
     """A path of Hadoop's as the URI that pyarrow's file systems take."""
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
@@ -142,8 +155,6 @@ class TableRegistry(Registry):
 REGISTRIES: dict[str, type[Registry]] = {"table": TableRegistry}
 
 
-
-
 def write_objects(objects: DataFrame, folder: str) -> DataFrame:
     """Write (key, content) rows as files below a folder that executors share; key and bytes of each.
 

@@ -64,3 +64,96 @@ def test_write_objects(spark, tmp_path):
     df = spark.createDataFrame([("a/x.bin", b"12"), ("y.bin", b"")], "key string, content binary")
     assert {tuple(r) for r in tables.write_objects(df, f"file://{tmp_path}/store").collect()} == {("a/x.bin", 2), ("y.bin", 0)}
     assert (tmp_path / "store/a/x.bin").read_bytes() == b"12" and sorted(p.name for p in (tmp_path / "store").rglob("*")) == ["a", "x.bin", "y.bin"]
+
+
+DOCS = "document_id string, text string, version int"
+
+
+def through(spark, base, rows, order="version", schema=DOCS):
+    """One more upload, and the stream run until it has been read."""
+    if rows:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/src")
+    source = streaming.read_uploads(spark, f"{base}/src", schema, 1000)
+    streaming.run(source, f"{base}/out", f"{base}/ck", streaming.extract_stage, once=True, order=order).awaitTermination()
+    return {(r["document_id"], r["field_value"]) for r in streaming.current(spark, f"{base}/out").collect()}
+
+
+def test_a_document_that_comes_without_fields_loses_its_old_ones(spark, tmp_path):
+    assert through(spark, tmp_path, [("a", "Owner: Ram", 1), ("b", "Owner: Bo", 1)]) == {("a", "Ram"), ("b", "Bo")}
+    assert through(spark, tmp_path, [("a", "", 2)]) == {("b", "Bo")}
+    assert through(spark, tmp_path, [("a", "Owner: Again", 3), ("b", None, 2)]) == {("a", "Again")}
+
+
+def test_the_later_version_stays_whenever_it_comes(spark, tmp_path):
+    assert through(spark, tmp_path, [("a", "Owner: Old", 1), ("a", "Owner: New", 5), ("a", "Owner: Mid", 3), ("b", "Owner: None", None)]) == {("a", "New"), ("b", "None")}
+    assert through(spark, tmp_path, [("a", "Owner: Late", 4), ("b", "Owner: First", 0)]) == {("a", "New"), ("b", "First")}
+    assert through(spark, tmp_path, [("a", "Owner: Same", 5)]) == {("a", "Same"), ("b", "First")}
+
+
+def test_without_an_order_the_last_batch_stays(spark, tmp_path):
+    through(spark, tmp_path, [("a", "Owner: One", 9)], None)
+    assert through(spark, tmp_path, [("a", "Owner: Two", 1)], None) == {("a", "Two")}
+
+
+def test_a_batch_that_runs_again_after_a_crash(spark, tmp_path):
+    through(spark, tmp_path, [("a", "Owner: Ram", 1)])
+    want = through(spark, tmp_path, [("a", "Owner: Sita", 2), ("c", "Owner: Cy", 1)])
+    for name in ("1", ".1.crc"):
+        (tmp_path / "ck" / "commits" / name).unlink()
+    before = spark.read.parquet(str(tmp_path / "out" / "rows")).count()
+    assert through(spark, tmp_path, []) == want == {("a", "Sita"), ("c", "Cy")}
+    assert spark.read.parquet(str(tmp_path / "out" / "rows")).count() == before
+
+
+def test_a_failed_middle_stage_resumes_alone(spark, tmp_path):
+    import pytest
+
+    src, base, broken = str(tmp_path / "src"), str(tmp_path / "stages"), [True]
+    spark.createDataFrame([("a", "Owner: Ram", 1), ("b", "Owner: Bo", 1)], DOCS).write.parquet(src)
+
+    def middle(batch):
+        if broken[0]:
+            raise ValueError("stage is down")
+        return batch.withColumn("text", F.upper("text"))
+
+    stages = [("one", lambda b: b), ("two", middle), ("three", streaming.extract_stage)]
+    listener = streaming.ProgressTable(spark, str(tmp_path / "seen"), ["one", "two", "three"])
+    spark.streams.addListener(listener)
+    try:
+        with pytest.raises(Exception, match="stage is down"):
+            streaming.run_stages(spark, streaming.read_uploads(spark, src, DOCS), base, stages)
+        first = streaming.stage_status(spark, base, ["one"]).collect()
+        assert {(r["document_id"], r["stage"]) for r in first} == {("a", "one"), ("b", "one")}
+        broken[0] = False
+        streaming.run_stages(spark, streaming.read_uploads(spark, src, DOCS), base, stages)
+        tables.wait_for(lambda: tables.exists(spark, listener.path) and listener.read().filter("name = 'three'").head(1))
+    finally:
+        spark.streams.removeListener(listener)
+    got = {(r["document_id"], r["field_value"]) for r in streaming.current(spark, f"{base}/three").collect()}
+    assert got == {("a", "RAM"), ("b", "BO")}
+    done = listener.read().filter("input_rows > 0").groupBy("name").agg(F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("rows"))
+    assert {tuple(r) for r in done.collect()} == {("one", 1, 2), ("two", 1, 2), ("three", 1, 2)}  # the first stage did its work once
+    status = streaming.stage_status(spark, base, ["one", "two", "three"], listener.read()).collect()
+    assert {(r["document_id"], r["stage"], r["at"] is not None) for r in status} == {("a", "three", True), ("b", "three", True)}
+
+
+def test_triggers_are_the_same_however_the_stream_is_cut(spark, tmp_path):
+    keys = [("x" if k % 3 else "y",) for k in range(50)] + [(None,)] * 4
+    got = []
+    for cuts in ([0, 54], [0, 4, 17, 18, 54]):
+        base = tmp_path / str(len(cuts))
+        for a, b in zip(cuts, cuts[1:]):
+            spark.createDataFrame(keys[a:b], "key string").write.mode("append").parquet(f"{base}/src")
+            due = streaming.corrections_due(streaming.read_uploads(spark, f"{base}/src", "key string"), "key", 4)
+            due.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+        got.append({tuple(r) for r in spark.read.parquet(f"{base}/out").collect()})
+    assert got[0] == got[1] == {("x", k, 4) for k in range(1, 9)} | {("y", k, 4) for k in range(1, 5)} | {(None, 1, 4)}
+
+
+def test_a_timer_triggers_for_the_rest(spark, tmp_path):
+    spark.createDataFrame([("x",)] * 6, "key string").write.parquet(str(tmp_path / "src"))
+    due = streaming.corrections_due(streaming.read_uploads(spark, str(tmp_path / "src"), "key string"), "key", 4, patience=1500)
+    query = due.writeStream.format("memory").queryName("due_rows").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="500 milliseconds").start()
+    tables.wait_for(lambda: spark.table("due_rows").count() >= 2, 90)
+    query.stop()
+    assert {tuple(r) for r in spark.table("due_rows").collect()} == {("x", 1, 4), ("x", 2, 2)}
