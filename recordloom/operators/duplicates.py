@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
@@ -41,55 +41,60 @@ def groups(values: DataFrame, keys: list[str], id_: str = "document_id") -> Data
     return hashed.alias("v").join(lowest.alias("g"), same).select(F.col(f"v.{id_}").alias("document_id"), "group_id", *[F.col(f"v.{c}").alias(c) for c in keys])
 
 
-def k_of_n_pairs(values: DataFrame, keys: list[str], k: int, id_: str = "document_id") -> DataFrame:
-    """a, b, matched_keys of groups that agree on k keys or more, named by their lowest ids; both directions.
+def _given(keys: list[str], of: str = "") -> Column:
+    """The names of the keys that a row has."""
+    return F.filter(F.array(*[F.when(F.col(f"{of}{c}").isNotNull(), c) for c in keys]), lambda x: x.isNotNull())
 
-    `values` is wide, a column for each key. Groups meet only where k keys agree at once:
-    each has a block for every k-subset of its keys, so a frequent value by itself brings
-    nobody together. Members of a group, however many, are one row.
+
+def blocks(values: DataFrame, keys: list[str], k: int, id_: str = "document_id") -> DataFrame:
+    """group_id, subset, first: every k keys that a group has, and the lowest group that agrees on them.
+
+    `values` is wide, a column for each key. Documents equal on all keys are one group, named
+    by its lowest id; groups that agree on k keys share a block, whoever else is in it.
+    Rows are those of groups times subsets: nobody is paired with all others of a block.
     """
-    each = values.groupBy(*keys).agg(F.min(id_).alias("g"))
-    blocks = F.array(*[
-        F.when(F.concat(*[F.col(c) for c in part]).isNotNull(), F.struct(F.lit("\x1f".join(part)).alias("subset"), F.xxhash64(*part).alias("hash")))
+    each = values.groupBy(*keys).agg(F.min(id_).alias("group_id"))
+    parts = F.array(*[
+        F.when(F.concat(*[F.col(c) for c in part]).isNotNull(), F.struct(F.lit(",".join(part)).alias("subset"), F.array(*part).alias("said")))
         for part in combinations(keys, k)
     ])
-    dealt = each.select("g", *keys, F.explode(F.filter(blocks, lambda b: b.isNotNull())).alias("block"))
-    left = dealt.select("block", F.col("g").alias("a"), *[F.col(c).alias(f"a_{c}") for c in keys])
-    right = dealt.select("block", F.col("g").alias("b"), *[F.col(c).alias(f"b_{c}") for c in keys])
-    # A pair is made in the first of the subsets on which it truly agrees, so once, whatever hashes say.
-    matched = F.filter(F.array(*[F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), c) for c in keys]), lambda x: x.isNotNull())
-    first = F.array_join(F.slice(matched, 1, k), "\x1f") == F.col("block.subset")
-    return left.join(right, "block").filter(first & (F.col("a") != F.col("b"))).select("a", "b", matched.alias("matched_keys"))
+    dealt = each.select("group_id", F.explode(F.filter(parts, lambda b: b.isNotNull())).alias("block")).select("group_id", "block.subset", "block.said")
+    least = dealt.groupBy("subset", "said").agg(F.min("group_id").alias("first"))
+    return dealt.join(least, ["subset", "said"]).select("group_id", "subset", "first")
 
 
 def content_duplicates(values: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, least: int = 3, id_: str = "document_id") -> DataFrame:
     """document_id, duplicate_id, kind, matched, matched_keys, similarity (matches over the document's own keys: not symmetric).
 
-    Of kind `group`: pairs between groups of documents that agree on all keys, each named
-    by its lowest id. Of kind `member`: each other document of a group with that lowest id.
-    Two documents are duplicates if they are of one group with `least` keys or more, or of
-    two groups that are a pair; copies are not expanded into pairs. `expanded` does that.
-    """
-    own = lambda c: sum((F.when(F.col(k).isNotNull(), 1).otherwise(0) for k in keys), F.lit(0)).alias(c)
-    members = groups(values, keys, id_).select("document_id", F.col("group_id").alias("duplicate_id"), own("n"), F.filter(F.array(*[F.when(F.col(c).isNotNull(), c) for c in keys]), lambda x: x.isNotNull()).alias("matched_keys"))
-    inside = members.filter((F.col("document_id") != F.col("duplicate_id")) & (F.col("n") >= least)).withColumn("kind", F.lit("member"))
-    between = k_of_n_pairs(values, keys, least, id_).join(values.select(F.col(id_).alias("a"), own("n")), "a")
-    between = between.select(F.col("a").alias("document_id"), F.col("b").alias("duplicate_id"), "n", "matched_keys", F.lit("group").alias("kind"))
-    both = between.unionByName(inside)
-    return both.select("document_id", "duplicate_id", "kind", F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
-
-
-def expanded(links: DataFrame, members: DataFrame, document_ids: DataFrame) -> DataFrame:
-    """document_id, duplicate_id of all duplicates of the documents asked for: a few documents' list, not the table's.
-
-    `links` are rows of content_duplicates, `members` of groups.
+    Of kind `group`: a group of documents that agree on all keys, named by its lowest id, and
+    the first group of a block that it is in, with all keys on which these two agree. Of kind
+    `member`: each other document of a group with that lowest id. Two documents are
+    duplicates if they are of one group with `least` keys or more, or of groups that share a
+    block: neither copies nor blocks are expanded into pairs. `duplicates_of` does that
+    for documents that are asked for.
     """
-    asked = members.join(document_ids.select("document_id").distinct(), "document_id").select("document_id", "group_id")
-    pairs = links.filter("kind = 'group'").select(F.col("document_id").alias("group_id"), F.col("duplicate_id").alias("other"))
-    inside = links.filter("kind = 'member'").select(F.col("duplicate_id").alias("group_id")).distinct().select("group_id", F.col("group_id").alias("other"))
-    other = members.select(F.col("document_id").alias("duplicate_id"), F.col("group_id").alias("other"))
-    found = asked.join(pairs.unionByName(inside), "group_id").join(other, "other")
-    return found.filter("document_id <> duplicate_id").select("document_id", "duplicate_id")
+    members = groups(values, keys, id_).select("document_id", F.col("group_id").alias("duplicate_id"), _given(keys).alias("matched_keys"))
+    inside = members.filter((F.col("document_id") != F.col("duplicate_id")) & (F.size("matched_keys") >= least)).select("*", F.size("matched_keys").alias("n"), F.lit("member").alias("kind"))
+    stars = blocks(values, keys, least, id_).filter("group_id <> first").select(F.col("group_id").alias("document_id"), F.col("first").alias("duplicate_id")).distinct()
+    side = lambda name, id2: values.select(F.col(id_).alias(id2), *[F.col(c).alias(f"{name}{c}") for c in keys])
+    both = stars.join(side("a_", "document_id"), "document_id").join(side("b_", "duplicate_id"), "duplicate_id")
+    same = F.filter(F.array(*[F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), c) for c in keys]), lambda x: x.isNotNull())
+    between = both.select("document_id", "duplicate_id", same.alias("matched_keys"), F.size(_given(keys, "a_")).alias("n"), F.lit("group").alias("kind"))
+    out = between.unionByName(inside)
+    return out.select("document_id", "duplicate_id", "kind", F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
+
+
+def duplicates_of(values: DataFrame, asked: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, least: int = 3, id_: str = "document_id") -> DataFrame:
+    """document_id, duplicate_id, matched_keys, similarity of all duplicates of the documents asked for: their lists, not the table's."""
+    named = groups(values, keys, id_)
+    mine = named.join(asked.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "group_id", *[F.col(c).alias(f"a_{c}") for c in keys])
+    dealt = blocks(values, keys, least, id_)
+    near = mine.select("document_id", "group_id").join(dealt, "group_id").select("document_id", "subset", "first")
+    others = near.join(dealt, ["subset", "first"]).select("document_id", F.col("group_id").alias("other")).distinct()
+    theirs = named.select(F.col("document_id").alias("duplicate_id"), F.col("group_id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in keys])
+    found = mine.drop("group_id").join(others, "document_id").join(theirs, "other").filter("document_id <> duplicate_id")
+    same = F.filter(F.array(*[F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), c) for c in keys]), lambda x: x.isNotNull())
+    return found.select("document_id", "duplicate_id", same.alias("matched_keys"), (F.size(same) / F.size(_given(keys, "a_"))).alias("similarity"))
 
 
 def report(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -15,19 +15,23 @@ VERIFIABLE = [*IDENTIFIERS, "mutation_number", "owner_name", "father_name", "vil
 def lookup(extracted: DataFrame, reference: DataFrame, identifiers: list[str] = IDENTIFIERS, extra: list[str] = ()) -> DataFrame:
     """document_id, ref_id: the reference row that agrees on every identifier given; of several the lowest id.
 
-    A document meets reference rows by the first identifier that it has, in one join for
-    all documents; the others are conditions. None given, no match.
+    Which identifiers a document gives is its mask. For each mask that occurs, the
+    reference is reduced to the lowest id of every set of those values, and a document meets
+    just that row: as many rows as documents, however common a value is. None given, no match.
     """
     keys = [*identifiers, *extra]
+    bit = [1 << i for i in range(len(keys))]
     wide = extracted.select("document_id", *[F.nullif(strip(F.col(c)), F.lit("")).alias(c) for c in keys])
-    first = F.get(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("key"), F.col(c).alias("value"))) for i, c in enumerate(keys)]), lambda x: x.isNotNull()), F.lit(0))
-    asked = wide.withColumn("first", first).filter(F.col("first").isNotNull()).alias("d")
-    values = F.array(*[F.struct(F.lit(i).alias("key"), F.col(c).cast("string").alias("value")) for i, c in enumerate(keys)])
-    known = reference.select("ref_id", *keys, F.explode(F.filter(values, lambda x: x["value"].isNotNull())).alias("first")).alias("r")
-    agree = F.col("d.first") == F.col("r.first")
-    for c in keys:
-        agree &= F.col(f"d.{c}").isNull() | (F.col(f"d.{c}") == F.col(f"r.{c}"))
-    return asked.join(known, agree).groupBy(F.col("d.document_id").alias("document_id")).agg(F.min("r.ref_id").alias("ref_id"))
+    mask = sum((F.when(F.col(c).isNotNull(), F.lit(b)).otherwise(0) for c, b in zip(keys, bit)), F.lit(0))
+    said = F.array(*[F.coalesce(c, F.lit("")) for c in keys])
+    asked = wide.select("document_id", mask.alias("mask"), said.alias("said")).filter("mask > 0")
+    masks = [r["mask"] for r in asked.select("mask").distinct().collect()]  # kinds of documents: 2 to the number of keys at most
+    held = F.array(*[F.col(c).cast("string") for c in keys])
+    has = sum((F.when(F.col(c).isNotNull(), F.lit(b)).otherwise(0) for c, b in zip(keys, bit)), F.lit(0))
+    every = reference.select("ref_id", held.alias("held"), has.alias("has"), F.explode(F.array(*[F.lit(m) for m in masks]).cast("array<int>")).alias("mask"))
+    used = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(b)) != 0, F.get("held", F.lit(i))).otherwise(F.lit("")) for i, b in enumerate(bit)])
+    known = every.filter(F.col("has").bitwiseAND(F.col("mask")) == F.col("mask")).groupBy("mask", used.alias("said")).agg(F.min("ref_id").alias("ref_id"))
+    return asked.join(known, ["mask", "said"]).select("document_id", "ref_id")
 
 
 def parcel_of(extracted: DataFrame, parcels: DataFrame, identifiers: list[str] = IDENTIFIERS, extra: list[str] = ()) -> DataFrame:

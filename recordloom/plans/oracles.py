@@ -6,10 +6,10 @@ from .queries import language_cases
 PAIRS = """
 WITH v AS (SELECT *, min(id) OVER (PARTITION BY p_brand, p_type, p_size, p_name) AS g FROM
   (SELECT p_partkey AS id, lower(trim(p_brand)) AS p_brand, lower(trim(p_type)) AS p_type, CAST(p_size AS VARCHAR) AS p_size, lower(trim(p_name)) AS p_name FROM part)),
-m AS (SELECT a.id AS document_id, b.id AS duplicate_id, CASE WHEN a.g = b.g THEN 'member' ELSE 'group' END AS kind,
-    CAST(a.p_brand = b.p_brand AS INT) AS k1, CAST(a.p_type = b.p_type AS INT) AS k2, CAST(a.p_size = b.p_size AS INT) AS k3, CAST(a.p_name = b.p_name AS INT) AS k4
-  FROM v a JOIN v b ON a.id <> b.id AND b.id = b.g AND (a.id = a.g OR a.g = b.g)
-    AND CAST(a.p_brand = b.p_brand AS INT) + CAST(a.p_type = b.p_type AS INT) + CAST(a.p_size = b.p_size AS INT) + CAST(a.p_name = b.p_name AS INT) >= 3)
+r AS (SELECT * FROM v WHERE id = g),
+b AS (SELECT id, unnest([min(id) OVER (PARTITION BY p_brand, p_type, p_size), min(id) OVER (PARTITION BY p_brand, p_type, p_name), min(id) OVER (PARTITION BY p_brand, p_size, p_name), min(id) OVER (PARTITION BY p_type, p_size, p_name)]) AS first FROM r),
+t AS (SELECT DISTINCT id AS document_id, first AS duplicate_id, 'group' AS kind FROM b WHERE id <> first UNION ALL SELECT id, g, 'member' FROM v WHERE id <> g),
+m AS (SELECT t.*, CAST(a.p_brand = b.p_brand AS INT) AS k1, CAST(a.p_type = b.p_type AS INT) AS k2, CAST(a.p_size = b.p_size AS INT) AS k3, CAST(a.p_name = b.p_name AS INT) AS k4 FROM t JOIN v a ON t.document_id = a.id JOIN v b ON t.duplicate_id = b.id)
 """
 
 EXTRACTED = """
@@ -65,6 +65,41 @@ lm AS (SELECT field_name, arg_max(canonical_key, seq) AS learned_key FROM s WHER
 ty AS (SELECT DISTINCT document_type, field_name FROM s WHERE document_type IS NOT NULL)
 """
 
+
+
+def _learned(k: int) -> str:
+    """What round k learns from the samples that are not set aside."""
+    t = f"(SELECT * FROM s WHERE seq % 3 = {k} AND seq % 5 <> 0)"
+    counted = f"(SELECT field_name, total, c, round_even(1 - c / total, 4) AS accuracy, round_even(CASE WHEN c > 0 AND total >= 2 THEN -0.30::DOUBLE * (c / total) ELSE 0 END, 4)::DOUBLE AS penalty FROM (SELECT field_name, count(*) AS total, count(*) FILTER (correction_type = 'value_correction' AND original_value <> corrected_value) AS c FROM {t} GROUP BY 1))"
+    return f"""SELECT 'label_mappings' AS part, lower(field_name) AS key, arg_max(canonical_key, seq) AS value, NULL::VARCHAR[] AS fields FROM {t} WHERE canonical_key IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'ocr_corrections', field_name || '::' || original_value, arg_max(corrected_value, seq), NULL FROM {t} WHERE correction_type = 'value_correction' AND original_value <> corrected_value GROUP BY 2
+      UNION ALL SELECT 'doctype_fields', document_type, NULL, list_sort(list(DISTINCT field_name)) FROM {t} WHERE document_type IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'confidence_adjustments', field_name, penalty::VARCHAR, NULL FROM {counted} UNION ALL SELECT 'field_accuracy_rates', field_name, accuracy::VARCHAR, NULL FROM {counted}
+      UNION ALL SELECT 'correction_counts', field_name, '{{"total":' || total || ',"corrections":' || c || ',"accuracy":' || accuracy || '}}', NULL FROM {counted}"""
+
+
+def _measured(k: int, p: str) -> str:
+    """Mean credit of what round k sets aside under the patterns p."""
+    return f"""(SELECT coalesce(avg(CASE correction_type WHEN 'auto_verified' THEN (coalesce(nullif(ocr_confidence, 0), 0.85) + coalesce(a.value::DOUBLE, 0) >= 0.5)::INT
+        WHEN 'value_correction' THEN CASE WHEN o.value = corrected_value THEN 1 WHEN l.value = canonical_key THEN 0.5 ELSE 0 END WHEN 'field_added' THEN coalesce(list_contains(d.fields, field_name), false)::INT ELSE 0.5 END), 0.5)
+      FROM s LEFT JOIN {p} a ON a.part = 'confidence_adjustments' AND a.key = field_name LEFT JOIN {p} o ON o.part = 'ocr_corrections' AND o.key = field_name || '::' || original_value
+        LEFT JOIN {p} l ON l.part = 'label_mappings' AND l.key = lower(field_name) LEFT JOIN {p} d ON d.part = 'doctype_fields' AND d.key = document_type WHERE seq % 3 = {k} AND seq % 5 = 0)"""
+
+
+def _folded(p: str, new: str) -> str:
+    return f"SELECT part, key, coalesce(n.value, o.value) AS value, list_sort(list_distinct(list_concat(coalesce(o.fields, []), coalesce(n.fields, [])))) AS fields FROM {p} o FULL JOIN {new} n USING (part, key)"
+
+
+CYCLES = (
+    CORRECTIONS.rstrip()
+    + f""",
+p0 AS (SELECT '' AS part, '' AS key, '' AS value, NULL::VARCHAR[] AS fields WHERE false), l1 AS ({_learned(0)}), l2 AS ({_learned(1)}), l3 AS ({_learned(2)}),
+p1 AS ({_folded('p0', 'l1')}), p2 AS ({_folded('p1', 'l2')}), m2 AS (SELECT {_measured(1, 'p1')} AS b, {_measured(1, 'p2')} AS a),
+q2 AS (SELECT p2.* FROM p2 JOIN m2 ON a >= b UNION ALL SELECT p1.* FROM p1 JOIN m2 ON a < b), p3 AS ({_folded('q2', 'l3')}),
+v AS (SELECT 1 AS version, 0 AS k, {_measured(0, 'p0')} AS b, {_measured(0, 'p1')} AS a UNION ALL SELECT 2, 1, b, a FROM m2 UNION ALL SELECT 3, 2, {_measured(2, 'q2')}, {_measured(2, 'p3')})
+"""
+)
+
 LINE_SCORES = """
 WITH f AS (SELECT l_orderkey AS document_id, l_linenumber AS seq, 'f' || l_linenumber AS field_name, least(1.0, l_discount * 9) AS score FROM lineitem),
 c AS (SELECT *, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.60 THEN 'MEDIUM' WHEN score >= 0.30 THEN 'LOW' ELSE 'UNCERTAIN' END AS class FROM f),
@@ -148,6 +183,10 @@ SQL = {
     + """SELECT document_id, duplicate_id, kind, CAST(k1 + k2 + k3 + k4 AS BIGINT) AS matched,
       array_to_string(list_filter([CASE WHEN k1 = 1 THEN 'p_brand' END, CASE WHEN k2 = 1 THEN 'p_type' END, CASE WHEN k3 = 1 THEN 'p_size' END, CASE WHEN k4 = 1 THEN 'p_name' END], lambda x: x IS NOT NULL), ',') AS matched_keys,
       round((k1 + k2 + k3 + k4) / 4, 6) AS similarity FROM m""",
+    "duplicates_of_documents": PAIRS
+    + """, n AS (SELECT a.id AS document_id, b.id AS duplicate_id, CAST(a.p_brand = b.p_brand AS INT) AS k1, CAST(a.p_type = b.p_type AS INT) AS k2, CAST(a.p_size = b.p_size AS INT) AS k3, CAST(a.p_name = b.p_name AS INT) AS k4 FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id)
+      SELECT document_id, duplicate_id, array_to_string(list_filter([CASE WHEN k1 = 1 THEN 'p_brand' END, CASE WHEN k2 = 1 THEN 'p_type' END, CASE WHEN k3 = 1 THEN 'p_size' END, CASE WHEN k4 = 1 THEN 'p_name' END], lambda x: x IS NOT NULL), ',') AS matched_keys,
+        round((k1 + k2 + k3 + k4) / 4, 6) AS similarity FROM n WHERE k1 + k2 + k3 + k4 >= 3""",
     "duplicate_groups": PAIRS + "SELECT id AS document_id, g AS group_id FROM v",
     "file_duplicates": """WITH h AS (SELECT doc_id AS document_id, sha256(text) AS file_hash FROM documents)
       SELECT document_id, file_hash, min(document_id) OVER (PARTITION BY file_hash) AS duplicate_of, count(*) OVER (PARTITION BY file_hash) AS copies FROM h QUALIFY count(*) OVER (PARTITION BY file_hash) > 1""",
@@ -256,6 +295,10 @@ SQL = {
         WHEN 'field_added' THEN CASE WHEN ty.field_name IS NOT NULL THEN 1.0 ELSE 0.0 END ELSE 0.5 END), 0.5), 6)::DOUBLE AS accuracy
       FROM s LEFT JOIN pen ON s.field_name = pen.field_name LEFT JOIN cm ON s.field_name = cm.field_name AND s.original_value = cm.original_value LEFT JOIN lm ON s.field_name = lm.field_name
       LEFT JOIN ty ON s.field_name = ty.field_name AND s.document_type = ty.document_type""",
+    "learning_cycles": CYCLES
+    + """SELECT version::BIGINT AS version, (SELECT count(*) FROM s WHERE seq % 3 = k AND seq % 5 <> 0) AS training_samples_count, (SELECT count(*) FROM s WHERE seq % 3 = k AND seq % 5 = 0) AS test_samples_count,
+      round(b, 6)::DOUBLE AS accuracy_before, round(a, 6)::DOUBLE AS accuracy_after, version = 1 OR a >= b AS accepted, version = max(CASE WHEN version = 1 OR a >= b THEN version END) OVER () AS deployed FROM v""",
+    "learned_patterns": CYCLES + "SELECT part, key, value, CASE WHEN part = 'doctype_fields' THEN array_to_string(fields, ',') END AS fields FROM p3",
     "learning_due": CORRECTIONS + "SELECT count(*) FILTER (NOT used) AS unused, count(*) FILTER (NOT used) >= 10 AS due FROM s",
     "latest_versions": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) + 1 AS next_id FROM events GROUP BY 1",
     "first_fields": "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) = 1",

@@ -54,6 +54,14 @@ def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("document_id", "duplicate_id", "kind", long("matched").alias("matched"), F.array_join("matched_keys", ",").alias("matched_keys"), six("similarity").alias("similarity"))
 
 
+@query
+def duplicates_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All duplicates of every hundredth document."""
+    values = part_values(spark, sf_dir)
+    found = duplicates.duplicates_of(values, values.filter("document_id % 100 = 0"), PART_KEYS, 3)
+    return found.select("document_id", "duplicate_id", F.array_join("matched_keys", ",").alias("matched_keys"), six("similarity").alias("similarity"))
+
+
 @query
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(part_values(spark, sf_dir), PART_KEYS).select("document_id", "group_id")
@@ -494,6 +502,29 @@ def learning_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(six("accuracy").alias("accuracy"))
 
 
+def three_cycles(spark: SparkSession, sf_dir: str) -> str:
+    """Three rounds of corrections learned one after the other; the folder of their versions."""
+    path = tables.scratch(spark, "learned")
+    samples = corrections(spark, sf_dir).withColumn("used_in_training", F.lit(False))
+    for k in range(3):
+        learning.cycle(spark, path, samples.filter(F.col("seq") % 3 == k), F.col("seq") % 5 != 0)
+    return path
+
+
+@query
+def learning_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples and accuracies of each version, and which one is deployed."""
+    v = learning.snapshots_of(spark, three_cycles(spark, sf_dir))
+    return v.select("version", "training_samples_count", "test_samples_count", six("accuracy_before").alias("accuracy_before"), six("accuracy_after").alias("accuracy_after"), "accepted", "deployed")
+
+
+@query
+def learned_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third version's patterns, which hold what the deployed ones before it learned."""
+    p = learning.patterns_of(spark, three_cycles(spark, sf_dir), 3)
+    return p.select("part", "key", "value", F.array_join("fields", ",").alias("fields"))
+
+
 @query
 def learning_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.due(corrections(spark, sf_dir))

@@ -87,11 +87,83 @@ def test_k_of_n_is_that_of_all_pairs(spark):
             n = sum(x is not None and x == y for x, y in zip(a[1:], b[1:]))
             if a[0] != b[0] and n >= 3:
                 want[a[0], b[0]] = (n, n / sum(x is not None for x in a[1:]))
-    for (a, b), found in got.items():  # pairs of lowest ids and members, each as in the comparison of all pairs
+    for (a, b), found in got.items():  # groups with the first of a block and members, each as in the comparison of all pairs
         assert found[1:] == want[a, b] and found[0] == ("group" if group[a] == a and group[a] != group[b] else "member")
-    for a, b in want:  # and nothing is lost
-        assert (group[a], group[b]) in got if group[a] != group[b] else all((x, group[x]) in got for x in (a, b) if x != group[x])
-    assert {tuple(r) for r in duplicates.expanded(links, members, df).collect()} == set(want)
+    block = {}
+    for g, subset, first in duplicates.blocks(df, keys, 3).collect():
+        block.setdefault(g, set()).add((subset, first))
+        assert g == first or (g, first) in got
+    for a, b in want:  # and nothing is lost: groups of duplicates share a block
+        assert block[group[a]] & block[group[b]] if group[a] != group[b] else all((x, group[x]) in got for x in (a, b) if x != group[x])
+    listed = {(r["document_id"], r["duplicate_id"]): (len(r["matched_keys"]), r["similarity"]) for r in duplicates.duplicates_of(df, df, keys).collect()}
+    assert listed == want
+
+
+def test_joins_grow_with_rows(spark):
+    """Ten times the rows make ten times the rows of joins, though one value is shared by half or all of them."""
+    made = {"blocks": [], "lookup": []}
+    for n in (300, 3000):
+        k = F.col("id")
+        values = spark.range(n).select(k.alias("document_id"), F.lit("x").alias("a"), F.lit("y").alias("b"), (k % 2).cast("string").alias("c"), k.cast("string").alias("d"))
+        made["blocks"].append(duplicates.content_duplicates(values, ["a", "b", "c", "d"], 3).count())
+        docs = spark.range(n).select(k.alias("document_id"), F.when(k % 2 == 0, k.cast("string")).alias("survey_number"), (k % 3).cast("string").alias("khata_number"))
+        ref = spark.range(n).select(k.alias("ref_id"), k.cast("string").alias("survey_number"), (k % 3).cast("string").alias("khata_number"))
+        found = verification.lookup(docs, ref, ["survey_number", "khata_number"])
+        assert {(r[0], r[1]) for r in found.collect()} == {(i, i if i % 2 == 0 else i % 3) for i in range(n)}
+        plan = found._jdf.queryExecution()
+        found.collect()
+        made["lookup"].append(max(int(m) for m in joined_rows(plan.executedPlan())) if joined_rows(plan.executedPlan()) else n)
+    assert made["blocks"][1] <= 10.2 * made["blocks"][0] and made["lookup"][1] <= 10.2 * made["lookup"][0]
+
+
+def joined_rows(plan):
+    """Output rows that the joins of an executed plan counted."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+            out.append(p.metrics().apply("numOutputRows").value())
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        if p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+SAMPLE = "document_id long, seq long, field_name string, correction_type string, original_value string, corrected_value string, canonical_key string, document_type string, ocr_confidence double, used_in_training boolean"
+
+
+def test_learning_cycles_build_on_one_another(spark, tmp_path):
+    path = str(tmp_path / "learned")
+    row = lambda k, field, kind, old=None, new=None, key=None, doc=None, sure=0.9, used=False: (k, k, field, kind, old, new, key, doc, sure, used)
+    fix = lambda k, new, field="Owner": row(k, field, "value_correction", "Rarn", new, "OWNER_NAME", "Deed")
+    run = lambda rows: learning.cycle(spark, path, spark.createDataFrame(rows, SAMPLE), F.col("seq") % 4 != 0)
+    assert run([fix(1, "Ram"), fix(2, "Ram")]) is None  # too few
+    assert run([fix(1, "Ram"), fix(2, "Ram"), fix(3, "Ram"), fix(4, "Ram"), row(5, "x", "auto_verified", used=True)]) == 1
+    assert run([row(6, " Village ", "field_added", key="VILLAGE", doc="Deed"), row(7, "Area", "auto_verified", doc="Map"), row(8, "Village", "field_deleted"), row(9, "Owner", "auto_verified")]) == 2
+    worse = [fix(10, "Rama"), fix(11, "Rama"), fix(12, "Ram"), fix(13, "Rama")]  # what is set aside speaks for the older correction
+    assert run(worse) == 3
+    assert run([row(14, "Area", "auto_verified", doc="Deed"), row(15, "Area", "auto_verified"), row(16, "Area", "auto_verified", sure=0.0)]) == 4
+    versions = {r["version"]: (r["accuracy_before"], r["accuracy_after"], r["accepted"], r["deployed"]) for r in learning.snapshots_of(spark, path).collect()}
+    assert versions == {1: (0.0, 1.0, True, False), 2: (0.5, 0.5, True, False), 3: (1.0, 0.5, False, False), 4: (1.0, 1.0, True, True)}
+    held = {(r["part"], r["key"]): r["value"] or r["fields"] for r in learning.patterns_of(spark, path).collect()}
+    assert held["ocr_corrections", "Owner::Rarn"] == "Ram"  # of version 1, past the refused version 3
+    assert held["label_mappings", "village"] == "VILLAGE" and held["label_mappings", "owner"] == "OWNER_NAME"
+    assert held["doctype_fields", "Deed"] == [" Village ", "Area", "Owner"] and held["doctype_fields", "Map"] == ["Area"]
+    assert held["confidence_adjustments", "Owner"] == "0.0" and held["field_accuracy_rates", "Area"] == "1.0"
+    refused = {(r["part"], r["key"]): r["value"] for r in learning.patterns_of(spark, path, 3).collect()}
+    assert refused["ocr_corrections", "Owner::Rarn"] == "Rama" and refused["confidence_adjustments", "Owner"] == "-0.3"
+
+
+def test_a_cycle_that_broke_off_is_done_over(spark, tmp_path):
+    path = str(tmp_path / "learned")
+    spark.createDataFrame([("label_mappings", "stale", "X", None)], learning.PATTERNS).write.parquet(f"{path}/patterns/version=1")
+    assert learning.patterns_of(spark, path).count() == 0  # no snapshot, no version
+    rows = [(k, k, "Owner", "auto_verified", None, None, "OWNER_NAME", None, 0.9, False) for k in range(5)]
+    assert learning.cycle(spark, path, spark.createDataFrame(rows, SAMPLE), F.lit(True)) == 1
+    assert {r["key"] for r in learning.patterns_of(spark, path).collect()} == {"owner", "Owner"}
 
 
 def test_lookup_and_flags(spark):
