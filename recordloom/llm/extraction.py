@@ -13,13 +13,14 @@ the largest support is the root, and each further class stands in the gaps that
 before it left. What is between two neighbouring tokens is a slot, and all text of the
 page lies in one. Slots are then ranked, never the page read past them:
 
-* a slot is out if it stands in an element for menus, headers, footers, sidebars, notices,
-  adverts, forms or comments; if most of its text are links; or if it holds nothing but
-  words of the template (text tokens of a class that is on `CONSTANT` of the pages that have
-  the element they stand in);
-* if there are slots in <article>, <main> or the like, these are the article's, with their
-  links and repeated words, but for teasers, which are small linked articles beside a
-  large one; else all slots that are not out are.
+* text in an element for menus, headers, footers, sidebars, notices, adverts, forms or
+  comments is out;
+* if there is text in <article>, <main> or the like, that alone is the article's, but for teasers,
+  which are small linked articles beside a large one;
+* but within an <article>, a list or a block by itself is out if most of its text are links;
+* the template's own words are no slot's, wherever they stand: a text token of a class that is on
+  `CONSTANT` of the pages that have the element it stands in (of the host's pages, if that
+  is no template's) is out. A heading stays if a slot's text comes next: it says what that is.
 
 A page that would keep hardly any text for the template's words keeps those: they are one
 story at many addresses.
@@ -47,11 +48,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, remove_table
+from .common import materialise, remove_table, scratch
 
 MIN_PAGES, MIN_SIZE = 3, 3
 SUPPORT = 0.02
@@ -61,8 +64,11 @@ CONSTANT, CONSTANT_PAGES = 0.8, 5
 LEAST_OWN = 0.1
 #: An <article> with links is a teaser if it has less than this share of the largest one's text.
 TEASER = 0.25
-#: Templates of up to so many tokens (24 bytes each) are sent to executors whole; larger ones are joined by salted host.
-BROADCAST_TOKENS, SALTS = 1_000_000, 64
+#: Templates of up to so many tokens (24 bytes each) are sent to executors whole; beyond that
+#: they lie in buckets of about `BUCKET_TOKENS`, of which a task holds one at a time.
+BROADCAST_TOKENS, BUCKET_TOKENS = 1_000_000, 200_000
+#: Pages of a host that one part of a bucket takes, about.
+HOST_PAGES = 1 << 16
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +82,7 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr option".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ASIDE = frozenset("nav header footer aside form fieldset button select dialog menu search svg math object canvas audio video".split()) | RAW
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+LISTS = frozenset(("ul", "ol", "dl", "menu", "dir"))
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status note".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promotion promotions "
@@ -99,10 +106,10 @@ def host_of(url: Column) -> Column:
 
 
 class Element:
-    __slots__ = ("tag", "path", "aside", "main", "article", "heading_ok")
+    __slots__ = ("tag", "path", "aside", "main", "article", "heading_ok", "list")
 
-    def __init__(self, tag: str, path: str, aside: bool, main: int, article: int, heading_ok: bool):
-        self.tag, self.path, self.aside, self.main, self.article, self.heading_ok = tag, path, aside, main, article, heading_ok
+    def __init__(self, tag: str, path: str, aside: bool, main: int, article: int, heading_ok: bool, list_: int = 0):
+        self.tag, self.path, self.aside, self.main, self.article, self.heading_ok, self.list = tag, path, aside, main, article, heading_ok, list_
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -137,10 +144,11 @@ def named_aside(name: str) -> bool:
 class Block:
     """Text of one block, its number, how many tags stand before it, and what its place says about it."""
 
-    __slots__ = ("text", "path", "number", "at", "aside", "main", "article", "linked")
+    __slots__ = ("text", "path", "number", "at", "aside", "main", "article", "linked", "list", "heading")
 
-    def __init__(self, text: str, path: str, number: int, at: int, aside: bool, main: int, article: int, linked: int):
-        self.text, self.path, self.number, self.at, self.aside, self.main, self.article, self.linked = text, path, number, at, aside, main, article, linked
+    def __init__(self, text: str, top: Element, number: int, at: int, linked: int):
+        self.text, self.path, self.number, self.at, self.linked = text, top.path, number, at, linked
+        self.aside, self.main, self.article, self.list, self.heading = top.aside, top.main, top.article, top.list, top.tag in HEADINGS
 
 
 def past(page: str, tag: str, at: int) -> int:
@@ -158,14 +166,13 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     root = Element("", "", False, 0, 0, False)
     stack, tags, blocks = [root], [], []
     parts: list[str] = []
-    linked, in_link, at, articles = 0, 0, 0, 0
+    linked, in_link, at, articles, lists = 0, 0, 0, 0, 0
 
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1]
-            blocks.append(Block(text, top.path, len(blocks), len(tags), top.aside, top.main, top.article, linked))
+            blocks.append(Block(text, stack[-1], len(blocks), len(tags), linked))
         parts.clear()
         linked = 0
 
@@ -242,10 +249,14 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         if within == 2 and not article:
             articles += 1
             article = articles
+        of = top.list
+        if tag in LISTS and not of:
+            lists += 1
+            of = lists
         if tag in HEADINGS and top.heading_ok:
-            stack.append(Element(tag, path, False, main, article, False))
+            stack.append(Element(tag, path, False, main, article, False, of))
         else:
-            stack.append(Element(tag, path, aside or top.aside, main, article, heading_ok or top.heading_ok and not aside))
+            stack.append(Element(tag, path, aside or top.aside, main, article, heading_ok or top.heading_ok and not aside, of))
     data(page[at:])
     flush()
     return tags, blocks
@@ -281,7 +292,7 @@ TOKENS = "host long, content long, token long, text boolean, n int, first int"
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, min_size: int = MIN_SIZE) -> DataFrame:
-    """host, vector, pages, once, tokens (place, token, text; in order): the valid classes of every host.
+    """host, vector, pages, all, once, tokens (place, token, text; in order): the valid classes of every host, which has `all` pages.
 
     `pages` has host and content (numbers that stand for them) and html. `once` says
     whether all tokens of the class occur once on each of its pages.
@@ -308,21 +319,30 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUP
     vectors = each.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), vector, F.max("n").alias("most"), F.avg("first").alias("place"), F.max("text").alias("text"))
     frequent = vectors.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= support * F.col("all"))
     tokens = F.sort_array(F.collect_list(F.struct("place", "token", "text"))).alias("tokens")  # of one page at most
-    classes = frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), (F.max("most") == 1).alias("once"), tokens)
+    classes = frequent.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.max("all").alias("all"), (F.max("most") == 1).alias("once"), tokens)
     return classes.filter((F.size("tokens") >= min_size) & F.exists("tokens", lambda t: ~t["text"]))
 
 
 class Template:
     """The valid classes of a host: for each the pages that it is on, its tags in order and its texts."""
 
-    def __init__(self, classes: list[tuple[int, list[int], list[int]]]):
+    def __init__(self, classes: list[tuple[int, list[int], list[int]]], pages: int = 0):
+        self.pages = pages
         self.classes = sorted(classes, key=lambda c: (-c[0], c[1]))  # the same however they come
         self.of = {t: k for k, (_, tags, _) in enumerate(self.classes) for t in tags}
         self.texts = {t: k for k, (_, _, texts) in enumerate(self.classes) for t in texts}
 
     @classmethod
     def read(cls, rows) -> Template:
-        return cls([(r["pages"], [t["token"] for t in r["tokens"] if not t["text"]], [t["token"] for t in r["tokens"] if t["text"]]) for r in rows])
+        classes = [(r["pages"], [t["token"] for t in r["tokens"] if not t["text"]], [t["token"] for t in r["tokens"] if t["text"]]) for r in rows]
+        return cls(classes, max((r["all"] for r in rows), default=0))
+
+    def constant(self, b: Block) -> bool:
+        """Whether a block's text is the template's own."""
+        said, place = self.texts.get(text_token(b)), self.of.get(tag_token(b.path))
+        if said is None:
+            return False
+        return self.classes[said][0] >= max(CONSTANT_PAGES, CONSTANT * (self.pages if place is None else self.classes[place][0]))
 
     def nested(self, tags: list[int]) -> tuple[list[int], list[int]]:
         """(places of the template's tags on a page, level of each)."""
@@ -345,8 +365,11 @@ class Template:
 NOTHING = Template([])
 
 
-def slots(page: str, template: Template = NOTHING) -> tuple[list[tuple[list[Block], bool]], int]:
-    """Slots of a page in order, each with its blocks and whether it is kept, and the number of the template's levels."""
+def slots(page: str, template: Template = NOTHING) -> tuple[list[list[Block]], int]:
+    """The blocks of each slot of a page, in order, and the number of the template's levels.
+
+    A block of the template's own words is by itself; `choose` says which blocks are the article's.
+    """
     tags, blocks = parse(page)
     tokens = [tag_token(t) for t in tags]
     places, levels = template.nested(tokens)
@@ -355,46 +378,77 @@ def slots(page: str, template: Template = NOTHING) -> tuple[list[tuple[list[Bloc
         for t in tokens:
             times[t] += 1
         places = [k for k, t in enumerate(tokens) if times[t] == 1]
-    cut: dict[tuple[int, bool, int, int], list[Block]] = {}
-    for b in blocks:  # a slot's text is parted where an aside or an article begins inside of it
-        cut.setdefault((bisect_right(places, b.at - 1), b.aside, b.main, b.article), []).append(b)
+    cut: dict[tuple[int, int], list[Block]] = {}
+    after = 0  # the template's words part slots as its tags do
+    for b in blocks:
+        own = template.constant(b)
+        after += own
+        cut.setdefault((bisect_right(places, b.at - 1), after), []).append(b)
+        after += own
+    return list(cut.values()), 1 + max(levels, default=-1)
 
-    def constant(b: Block) -> bool:
-        said, place = template.texts.get(text_token(b)), template.of.get(tag_token(b.path))
-        return said is not None and place is not None and template.classes[said][0] >= max(CONSTANT_PAGES, CONSTANT * template.classes[place][0])
 
+def choose(found: list[list[Block]], template: Template = NOTHING) -> tuple[list[Block], int]:
+    """(the article's blocks in page order, number of those left out for the template's words) of a page's slots."""
     chars = lambda s: sum(len(b.text) for b in s)
-    listed = lambda s: 2 * sum(b.linked for b in s) > chars(s)
-    open_ = {key: s for key, s in cut.items() if not key[1]}
-    main = {key: s for key, s in open_.items() if key[2]}
-    if main:
+    blocks = sorted((b for s in found for b in s if not b.aside), key=lambda b: b.number)
+    if any(b.main for b in blocks):
         size: dict[int, int] = defaultdict(int)
         links: dict[int, int] = defaultdict(int)
-        for key, s in main.items():
-            size[key[3]] += chars(s)
-            links[key[3]] += sum(b.linked for b in s)
+        blocks = [b for b in blocks if b.main]
+        for b in blocks:
+            size[b.article] += len(b.text)
+            links[b.article] += b.linked
         largest = max((n for a, n in size.items() if a), default=0)
-        teasers = {a for a, n in size.items() if a and n < TEASER * largest and links[a]}
-        kept = {key for key, s in main.items() if key[3] not in teasers and (key[3] or not listed(s))}
-    else:
-        data = {key for key, s in open_.items() if not listed(s)}
-        own = {key for key in data if not all(map(constant, open_[key]))}
-        kept = own if sum(chars(open_[key]) for key in own) >= LEAST_OWN * sum(chars(open_[key]) for key in data) > 0 else data
-    return [(s, key in kept) for key, s in cut.items()], 1 + max(levels, default=-1)
+        blocks = [b for b in blocks if not b.article or size[b.article] >= TEASER * largest or not links[b.article]]
+    listed: dict[int, list[Block]] = defaultdict(list)
+    for b in blocks:
+        listed[b.list].append(b)
+    mostly = {k for k, s in listed.items() if k and 2 * sum(b.linked for b in s) > chars(s)}
+    data = [b for b in blocks if b.article or not (b.list in mostly or not b.list and 2 * b.linked > len(b.text))]
+    slot = {b.number: k for k, s in enumerate(found) for b in s}
+    constant = {k for k, s in enumerate(found) if all(map(template.constant, s))}
+    own, heads = [], []
+    for b in data:
+        if slot[b.number] not in constant:
+            own += [*heads, b]
+            heads = []
+        elif b.heading:
+            heads.append(b)  # stays if text of a slot comes before another of the template's words
+        else:
+            heads = []
+    if chars(own) < LEAST_OWN * chars(data) or not own:
+        return data, 0
+    return own, len(data) - len(own)
+
+
+class Article:
+    """The texts of a page's article, how many blocks were left out, how many of them for the template's words, levels of the template."""
 
+    __slots__ = ("texts", "left", "constant", "levels")
 
-def main_blocks(page: str, template: Template = NOTHING) -> tuple[list[str], int, int]:
-    """(texts of the article's blocks in page order, blocks left out with their slots, levels of the template)."""
-    found, levels = slots(page, template)
-    kept = sorted((b.number, b.text) for s, keep in found if keep for b in s)
-    return [t for _, t in kept], sum(len(s) for s, keep in found if not keep), levels
+    def __init__(self, page: str, template: Template = NOTHING):
+        found, self.levels = slots(page, template)
+        kept, self.constant = choose(found, template)
+        self.texts = [b.text for b in kept]
+        self.left = sum(map(len, found)) - len(kept)
 
 
-RESULT = "page_id long, url string, text string, n_chars long, n_dropped_blocks long, template_levels int"
+RESULT = "page_id long, url string, text string, n_chars long, n_dropped_blocks long, n_template_blocks long, template_levels int"
+
+
+def read_templates(folder: str, bucket: int) -> dict[int, Template]:
+    """The templates of the hosts of one bucket, from the shared folder."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    by_host: dict[int, list] = defaultdict(list)
+    if fs.get_file_info(f"{path}/bucket={bucket}").type == pyarrow.fs.FileType.Directory:
+        for r in pq.read_table(f"{path}/bucket={bucket}", filesystem=fs, columns=["host", "pages", "all", "tokens"], partitioning=None).to_pylist():
+            by_host[r["host"]].append(r)
+    return {h: Template.read(found) for h, found in by_host.items()}
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """One row for each page with its main text, the blocks that were left out and the levels of its template."""
+    """One row for each page with its main text, the blocks that were left out, those of them that are the template's own words, and its levels."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.xxhash64(host_of(F.col("url"))).alias("host"), F.xxhash64(html).alias("content"))
     each = materialise(templates(rows, min_pages, support), "templates")
@@ -403,26 +457,31 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPO
         by_host: dict[int, list] = defaultdict(list)
         for r in each.collect():  # BROADCAST_TOKENS at most
             by_host[r["host"]].append(r)
-        sent = pages.sparkSession.sparkContext.broadcast({h: Template.read(found) for h, found in by_host.items()})
-        remove_table(each)
-        joined = rows.select("page_id", "url", "html", "host")
+        sent, folder = pages.sparkSession.sparkContext.broadcast({h: Template.read(found) for h, found in by_host.items()}), None
+        dealt = rows.select("page_id", "url", "html", "host", F.lit(0).alias("bucket"))
     else:
-        sent = None
-        salted = each.groupBy("host").agg(F.collect_list(F.struct("pages", "tokens")).alias("classes")).select("host", "classes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        joined = rows.withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "host", "classes")
+        sent, buckets = None, -(-size // BUCKET_TOKENS)
+        bucket = F.pmod(F.xxhash64("host"), F.lit(buckets)).cast("int").alias("bucket")
+        folder = scratch(pages.sparkSession, "template-buckets")
+        each.select("host", "pages", "all", "tokens", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        large = pages.sparkSession.read.parquet(folder).groupBy("host").agg(F.max("all").alias("all")).filter(F.col("all") > HOST_PAGES).select("host", F.ceil(F.col("all") / HOST_PAGES).cast("long").alias("parts"))
+        part = F.pmod(F.xxhash64("content", "page_id"), F.coalesce("parts", F.lit(1).cast("long")))
+        dealt = rows.join(large, "host", "left").select("page_id", "url", "html", "host", bucket, part.alias("part"))
+        dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket").drop("part")
+    remove_table(each)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Template] = {} if sent is None else sent.value
+        held, holds = ({}, None) if sent is None else (sent.value, 0)
         for b in it:
-            columns: tuple[list, ...] = ([], [], [], [])
-            for i, (host, page) in enumerate(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
-                if sent is None and host not in held:
-                    held = {host: Template.read(b.column("classes")[i].as_py() or ())}
-                found, left, levels = main_blocks(page, held.get(host, NOTHING))
-                text = "\n\n".join(found)
-                for column, v in zip(columns, (text, len(text), left, levels)):
+            columns: tuple[list, ...] = ([], [], [], [], [])
+            for host, page, at in zip(*(b.column(c).to_pylist() for c in ("host", "html", "bucket"))):
+                if at != holds:
+                    held, holds = read_templates(folder, at), at
+                found = Article(page, held.get(host, NOTHING))
+                text = "\n\n".join(found.texts)
+                for column, v in zip(columns, (text, len(text), found.left, found.constant, found.levels)):
                     column.append(v)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *(pa.array(c, t) for c, t in zip(columns, types))], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return joined.mapInArrow(read, RESULT)
+    return dealt.mapInArrow(read, RESULT)

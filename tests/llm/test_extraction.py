@@ -11,7 +11,7 @@ from recordloom.llm import extraction
 
 
 def text_of(page):
-    return extraction.main_blocks(page)[0]
+    return extraction.Article(page).texts
 
 
 @pytest.mark.parametrize(
@@ -60,10 +60,13 @@ def test_template_words_are_dropped(spark, monkeypatch):
     want[100, "Welcome to the site\n\ntitle single\n\nown text single\n\nAll rights reserved"] += 1
     assert texts(df) == want
     got = {r["page_id"]: r for r in extraction.extract(df).collect()}
-    assert got[3]["n_dropped_blocks"] == 2 and got[3]["template_levels"] > 0 and got[100]["template_levels"] == 0
+    assert got[3]["n_dropped_blocks"] == got[3]["n_template_blocks"] == 2 and got[3]["template_levels"] > 0 and got[100]["template_levels"] == 0
     assert extraction.extract(df.limit(0)).count() == 0
     monkeypatch.setattr(extraction, "BROADCAST_TOKENS", 0)
     assert texts(df) == want
+    monkeypatch.setattr(extraction, "BUCKET_TOKENS", 5)  # several buckets, a hot host in several parts
+    monkeypatch.setattr(extraction, "HOST_PAGES", 3)
+    assert texts(df) == want
 
 
 def test_one_story_at_several_urls_is_kept(spark):
@@ -103,7 +106,7 @@ def deduced(rows):
             if len(found) >= extraction.MIN_PAGES and len(v) >= max(extraction.MIN_PAGES, extraction.SUPPORT * len(found)):
                 classes[frozenset(v.items())].append((sum(places[t]) / len(places[t]), t, text))
         valid = [(len(v), sorted(ts)) for v, ts in classes.items() if len(ts) >= extraction.MIN_SIZE and not all(x[2] for x in ts)]
-        out[host] = extraction.Template([(n, [t for _, t, text in ts if not text], [t for _, t, text in ts if text]) for n, ts in valid])
+        out[host] = extraction.Template([(n, [t for _, t, text in ts if not text], [t for _, t, text in ts if text]) for n, ts in valid], len(found))
     return out
 
 
@@ -119,10 +122,10 @@ def test_brute_force_deduction_gives_the_same(spark, sf_dir):
     want = Counter()
     for page_id, url, page in rows:
         host = (re.match(extraction.HOST, url or "") or [None, ""])[1].lower()
-        blocks, left, levels = extraction.main_blocks(page or "", brute[host])
-        want[page_id, url, "\n\n".join(blocks), left, levels] += 1
+        found = extraction.Article(page or "", brute[host])
+        want[page_id, url, "\n\n".join(found.texts), found.left, found.constant, found.levels] += 1
     got = extraction.extract(frame(spark, rows)).collect()
-    assert Counter((r["page_id"], r["url"], r["text"], r["n_dropped_blocks"], r["template_levels"]) for r in got) == want
+    assert Counter((r["page_id"], r["url"], r["text"], r["n_dropped_blocks"], r["n_template_blocks"], r["template_levels"]) for r in got) == want
     assert any(r["template_levels"] >= 2 for r in got)
 
 
@@ -149,3 +152,64 @@ def test_synthetic_pages(spark, sf_dir):
         text = "\n\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text)
     assert any(r["template_levels"] for r in got.values()) and all(r["n_dropped_blocks"] for r in got.values())
+
+
+def test_the_template_decides_within_main_and_article(spark):
+    """The same constant words and own text in <main>, <article> and <div>: of all three the own text is the article."""
+    page = "<html><body><{1}><div class=z><p>Share this page with friends</p></div><h1>title {0}</h1><p>own text {0}</p>{2}<div class=k><p>Read our terms now</p></div></{1}></body></html>"
+    rows = [(100 * i + k, f"http://{tag}.example/{k}", page.format(k, tag, "<p>more</p>" * (k % 4))) for i, tag in enumerate(("main", "article", "div")) for k in range(20)]
+    got = {r["page_id"]: r for r in extraction.extract(frame(spark, rows)).collect()}
+    for i in range(3):
+        for k in range(20):
+            assert got[100 * i + k]["text"] == "\n\n".join([f"title {k}", f"own text {k}", *["more"] * (k % 4)])
+            assert got[100 * i + k]["n_template_blocks"] == 2
+    without = {i: extraction.Article(h).texts for i, _, h in rows}
+    assert sum("\n\n".join(without[i]) != r["text"] for i, r in got.items()) == len(rows)  # the template changed every page
+
+
+def test_plain_paragraphs_beside_links_stay(spark):
+    page = "<html><body><h1>title {0}</h1><p><a href=x>The long linked report number {0} on everything</a> ok</p><p>own text {0}</p><ul><li><a href=1>one</a><li><a href=2>two</a> too</ul><ol><li>first<li><a href=3>s</a>econd</ol></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(20)]
+    assert texts(frame(spark, rows)) == Counter((k, f"title {k}\n\nown text {k}") for k in range(20))  # the list's words are the template's
+    one = extraction.Article(page.format(1)).texts
+    assert one == ["title 1", "own text 1", "first", "second"]
+
+
+def test_headings_of_own_text_stay(spark):
+    page = "<html><body><article><h1>title {0}</h1><h2>Summary</h2><p>short {0}</p><h2>Sources</h2><p>None given</p><h2>Details</h2><p>long {0}</p><h2>The end</h2></article></body></html>"
+    rows = [(k, f"http://h.example/{k}", page.format(k)) for k in range(12)]
+    assert texts(frame(spark, rows)) == Counter((k, f"title {k}\n\nSummary\n\nshort {k}\n\nDetails\n\nlong {k}") for k in range(12))
+
+
+def made(rng, host, tag, k):
+    """A page of a host and its article's text, by the page's own plan: what is constant, what is own, what is a menu."""
+    parts, want = [], []
+    for n, kind in enumerate(host):
+        if kind == "constant":
+            parts.append(f"<div class=c{n}><p>Words of the site number {n}</p></div>")
+        elif kind == "own":
+            for _ in range(rng.randint(1, 3)):
+                text = f"paragraph {k} {n} {rng.randrange(10**6)} with a <a href=/x>link</a> in its text"
+                parts.append(f"<div class=o{n}><p>{text}</p></div>")
+                want.append(re.sub("<[^>]*>", "", text))
+        elif kind == "menu":
+            parts.append(f"<div class=l{n}><ul>" + "".join(f"<li><a href=/{j}>Entry {k} {j}</a></li>" for j in range(rng.randint(2, 5))) + "</ul></div>")
+            if tag == "article":
+                want += [f"Entry {k} {j}" for j in range(parts[-1].count("<li>"))]
+        elif kind == "advert":
+            parts.append(f"<div class='ad banner'><p>Buy {rng.randrange(10**6)}</p></div>")
+    return f"<html><body><{tag}>{''.join(parts)}</{tag}></body></html>", "\n\n".join(want)
+
+
+def test_slots_are_chosen_as_the_pages_were_made(spark):
+    rng = random.Random(12)
+    rows, want = [], Counter()
+    for h in range(24):
+        plan = ["own", *(rng.choice(["constant", "own", "menu", "advert", "constant"]) for _ in range(rng.randint(2, 6)))]
+        rng.shuffle(plan)
+        tag = ("div", "main", "article")[h % 3]
+        for k in range(15):
+            page, text = made(rng, plan, tag, k)
+            rows.append((100 * h + k, f"http://h{h}.example/{k}", page))
+            want[100 * h + k, text] += 1
+    assert texts(frame(spark, rows)) == want
