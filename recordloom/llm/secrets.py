@@ -30,7 +30,10 @@ HINTS = ("passw", "secret", "token", "apikey", "api_key")
 #: The same matches as AKIA[A-Z0-9]+ of 16 and [0-9a-f]+ of 32 characters or more: a run fails or holds as a whole.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Key-like runs: of so many characters a ratio says something.
+SHORTEST = 16
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+WORD = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}")
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-:_]?)?[0-9a-f]+", re.I)
 #: Hexadecimal lengths of md5, sha1, sha224, sha256, sha384 and sha512.
@@ -62,26 +65,32 @@ def shipped(spark: SparkSession, vocabulary: str) -> Broadcast:
 
 
 def known(run: str) -> bool:
-    """Digests and identifiers: random or long by nature, not secret."""
+    """Digests and numbers: random or long by nature, not secret."""
     bare = run.rstrip("=")
     if UUID.fullmatch(bare) or DIGEST.fullmatch(bare) and len(re.sub(r"^.*[-:_]", "", bare)) in DIGEST_LENGTHS:
         return True
-    if not re.search("[A-Za-z]", bare):
-        return True
-    if not re.search("[0-9]", bare):  # words and names of letters only are told from keys by their tokens, in `named`
-        return False
-    parts = re.split(r"[-_/+]", bare)
-    worded = sum(len(p) for p in parts if re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}|v[0-9]+|", p))
-    return 2 * worded >= sum(map(len, parts))  # paths, slugs, snake_case and kebab-case names
+    return not re.search("[A-Za-z]", bare)
 
 
 def named(run: str, enc, max_ratio: float) -> bool:
-    """Names of letters only: words of one case with separators between them, short or well compressed each."""
-    parts = re.split(r"[-_/+]", run.rstrip("="))
-    if len(parts) == 1 or re.search("[0-9]", run):
-        return False
-    word = lambda p: re.fullmatch(r"[A-Z]?[a-z]*|[A-Z]+", p) and (len(p) <= 4 or len(p) >= max_ratio * len(enc.encode_ordinary(p)))
-    return 2 * sum(len(p) for p in parts if word(p)) >= sum(map(len, parts))
+    """Names: at least half of a run's letters, numbers by themselves aside, are in words that the vocabulary compresses well.
+
+    A word is a part between separators of letters of one case (or with a capital first), with a
+    few digits at its end or not; one of up to four letters is a word if it is one token.
+    Words are judged together, as single short ones say little.
+    """
+    words, chars, tokens = [], 0, 0
+    for p in re.split(r"[-_/+]", run.rstrip("=")):
+        if p.isdigit() or not p:
+            continue
+        chars += len(p)
+        m = WORD.fullmatch(p)
+        if m:
+            n = len(enc.encode_ordinary(m[1]))
+            if len(m[1]) > 4 or n == 1:
+                words.append(len(p))
+                tokens += n
+    return 2 * sum(words) >= chars and sum(words) >= max_ratio * tokens
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -101,7 +110,7 @@ def random_spans(text: str, found: list[tuple[int, int, int]], enc, max_ratio: f
         a, b = m.span()
         if any(s < b and a < e for s, _, e in found) or known(m[0]):
             continue
-        if len(m[0]) < max_ratio * len(enc.encode_ordinary(m[0])) and not named(m[0], enc, max_ratio):
+        if len(m[0]) < max_ratio * len(enc.encode_ordinary(m[0])) and not named(m[0], enc, max_ratio):  # the same test for all runs
             out.append((a, 3, b))
     return out
 
