@@ -35,6 +35,12 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def cascade(keys: DataFrame, key: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of a table and those that hang on it, by name, once the rows of some keys go from all of them."""
+    gone = keys.select(key).distinct()
+    return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
+
+
 def audit(actor: str, action: str, rows: DataFrame, resource: str, key: str) -> DataFrame:
     """Rows for an append-only log."""
     return rows.select(F.lit(actor).alias("username"), F.lit(action).alias("action"), F.lit(resource).alias("resource_type"), F.col(key).cast("string").alias("resource_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..functions.text import any_of, clean_label, clean_value, first_of, is_valid_label, is_valid_value, key_form, strip
+from ..functions.text import any_of, clean_label, clean_value, detect_language, detect_script, first_of, is_valid_label, is_valid_value, key_form, strip
 from .ordering import first_per_key
 
 #: name, pattern and confidence of the ways to find label and value, in order.
@@ -123,16 +123,13 @@ def with_table_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:
     return fields.select(*keep).unionByName(new.select(*keep))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """document_id, entity_type, value, confidence by the patterns of the document's language, then English.
+def found_entities(text: Column, language: Column) -> Column:
+    """array<struct(ord, entity_type, value, confidence)> of the first match of each pattern of the language, then of English."""
+    text = F.coalesce(text, F.lit(""))
 
-    The first match of a pattern; of a type the first pattern that matched.
-    """
-    text = F.coalesce("text", F.lit(""))
-
-    def found(language: str, offset: int) -> list[Column]:
+    def found(code: str, offset: int) -> list[Column]:
         out = []
-        for k, (kind, confidence, pattern) in enumerate(V.ENTITY_PATTERNS.get(language, [])):
+        for k, (kind, confidence, pattern) in enumerate(V.ENTITY_PATTERNS.get(code, [])):
             if kind is None:
                 continue
             hit = strip(F.regexp_extract(text, f"(?iudU){pattern}", 1))
@@ -140,15 +137,85 @@ def entities(docs: DataFrame) -> DataFrame:
         return out
 
     own = None
-    for language in V.ENTITY_PATTERNS:
-        if language != "en":
-            row = F.array(*found(language, 0))
-            own = F.when(F.col("language") == language, row) if own is None else own.when(F.col("language") == language, row)
+    for code in V.ENTITY_PATTERNS:
+        if code != "en":
+            row = F.array(*found(code, 0))
+            own = F.when(language == code, row) if own is None else own.when(language == code, row)
     both = F.concat(F.coalesce(own, F.slice(F.array(*found("en", 100)), 1, 0)), F.array(*found("en", 100)))
-    each = docs.select("document_id", F.inline(F.filter(both, lambda x: x["value"] != "")))
+    return F.filter(both, lambda x: x["value"] != "")
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """document_id, entity_type, value, confidence by the patterns of the document's language, then English.
+
+    The first match of a pattern; of a type the first pattern that matched.
+    """
+    each = docs.select("document_id", found_entities(F.col("text"), F.col("language")).alias("f")).select("document_id", F.inline("f"))
     return first_per_key(each, ["document_id", "entity_type"], "ord").select("document_id", "entity_type", "value", "confidence")
 
 
+def pages_language(docs: DataFrame) -> DataFrame:
+    """document_id, language to read documents in (document_id, t, given): as given, but what the text is in where none or English was."""
+    seen = docs.withColumns({"script": detect_script(F.col("t")), "heard": detect_language(F.col("t"))})
+    seen = seen.withColumn("seen", F.when(F.col("script") != "en", F.col("script")).otherwise(F.col("heard")))
+    none = F.coalesce("given", F.lit("")).isin("", "auto", "unknown")
+    language = F.when(none, F.col("seen")).when((F.col("given") == "en") & (F.col("seen") != "en"), F.col("seen")).otherwise(F.col("given"))
+    return seen.select("document_id", language.alias("language"))
+
+
+def page_entities(pages: DataFrame) -> DataFrame:
+    """document_id, entity_type, value, confidence, page, bbox, language of documents of several pages.
+
+    `pages` has document_id, page, language and blocks array<struct(text, bbox, ...)>. On each page
+    blocks are read one by one, then the page's joined text, which has no box; of a type the
+    first find in that order stays. Blocks without text are left out, documents without any are too.
+    """
+    said = lambda b: strip(F.coalesce(b["text"].cast("string"), F.lit("")))
+    full = F.filter(F.coalesce("blocks", F.array()), lambda b: b.isNotNull() & (said(b) != ""))
+    kept = pages.select("document_id", F.coalesce("page", F.lit(1)).alias("page"), "language", full.alias("blocks")).filter(F.size("blocks") > 0)
+    joined = kept.withColumn("whole", F.array_join(F.transform("blocks", said), "\n"))
+    of_document = F.array_join(F.sort_array(F.collect_list(F.struct("page", "whole")))["whole"], "\n")  # of one document
+    languages = pages_language(joined.groupBy("document_id").agg(of_document.alias("t"), F.max("language").alias("given")))
+    part = lambda t, at, box: F.struct(t.alias("t"), at.alias("at"), box.cast("array<double>").alias("bbox"))
+    parts = F.concat(F.transform("blocks", lambda b, i: part(said(b), i, b["bbox"])), F.array(part(F.col("whole"), F.size("blocks"), F.lit(None))))
+    each = joined.join(languages.withColumnRenamed("language", "read_in"), "document_id").select("document_id", "page", "read_in", F.explode(parts).alias("p"))
+    read = each.select("document_id", "page", "read_in", "p.t", "p.at", "p.bbox").withColumn("f", found_entities(F.col("t"), F.col("read_in")))
+    found = read.select("document_id", "page", "read_in", "at", "bbox", F.inline("f"))
+    first = first_per_key(found, ["document_id", "entity_type"], "page", "at", "ord")
+    return first.select("document_id", "entity_type", "value", "confidence", "page", "bbox", F.col("read_in").alias("language"))
+
+
+def page_store(pages: DataFrame) -> DataFrame:
+    """Rows of the raw page store: text (null if blank), mean of the confidences that are not 0, engines sorted, blocks as JSON.
+
+    `pages` has document_id, page, language, blocks array<struct(text, confidence, engine, ...)>.
+    """
+    blocks = F.filter(F.coalesce("blocks", F.array()), lambda b: b.isNotNull())
+    said = F.array_join(F.transform(F.filter(blocks, lambda b: F.coalesce(b["text"], F.lit("")) != ""), lambda b: b["text"]), "\n")
+    sure = F.transform(F.filter(blocks, lambda b: F.coalesce(b["confidence"], F.lit(0.0)) != 0), lambda b: b["confidence"].cast("double"))
+    mean = F.coalesce(F.try_divide(F.aggregate(sure, F.lit(0.0), lambda s, x: s + x), F.size(sure)), F.lit(0.0))
+    engines = F.array_sort(F.array_distinct(F.transform(blocks, lambda b: F.coalesce(b["engine"], F.lit("unknown")))))
+    return pages.select(
+        "document_id", F.coalesce("page", F.lit(1)).alias("page_number"), F.when(strip(said) != "", said).alias("raw_text"), "language", mean.alias("ocr_confidence"),
+        F.when(F.size(engines) > 0, F.array_join(engines, ", ")).alias("ocr_engine"), F.to_json("blocks").alias("blocks"),
+    )
+
+
+#: Columns of a field as they are given out, and what stands for a missing one.
+SERIALIZED = {
+    "id": None, "document_id": None, "field_name": None, "field_value": None, "normalized_value": None, "data_type": "string", "confidence": None, "page_number": None, "bounding_box": None, "source_text": None,
+    "extraction_method": None, "canonical_key": None, "original_text": None, "normalized_text": None, "transliteration": None, "translation": None, "validated": None, "validation_status": "pending",
+    "anomaly_flag": None, "anomaly_reason": None, "created_at": None,
+}
+
+
+def serialized(fields: DataFrame) -> DataFrame:
+    """document_id, value: each field as JSON with all of its names; columns that the table lacks have their default."""
+    one = lambda n, d: F.col(n) if n in fields.columns else F.lit(d).cast("string")
+    shown = {n: F.date_format(one(n, d), "yyyy-MM-dd'T'HH:mm:ss") if n == "created_at" and n in fields.columns else one(n, d) for n, d in SERIALIZED.items()}
+    return fields.select("document_id", F.to_json(F.struct(*[c.alias(n) for n, c in shown.items()]), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def owner_count(c: Column) -> Column:
     """Names in a text, parted by commas, semicolons, ampersands or 'and'."""
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?i)[,;&]|\band\b"), lambda x: strip(x) != ""))

@@ -26,6 +26,17 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """Rows of one page of a list, from page 1 on, with their rank; only the rows up to its end are sorted out and ranked."""
+    top = top_k(df, number * size, *order)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # number * size rows
+    return ranked.filter(F.col("rank") > (number - 1) * size)
+
+
+def latest_versions(snapshots: DataFrame, n: int = 20) -> DataFrame:
+    return snapshots.orderBy(F.desc("version")).limit(n)
+
+
 def latest_version(snapshots: DataFrame, deployed_only: bool = False) -> DataFrame:
     rows = snapshots.filter("deployed") if deployed_only else snapshots
     return rows.orderBy(F.desc("version")).limit(1)

@@ -113,3 +113,9 @@ def visible_to(rows: DataFrame, users: DataFrame, username: str, roles: list[str
     """The rows if the user is active and has one of the roles, else none."""
     granted = users.filter((F.col("username") == username) & F.col("is_active") & F.col("role").isin(roles)).select(F.lit(1).alias("__granted")).limit(1)
     return rows.withColumn("__granted", F.lit(1)).join(granted, "__granted", "left_semi").drop("__granted")
+
+
+def visible(rows: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
+    """username and the rows that each active user may see: those of resources granted to the user's role. `rows` and `grants` (role, resource) name resources."""
+    may = users.filter("is_active").join(grants.select("role", "resource").distinct(), "role").select("username", "resource").distinct()
+    return rows.join(may, "resource")

@@ -361,8 +361,27 @@ SQL = {
     "reused_stages": "SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'fresh' END AS made FROM customer",
     "learning_trigger": """WITH c AS (SELECT 'f' || (user_id % 50) AS key, count(*) // 10 AS k FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT key, unnest(range(1, k + 1)) AS nth, 10::BIGINT AS samples FROM c""",
     "brand_facet": "SELECT p_partkey, p_brand FROM part WHERE lower(p_brand) = 'brand#11'",
-    "visible_rows": """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)
-      SELECT r_regionkey, r_name, n_name AS username FROM region CROSS JOIN n WHERE i < 4 AND n_nationkey % 2 = 0 AND (n_regionkey <= 1 OR i % 2 = 1)""",
+    "visible_rows": """WITH u AS (SELECT n_name AS username, n_regionkey > 1 AS officer FROM nation WHERE n_nationkey % 2 = 0)
+      SELECT username, 'region' AS resource, r_regionkey::BIGINT AS key, r_name AS name FROM u CROSS JOIN region UNION ALL SELECT username, 'nation', n_nationkey::BIGINT, n_name FROM u CROSS JOIN nation WHERE NOT officer""",
+    "page_entities": """WITH d AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'hi' WHEN 2 THEN 'bn' ELSE 'gu' END AS language, s_suppkey || '.0,1.0,2.0,3.0' AS bbox FROM supplier),
+      e AS (SELECT k, language, 'SURVEY_NUMBER' AS entity_type, CASE WHEN k % 4 < 3 THEN CAST(k AS VARCHAR) ELSE '999' END AS value, 0.9 AS confidence, CASE WHEN k % 4 < 3 THEN 1 ELSE 2 END AS page, bbox FROM d
+        UNION ALL SELECT k, language, 'KHATA_NUMBER', '7', 0.88, 1, bbox FROM d UNION ALL SELECT k, language, 'PLOT_NUMBER', 'P' || k, 0.85, 1, NULL FROM d UNION ALL SELECT k, language, 'MUTATION_NUMBER', '5', 0.82, 2, bbox FROM d)
+      SELECT k AS document_id, entity_type, value, confidence::DOUBLE AS confidence, page::BIGINT AS page, bbox, language FROM e""",
+    "page_rows": """WITH d AS (SELECT s_suppkey AS k, s_suppkey % 4 / 4.0 AS c, CASE s_suppkey % 4 WHEN 0 THEN 'Survey No: ' WHEN 1 THEN 'खसरा संख्या: ' WHEN 2 THEN 'দাগ নং: ' ELSE 'નોંધ ' END || s_suppkey AS own FROM supplier),
+      p AS (SELECT k, c, CASE WHEN k % 3 = 0 THEN 7 ELSE 1 END AS page, concat_ws(chr(10), ' ', own, 'Khata No. 7', 'Plot No:', 'P' || k) AS t, [' ', NULL, own, 'Khata No. 7', 'Plot No:', 'P' || k] AS blocks FROM d
+        UNION ALL SELECT k, c, 2, concat_ws(chr(10), 'Survey No: 999', 'Mutation No: 5', 'Khata No. 8'), ['Survey No: 999', 'Mutation No: 5', 'Khata No. 8'] FROM d WHERE k % 3 <> 0)
+      SELECT k AS document_id, page::BIGINT AS page_number, sha256(t) AS raw_text, round(c, 6)::DOUBLE AS ocr_confidence, CASE WHEN k % 2 = 0 THEN 'paddle_hi' ELSE 'unknown' END AS ocr_engine,
+        (2 + len(blocks) - 1 + list_sum(list_transform(blocks, lambda b: CASE WHEN b IS NULL THEN 0 ELSE length(b) + 10 END)) + len(blocks) * (length('{"bbox":[,1.0,2.0,3.0],"confidence":}') + length(k || '.0') + length(CAST(c::DOUBLE AS VARCHAR)) + CASE WHEN k % 2 = 0 THEN length(',"engine":"paddle_hi"') ELSE 0 END))::BIGINT AS n FROM p""",
+    "serialized_fields": """SELECT c_custkey % 50 AS document_id, '{"id":"' || c_custkey || '","document_id":' || (c_custkey % 50) || ',"field_name":"a \\"name\\"","field_value":' || CASE WHEN c_custkey % 3 <> 0 THEN '"' || c_name || '"' ELSE 'null' END
+      || ',"normalized_value":null,"data_type":"string","confidence":' || CAST((c_custkey % 4 / 4)::DOUBLE AS VARCHAR) || ',"page_number":null,"bounding_box":null,"source_text":null,"extraction_method":null,"canonical_key":null,"original_text":null,"normalized_text":null,"transliteration":null,"translation":null,"validated":'
+      || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"validation_status":"pending","anomaly_flag":null,"anomaly_reason":null,"created_at":null}' AS value FROM customer""",
+    "second_page": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank BETWEEN 41 AND 60",
+    "last_versions": "SELECT event_id AS version, event_type FROM events ORDER BY event_id DESC LIMIT 20",
+    "cascaded_delete": """WITH k AS (SELECT c_custkey AS document_id FROM customer WHERE c_custkey % 4 <> 1), d AS (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 1)
+      SELECT document_id, 1::BIGINT AS n, 'customer' AS kept FROM k UNION ALL SELECT o_custkey, count(*), 'orders' FROM orders WHERE o_custkey NOT IN (FROM d) GROUP BY 1
+      UNION ALL SELECT o_custkey, count(*), 'lines' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey NOT IN (FROM d) GROUP BY 1""",
+    "seeded_table": "SELECT n_nationkey, n_name, 'True,False' AS seeds FROM nation",
+    "pixel_boxes": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN array_to_string(list_transform([l_linenumber * 10 * 1024 / 1000, l_linenumber * 20 * 768 / 1000, l_linenumber * 100 * 1024 / 1000, 900 * 768 / 1000], lambda v: CAST(round(v, 3)::DOUBLE AS VARCHAR)), ',') END AS bbox FROM lineitem""",
     "shown_dates": "SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS shown FROM orders",
     "area_mismatches": """WITH p AS (SELECT p_partkey AS id, p_size * 2.0 AS declared, 2.0 * (p_size % 7 + 1) * (p_size % 5 + 1) AS measured FROM part)
       SELECT id, measured::DOUBLE AS measured FROM p WHERE abs(measured - declared) > 0.05 * declared""",

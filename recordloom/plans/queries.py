@@ -897,14 +897,13 @@ def brand_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "nation").select(F.col("n_name").alias("username"), (F.col("n_nationkey") % 2 == 0).alias("is_active"), F.when(F.col("n_regionkey") > 1, "officer").otherwise("admin").alias("role"))
-    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(4).collect()]
-    seen = [verification.visible_to(rows, users, n, ["admin", "officer"][: 1 + i % 2]).withColumn("username", F.lit(n)) for i, n in enumerate(names)]
-    out = seen[0]
-    for more in seen[1:]:
-        out = out.unionByName(more)
-    return out
+    """What each user may see: regions for officers and administrators, nations for the latter only."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    users = n.select(F.col("n_name").alias("username"), (F.col("n_nationkey") % 2 == 0).alias("is_active"), F.when(F.col("n_regionkey") > 1, "officer").otherwise("admin").alias("role"))
+    roles = F.explode(F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("resource")) for a, b in (("officer", "region"), ("admin", "region"), ("admin", "nation"))])).alias("g")
+    grants = r.limit(1).select(roles).select("g.*")
+    rows = r.select(F.lit("region").alias("resource"), long("r_regionkey").alias("key"), F.col("r_name").alias("name")).unionByName(n.select(F.lit("nation").alias("resource"), long("n_nationkey").alias("key"), F.col("n_name").alias("name")))
+    return verification.visible(rows, users, grants)
 
 
 @query
@@ -1060,3 +1059,77 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").cast("string").alias("id"), entities.alias("entities")).alias("r"))
     records.agg(F.to_json(F.collect_list("r")).alias("value")).write.text(out)  # one file, as the format is
     return tables.entity_rows(tables.read_ground_truth(spark, out))
+
+
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents of two pages in four languages: a type found in a block comes before the same on a later one or over a whole page."""
+    k = F.col("s_suppkey")
+    box = F.array(k.cast("double"), F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    block = lambda t: F.struct(t.alias("text"), box.alias("bbox"), (k % 4 / 4).alias("confidence"), F.when(k % 2 == 0, "paddle_hi").alias("engine"))
+    number = k.cast("string")
+    own = text.first_of([(k % 4 == 0, F.concat(F.lit("Survey No: "), number)), (k % 4 == 1, F.concat(F.lit("खसरा संख्या: "), number)), (k % 4 == 2, F.concat(F.lit("দাগ নং: "), number))], F.concat(F.lit("નોંધ "), number))
+    first = F.array(block(F.lit(" ")), block(F.lit(None).cast("string")), block(own), block(F.lit("Khata No. 7")), block(F.lit("Plot No:")), block(F.concat(F.lit("P"), number)))
+    second = F.array(block(F.lit("Survey No: 999")), block(F.lit("Mutation No: 5")), block(F.lit("Khata No. 8")))
+    return table(spark, sf_dir, "supplier").select(k.alias("document_id"), F.when(k % 8 < 4, "en").when(k % 8 == 4, "auto").alias("language"), F.explode(F.array(F.struct(F.lit(2).alias("page"), second.alias("blocks")), F.struct(F.lit(1).alias("page"), first.alias("blocks")))).alias("p")).select("document_id", "language", "p.*")
+
+
+@query
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities over pages, with page, box and the language that all pages speak."""
+    found = extraction.page_entities(read_pages(spark, sf_dir))
+    return found.select("document_id", "entity_type", "value", "confidence", long("page").alias("page"), F.array_join("bbox", ",").alias("bbox"), "language")
+
+
+@query
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw page store after a third of the documents came again with one page."""
+    pages = extraction.page_store(read_pages(spark, sf_dir))
+    again = extraction.page_store(read_pages(spark, sf_dir).filter("document_id % 3 = 0 and page = 1").withColumn("page", F.lit(7)))
+    stored = changes.replace_documents(pages, again)
+    return stored.select("document_id", long("page_number").alias("page_number"), F.sha2("raw_text", 256).alias("raw_text"), six("ocr_confidence").alias("ocr_confidence"), "ocr_engine", F.length("blocks").cast("long").alias("n"))
+
+
+@query
+def serialized_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    fields = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), (k % 50).alias("document_id"), F.lit('a "name"').alias("field_name"), F.when(k % 3 != 0, F.col("c_name")).alias("field_value"), (k % 4 / 4).alias("confidence"), (k % 2 == 0).alias("validated"))
+    return extraction.serialized(fields)
+
+
+@query
+def second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a list of orders, with ranks."""
+    return ordering.page(table(spark, sf_dir, "orders"), 3, 20, F.desc("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "rank")
+
+
+@query
+def last_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.latest_versions(table(spark, sf_dir, "events").select(F.col("event_id").alias("version"), "event_type"), 20)
+
+
+@query
+def cascaded_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, their orders and the lines of these, after some customers are deleted with all that is theirs: rows left of each."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), "o_orderkey")
+    li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("document_id", "l_orderkey", "l_linenumber")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
+    left = changes.cascade(c.filter("document_id % 4 = 1"), "document_id", {"customer": c, "orders": o, "lines": li})
+    parts = [t.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(name)) for name, t in left.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def seeded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is seeded once: the second set of rows changes nothing."""
+    path, n = tables.scratch(spark, "seed"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    done = [tables.seed(spark, path, rows) for rows in (n, n.withColumn("n_name", F.lit("other")))]
+    return spark.read.parquet(path).withColumn("seeds", F.lit(",".join(map(str, done))))
+
+
+@query
+def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on the page's pixels from those on the grid of a thousand."""
+    li = table(spark, sf_dir, "lineitem")
+    box = F.array(F.col("l_linenumber") * 10, F.col("l_linenumber") * 20, F.col("l_linenumber") * 100, F.lit(900))
+    out = numbers.denormalize_bbox(box.cast("array<double>"), F.lit(1024), F.when(F.col("l_linenumber") < 7, F.lit(768)).otherwise(F.lit(0)))
+    return li.select("l_orderkey", "l_linenumber", F.array_join(F.transform(out, lambda v: F.round(v, 3)), ",").alias("bbox"))
