@@ -380,6 +380,10 @@ SQL = {
     "cascaded_delete": """WITH k AS (SELECT c_custkey AS document_id FROM customer WHERE c_custkey % 4 <> 1), d AS (SELECT c_custkey FROM customer WHERE c_custkey % 4 = 1)
       SELECT document_id, 1::BIGINT AS n, 'customer' AS kept FROM k UNION ALL SELECT o_custkey, count(*), 'orders' FROM orders WHERE o_custkey NOT IN (FROM d) GROUP BY 1
       UNION ALL SELECT o_custkey, count(*), 'lines' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey NOT IN (FROM d) GROUP BY 1""",
+    "registry_source": """SELECT s_suppkey AS document_id, CASE WHEN s_nationkey IN (1, 2) THEN CAST(s_suppkey AS VARCHAR) END AS ref_id, CASE WHEN s_nationkey NOT IN (1, 2) THEN 0.0 WHEN s_suppkey % 2 = 0 THEN 0.67 ELSE 0.33 END::DOUBLE AS match_score,
+      CASE WHEN s_nationkey IN (1, 2) THEN 'MATCHED' ELSE 'NOT_FOUND' END AS status FROM supplier""",
+    "pdf_pages": """SELECT s_suppkey, 1::BIGINT AS page, 'Survey No: ' || s_suppkey || chr(10) || 'Owner: ' || s_name AS text FROM supplier WHERE s_suppkey % 10 <> 0
+      UNION ALL SELECT s_suppkey, 2, 'page two of ' || s_suppkey || chr(10) || 'Area' FROM supplier WHERE s_suppkey % 10 <> 0""",
     "seeded_table": "SELECT n_nationkey, n_name, 'True,False' AS seeds FROM nation",
     "pixel_boxes": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 7 THEN array_to_string(list_transform([l_linenumber * 10 * 1024 / 1000, l_linenumber * 20 * 768 / 1000, l_linenumber * 100 * 1024 / 1000, 900 * 768 / 1000], lambda v: CAST(round(v, 3)::DOUBLE AS VARCHAR)), ',') END AS bbox FROM lineitem""",
     "shown_dates": "SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS shown FROM orders",

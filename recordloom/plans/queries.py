@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import dates, numbers, text
 from ..operators import analytics, anomaly, changes, duplicates, extraction, learning, ordering, rules, scoring, similarity, spatial, verification
-from ..sources import tables
+from ..sources import pdf, registry, tables
 from ..sources.tables import by_key
 from ..streaming import documents as streaming
 
@@ -1133,3 +1133,29 @@ def pixel_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.array(F.col("l_linenumber") * 10, F.col("l_linenumber") * 20, F.col("l_linenumber") * 100, F.lit(900))
     out = numbers.denormalize_bbox(box.cast("array<double>"), F.lit(1024), F.when(F.col("l_linenumber") < 7, F.lit(768)).otherwise(F.lit(0)))
     return li.select("l_orderkey", "l_linenumber", F.array_join(F.transform(out, lambda v: F.round(v, 3)), ",").alias("bbox"))
+
+
+@query
+def registry_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a registry that is a data source of its own, read for two districts only."""
+    path, s = tables.scratch(spark, "registry"), table(spark, sf_dir, "supplier")
+    district = F.when(F.col("s_nationkey") != 3, F.concat(F.lit("District "), F.col("s_nationkey").cast("string")))
+    registry.write_registry(s.select(F.col("s_suppkey").cast("string").alias("ref_id"), F.col("s_name").alias("plot_number"), district.alias("district")), tables.uri(path))
+    known = registry.read_registry(spark, tables.uri(path)).filter(F.col("district").isin("District 1", "District 2"))
+    asked = s.select(F.col("s_suppkey").alias("document_id"), F.col("s_name").alias("plot_number"), F.when(F.col("s_suppkey") % 2 == 0, district).alias("district"))
+    return verification.registry_match(asked, known, ["plot_number", "district"])
+
+
+@query
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of two pages for each supplier, every tenth broken, written to the shared folder; the text layers read back."""
+    out, k = tables.scratch(spark, "pdf"), F.col("s_suppkey").cast("string")
+    shown = [F.concat(F.lit("BT /F1 12 Tf 72 720 Td (Survey No: "), k, F.lit(") Tj 0 -14 Td [(Own) 20 (er: )] TJ ("), F.col("s_name"), F.lit(") Tj ET")), F.concat(F.lit("BT (page two of "), k, F.lit(") Tj T* <41726561> Tj ET"))]
+    streams = [F.concat(F.lit(f"{i + 5} 0 obj\n<< /Length "), F.length(c).cast("string"), F.lit(" >>\nstream\n"), c, F.lit("\nendstream\nendobj\n")) for i, c in enumerate(shown)]
+    head = "%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >>\nendobj\n"
+    leaves = "".join(f"{n} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {n + 2} 0 R >>\nendobj\n" for n in (3, 4))
+    whole = F.when(F.col("s_suppkey") % 10 != 0, F.concat(F.lit(head + leaves), *streams, F.lit("trailer << /Root 1 0 R >>\n%%EOF\n"))).otherwise("no file of that kind")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(k, F.lit(".pdf")).alias("key"), whole.cast("binary").alias("content"))
+    tables.write_objects(rows, tables.uri(out)).write.format("noop").mode("overwrite").save()
+    pages = pdf.read_pdf_pages(spark, out)
+    return pages.select(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long").alias("s_suppkey"), long("page").alias("page"), F.get("blocks", F.lit(0))["text"].alias("text"))

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from recordloom.operators import extraction
-from recordloom.sources import tables
+from recordloom.sources import registry, tables
 from recordloom.streaming import documents as streaming
 
 
@@ -157,3 +157,19 @@ def test_a_timer_triggers_for_the_rest(spark, tmp_path):
     tables.wait_for(lambda: spark.table("due_rows").count() >= 2, 90)
     query.stop()
     assert {tuple(r) for r in spark.table("due_rows").collect()} == {("x", 1, 4), ("x", 2, 2)}
+
+
+def test_registry_source_reads_the_districts_asked_for(spark, tmp_path):
+    path = f"file://{tmp_path}/reg"
+    k = F.col("id")
+    rows = spark.range(60).select(k.cast("string").alias("ref_id"), k.cast("string").alias("survey_number"), F.when(k % 5 != 4, F.concat(F.lit("New/D "), (k % 5).cast("string"))).alias("district"), F.lit("x").alias("village"))
+    registry.write_registry(rows.coalesce(1), path)
+    reg = registry.read_registry(spark, path)
+    assert {tuple(r) for r in reg.select("ref_id", "survey_number", "district", "village", "owner_name").collect()} == {(*r, None) for r in rows.select("ref_id", "survey_number", "district", "village").collect()}
+    one = reg.filter("district = 'New/D 1' and survey_number = '6'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan registry" in plan and "New/D 1" not in plan and "survey_number" in plan  # the source took the filter
+    assert one.rdd.getNumPartitions() == 1 and [r["ref_id"] for r in one.collect()] == ["6"]
+    assert reg.filter(F.col("district").isin("New/D 1", "New/D 2")).count() == 24
+    assert reg.filter("district is null").count() == 12 and reg.filter("district = 'no'").count() == 0
+    assert reg.filter("district > 'New/D 2'").count() == 12  # not the source's: Spark's own
