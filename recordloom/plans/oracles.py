@@ -1,7 +1,8 @@
 """SQL for DuckDB that gives the same rows as each query, on the same tables."""
 
+from .. import vocabulary as V
 from ..operators import anomaly
-from .queries import language_cases
+from .queries import AFTER, BETWEEN, label_cases, language_cases
 
 PAIRS = """
 WITH v AS (SELECT *, min(id) OVER (PARTITION BY p_brand, p_type, p_size, p_name) AS g FROM
@@ -155,30 +156,51 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELEC
 t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) AS rank FROM s QUALIFY rank <= 10)
 """
 
-_FOREST = anomaly.fit(anomaly.training_rows())
-_TREES = ", ".join(f"({k}, {t.feature.tolist()}, {t.value.tolist()}::DOUBLE[], {t.left.tolist()}, {t.rest.tolist()}::DOUBLE[])" for k, t in enumerate(_FOREST.trees))
-#: The forest's nodes as lists, walked tree by tree.
-SCORES = (
-    RECORDS.replace("WITH k AS", "WITH RECURSIVE k AS", 1)
-    + f""", m AS (SELECT *, TRY_CAST(nullif(regexp_replace(area, '[^0-9.\\-]', '', 'g'), '') AS DOUBLE) AS h FROM r),
+
+def _scores() -> str:
+    """The forest's nodes as lists, walked tree by tree; it is fitted when asked for."""
+    forest = anomaly.fit(anomaly.training_rows())
+    trees = ", ".join(f"({k}, {t.feature.tolist()}, {t.value.tolist()}::DOUBLE[], {t.left.tolist()}, {t.rest.tolist()}::DOUBLE[])" for k, t in enumerate(forest.trees))
+    return (
+        RECORDS.replace("WITH k AS", "WITH RECURSIVE k AS", 1)
+        + f""", m AS (SELECT *, TRY_CAST(nullif(regexp_replace(area, '[^0-9.\\-]', '', 'g'), '') AS DOUBLE) AS h FROM r),
 x AS (SELECT record_id, [CASE WHEN h IS NULL THEN 0 ELSE ln(1 + h) END, 1.0, mutations, 1 - CASE WHEN h <= 0 THEN 0.5 ELSE 0 END,
   CASE WHEN h IS NULL THEN 0.3 WHEN h <= 0 THEN 1.0 WHEN h > 1000 THEN 0.9 ELSE 0 END,
   least(1.0, CASE WHEN lower(trim(owner_name)) = lower(trim(co_owner_name)) THEN 0.4 ELSE 0 END + CASE WHEN mutations > 10 THEN 0.4 ELSE 0 END)]::DOUBLE[] AS f FROM m),
-t(tree, feature, split, below, rest) AS (VALUES {_TREES}),
+t(tree, feature, split, below, rest) AS (VALUES {trees}),
 w AS (SELECT record_id, f, tree, 0 AS at_node, 0 AS depth FROM x CROSS JOIN t
   UNION ALL SELECT record_id, f, w.tree, below[at_node + 1] + (f[feature[at_node + 1] + 1] >= split[at_node + 1])::INT, depth + 1 FROM w JOIN t ON w.tree = t.tree WHERE below[at_node + 1] > 0),
 p AS (SELECT record_id, avg(depth + rest[at_node + 1]) AS mean FROM w JOIN t ON w.tree = t.tree WHERE below[at_node + 1] = 0 GROUP BY 1),
-s AS (SELECT record_id, greatest(0.0, least(1.0, 0.5 - 1.25 * (-pow(2, -mean / {float(anomaly._depth(_FOREST.size))!r}::DOUBLE) - ({_FOREST.offset!r})::DOUBLE)))::DOUBLE AS score FROM p)
+s AS (SELECT record_id, greatest(0.0, least(1.0, 0.5 - 1.25 * (-pow(2, -mean / {float(anomaly._depth(forest.size))!r}::DOUBLE) - ({forest.offset!r})::DOUBLE)))::DOUBLE AS score FROM p)
 SELECT record_id, round(score, 6)::DOUBLE AS anomaly_score, CASE WHEN score < 0.4 THEN 'LOW' WHEN score < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS anomaly_level, score >= 0.5 AS anomaly_flag FROM s
 """
-)
+    )
+
+
 _CASES = ", ".join(f"({i}, '{kind}', {confidence}, {'NULL' if value is None else repr(value)})" for i, (_, kind, _, confidence, value) in enumerate(language_cases()))
 LANGUAGES = f"""
 WITH c(i, kind, confidence, value) AS (VALUES {_CASES})
 SELECT c_custkey AS document_id, kind AS entity_type, coalesce(value, CAST(c_custkey AS VARCHAR)) AS value, CAST(confidence AS DOUBLE) AS confidence FROM customer JOIN c ON c_custkey % {len(language_cases())} = i
 """
 
+
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+_PATTERNS = ", ".join(f"('{code}', {i}, {_quoted(kind)}, {confidence}, {_quoted(pattern.replace('(?=', '(?:'))})" for code, rows in V.ENTITY_PATTERNS.items() if code != "en" for i, (kind, confidence, pattern) in enumerate(rows))
+_SAID = ", ".join(f"{{'language': '{code}', 'label': {_quoted(label)}, 'said': {_quoted(value)}}}" for code, label, value in label_cases())
+#: The patterns themselves, tried by another engine, which takes what comes after a value into the match.
+LABELS = f"""
+WITH p(language, ord, kind, confidence, pattern) AS (VALUES {_PATTERNS}),
+d AS (SELECT c_custkey AS k, [{_SAID}][CAST(c_custkey % {len(label_cases())} + 1 AS INT)] AS c, [{', '.join(map(_quoted, BETWEEN))}][CAST(c_custkey // 7 % {len(BETWEEN)} + 1 AS INT)] AS b, [{', '.join(map(_quoted, AFTER))}][CAST(c_custkey // 3 % {len(AFTER)} + 1 AS INT)] AS a FROM customer),
+t AS (SELECT k, c.language AS language, c.label || b || coalesce(c.said, CAST(k AS VARCHAR)) || a AS t FROM d),
+m AS (SELECT k, kind, ord, confidence, trim(regexp_extract(t, pattern, 1, 'is'), ' ' || chr(10)) AS value FROM t JOIN p USING (language) WHERE kind IS NOT NULL)
+SELECT k AS document_id, kind AS entity_type, value, confidence::DOUBLE AS confidence FROM m WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY ord) = 1
+"""
+
 SQL = {
+    "language_labels": LABELS,
     "content_duplicates": PAIRS
     + """SELECT document_id, duplicate_id, kind, CAST(k1 + k2 + k3 + k4 AS BIGINT) AS matched,
       array_to_string(list_filter([CASE WHEN k1 = 1 THEN 'p_brand' END, CASE WHEN k2 = 1 THEN 'p_type' END, CASE WHEN k3 = 1 THEN 'p_size' END, CASE WHEN k4 = 1 THEN 'p_name' END], lambda x: x IS NOT NULL), ',') AS matched_keys,
@@ -263,8 +285,7 @@ SQL = {
       SELECT record_id, round(CASE WHEN h IS NULL THEN 0 ELSE ln(1 + h) END, 6)::DOUBLE AS area, 1.0::DOUBLE AS number_of_owners, mutations::DOUBLE AS mutation_frequency, round(1 - CASE WHEN h <= 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE AS numeric_field_consistency,
         round(CASE WHEN h IS NULL THEN 0.3 WHEN h <= 0 THEN 1.0 WHEN h > 1000 THEN 0.9 ELSE 0 END, 6)::DOUBLE AS unusual_area_values,
         round(least(1.0, CASE WHEN lower(trim(owner_name)) = lower(trim(co_owner_name)) THEN 0.4 ELSE 0 END + CASE WHEN mutations > 10 THEN 0.4 ELSE 0 END), 6)::DOUBLE AS unusual_record_patterns FROM m""",
-    "anomaly_scores": SCORES,
-    "document_anomalies": RECORDS
+        "document_anomalies": RECORDS
     + f""", f AS (SELECT *, {FAILURES} AS x FROM n), y AS (SELECT record_id, list_filter([
         CASE WHEN area = '0' THEN 'area is not positive' END, CASE WHEN registration_date = '05-03-2030' THEN 'registration date is in the future' END,
         CASE WHEN (survey_number IS NULL)::INT + 2 >= 3 THEN 'three fields or more are missing' END, CASE WHEN market_value IS NOT NULL THEN 'market value is unusually high' END,
@@ -413,3 +434,8 @@ SQL = {
     "stored_objects": "SELECT n_nationkey, strlen(n_name) AS length, sha256(n_name) AS file_hash FROM nation",
     "ground_truth": "SELECT CAST(n_nationkey AS VARCHAR) AS id, 'VILLAGE' AS field_name, n_name AS field_value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'AREA', CAST(n_regionkey AS VARCHAR) FROM nation",
 }
+
+
+def sql() -> dict[str, str]:
+    """SQL of all queries that have one."""
+    return {**SQL, "anomaly_scores": _scores()}

@@ -986,6 +986,38 @@ def language_cases() -> list[tuple[str, str, str, float, str | None]]:
     return out
 
 
+def labels_of(pattern: str) -> list[str]:
+    """The labels that a pattern begins with, each as it is written out."""
+    listed = re.match(r"\(\?:((?:[^()\\]|\\.)*)\)", pattern)
+    return [re.sub(r"\\(.)", r"\1", re.sub(r"\\s\*", " ", x.replace(r"\.?", "."))) for x in listed[1].split("|")] if listed else []
+
+
+def label_cases() -> list[tuple[str, str, str | None]]:
+    """(language, label, value or None for the record's number): every label of every pattern of ten languages, typed ones and others."""
+    blocks = {"hi": 0x900, "mr": 0x900, "bn": 0x980, "pa": 0xA00, "gu": 0xA80, "or": 0xB00, "ta": 0xB80, "te": 0xC00, "kn": 0xC80, "ml": 0xD00}
+    out = []
+    for language, block in blocks.items():
+        for kind, _, pattern in V.ENTITY_PATTERNS[language]:
+            value = {"AREA": "2.5", "DATE": "05-03-2020"}.get(kind or "", None if (kind or "").endswith("NUMBER") else chr(block + 0x15) * 3)
+            out += [(language, label, value) for label in labels_of(pattern)]
+    return out
+
+
+#: What stands between label and value, and after it.
+BETWEEN, AFTER = [": ", " - ", " ", "  :"], [",", "\n", ""]
+
+
+@query
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by every label of ten languages, with several marks between label and value and after it."""
+    cases, k = label_cases(), F.col("c_custkey")
+    pick = lambda v, of=None: F.get(F.array(*v), ((of if of is not None else k) % len(v)).cast("int"))
+    value = pick([k.cast("string") if c[2] is None else F.lit(c[2]) for c in cases])
+    said = F.concat(pick([F.lit(c[1]) for c in cases]), pick([F.lit(b) for b in BETWEEN], F.floor(k / 7)), value, pick([F.lit(a) for a in AFTER], F.floor(k / 3)))
+    docs = table(spark, sf_dir, "customer").select(k.alias("document_id"), pick([F.lit(c[0]) for c in cases]).alias("language"), said.alias("text"))
+    return extraction.entities(docs)
+
+
 @query
 def language_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = language_cases()
