@@ -54,6 +54,7 @@ PLAIN = True
 BLOCK_SHINGLES = 1_000_000
 LIGHT, HEAVY = 12, 4  # 64-bit words of the bitmaps
 HEAD = 16  # rarest shingles by which a pair's meetings are made one
+TILE = 2048  # texts of a rare shingle that one task compares with as many others, about
 CELLS = 1 << 13  # rows of the table of random variates, by the low bits of a shingle's hash
 ID = U(0xFFFFFFFF)
 
@@ -301,12 +302,16 @@ def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFram
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("texts", "shingle")))["shingle"], 1, HEAD)  # from a part of one text
     heads = prefix.groupBy("node").agg(rarest.alias("head"))
     bits = feats.select("node", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(LIGHT + HEAVY)])
-    dealt = prefix.drop("texts").join(heads, "node").join(bits, "node")
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
+    # A shingle of many texts is dealt in tiles: a part of them on either side, each part with each.
+    dealt = prefix.withColumn("parts", F.ceil(F.col("texts") / F.lit(TILE)).cast("long")).drop("texts").join(heads, "node").join(bits, "node")
+    own, every = F.pmod(F.xxhash64("node"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    sides = [dealt.withColumn(a, own).withColumn(b, every).drop("parts").alias(name) for name, a, b in (("x", "i", "j"), ("y", "j", "i"))]
+    meet = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    meet &= (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
     # A pair with common shingles among its rarest meets at the least of those only; one without, wherever it can.
     common = F.array_intersect("x.head", "y.head")
     once = (F.size(common) == 0) | (F.col("x.shingle") == F.array_min(common))
-    return dealt.alias("x").join(dealt.alias("y"), meet & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return sides[0].join(sides[1], meet & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

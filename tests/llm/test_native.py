@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import chat, mixing, quality, sharding
 
@@ -115,7 +116,8 @@ def test_chat(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segment", "2 AS position", "3 AS chunk", "4 AS key")
     convs = defaultdict(list)
     for c, t, role, text in rows:
-        convs[c].append((t is not None, t or 0, role or "", text or ""))
+        role, text = role or "", text or ""
+        convs[c].append((t is not None, t or 0, "" if t is not None else hashlib.md5(f"{role}\n{text}".encode()).hexdigest()[:3], role, text))
     for chunk in (2, 4096):
         turns = chat.format_turns(df, chunk)
         found = chat.examples(turns)
@@ -123,29 +125,45 @@ def test_chat(spark):
         assert set(got) == set(convs)
         for c, ts in convs.items():
             ts.sort()
-            loss = "".join(x[3] for x in ts if x[2] == "assistant")
+            loss = "".join(x[4] for x in ts if x[3] == "assistant")
             r = got[c]
             assert r["n_turns"] == len(ts) and r["loss_chars"] == len(loss)
-            assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in ts).encode()).hexdigest()
+            assert r["turns_sha256"] == hashlib.sha256("".join(f"{x[3]}\n{x[4]}\n" for x in ts).encode()).hexdigest()
             assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
             whole = "".join(x["segment"] for x in sorted(turns.filter(turns.conv_id.eqNullSafe(c)).collect(), key=lambda x: x["position"]))
             assert r["formatted_chars"] == len(whole)
             own = [x for x in found.collect() if x["conv_id"] == c]
             assert "".join(x["text"] for x in sorted(own, key=lambda x: x["start"])) == whole
             replies = [x for x in own if x["loss_end"] is not None]
-            targets = [x[3] for x in ts if x[2] == "assistant"]
+            assert r["context_chars"] == sum(x["context_end"] for x in replies) and r["n_contexts"] == r["n_examples"]
+            targets = [x[4] for x in ts if x[3] == "assistant"]
             assert sorted(x["example"] for x in replies) == list(range(len(targets))) and r["n_examples"] == len(targets)
             assert all(x["end"] == x["loss_end"] + len(chat.END) and whole[x["context_end"] :].startswith(chat.START + "assistant\n") for x in replies)
             written = [x for x in chat.render(found).collect() if x["conv_id"] == c]
             assert len(written) == len(targets)
             for x in written:  # each assistant turn with all turns before it
-                own_turns = [k for k, t in enumerate(ts) if t[2] == "assistant"][x["example"]]
+                own_turns = [k for k, t in enumerate(ts) if t[3] == "assistant"][x["example"]]
                 assert x["text"].count(chat.START) == own_turns + 1 and whole.startswith(x["text"])
                 part = x["text"][x["loss_start"] : x["loss_end"]]
                 assert part.replace("&lt;|", "<|").replace("&amp;", "&") == targets[x["example"]]
     assert chat.read_back(chat.examples(chat.format_turns(df.limit(0)))).count() == 0
 
 
+def test_read_back_holds_contexts_against_the_text(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t {k}") for k in range(6)]
+    found = chat.examples(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    wrong = found.withColumn("context_end", F.when(F.col("example") == 1, F.col("context_end") + 1).otherwise(F.col("context_end")))
+    assert [chat.read_back(x).first()["n_contexts"] for x in (found, wrong)] == [3, 2]
+
+
+def test_turns_without_a_number_are_dealt(spark):
+    """Of a conversation without any turn numbers no chunk has more than a small part."""
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    turns = chat.format_turns(df)
+    assert turns.groupBy("chunk").count().agg(F.max("count")).first()[0] < 30
+    assert turns.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first() == (1, 20_000, 20_000)
+
+
 def counts(text):
     text = text or ""
     w = WORD.findall(text)

@@ -80,6 +80,39 @@ def test_classes_are_those_of_all_pairs(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows, weights(rows))
 
 
+def test_rare_shingles_in_tiles(spark, monkeypatch):
+    """Without rounds of hubs all that is apart meets on rare shingles, here in tiles of two texts."""
+    monkeypatch.setattr(neardup, "HUBS", 0)
+    monkeypatch.setattr(neardup, "TILE", 2)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    rows = copies()[:120] + [(1000 + k, " ".join(passage[: rng.randint(20, 40)] + [f"own{k}"] * rng.randint(0, 3))) for k in range(40)]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows, weights(rows))
+
+
+def test_recall_against_all_pairs(spark):
+    """Every tenth document against all: whatever is alike by the stated rule is of one class."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 4000")
+    rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    bags, weight_of, holders = [Counter(shingles(t)) for _, t in rows], weights(rows), defaultdict(list)
+    for k, bag in enumerate(bags):
+        for s in bag:
+            holders[s].append(k)
+    total = [sum(n * weight_of(s) for s, n in b.items()) for b in bags]
+    links = set()
+    for i, (doc, _) in enumerate(rows):
+        if doc % 10 == 0:
+            shared, low = Counter(), Counter()
+            for s, n in bags[i].items():
+                for j in holders[s]:
+                    shared[j] += 1
+                    low[j] += min(n, bags[j][s]) * weight_of(s)
+            links |= {(doc, rows[j][0]) for j, n in shared.items() if j != i and (low[j] >= 0.8 * (total[i] + total[j] - low[j]) or n >= 0.8 * (len(bags[i]) + len(bags[j]) - n))}
+    found = {r["doc_id"]: r["class_id"] for r in neardup.group(df).collect()}
+    lost = [(a, b) for a, b in links if found[a] != found[b]]
+    assert len(links) > 50 and len(lost) <= 0.001 * len(links)
+
+
 def test_real_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
