@@ -36,7 +36,10 @@ def classify(text: Column) -> Column:
 
 def canonical_key(label: Column) -> Column:
     """The known key of a label: by whole phrase, else by a contained word of four or more characters."""
-    low = key_form(label)
+    return _canonical(key_form(label))
+
+
+def _canonical(low: Column) -> Column:
     exact = [(low.isin(words), F.lit(key).cast("string")) for key, words in V.CANONICAL]
     inside = [(any_of(low, long), F.lit(key).cast("string")) for key, words in V.CANONICAL if (long := [w for w in words if len(w) >= 4])]
     return first_of(exact + inside, F.lit(None).cast("string"))
@@ -44,7 +47,10 @@ def canonical_key(label: Column) -> Column:
 
 def data_type(label: Column, value: Column) -> Column:
     """Type of a field by words of its label, then by the shape of its value."""
-    low, v = F.lower(label), strip(value)
+    return _type(F.lower(label), strip(value))
+
+
+def _type(low: Column, v: Column) -> Column:
     number = F.when(any_of(low, V.IDENTIFIER_WORDS), "identifier").when(F.contains(v, F.lit(".")), "decimal").otherwise("integer")
     return first_of(
         [
@@ -59,7 +65,8 @@ def data_type(label: Column, value: Column) -> Column:
 def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """document_id, seq, field_name, field_value, confidence, data_type, canonical_key, source_text.
 
-    Strategies run in order over the whole text; of equal labels the first stays.
+    Strategies run in order over the whole text; of equal labels of a row the first stays, so
+    nothing is shuffled: documents have a row each.
     `learned` (label, canonical_key) comes before the built-in keys.
     """
     found = []
@@ -67,11 +74,12 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     for _, pattern, confidence in STRATEGIES:
         parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 0)]
         found.append(_zipped(parts, confidence))
-    each = docs.select("document_id", F.posexplode(F.concat(*found)).alias("seq", "f"))
-    fields = each.select("document_id", "seq", clean_label(F.col("f.l")).alias("field_name"), clean_value(F.col("f.v")).alias("field_value"), F.col("f.c").alias("confidence"), strip(F.col("f.s")).alias("source_text"))
-    good = fields.filter(is_valid_label(F.col("field_name")) & is_valid_value(F.col("field_value"))).withColumn("label", F.lower("field_name"))
-    one = first_per_key(good, ["document_id", "label"], "seq")
-    typed = one.withColumn("data_type", data_type(F.col("field_name"), F.col("field_value"))).withColumn("canonical_key", canonical_key(F.col("field_name")))
+    clean = F.transform(F.concat(*found), lambda f, i: F.struct(i.alias("seq"), clean_label(f["l"]).alias("field_name"), clean_value(f["v"]).alias("field_value"), f["c"].alias("confidence"), strip(f["s"]).alias("source_text")))
+    good = F.filter(clean, lambda f: is_valid_label(f["field_name"]) & is_valid_value(f["field_value"]))
+    rows = docs.select("document_id", good.alias("f")).withColumn("labels", F.transform("f", lambda f: F.lower(f["field_name"])))
+    first = F.filter("f", lambda f, i: F.array_position("labels", F.get("labels", i)) == i + 1)
+    fields = rows.select("document_id", first.alias("f")).select("document_id", F.inline("f")).withColumns({"label": F.lower("field_name"), "low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
+    typed = fields.withColumn("data_type", _type(F.col("label"), F.col("said"))).withColumn("canonical_key", _canonical(F.col("low")))
     if learned is not None:
         taught = learned.select(key_form(F.col("label")).alias("label"), F.col("canonical_key").alias("taught"))
         typed = typed.join(taught, "label", "left").withColumn("canonical_key", F.coalesce("taught", "canonical_key")).drop("taught")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import EARTH_METRES, haversine, polygon_bbox, ring_area
+from ..sources.tables import materialise
 
 DEGREE_METRES = 111_194.9  # of latitude on the sphere of haversine()
 BOX = ["x0", "y0", "x1", "y1"]
@@ -333,14 +334,12 @@ def overlap_classes(parcels: DataFrame, id_: str = "id", ring: str = "ring", til
     only = parcels.filter((F.size(ring) >= 3) & (ring_area(F.col(ring)) > 0)).select(F.col(id_).alias("id"), F.col(ring).alias("ring")).groupBy("ring").agg(F.min("id").alias("id"))
     sized = with_box(only).withColumn("boxed", (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    sized = sized.withColumn("boxed", F.col("boxed") & (ring_area(F.col("ring")) >= area * (1 - 1e-12)))
-    pairs = box_pairs(sized.select("id", *BOX, "boxed"), tile=tile)
-    both = F.col("a.boxed") & F.col("b.boxed")
-    ids = [F.col("a.id").alias("a"), F.col("b.id").alias("b")]
+    sized = materialise(sized.withColumn("boxed", F.col("boxed") & (ring_area(F.col("ring")) >= area * (1 - 1e-12))), "rings")
+    pairs = materialise(box_pairs(sized.select("id", *BOX, "boxed"), tile=tile).select("a.id", "b.id", F.col("a.boxed") & F.col("b.boxed")).toDF("a", "b", "boxed"), "pairs")
     part = lambda c: F.transform("ring", lambda p: p[c].cast("double"))
     side = lambda s: sized.select(F.col("id").alias(s), part("x").alias(f"{s}x"), part("y").alias(f"{s}y"))
-    others = pairs.filter(~both).select(*ids).join(side("a"), "a").join(side("b"), "b").filter(rings_overlap("ax", "ay", "bx", "by"))
-    met = pairs.filter(both).select(*ids).unionByName(others.select("a", "b")).withColumn("kind", F.lit("pair"))
+    others = pairs.filter("not boxed").join(side("a"), "a").join(side("b"), "b").filter(rings_overlap("ax", "ay", "bx", "by"))
+    met = pairs.filter("boxed").select("a", "b").unionByName(others.select("a", "b")).withColumn("kind", F.lit("pair"))
     copies = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("member").alias("kind"))
     return met.unionByName(copies)
 

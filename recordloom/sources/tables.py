@@ -115,17 +115,35 @@ def seed(spark: SparkSession, path: str, rows: DataFrame) -> bool:
     return True
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), removed when the application ends."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where the session names none and has no executors on other machines (tests, a
+    laptop) is a local one made.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        master = spark.sparkContext.master
+        if master.partition("[")[0] not in ("local", "local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{what}-{uuid.uuid4().hex}")
+    return base
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return hadoop.toString()
+    return path
+
+
+def materialise(df: DataFrame, what: str) -> DataFrame:
+    """What is used several times, written once to the shared folder, which outlives executors."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Registry(ABC):
