@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise, remove, scratch  # noqa: F401  (operators take them from here)
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,35 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none and has no executors on other machines (tests, a
-    laptop) is a local one made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master.partition("[")[0] not in ("local", "local-cluster"):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def put_in_place(fs, tmp: str, path: str) -> None:
     """Rename a finished file of pyarrow's file system `fs`; what an earlier attempt of the task left there goes, as it holds the same."""
     try:
@@ -63,13 +34,6 @@ def remove_table(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, which outlives executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within it, Spark removes an execution's shuffle files when the execution ends."""
