@@ -14,7 +14,8 @@ Each archive opens with a warcinfo record; a revisit names its response by recor
 
 Defined cases: a null html is an empty payload; a very long one is a record like others; equal payloads of `least` bytes or more
 are stored once, in the record with the largest page_id (null last; of equal ids all are
-stored), the rest are revisits; repeated rows each have a record; no rows, no archives.
+stored), the rest are revisits; repeated rows each have a record; other columns
+are ignored; no rows, no archives.
 """
 
 from __future__ import annotations
