@@ -66,8 +66,18 @@ def usable(rows: DataFrame, id_: str, vector: str) -> DataFrame:
     return each.withColumn("length", length).filter("length > 0").select("id", F.transform("v", lambda c: c / F.col("length")).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float) if len(column) else np.empty((0, 0))
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """Rows of a list column, with zeros at the end of those shorter than the longest or than `width`: no cosine changes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ends = column.offsets.to_numpy()
+    values, n = column.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+    width = max(width, int(n.max(initial=0)))
+    if (n == width).all():
+        return values.reshape(len(n), width)
+    out = np.zeros((len(n), width))
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], n)] = values
+    return out
 
 
 class Lists:
@@ -79,7 +89,8 @@ class Lists:
 
     def nearest(self, v: np.ndarray, k: int) -> np.ndarray:
         """The numbers of the k nearest centres of each row, in order."""
-        far = self.half - v @ self.centres.T
+        shared = min(v.shape[1], self.centres.shape[1])  # entries beyond either are zeros there
+        far = self.half - v[:, :shared] @ self.centres[:, :shared].T
         k = min(k, len(self.centres))
         part = np.argpartition(far, k - 1, axis=1)[:, :k] if k < far.shape[1] else np.tile(np.arange(far.shape[1]), (len(far), 1))
         return np.take_along_axis(part, np.argsort(np.take_along_axis(far, part, axis=1), axis=1), axis=1)
@@ -93,10 +104,11 @@ def fit_lists(vectors: DataFrame, k: int = 10, lists: int | None = None, sample:
     total = vectors.count()
     part = vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < min(1_000_000, max(1, sample * 1_000_000 // max(total, 1))))
     n = lists or int(min(LISTS, max(1, round(total**0.5))))
-    held = np.array([r["v"] for r in part.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * sample).collect()])
+    held = _matrix(pa.array([r["v"] for r in part.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * sample).collect()], pa.list_(pa.float64())))
     if len(held) <= n:
         return Lists(held if len(held) else np.zeros((1, 1)), len(held) or 1)
-    model = KMeans(k=n, seed=seed, maxIter=10, initSteps=2, featuresCol="f").fit(part.select(array_to_vector("v").alias("f")))
+    padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(held.shape[1]) - F.size("v")))
+    model = KMeans(k=n, seed=seed, maxIter=10, initSteps=2, featuresCol="f").fit(part.select(array_to_vector(F.slice(padded, 1, held.shape[1])).alias("f")))
     made = Lists(np.array(model.clusterCenters()), n)
     asked, own = held[:ASKED], made.nearest(held, 1)[:, 0]
     top = np.argsort(-(asked @ held.T), axis=1, kind="stable")[:, 1 : k + 1]
@@ -145,13 +157,13 @@ def neighbours(asked: DataFrame, index: DataFrame, k: int = 10, id_: str = "id",
 
     def product(t: pa.Table) -> pa.Table:
         side = t.column("asked").to_numpy().astype(bool)
-        ids, v = t.column("id").to_numpy(), _matrix(t.column("v"))
+        ids, v = t.column("id").to_numpy(), _matrix(t.column("v"))  # a tile of either side
         row_ids, row_v = ids[~side], v[~side]
         order = np.argsort(row_ids, kind="stable")
         row_ids, row_v = row_ids[order], row_v[order]
         out_q, out_n, out_s = [], [], []
-        for q, x in zip(ids[side], v[side]):
-            s = row_v @ x
+        scores = (part for k in range(0, int(side.sum()), 256) for part in v[side][k : k + 256] @ row_v.T)
+        for q, s in zip(ids[side], scores):
             s[row_ids == q] = -np.inf
             m = min(k, len(s))
             edge = np.partition(s, len(s) - m)[len(s) - m] if m else 0
