@@ -48,8 +48,7 @@ def upsert(path: str, transform: Transform, key: str | Sequence[str] = "document
     keys = _keys(key)
 
     def put(df: DataFrame, batch_id: int, table: str) -> None:
-        out = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{table}")
+        df.write.mode("overwrite").parquet(f"{path}/{table}/batch_id={batch_id}")  # with its schema, if there are no rows
 
     def write(batch: DataFrame, batch_id: int) -> None:
         one = newest(batch, keys, order).persist()
@@ -61,15 +60,19 @@ def upsert(path: str, transform: Transform, key: str | Sequence[str] = "document
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
 def versions(spark: SparkSession, path: str, key: str | Sequence[str] = "document_id") -> DataFrame:
     """key, batch_id of the newest version of each document; of equal versions the last batch's."""
     rank = F.struct(F.col("version").isNotNull(), "version", "batch_id")
-    return spark.read.parquet(f"{path}/documents").groupBy(*_keys(key)).agg(F.max_by("batch_id", rank).alias("batch_id"))
+    return _batches(spark, f"{path}/documents").groupBy(*_keys(key)).agg(F.max_by("batch_id", rank).alias("batch_id"))
 
 
 def current(spark: SparkSession, path: str, key: str | Sequence[str] = "document_id") -> DataFrame:
     """The rows of each document's newest version: none for a document that has none now."""
-    return spark.read.parquet(f"{path}/rows").join(versions(spark, path, key), [*_keys(key), "batch_id"], "left_semi")
+    return _batches(spark, f"{path}/rows").join(versions(spark, path, key), [*_keys(key), "batch_id"], "left_semi")
 
 
 def run(

@@ -173,3 +173,10 @@ def test_registry_source_reads_the_districts_asked_for(spark, tmp_path):
     assert reg.filter(F.col("district").isin("New/D 1", "New/D 2")).count() == 24
     assert reg.filter("district is null").count() == 12 and reg.filter("district = 'no'").count() == 0
     assert reg.filter("district > 'New/D 2'").count() == 12  # not the source's: Spark's own
+
+
+def test_batches_without_any_rows(spark, tmp_path):
+    assert through(spark, tmp_path, [("a", "", 1), ("b", None, 1)]) == set()
+    assert through(spark, tmp_path, [("a", "Owner: Ram", 2)]) == {("a", "Ram")}
+    assert through(spark, tmp_path, [("a", " ", 3)]) == set()
+    assert streaming.versions(spark, f"{tmp_path}/out").count() == 2
