@@ -7,7 +7,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHAT = """
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) x(t)),
-o AS (SELECT *, CASE WHEN turn IS NULL THEN left(md5(role || chr(10) || text), 3) END AS h, 24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM r),
+o AS (SELECT *, left(md5(role || chr(10) || text), 3) AS h, 24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars FROM r),
 c AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, h, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, h, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

@@ -117,7 +117,7 @@ def test_chat(spark):
     convs = defaultdict(list)
     for c, t, role, text in rows:
         role, text = role or "", text or ""
-        convs[c].append((t is not None, t or 0, "" if t is not None else hashlib.md5(f"{role}\n{text}".encode()).hexdigest()[:3], role, text))
+        convs[c].append((t is not None, t or 0, hashlib.md5(f"{role}\n{text}".encode()).hexdigest()[:3], role, text))
     for chunk in (2, 4096):
         turns = chat.format_turns(df, chunk)
         found = chat.examples(turns)
@@ -156,12 +156,21 @@ def test_read_back_holds_contexts_against_the_text(spark):
     assert [chat.read_back(x).first()["n_contexts"] for x in (found, wrong)] == [3, 2]
 
 
-def test_turns_without_a_number_are_dealt(spark):
-    """Of a conversation without any turn numbers no chunk has more than a small part."""
-    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
-    turns = chat.format_turns(df)
-    assert turns.groupBy("chunk").count().agg(F.max("count")).first()[0] < 30
-    assert turns.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first() == (1, 20_000, 20_000)
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_turns_of_one_number_or_none_are_dealt(spark, monkeypatch, few):
+    """Of a conversation whose turns have three numbers, or none, no part has more than a chunk's worth or so."""
+    monkeypatch.setattr(chat, "BROADCAST_VALUES", few)
+    k = F.col("id")
+    turn = F.when(k % 3 == 0, 7).when(k % 3 == 1, 9).when(k % 30 == 2, k % 5).otherwise(F.lit(None)).cast("long")
+    df = spark.range(6000).select(F.lit(1).alias("conv_id"), turn.alias("turn"), F.when(k % 2 == 0, "user").otherwise("assistant").alias("role"), k.cast("string").alias("text"))
+    turns = chat.format_turns(df, 100)
+    assert turns.groupBy("chunk", "piece", "sub").count().agg(F.max("count")).first()[0] < 250
+    rows = sorted((r["turn"] is not None, r["turn"] or 0, hashlib.md5(f"{r['role']}\n{r['text']}".encode()).hexdigest()[:3], r["role"], r["text"]) for r in df.collect())
+    whole = [chat.START + r[3] + "\n" + r[4] + chat.END for r in rows]
+    got = sorted((r["position"], r["segment"], r["start"]) for r in turns.collect())
+    assert [g[:2] for g in got] == list(enumerate(whole, 1)) and [g[2] for g in got] == list(np.cumsum([0, *map(len, whole)])[:-1])
+    back = chat.read_back(chat.examples(turns)).first()
+    assert back["n_turns"] == 6000 and back["loss_sha256"] == hashlib.sha256("".join(r[4] for r in rows if r[3] == "assistant").encode()).hexdigest() and back["n_contexts"] == back["n_examples"]
 
 
 def counts(text):
