@@ -104,7 +104,7 @@ def fit_lists(vectors: DataFrame, k: int = 10, lists: int | None = None, sample:
     total = vectors.count()
     part = vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < min(1_000_000, max(1, sample * 1_000_000 // max(total, 1))))
     n = lists or int(min(LISTS, max(1, round(total**0.5))))
-    held = _matrix(pa.array([r["v"] for r in part.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * sample).collect()], pa.list_(pa.float64())))
+    held = _matrix(part.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2 * sample).select("v").toArrow().column("v"))
     if len(held) <= n:
         return Lists(held if len(held) else np.zeros((1, 1)), len(held) or 1)
     padded = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(held.shape[1]) - F.size("v")))
