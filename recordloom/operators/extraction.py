@@ -76,9 +76,10 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
         found.append(_zipped(parts, confidence))
     clean = F.transform(F.concat(*found), lambda f, i: F.struct(i.alias("seq"), clean_label(f["l"]).alias("field_name"), clean_value(f["v"]).alias("field_value"), f["c"].alias("confidence"), strip(f["s"]).alias("source_text")))
     good = F.filter(clean, lambda f: is_valid_label(f["field_name"]) & is_valid_value(f["field_value"]))
-    rows = docs.select("document_id", good.alias("f")).withColumn("labels", F.transform("f", lambda f: F.lower(f["field_name"])))
-    first = F.filter("f", lambda f, i: F.array_position("labels", F.get("labels", i)) == i + 1)
-    fields = rows.select("document_id", first.alias("f")).select("document_id", F.inline("f")).withColumns({"label": F.lower("field_name"), "low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
+    labelled = F.transform(good, lambda f: f.withField("label", F.lower(f["field_name"])))
+    # Within a lambda an array is there once; as a column the optimizer would write it out wherever it is used.
+    first = F.transform(F.array(labelled), lambda all_: F.filter(all_, lambda f, i: F.array_position(all_["label"], f["label"]) == i + 1))[0]
+    fields = docs.select("document_id", first.alias("f")).select("document_id", F.inline("f")).withColumns({"low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
     typed = fields.withColumn("data_type", _type(F.col("label"), F.col("said"))).withColumn("canonical_key", _canonical(F.col("low")))
     if learned is not None:
         taught = learned.select(key_form(F.col("label")).alias("label"), F.col("canonical_key").alias("taught"))
