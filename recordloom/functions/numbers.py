@@ -70,8 +70,8 @@ def denormalize_bbox(box: Column, width: Column, height: Column) -> Column:
 
 def polygon_bbox(points: Column) -> Column:
     """Array of (x, y) structs to [min x, min y, max x, max y]."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    box = lambda r: F.array(F.array_min(r["x"]), F.array_min(r["y"]), F.array_max(r["x"]), F.array_max(r["y"]))
+    return F.transform(F.array(points), box)[0]
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -83,9 +83,11 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area of an array of (x, y) structs."""
-    n = F.size(ring)
-    cross = lambda i: F.get(ring, i)["x"] * F.get(ring, (i + 1) % n)["y"] - F.get(ring, (i + 1) % n)["x"] * F.get(ring, i)["y"]
-    return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + cross(i))) / 2)
+    def shoelace(r: Column) -> Column:
+        after = F.concat(F.slice(r, 2, F.size(r) - 1), F.slice(r, 1, 1))
+        return F.when(F.size(r) >= 3, F.abs(F.aggregate(F.zip_with(r, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, c: s + c)) / 2)
+
+    return F.transform(F.array(ring), shoelace)[0]  # within it the ring is there once, however it is made
 
 
 def anomaly_score(raw: Column) -> Column:

@@ -8,10 +8,11 @@ meridian (exchange formats cut them there).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +26,8 @@ BOX = ["x0", "y0", "x1", "y1"]
 
 def with_box(parcels: DataFrame, ring: str = "ring") -> DataFrame:
     """Parcels with the box of their ring in columns of its own, which scans of a stored table can filter by."""
-    box = polygon_bbox(F.col(ring))
-    return parcels.withColumns({n: F.get(box, F.lit(k)) for k, n in enumerate(BOX)})
+    box = F.transform(F.array(polygon_bbox(F.col(ring))), lambda b: F.struct(*[F.get(b, F.lit(k)).alias(n) for k, n in enumerate(BOX)]))
+    return parcels.select("*", F.inline(box))  # made once for all four
 
 
 def _reach(lat: float, radius_m: float) -> tuple[float, float]:
@@ -121,13 +122,28 @@ def ring_distance(ring: Column, lat: float, lng: float) -> Column:
 BATCH = 1 << 20  # numbers in an array at once
 
 
-def _padded(xs: list[np.ndarray], ys: list[np.ndarray], width: int) -> np.ndarray:
-    """(rings, width, 2): corners, the first one again up to the width."""
-    out = np.empty((len(xs), width, 2))
-    for k, (x, y) in enumerate(zip(xs, ys)):
-        out[k, : len(x), 0], out[k, : len(x), 1] = x, y
-        out[k, len(x) :] = x[0], y[0]
-    return out
+class Rings:
+    """Corners of many rings, one after the other, with the place and number of each ring's."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, n: np.ndarray):
+        self.x, self.y, self.starts, self.n = x, y, starts, n
+
+    @classmethod
+    def of(cls, xs, ys) -> Rings:
+        n = np.array([len(x) for x in xs], int)
+        flat = lambda parts: np.concatenate([np.asarray(p, float) for p in parts]) if len(n) else np.empty(0)
+        return cls(flat(xs), flat(ys), np.cumsum(n) - n, n)
+
+    @classmethod
+    def read(cls, x: pa.ListArray, y: pa.ListArray) -> Rings:
+        ends = x.offsets.to_numpy().astype(int)
+        return cls(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False), ends[:-1], np.diff(ends))
+
+    def padded(self, which: np.ndarray, width: int) -> np.ndarray:
+        """(rings, width, 2): corners, the first one again up to the width."""
+        place = np.arange(width)[None, :]
+        at = self.starts[which][:, None] + np.where(place < self.n[which][:, None], place, 0)
+        return np.stack([self.x[at], self.y[at]], -1)
 
 
 def _strictly_in(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -213,28 +229,33 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def interiors_meet(ax, ay, bx, by) -> np.ndarray:
+def interiors_meet(a: Rings, b: Rings) -> np.ndarray:
     """Whether pairs of simple rings share inner points; edges or corners that touch do not count.
 
     Pairs are dealt by the numbers of their corners, rounded up to powers of two, so
     arrays hold little padding, and handled so many at a time that arrays stay bounded.
     """
-    na, nb = np.array([len(x) for x in ax], int), np.array([len(x) for x in bx], int)
     width = lambda n: 1 << np.ceil(np.log2(np.maximum(n, 2))).astype(int)
-    wa, wb = width(na), width(nb)
-    out = np.zeros(len(na), bool)
+    wa, wb = width(a.n), width(b.n)
+    out = np.zeros(len(a.n), bool)
     for m, n in {(int(m), int(n)) for m, n in zip(wa, wb)}:
-        which = np.flatnonzero((wa == m) & (wb == n) & (na >= 3) & (nb >= 3))
+        which = np.flatnonzero((wa == m) & (wb == n) & (a.n >= 3) & (b.n >= 3))
         step = max(1, BATCH // (m * n))
         for k in range(0, len(which), step):
             part = which[k : k + step]
-            out[part] = _meet(_padded([ax[i] for i in part], [ay[i] for i in part], m), _padded([bx[i] for i in part], [by[i] for i in part], n))
+            out[part] = _meet(a.padded(part, m), b.padded(part, n))
     return out
 
 
-@F.pandas_udf(T.BooleanType())
-def rings_overlap(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series(interiors_meet(*(list(c) for c in (ax, ay, bx, by))), dtype=bool)
+def rings_that_meet(pairs: DataFrame) -> DataFrame:
+    """a, b of pairs (a, b, ax, ay, bx, by) of rings whose interiors meet."""
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sides = [Rings.read(batch.column(f"{s}x"), batch.column(f"{s}y")) for s in "ab"]
+            yield batch.select(["a", "b"]).filter(pa.array(interiors_meet(*sides)))
+
+    return pairs.select("a", "b", "ax", "ay", "bx", "by").mapInArrow(keep, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
 # Boxes that meet, by a tree of cells.
@@ -338,8 +359,8 @@ def overlap_classes(parcels: DataFrame, id_: str = "id", ring: str = "ring", til
     pairs = materialise(box_pairs(sized.select("id", *BOX, "boxed"), tile=tile).select("a.id", "b.id", F.col("a.boxed") & F.col("b.boxed")).toDF("a", "b", "boxed"), "pairs")
     part = lambda c: F.transform("ring", lambda p: p[c].cast("double"))
     side = lambda s: sized.select(F.col("id").alias(s), part("x").alias(f"{s}x"), part("y").alias(f"{s}y"))
-    others = pairs.filter("not boxed").join(side("a"), "a").join(side("b"), "b").filter(rings_overlap("ax", "ay", "bx", "by"))
-    met = pairs.filter("boxed").select("a", "b").unionByName(others.select("a", "b")).withColumn("kind", F.lit("pair"))
+    others = pairs.filter("not boxed").join(side("a"), "a").join(side("b"), "b")
+    met = pairs.filter("boxed").select("a", "b").unionByName(rings_that_meet(others)).withColumn("kind", F.lit("pair"))
     copies = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit("member").alias("kind"))
     return met.unionByName(copies)
 

@@ -185,7 +185,7 @@ SQUARE = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
 ])
 def test_polygons(other, meets):
     a, b = [[r[:, 0] for r in (SQUARE, other)], [r[:, 1] for r in (SQUARE, other)]], [[r[:, 0] for r in (other, SQUARE)], [r[:, 1] for r in (other, SQUARE)]]
-    assert spatial.interiors_meet(*a, *b).tolist() == [meets, meets]
+    assert spatial.interiors_meet(spatial.Rings.of(*a), spatial.Rings.of(*b)).tolist() == [meets, meets]
 
 
 def test_overlaps_and_near(spark):

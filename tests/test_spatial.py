@@ -12,6 +12,10 @@ from recordloom.operators import spatial
 RING = "id long, ring array<struct<x:double,y:double>>"
 
 
+def rings(ax, ay, bx, by):
+    return spatial.Rings.of(ax, ay), spatial.Rings.of(bx, by)
+
+
 def inside(p, ring):
     hit = False
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
@@ -138,9 +142,9 @@ def test_rings_against_triangles():
                     break
         cases.append((made[0][0], made[1][0], any(triangles_meet(s, t) for s in made[0][1] for t in made[1][1])))
     sides = [[np.array([p[c] for p in case[s]], float) for case in cases] for s in (0, 1) for c in (0, 1)]
-    assert spatial.interiors_meet(*sides).tolist() == [c[2] for c in cases]
+    assert spatial.interiors_meet(*rings(*sides)).tolist() == [c[2] for c in cases]
     turned = [c[::-1] for c in sides]  # corners the other way round, in another order
-    assert spatial.interiors_meet(*turned).tolist() == [c[2] for c in cases][::-1]
+    assert spatial.interiors_meet(*rings(*turned)).tolist() == [c[2] for c in cases][::-1]
     assert 500 < sum(c[2] for c in cases) < 2500
 
 
@@ -149,7 +153,7 @@ def test_many_corners_and_small_batches(monkeypatch):
     cases = [(circle(700, 5, 0), circle(500, 1, 0), True), (circle(700, 5, 0), circle(500, 1, 9), False), (circle(700, 5, 0), circle(3, 2, 6), True), (circle(64, 5, 0), circle(64, 5, 0), True)]
     for batch in (1 << 20, 64):
         monkeypatch.setattr(spatial, "BATCH", batch)
-        got = spatial.interiors_meet([a[0] for a, _, _ in cases], [a[1] for a, _, _ in cases], [b[0] for _, b, _ in cases], [b[1] for _, b, _ in cases])
+        got = spatial.interiors_meet(*rings([a[0] for a, _, _ in cases], [a[1] for a, _, _ in cases], [b[0] for _, b, _ in cases], [b[1] for _, b, _ in cases]))
         assert got.tolist() == [c[2] for c in cases]
 
 
@@ -204,7 +208,7 @@ def test_equal_rings_are_one_class(spark):
     named = sorted((a, b) for a, b, kind in found if kind == "pair")
     tri = {k: np.array(r) for k, r in rows}
     reps = sorted(set(first.values()))
-    meets = lambda a, b: bool(spatial.interiors_meet([tri[a][:, 0]], [tri[a][:, 1]], [tri[b][:, 0]], [tri[b][:, 1]])[0])
+    meets = lambda a, b: bool(spatial.interiors_meet(*rings([tri[a][:, 0]], [tri[a][:, 1]], [tri[b][:, 0]], [tri[b][:, 1]]))[0])
     assert named == [(a, b) for a, b in combinations(reps, 2) if meets(a, b)]
     every = sorted(map(tuple, spatial.overlaps(df).collect()))
     assert every == [(a, b) for (a, _), (b, _) in combinations(rows, 2) if meets(a, b)]
