@@ -58,9 +58,11 @@ def _counts(c: Column) -> list[tuple[str, str, Column]]:
     return [(name, code, F.regexp_count(c, F.lit(_block(a, z)))) for name, a, z, code in V.SCRIPTS]
 
 
-def dominant_language(c: Column) -> Column:
-    """struct(code, script, confidence): the script with most characters; ties go by the table's order."""
+def dominant_language(c: Column, latin_first: bool = False) -> Column:
+    """struct(code, script, confidence): the script with most characters; ties go by the table's order, with `latin_first` to Latin."""
     counts = _counts(F.coalesce(c, F.lit("")))
+    if latin_first:
+        counts.sort(key=lambda x: x[0] != "Latin")
     total = reduce(Column.__add__, [n for _, _, n in counts])
     top = F.greatest(*[n for _, _, n in counts])
     code = first_of([(n == top, F.lit(k)) for _, k, n in counts], F.lit("en"))
