@@ -84,6 +84,31 @@ def content_duplicates(values: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, le
     return out.select("document_id", "duplicate_id", "kind", F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
 
 
+def content_pairs(values: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, least: int = 3, id_: str = "document_id") -> DataFrame:
+    """The columns of `content_duplicates`, with every link between different groups instead of those with the first of a block.
+
+    Of kind `group`: each two groups with `least` keys in common, both ways, each named by its
+    lowest id. Of kind `member`: each other document of a group with that lowest id. Copies are not
+    expanded; links between groups are, as many as there are. Two groups meet on each
+    subset of keys that they share and are linked at the first of these only, so pairs
+    are not shuffled to make them distinct.
+    """
+    named = groups(values, keys, id_)
+    given = F.size(_given(keys))
+    copies = named.filter((F.col("document_id") != F.col("group_id")) & (given >= least))
+    inside = copies.select("document_id", F.col("group_id").alias("duplicate_id"), _given(keys).alias("matched_keys"), given.alias("n"), F.lit("member").alias("kind"))
+    each = named.filter("document_id = group_id").select("group_id", F.array(*keys).alias("own"), given.alias("n"))
+    said = lambda part: F.array(*[F.get("own", F.lit(keys.index(c))) for c in part])
+    parts = [F.when(F.forall(said(part), lambda x: x.isNotNull()), F.struct(F.lit(",".join(part)).alias("subset"), said(part).alias("said"))) for part in combinations(keys, least)]
+    dealt = each.select("*", F.explode(F.filter(F.array(*parts), lambda b: b.isNotNull())).alias("block")).select("group_id", "own", "n", "block.subset", F.xxhash64("block.subset", "block.said").alias("hash"))
+    same = F.filter(F.array(*[F.when(F.get("x.own", F.lit(i)) == F.get("y.own", F.lit(i)), c) for i, c in enumerate(keys)]), lambda c: c.isNotNull())
+    meet = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.subset") == F.col("y.subset")) & (F.col("x.group_id") != F.col("y.group_id"))
+    met = dealt.alias("x").join(dealt.hint("merge").alias("y"), meet).select(F.col("x.group_id").alias("document_id"), F.col("y.group_id").alias("duplicate_id"), same.alias("matched_keys"), F.col("x.n").alias("n"), "x.subset")
+    between = met.filter(F.array_join(F.slice("matched_keys", 1, least), ",") == F.col("subset")).drop("subset").withColumn("kind", F.lit("group"))
+    out = between.unionByName(inside)
+    return out.select("document_id", "duplicate_id", "kind", F.size("matched_keys").alias("matched"), "matched_keys", (F.size("matched_keys") / F.col("n")).alias("similarity"))
+
+
 def duplicates_of(values: DataFrame, asked: DataFrame, keys: list[str] = V.DUPLICATE_KEYS, least: int = 3, id_: str = "document_id") -> DataFrame:
     """document_id, duplicate_id, matched_keys, similarity of all duplicates of the documents asked for: their lists, not the table's."""
     named = groups(values, keys, id_)
