@@ -17,6 +17,17 @@ STRATEGIES = [
 ]
 
 
+def dealt(docs: DataFrame, *columns: str) -> DataFrame:
+    """Documents over all tasks: a file of few row groups is read by as few, and what is done to a text takes longer than to move it."""
+    return docs.select("document_id", *columns).repartition("document_id")
+
+
+def unfolded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """The columns kept and those of each struct of the array. The outer form, as for the inner one the
+    optimizer first filters by the array's size and works the array out once more for that."""
+    return df.select(*keep, F.inline_outer(F.transform(array, lambda x: F.struct(x.alias("of"))))).filter("of is not null").select(*keep, "of.*")
+
+
 def classify(text: Column) -> Column:
     """struct(document_type, score): the type with the highest share of its patterns found; the first of equals."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -66,7 +77,7 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """document_id, seq, field_name, field_value, confidence, data_type, canonical_key, source_text.
 
     Strategies run in order over the whole text; of equal labels of a row the first stays, so
-    nothing is shuffled: documents have a row each.
+    no field is shuffled: documents have a row each.
     `learned` (label, canonical_key) comes before the built-in keys.
     """
     found = []
@@ -79,7 +90,7 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     labelled = F.transform(good, lambda f: f.withField("label", F.lower(f["field_name"])))
     # Within a lambda an array is there once; as a column the optimizer would write it out wherever it is used.
     first = F.transform(F.array(labelled), lambda all_: F.filter(all_, lambda f, i: F.array_position(all_["label"], f["label"]) == i + 1))[0]
-    fields = docs.select("document_id", first.alias("f")).select("document_id", F.inline("f")).withColumns({"low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
+    fields = unfolded(dealt(docs, "text"), first, "document_id").withColumns({"low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
     typed = fields.withColumn("data_type", _type(F.col("label"), F.col("said"))).withColumn("canonical_key", _canonical(F.col("low")))
     if learned is not None:
         taught = learned.select(key_form(F.col("label")).alias("label"), F.col("canonical_key").alias("taught"))
@@ -116,11 +127,20 @@ def table_fields(docs: DataFrame) -> DataFrame:
     """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)
     cells = F.filter(F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|"), strip), lambda c: c != "")), lambda r: (F.size(r) > 0) & ~F.forall(r, lambda c: c.rlike(r"^[-=:+\s]+$")))
-    rows = docs.select("document_id", cells.alias("t")).filter(F.size("t") >= 2)
-    body = rows.select("document_id", F.col("t")[0].alias("head"), F.posexplode(F.slice("t", 2, F.size("t") - 1)).alias("row", "r"))
-    each = body.select("document_id", "head", "row", F.posexplode("r").alias("col", "field_value")).filter(F.col("col") < F.size("head"))
-    named = each.select("document_id", "row", "col", clean_label(F.get("head", F.col("col"))).alias("field_name"), "field_value")
-    return named.filter(is_valid_label(F.col("field_name")) & ~F.col("field_value").rlike(r"^\d+$")).withColumn("confidence", F.lit(0.80))
+    def named(t: Column) -> Column:
+        """The cells below the head that count; each label is cleaned and judged once."""
+        heads = F.transform(F.get(t, F.lit(0)), clean_label)
+        labels = F.transform(heads, lambda h: F.when(is_valid_label(h), h))
+
+        def below(names: Column) -> Column:
+            row = lambda r, i: F.transform(r, lambda c, j: F.struct((i - 1).alias("row"), j.alias("col"), F.get(names, j).alias("field_name"), c.alias("field_value")))
+            kept = F.filter(F.flatten(F.transform(t, row)), lambda f: (f["row"] >= 0) & f["field_name"].isNotNull())
+            return F.filter(kept, lambda f: ~f["field_value"].rlike(r"^\d+$"))
+
+        return F.transform(F.array(labels), below)[0]
+
+    each = F.transform(F.array(cells), named)[0]
+    return unfolded(dealt(docs, "text"), each, "document_id").withColumn("confidence", F.lit(0.80))
 
 
 def with_table_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:
@@ -159,7 +179,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
     The first match of a pattern; of a type the first pattern that matched.
     """
-    each = docs.select("document_id", found_entities(F.col("text"), F.col("language")).alias("f")).select("document_id", F.inline("f"))
+    each = unfolded(dealt(docs, "text", "language"), found_entities(F.col("text"), F.col("language")), "document_id")
     return first_per_key(each, ["document_id", "entity_type"], "ord").select("document_id", "entity_type", "value", "confidence")
 
 
@@ -188,8 +208,8 @@ def page_entities(pages: DataFrame) -> DataFrame:
     part = lambda t, at, box: F.struct(t.alias("t"), at.alias("at"), box.cast("array<double>").alias("bbox"))
     parts = F.concat(F.transform("blocks", lambda b, i: part(said(b), i, b["bbox"])), F.array(part(F.col("whole"), F.size("blocks"), F.lit(None))))
     each = joined.join(languages.withColumnRenamed("language", "read_in"), "document_id").select("document_id", "page", "read_in", F.explode(parts).alias("p"))
-    read = each.select("document_id", "page", "read_in", "p.t", "p.at", "p.bbox").withColumn("f", found_entities(F.col("t"), F.col("read_in")))
-    found = read.select("document_id", "page", "read_in", "at", "bbox", F.inline("f"))
+    read = each.select("document_id", "page", "read_in", "p.t", "p.at", "p.bbox")
+    found = unfolded(read, found_entities(F.col("t"), F.col("read_in")), "document_id", "page", "read_in", "at", "bbox")
     first = first_per_key(found, ["document_id", "entity_type"], "page", "at", "ord")
     return first.select("document_id", "entity_type", "value", "confidence", "page", "bbox", F.col("read_in").alias("language"))
 
