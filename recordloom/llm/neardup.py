@@ -23,8 +23,10 @@ its largest class meet a hub drawn from that class, in `HUBS` more rounds. What
 apart is settled exactly, without comparing all that share a bucket: the texts of such
 buckets are joined on the rarest of their shingles. Two sets of similarity t or more share
 one of the shingles that remain if, from the most frequent on, shingles of less than t of
-the set's weight are left out, so no pair is lost; texts that merely share a passage, of
-any number, differ in their rare shingles and do not meet. Pairs within a class are left out.
+the set's weight are left out, and of the lesser set less than 2t / (1 + t), so no pair is lost; texts
+that merely share a passage, of any number, differ in their rare shingles and do not meet. Where they meet,
+parities of their shingles prove most pairs too unlike, those of many edited copies of one text
+too, which are all somewhat alike. Pairs within a class are left out.
 
 Defined cases: null and empty texts are copies of one another; texts without words are
 linked by equality only, texts of one to four words are one shingle; very long texts are
@@ -52,7 +54,7 @@ FLOOR, LEAST = 0.01, 0.5
 HUBS = 2
 PLAIN = True
 BLOCK_SHINGLES = 1_000_000
-LIGHT, HEAVY = 12, 4  # 64-bit words of the bitmaps
+LIGHT, HEAVY = 24, 8  # 64-bit words of the parities
 HEAD = 16  # rarest shingles by which a pair's meetings are made one
 TILE = 2048  # texts of a rare shingle that one task compares with as many others, about
 CELLS = 1 << 13  # rows of the table of random variates, by the low bits of a shingle's hash
@@ -207,18 +209,18 @@ def signatures(docs: DataFrame, heavy, size: int, bands: int, rows: int, plain:
     return rows_in.mapInArrow(sample, "node binary, bands array<long>")
 
 
-def bitmap(shingles: np.ndarray, doc: np.ndarray, docs: int, words: int) -> np.ndarray:
-    """(docs, words) 64-bit words with the bits of each text's shingles set."""
-    bits = np.zeros((docs, words * 64), np.uint8)
-    bits[doc, ((shingles >> U(20)) % U(words * 64)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.uint64)
+def parities(shingles: np.ndarray, doc: np.ndarray, docs: int, words: int) -> np.ndarray:
+    """(docs, words) 64-bit words: whether a cell has an odd number of the text's shingles. What two texts share cancels out."""
+    odd = np.zeros((docs, words * 64), np.uint8)
+    np.add.at(odd, (doc, ((shingles >> U(20)) % U(words * 64)).astype(np.int64)), np.uint8(1))
+    return np.packbits(odd & 1, axis=1).view(np.uint64)
 
 
 FEATURES = "node binary, shingles array<long>, weights array<float>, n long, weight double, bits array<long>"
 
 
 def features(texts: DataFrame, heavy, size: int) -> DataFrame:
-    """node; its distinct shingles in order of hash and their weights; their number and sum; bitmaps of the light and the heavy ones."""
+    """node; its distinct shingles in order of hash and their weights; their number and sum; parities of the light and the heavy ones."""
     table = texts.sparkSession.sparkContext.broadcast(heavy)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def features(texts: DataFrame, heavy, size: int) -> DataFrame:
                 w = w.astype(np.float32)
                 doc = np.repeat(np.arange(len(n)), n)
                 light = ~np.isin(s, table.value[0])
-                bits = np.hstack([bitmap(s[light], doc[light], len(n), LIGHT), bitmap(s[~light], doc[~light], len(n), HEAVY)])
+                bits = np.hstack([parities(s[light], doc[light], len(n), LIGHT), parities(s[~light], doc[~light], len(n), HEAVY)])
                 columns = [
                     nodes.slice(row, len(n)),
                     pa.ListArray.from_arrays(at, pa.array(s.view(np.int64))),
@@ -271,9 +273,9 @@ def linked(pairs: DataFrame, feats: DataFrame, threshold: float, plain: bool) ->
 
 
 def may_link(x: str, y: str, threshold: float) -> Column:
-    """False only where numbers, weights or bitmaps of two rows prove both similarities too low.
+    """False only where numbers, weights or parities of two rows prove both similarities too low.
 
-    J >= t bounds the weight that differs by (1 - t) / (1 + t) of both weights; each bit
+    J >= t bounds the weight that differs by (1 - t) / (1 + t) of both weights; each parity
     that differs is a shingle that does, of weight 1 at least, or LEAST if heavy.
     """
     low, most = threshold - 1e-4, (1 - threshold) / (1 + threshold) + 1e-4
@@ -288,30 +290,36 @@ def rare_pairs(apart: DataFrame, feats: DataFrame, threshold: float) -> DataFram
     """a, b: pairs of `apart` (node, root) in different classes that share one of their rarest shingles and may be similar.
 
     Of each text those shingles are left that begin, in order of falling frequency, what
-    weighs `threshold` of it or more, by number or by weight. Frequencies are those among
-    the texts given.
+    weighs `threshold` of it or more, by number or by weight. What two sets share is 2t / (1 + t)
+    of the lesser one or more, so of that fewer are left. Frequencies are those among
+    the texts given. The rarest shingle that a pair shares is left in both.
     """
     each = feats.join(apart, "node").select("node", "root", "n", "weight", F.explode(F.arrays_zip("shingles", "weights")).alias("s"))
     each = each.select("node", "root", "n", "weight", F.col("s.shingles").alias("shingle"), F.col("s.weights").alias("w"))
     shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     ranked = each.join(shared, "shingle", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
     falling = Window.partitionBy("node").orderBy(F.desc("texts"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)  # of one text
-    low = F.lit(threshold - 1e-4)
-    rare = (F.sum("w").over(falling) >= low * F.col("weight")) | (F.count(F.lit(1)).over(falling) >= low * F.col("n"))
-    prefix = materialise(ranked.withColumn("rare", rare).filter("rare and texts > 1").select("shingle", "node", "root", "n", "weight", "texts"), "prefix")
+    weight, number = F.sum("w").over(falling), F.count(F.lit(1)).over(falling)
+    low, most = threshold - 1e-4, 2 * threshold / (1 + threshold) - 1e-4
+    left = lambda least: {"heavier": weight >= least * F.col("weight"), "more": number >= least * F.col("n")}
+    marked = ranked.withColumns({"rare": left(low)["heavier"] | left(low)["more"], **left(most)})
+    prefix = materialise(marked.filter("rare and texts > 1").select("shingle", "node", "root", "n", "weight", "texts", "heavier", "more"), "prefix")
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("texts", "shingle")))["shingle"], 1, HEAD)  # from a part of one text
     heads = prefix.groupBy("node").agg(rarest.alias("head"))
     bits = feats.select("node", *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(LIGHT + HEAVY)])
     # A shingle of many texts is dealt in tiles: a part of them on either side, each part with each.
     dealt = prefix.withColumn("parts", F.ceil(F.col("texts") / F.lit(TILE)).cast("long")).drop("texts").join(heads, "node").join(bits, "node")
     own, every = F.pmod(F.xxhash64("node"), "parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    sides = [dealt.withColumn(a, own).withColumn(b, every).drop("parts").alias(name) for name, a, b in (("x", "i", "j"), ("y", "j", "i"))]
+    of = {"x": dealt.filter("heavier or more"), "y": dealt.drop("heavier", "more")}
+    sides = [of[name].withColumn(a, own).withColumn(b, every).drop("parts").alias(name) for name, a, b in (("x", "i", "j"), ("y", "j", "i"))]
     meet = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    meet &= (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", threshold)
-    # A pair with common shingles among its rarest meets at the least of those only; one without, wherever it can.
-    common = F.array_intersect("x.head", "y.head")
-    once = (F.size(common) == 0) | (F.col("x.shingle") == F.array_min(common))
-    return sides[0].join(sides[1], meet & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    lesser = lambda c: F.struct(f"x.{c}", "x.node") < F.struct(f"y.{c}", "y.node")
+    meet &= (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+    meet &= (F.col("x.more") & lesser("n") | F.col("x.heavier") & lesser("weight")) & may_link("x", "y", threshold)
+    # A pair with common shingles among its rarest meets at the rarest of those only; one without, wherever it can.
+    common = F.filter("x.head", lambda s: F.array_contains("y.head", s))
+    once = (F.size(common) == 0) | (F.col("x.shingle") == F.get(common, F.lit(0)))
+    return sides[0].join(sides[1], meet & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

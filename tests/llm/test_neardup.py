@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from recordloom.llm import neardup
 
@@ -90,6 +91,31 @@ def test_rare_shingles_in_tiles(spark, monkeypatch):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows, weights(rows))
 
 
+def test_edited_copies_of_one_text_are_told_apart_where_they_meet(spark):
+    """All of them are alike by 0.7 or so: few pairs may be left to compare, and none of those that are links is lost."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(395)]
+    rows = []
+    for k in range(150):
+        w = list(base) + [f"end{k}"] * rng.randint(0, 30)
+        for _ in range(rng.randint(4, 9)):
+            w[rng.randrange(395)] = f"e{rng.randrange(2000)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    heavy = np.empty(0, np.uint64), np.empty(0)
+    texts = df.select(neardup.node(F.col("text")).alias("node"), "text")
+    feats = neardup.features(texts, heavy, 5).cache()
+    pairs = neardup.rare_pairs(feats.select("node", F.col("node").alias("root")), feats, 0.8)
+    found = {(bytes(r["a"]), bytes(r["b"])) for r in pairs.collect()}
+    node = {r["text"]: bytes(r["node"]) for r in texts.collect()}
+    bags = [(node[t], set(shingles(t)), Counter(shingles(t))) for _, t in rows]
+    links = set()
+    for (a, x, m), (b, y, n) in combinations(bags, 2):
+        if len(x & y) >= 0.8 * len(x | y) or (m & n).total() >= 0.8 * (m | n).total():
+            links.add((min(a, b), max(a, b)))
+    assert links and links <= found and len(found) < 0.2 * 150 * 149 / 2
+
+
 def test_recall_against_all_pairs(spark):
     """Every tenth document against all: whatever is alike by the stated rule is of one class."""
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 4000")
