@@ -22,6 +22,12 @@ def dealt(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("document_id", *columns).repartition("document_id")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once. Long chains of conditions written out in a stage's own code
+    make a method that the JVM does not compile, which made each field cost several times as much."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unfolded(df: DataFrame, array: Column, *keep: str) -> DataFrame:
     """The columns kept and those of each struct of the array. The outer form, as for the inner one the
     optimizer first filters by the array's size and works the array out once more for that."""
@@ -83,25 +89,29 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     found = []
     text = F.coalesce("text", F.lit(""))
     for _, pattern, confidence in STRATEGIES:
-        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 0)]
-        found.append(_zipped(parts, confidence))
+        found.append(_matches(text, pattern, confidence))
     clean = F.transform(F.concat(*found), lambda f, i: F.struct(i.alias("seq"), clean_label(f["l"]).alias("field_name"), clean_value(f["v"]).alias("field_value"), f["c"].alias("confidence"), strip(f["s"]).alias("source_text")))
     good = F.filter(clean, lambda f: is_valid_label(f["field_name"]) & is_valid_value(f["field_value"]))
     labelled = F.transform(good, lambda f: f.withField("label", F.lower(f["field_name"])))
     # Within a lambda an array is there once; as a column the optimizer would write it out wherever it is used.
     first = F.transform(F.array(labelled), lambda all_: F.filter(all_, lambda f, i: F.array_position(all_["label"], f["label"]) == i + 1))[0]
     fields = unfolded(dealt(docs, "text"), first, "document_id").withColumns({"low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
-    typed = fields.withColumn("data_type", _type(F.col("label"), F.col("said"))).withColumn("canonical_key", _canonical(F.col("low")))
+    kind = let(F.struct("label", "said"), lambda f: _type(f["label"], f["said"]))
+    typed = fields.withColumns({"data_type": kind, "canonical_key": let(F.col("low"), _canonical)})
     if learned is not None:
         taught = learned.select(key_form(F.col("label")).alias("label"), F.col("canonical_key").alias("taught"))
         typed = typed.join(taught, "label", "left").withColumn("canonical_key", F.coalesce("taught", "canonical_key")).drop("taught")
     return typed.select("document_id", "seq", "field_name", "field_value", "confidence", "data_type", "canonical_key", "source_text")
 
 
-def _zipped(parts: list[Column], confidence: float) -> Column:
-    """array<struct(l, v, s, c)> of the matches of one pattern."""
-    label, value, whole = parts
-    return F.transform(label, lambda x, i: F.struct(x.alias("l"), F.get(value, i).alias("v"), F.get(whole, i).alias("s"), F.lit(confidence).alias("c")))
+def _matches(text: Column, pattern: str, confidence: float) -> Column:
+    """array<struct(l, v, s, c)> of the matches of one pattern.
+
+    A text is searched once; its matches are then taken apart alone. All patterns begin and end at an
+    end of a line, so each matches its own match in the same way.
+    """
+    part = lambda s, g: F.regexp_extract(s, pattern, g)
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.struct(part(s, 1).alias("l"), part(s, 2).alias("v"), s.alias("s"), F.lit(confidence).alias("c")))
 
 
 def block_fields(pages: DataFrame) -> DataFrame:
