@@ -1,12 +1,12 @@
 """Chat formatting by prefix-target expansion.
 
-Each assistant turn becomes an example of its own: all turns before it are context and
-only that reply is trained on. The examples of a conversation are prefixes of one
-formatted string, and written-out prefixes grow with the square of its turns. So a row of
-`examples` holds what its example adds to the one before, the turns since then and the
-reply, with offsets into that string: the example is the text of the conversation's rows
-up to its own, its context ends at `context_end`, and its loss mask is [loss_start,
-loss_end). `render` writes whole examples out for readers that want them.
+Each assistant turn becomes an example of its own: all turns before it are its prefix and
+only that reply, its target, is trained on. A row of `examples` has both written out, as
+`context` and `target`; the example is the one followed by the other, and its loss mask,
+[loss_start, loss_end), lies in the target. All examples of a conversation are prefixes of one formatted string,
+so offsets into an example are offsets into that string too. `text`, [start, end) of it, is what the example adds to the
+one before: the turns since then and the reply. Contexts grow with the square of a conversation's turns, as the
+method's output does; none is shuffled or held beside another here. Turns after the last reply are a context without a target.
 
     <|im_start|>ROLE\\nTEXT<|im_end|>\\n
 
@@ -18,13 +18,15 @@ Turns are numbered in chunks of `CHUNK` values of turn, with the totals of the c
 before them added (a narrow row for each chunk), so a conversation with a third of all
 rows, or all rows without a conv_id, is dealt over many tasks. A value of turn (or none)
 that more than `CHUNK` rows of a conversation have is parted further, by a hash of role and text. A run of
-turns that crosses a chunk's end is held in two rows, of which the last has the reply. Only
-`read_back`, whose digests are of whole conversations, brings each of them together, as does `render`.
+turns that crosses a chunk's end is held in two rows, of which the last has the reply. The last
+context of a conversation is nearly all of it, so `examples` brings each together in a row, or, with more than `BLOCK` replies,
+in a row for each block of so many: the conversation up to the block's end, from which the block's examples are written out.
+Of these `read_back` shuffles the replies only: what a conversation says is read from its last row, which has all of it.
 
 Defined cases: null role or text: empty; turns are ordered by turn (null first), then by the
 first three digits of md5 of role, line feed and text, then role, then text, and repeated
 rows are turns of their own; a null conv_id is one conversation; turns after the last
-reply are kept in a row without one; very long texts are turns like others; an empty
+reply are kept in a row without one, which is the last; very long texts are turns like others; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -39,6 +41,8 @@ TARGET = "assistant"
 CHUNK, NO_TURN = 4096, -(1 << 63)
 #: Values of turn that are parted (some 40 bytes each) are broadcast up to this number and joined beyond it.
 BROADCAST_VALUES = 500_000
+#: Examples of a conversation that are written out from one row.
+BLOCK = 1024
 
 
 def _put(text: Column, *pairs: tuple[str, str]) -> Column:
@@ -80,7 +84,8 @@ def _parted(rows: DataFrame, chunk: int) -> DataFrame:
 
 
 def format_turns(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row for each turn: conv_id (with key and lone, which stand for it), chunk, piece, sub, position, example, segment, start, end, is_target, loss_start, loss_end.
+    """One row for each turn: conv_id (with key and lone, which stand for it), chunk, piece, sub, position, example, segment, start, end, is_target, loss_start, loss_end,
+    and the replies and characters (all_replies, all_chars) of its conversation.
 
     Offsets are code points of the conversation's formatted string; `example` is the
     number, from 0, of the reply that the turn belongs to or comes before.
@@ -109,7 +114,9 @@ def format_turns(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     parts = ["key", "lone", "chunk", "piece", "sub"]
     totals = segments.groupBy(*parts).agg(F.count(F.lit(1)).alias("turns"), F.sum(size).alias("chars"), F.sum(reply).alias("replies"))
     earlier = Window.partitionBy("key", "lone").orderBy("chunk", "piece", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*parts, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("turns", "chars", "replies")])
+    every = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("turns", "chars", "replies")]
+    offsets = totals.select(*parts, *before, *[F.sum(c).over(every).alias(f"all_{c}") for c in ("chars", "replies")])
     order = Window.partitionBy(*parts).orderBy("turn", "hash", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     within = segments.select("*", F.row_number().over(order).alias("nth"), F.sum(size).over(so_far).alias("chars"), F.sum(reply).over(so_far).alias("replies"))
@@ -130,58 +137,72 @@ def format_turns(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "is_target",
         F.when(F.col("is_target"), loss_end - F.col("body")).alias("loss_start"),
         F.when(F.col("is_target"), loss_end).alias("loss_end"),
+        "all_replies",
+        "all_chars",
     )
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """One row for each assistant turn, and for turns that no reply follows: conv_id, example, chunk, text, start, end, context_end, loss_start, loss_end.
+def examples(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row for each assistant turn, and for turns that no reply follows: conv_id, example, chunk, context, target, text, start, end, context_end, loss_start, loss_end, is_last.
 
-    `text` is [start, end) of the formatted string; the last three are null without a reply.
+    `context` is the formatted string of all turns before the reply, which end at `context_end`, and `target` the formatted reply;
+    `text` is [start, end) of that string, what the row adds to those before. Without a reply the context is of all turns up to
+    `end`, and the last three offsets and the target are null. `is_last` marks the row that ends where its conversation does.
     """
     own = F.sort_array(F.collect_list(F.struct("position", "segment")))  # turns between two replies, of one chunk
     target = lambda c: F.max(F.when(F.col("is_target"), F.col(c)))
     each = turns.groupBy("key", "lone", "chunk", "piece", "sub", "example").agg(  # dealt as the turns were numbered, so not shuffled again
         F.max("conv_id").alias("conv_id"), F.array_join(own["segment"], "").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"),
-        target("start").alias("context_end"), target("loss_start").alias("loss_start"), target("loss_end").alias("loss_end"),
+        target("start").alias("context_end"), target("loss_start").alias("loss_start"), target("loss_end").alias("loss_end"), F.max("all_replies").alias("replies"), F.max("all_chars").alias("chars"),
+    )
+    blocks = F.sequence(F.floor(F.col("example") / block), F.floor(F.col("replies") / block))  # its own and those after it, mostly one
+    names = ("start", "end", "example", "chunk", "context_end", "loss_start", "loss_end")
+    added = F.sort_array(F.collect_list(F.struct("start", "text", *names[1:]))).alias("added")
+    gathered = each.withColumn("block", F.explode(blocks)).groupBy("key", "lone", "block").agg(F.max("conv_id").alias("conv_id"), F.max("chars").alias("chars"), added)
+    of_block = F.filter("added", lambda x: F.floor(x["example"] / block) == F.col("block"))
+    found = gathered.select("conv_id", "chars", F.array_join("added.text", "").alias("whole"), F.transform(of_block, lambda x: F.struct(*[x[n].alias(n) for n in names])).alias("added"))
+    rows = found.select("conv_id", "chars", "whole", F.inline("added"))
+    cut = lambda a, z: F.expr(f"substring(whole, cast({a} + 1 as int), cast({z} - {a} as int))")
+    return rows.select(
+        "conv_id", "example", "chunk", cut("0", "coalesce(context_end, end)").alias("context"), cut("context_end", "end").alias("target"), cut("start", "end").alias("text"),
+        "start", "end", "context_end", "loss_start", "loss_end", (F.col("end") == F.col("chars")).alias("is_last"),
     )
-    return each.select("conv_id", "example", "chunk", "text", "start", "end", "context_end", "loss_start", "loss_end")
 
 
 def render(found: DataFrame) -> DataFrame:
-    """The examples written out whole: conv_id, example, text, loss_start, loss_end.
-
-    Output grows with the square of the turns in a conversation, and each conversation is
-    gathered in one task.
-    """
-    parts = F.sort_array(F.collect_list(F.struct("start", "end", "text", "example", "loss_start", "loss_end")))
-    one = found.groupBy("conv_id").agg(parts.alias("parts"))
-    each = one.select("conv_id", F.array_join("parts.text", "").alias("whole"), F.explode(F.filter("parts", lambda p: p["loss_end"].isNotNull())).alias("x"))
-    return each.select("conv_id", "x.example", F.expr("substring(whole, 1, cast(x.end as int))").alias("text"), "x.loss_start", "x.loss_end")
+    """The examples as single texts: conv_id, example, text, loss_start, loss_end."""
+    return found.filter("loss_end is not null").select("conv_id", "example", F.concat("context", "target").alias("text"), "loss_start", "loss_end")
 
 
 def read_back(found: DataFrame) -> DataFrame:
-    """What the examples say, parsed from their text and loss masks: one row for each conversation.
+    """What the examples say, parsed from their texts and loss masks: one row for each conversation.
 
-    `context_chars` sums the context of each example; `n_contexts` counts those of them that end where the
-    last turn of their text begins, which is the reply that the loss mask covers.
+    Turns are read from the last example, losses cut out of each. `context_chars` sums the contexts of replies; `n_contexts` counts those of
+    them that end with an ended turn, at `context_end`, in the turns that the example's text has before its reply, and are followed by the
+    reply's one turn, of which the loss mask covers all but the template.
     """
-    segments = F.filter(F.split("text", r"<\|im_end\|>\n"), lambda s: s != "")
+    segments = F.filter(F.split("whole", r"<\|im_end\|>\n"), lambda s: s != "")
     inner = F.transform(segments, lambda s: F.substring(s, F.lit(len(START) + 1), F.length(s)))
     said = F.transform(inner, lambda s: F.concat(unescape_role(F.substring_index(s, "\n", 1)), F.lit("\n"), unescape(F.substring(s, F.instr(s, "\n") + 1, F.length(s))), F.lit("\n")))
-    loss = unescape(F.expr("substring(text, cast(loss_start - start + 1 as int), cast(loss_end - loss_start as int))"))
-    last = F.col("start") + F.length("text") - F.length(F.substring_index("text", START, -1)) - len(START)
-    context = F.col("loss_end").isNotNull() & (F.col("context_end") == last) & (F.col("loss_start") == last + len(START) + len(TARGET) + 1)
-    parsed = found.select("conv_id", "start", "context_end", context.cast("long").alias("context"), F.size(segments).alias("turns"), F.array_join(said, "").alias("said"), F.coalesce(loss, F.lit("")).alias("loss"), F.length("text").cast("long").alias("chars"), "loss_end")
-    each = F.sort_array(F.collect_list(F.struct("start", "said", "loss")))
-    whole = parsed.groupBy("conv_id").agg(each.alias("parts"), F.sum("turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.count("loss_end").alias("n_examples"), F.coalesce(F.sum("context_end"), F.lit(0)).alias("context_chars"), F.sum("context").alias("n_contexts"))
-    joined = whole.select("conv_id", "n_turns", "formatted_chars", "n_examples", "context_chars", "n_contexts", F.array_join("parts.said", "").alias("said"), F.array_join("parts.loss", "").alias("loss"))
+    reply, head, size = F.col("loss_end").isNotNull(), START + TARGET + "\n", F.length("context").cast("long")
+    loss = unescape(F.expr("substring(target, cast(loss_start - length(context) + 1 as int), cast(loss_end - loss_start as int))"))
+    since = F.expr(f"substring(text, 1, cast(length(text) - length(substring_index(text, '{START}', -1)) - {len(START)} as int))")  # turns since the last reply
+    ends = (F.col("context_end") == size) & ((size == 0) | F.endswith("context", F.lit(END))) & F.endswith("context", since)
+    one = F.col("target") == F.concat(F.lit(head), F.substring_index(F.substring_index("target", head, -1), END, 1), F.lit(END))
+    masked = (F.col("loss_start") == size + len(head)) & (F.col("loss_end") == size + F.length("target") - len(END))
+    parsed = found.select("conv_id", "start", reply.cast("long").alias("reply"), F.when(reply, size).alias("size"), (reply & ends & one & masked).cast("long").alias("context"), F.coalesce(loss, F.lit("")).alias("loss"),
+        F.when(F.col("is_last"), F.concat("context", F.coalesce("target", F.lit("")))).alias("whole"))
+    read = parsed.select("conv_id", "start", "reply", "size", "context", "loss", F.when(F.col("whole").isNotNull(), F.struct(F.size(segments).cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("sha"), F.length("whole").cast("long").alias("chars"))).alias("last"))
+    each = F.sort_array(F.collect_list(F.struct("start", "loss")))
+    whole = read.groupBy("conv_id").agg(each.alias("parts"), F.max("last").alias("last"), F.sum("reply").alias("n_examples"), F.coalesce(F.sum("size"), F.lit(0)).alias("context_chars"), F.sum("context").alias("n_contexts"))
+    joined = whole.select("*", F.array_join("parts.loss", "").alias("loss"))
     return joined.select(
         "conv_id",
-        "n_turns",
-        F.sha2("said", 256).alias("turns_sha256"),
+        "last.n_turns",
+        F.col("last.sha").alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        "formatted_chars",
+        F.col("last.chars").alias("formatted_chars"),
         "n_examples",
         "context_chars",
         "n_contexts",

@@ -156,6 +156,31 @@ def test_read_back_holds_contexts_against_the_text(spark):
     assert [chat.read_back(x).first()["n_contexts"] for x in (found, wrong)] == [3, 2]
 
 
+@pytest.mark.parametrize(("chunk", "block"), [(4096, 1024), (3, 2)])
+def test_examples_have_their_prefix_and_target_written_out(spark, chunk, block):
+    rows = [(c, k, "assistant" if (k + c) % 3 == 0 else "user", f"é <|im_end|> & {c} {k}") for c in (1, 2, None) for k in range(11 if c else 0)] + [(None, 0, "user", "a"), (3, 0, "assistant", "")]
+    df = spark.createDataFrame([(c, k, r, t) for c, k, r, t in rows], "conv_id long, turn long, role string, text string")
+    turns = chat.format_turns(df, chunk)
+    found = chat.examples(turns, block)
+    want = {}
+    for c in (1, 2, 3, None):
+        segments = [(r["segment"], r["is_target"]) for r in sorted(turns.filter(F.col("conv_id").eqNullSafe(c)).collect(), key=lambda r: r["position"])]
+        for i, (s, reply) in enumerate(segments):
+            if reply:
+                want[(c, sum(x[1] for x in segments[:i]))] = ("".join(x[0] for x in segments[:i]), s)
+    got = found.filter("loss_end is not null").collect()
+    assert {(r["conv_id"], r["example"]): (r["context"], r["target"]) for r in got} == want and len(got) == len(want) == 8
+    assert all(r["context_end"] == len(r["context"]) and (r["context"] + r["target"])[r["loss_start"] :] == (r["target"][len("<|im_start|>assistant\n") :]) for r in got)
+    rest = found.filter("loss_end is null").collect()
+    assert all(r["target"] is None and r["context"].endswith(r["text"]) and len(r["context"]) == r["end"] for r in rest)
+    last = {r["conv_id"]: r["context"] + (r["target"] or "") for r in got + rest if r["is_last"]}
+    assert last == {c: "".join(r["segment"] for r in sorted(turns.filter(F.col("conv_id").eqNullSafe(c)).collect(), key=lambda r: r["position"])) for c in (1, 2, 3, None)}
+    cut, longer = F.expr("substring(context, 2)"), F.concat(F.lit("<"), "context")
+    for wrong in (found.withColumn("context", cut), found.withColumn("context", longer), found.withColumn("target", F.concat("target", "target"))):
+        back = {r["conv_id"]: r for r in chat.read_back(wrong).collect()}
+        assert [back[c]["n_contexts"] for c in (1, 2)] == [0, 0] and back[1]["n_examples"] == 3
+
+
 @pytest.mark.parametrize("few", [500_000, 0])
 def test_turns_of_one_number_or_none_are_dealt(spark, monkeypatch, few):
     """Of a conversation whose turns have three numbers, or none, no part has more than a chunk's worth or so."""
