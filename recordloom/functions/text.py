@@ -125,16 +125,20 @@ def script_distribution(c: Column, base: float = 0.95) -> Column:
 
 
 def clean_label(c: Column) -> Column:
-    bare = F.regexp_replace(strip(c), r"(?U)[\s:：\-–—.]+$", "")
-    return strip(F.regexp_replace(bare, r"^\d+[.)]\s*", ""))
+    bare = F.rtrim(F.ltrim(c, F.lit(BLANK)), F.lit(BLANK + ":：-–—."))
+    return F.ltrim(F.regexp_replace(bare, r"^\d+[.)]\s*", ""), F.lit(BLANK))
 
 
 def clean_value(c: Column) -> Column:
-    return strip(F.regexp_replace(strip(c), r"(?U)\s+", " "))
+    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
 
 
 def is_valid_label(c: Column) -> Column:
-    low = key_form(c)
+    return is_valid_key(key_form(c))
+
+
+def is_valid_key(low: Column) -> Column:
+    """Whether a label is valid, by its key form."""
     return F.length(low).between(2, 80) & ~low.isin(V.NOISE_LABELS) & ~low.rlike(r"(?U)^[\d\s.,;:]+$")
 
 

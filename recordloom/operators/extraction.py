@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
-from ..functions.text import any_of, clean_label, clean_value, detect_language, detect_script, first_of, is_valid_label, is_valid_value, key_form, strip
+from ..functions.text import any_of, clean_label, clean_value, detect_language, detect_script, first_of, is_valid_key, is_valid_label, is_valid_value, key_form, strip
 from .ordering import first_per_key
 
 #: name, pattern and confidence of the ways to find label and value, in order.
@@ -18,8 +20,13 @@ STRATEGIES = [
 
 
 def dealt(docs: DataFrame, *columns: str) -> DataFrame:
-    """Documents over all tasks: a file of few row groups is read by as few, and what is done to a text takes longer than to move it."""
-    return docs.select("document_id", *columns).repartition("document_id")
+    """Documents over all tasks: a file of few row groups is read by as few, and what is done to a text takes longer than to move it.
+
+    The number of tasks is given, as adaptive execution would else join them by the bytes of short texts, to one for 100,000 of them.
+    """
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return docs.select("document_id", *columns).repartition(tasks, "document_id")
 
 
 def let(value: Column, body) -> Column:
@@ -57,9 +64,12 @@ def canonical_key(label: Column) -> Column:
 
 
 def _canonical(low: Column) -> Column:
-    exact = [(low.isin(words), F.lit(key).cast("string")) for key, words in V.CANONICAL]
-    inside = [(any_of(low, long), F.lit(key).cast("string")) for key, words in V.CANONICAL if (long := [w for w in words if len(w) >= 4])]
-    return first_of(exact + inside, F.lit(None).cast("string"))
+    keys = {w: key for key, words in reversed(V.CANONICAL) for w in words}  # the first key of a word stays
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for pair in keys.items() for x in pair]), low)
+    inside = {key: long for key, words in V.CANONICAL if (long := [w for w in words if len(w) >= 4])}
+    starts = sorted({re.escape(w[:4]) for long in inside.values() for w in long})
+    some = F.when(low.rlike("|".join(starts)), first_of([(any_of(low, long), F.lit(key)) for key, long in inside.items()], F.lit(None).cast("string")))
+    return F.coalesce(exact, some)  # most labels have none of the starts, so no word is tried
 
 
 def data_type(label: Column, value: Column) -> Column:
@@ -86,24 +96,29 @@ def key_values(docs: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     no field is shuffled: documents have a row each.
     `learned` (label, canonical_key) comes before the built-in keys.
     """
-    found = []
-    text = F.coalesce("text", F.lit(""))
-    for _, pattern, confidence in STRATEGIES:
-        found.append(_matches(text, pattern, confidence))
-    clean = F.transform(F.concat(*found), lambda f, i: F.struct(i.alias("seq"), clean_label(f["l"]).alias("field_name"), clean_value(f["v"]).alias("field_value"), f["c"].alias("confidence"), strip(f["s"]).alias("source_text")))
-    good = F.filter(clean, lambda f: is_valid_label(f["field_name"]) & is_valid_value(f["field_value"]))
-    labelled = F.transform(good, lambda f: f.withField("label", F.lower(f["field_name"])))
-    # Within a lambda an array is there once; as a column the optimizer would write it out wherever it is used.
-    first = F.transform(F.array(labelled), lambda all_: F.filter(all_, lambda f, i: F.array_position(all_["label"], f["label"]) == i + 1))[0]
-    fields = unfolded(dealt(docs, "text"), first, "document_id").withColumns({"low": key_form(F.col("field_name")), "said": strip(F.col("field_value"))})
-    kind = let(F.struct("label", "said"), lambda f: _type(f["label"], f["said"]))
-    typed = fields.withColumns({"data_type": kind, "canonical_key": let(F.col("low"), _canonical)})
+    fields = unfolded(dealt(docs, "text"), _fields_of(F.coalesce("text", F.lit(""))), "document_id").withColumn("source_text", strip(F.col("source")))
+    kind = let(F.struct("label", "field_value"), lambda f: _type(f["label"], f["field_value"]))
+    typed = fields.withColumns({"data_type": kind, "canonical_key": let(F.col("label"), _canonical)})
     if learned is not None:
         taught = learned.select(key_form(F.col("label")).alias("label"), F.col("canonical_key").alias("taught"))
         typed = typed.join(taught, "label", "left").withColumn("canonical_key", F.coalesce("taught", "canonical_key")).drop("taught")
     return typed.select("document_id", "seq", "field_name", "field_value", "confidence", "data_type", "canonical_key", "source_text")
 
 
+def _fields_of(text: Column) -> Column:
+    """array<struct(seq, label, field_name, field_value, confidence, source)>: of equal labels, which are lower-case names, the first."""
+    found = F.concat(*[_matches(text, pattern, confidence) for _, pattern, confidence in STRATEGIES])
+    named = F.transform(found, lambda f, i: F.struct(i.alias("seq"), clean_label(f["l"]).alias("field_name"), clean_value(f["v"]).alias("field_value"), f["c"].alias("confidence"), f["s"].alias("source")))
+    labelled = F.transform(named, lambda f: F.struct(f["seq"].alias("seq"), F.lower(f["field_name"]).alias("label"), *[f[n].alias(n) for n in ("field_name", "field_value", "confidence", "source")]))
+    # Names and values have no white space at their ends any more.
+    return _first_of_label(F.filter(labelled, lambda f: is_valid_key(f["label"]) & F.length(f["field_value"]).between(1, 500)))
+
+
+def _first_of_label(fields: Column) -> Column:
+    """Of the structs with one label the first. Within a lambda an array is there once; as a column the optimizer would write it out wherever it is used."""
+    return let(fields, lambda all_: let(all_["label"], lambda labels: F.filter(all_, lambda f, i: F.array_position(labels, f["label"]) == i + 1)))
+
+
 def _matches(text: Column, pattern: str, confidence: float) -> Column:
     """array<struct(l, v, s, c)> of the matches of one pattern.
 
@@ -135,12 +150,17 @@ def table_fields(docs: DataFrame) -> DataFrame:
     Lines with two pipes or more; empty cells fall out and shift their row; rows of
     rules are skipped; the first row names the columns; cells of digits are skipped.
     """
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)
+    return unfolded(dealt(docs, "text"), _cells_of(F.coalesce("text", F.lit(""))), "document_id").withColumn("confidence", F.lit(0.80))
+
+
+def _cells_of(text: Column) -> Column:
+    """array<struct(row, col, field_name, field_value)> of the cells that count, row by row."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
     cells = F.filter(F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|"), strip), lambda c: c != "")), lambda r: (F.size(r) > 0) & ~F.forall(r, lambda c: c.rlike(r"^[-=:+\s]+$")))
     def named(t: Column) -> Column:
         """The cells below the head that count; each label is cleaned and judged once."""
         heads = F.transform(F.get(t, F.lit(0)), clean_label)
-        labels = F.transform(heads, lambda h: F.when(is_valid_label(h), h))
+        labels = F.transform(heads, lambda h: let(F.lower(h), lambda low: F.when(is_valid_key(low), h)))
 
         def below(names: Column) -> Column:
             row = lambda r, i: F.transform(r, lambda c, j: F.struct((i - 1).alias("row"), j.alias("col"), F.get(names, j).alias("field_name"), c.alias("field_value")))
@@ -149,8 +169,7 @@ def table_fields(docs: DataFrame) -> DataFrame:
 
         return F.transform(F.array(labels), below)[0]
 
-    each = F.transform(F.array(cells), named)[0]
-    return unfolded(dealt(docs, "text"), each, "document_id").withColumn("confidence", F.lit(0.80))
+    return let(cells, named)
 
 
 def with_table_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:
