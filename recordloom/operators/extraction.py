@@ -172,6 +172,22 @@ def _cells_of(text: Column) -> Column:
     return let(cells, named)
 
 
+def document_fields(docs: DataFrame) -> DataFrame:
+    """document_id, field_name, field_value, confidence: fields of the text, and of its tables where the text has none of that label.
+
+    As `with_table_fields` of `key_values` and `table_fields`, but each document, of one row, is gone through once and no field is shuffled.
+    """
+    text = F.coalesce("text", F.lit(""))
+    shown = lambda f, sure: F.struct(f["field_name"].alias("field_name"), f["field_value"].alias("field_value"), sure.alias("confidence"))
+    cells = F.transform(_cells_of(text), lambda f: F.struct(F.lower(f["field_name"]).alias("label"), f["field_name"].alias("field_name"), f["field_value"].alias("field_value")))
+
+    def both(of: Column) -> Column:
+        new = let(of["fields"]["label"], lambda labels: F.filter(of["cells"], lambda f: ~F.array_contains(labels, f["label"])))
+        return F.concat(F.transform(of["fields"], lambda f: shown(f, f["confidence"])), F.transform(new, lambda f: shown(f, F.lit(0.80))))
+
+    return unfolded(dealt(docs, "text"), let(F.struct(_fields_of(text).alias("fields"), _first_of_label(cells).alias("cells")), both), "document_id")
+
+
 def with_table_fields(fields: DataFrame, tables: DataFrame) -> DataFrame:
     """Table fields added where the document has no field of that label: of a column the first row stays."""
     label = F.lower("field_name").alias("label")
