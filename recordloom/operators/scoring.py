@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import confidence_category, field_score
 
 
-def confidence_report(fields: DataFrame, adjustments: DataFrame | None = None) -> DataFrame:
+def confidence_report(fields: DataFrame, adjustments: DataFrame | None = None, added_by: list[str] | None = None) -> DataFrame:
     """document_id, overall, category, counts by category and the names of low fields in order.
 
     `adjustments` (field_name, adjustment) is what was learned; it is joined by name. Scores are
     summed as decimals, so the mean, and a category at its floor, do not depend on the order of rows.
+    With `added_by`, columns that give the rows of a document an order, they are summed as doubles in it.
     """
     if adjustments is not None:
         fields = fields.join(adjustments, "field_name", "left")
@@ -21,7 +22,13 @@ def confidence_report(fields: DataFrame, adjustments: DataFrame | None = None) -
     scored = fields.withColumn("score", field_score(F.col("confidence"), F.col("adjustment"))).withColumn("class", confidence_category(F.col("score")))
     low = F.sort_array(F.collect_list(F.when(F.col("class").isin("LOW", "UNCERTAIN"), F.struct("seq", "field_name"))))
     counts = [F.count_if(F.col("class") == c).alias(f"n_{c.lower()}") for c in ("HIGH", "MEDIUM", "LOW", "UNCERTAIN")]
-    mean = F.sum(F.col("score").cast("decimal(20,18)")).cast("double") / F.count("score")
+    if added_by:
+        so_far = Window.partitionBy("document_id").orderBy(*added_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scored = scored.withColumn("so_far", F.sum("score").over(so_far))
+        total = F.max_by("so_far", F.struct(*added_by))
+    else:
+        total = F.sum(F.col("score").cast("decimal(20,18)")).cast("double")
+    mean = total / F.count("score")
     out = scored.groupBy("document_id").agg(mean.alias("overall"), *counts, low.alias("low"))
     return out.withColumn("category", confidence_category(F.col("overall"))).withColumn("flagged", F.col("low.field_name")).drop("low")
 
